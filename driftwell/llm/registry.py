@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftwell.llm.mixing import op4_curriculum_mix
+from driftwell.llm.simhash import op5_pivot_simhash
 from driftwell.llm.sharding import op2_sampled_splitters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sampled_splitters, op4_curriculum_mix)
+    found = (op2_sampled_splitters, op4_curriculum_mix, op5_pivot_simhash)
     return {f.__name__: f for f in found}
 
 
