@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, weights=weights, minlength=n)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in row ranges of about `most` bytes of text, so that work arrays stay small; a longer text comes alone."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if total and total + size > most:
+                yield b.slice(begin, i - begin)
+                begin, total = i, 0
+            total += size
+        if begin < b.num_rows:
+            yield b.slice(begin)
