@@ -10,11 +10,12 @@ from driftwell.llm.decontaminate import OP7_SQL, op7_winnowing_decontamination
 from driftwell.llm.mixing import op4_curriculum_mix
 from driftwell.llm.simhash import op5_pivot_simhash
 from driftwell.llm.quality_rules import op8_tokeniser_fertility
+from driftwell.llm.secrets import op1_linked_credentials
 from driftwell.llm.sharding import op2_sampled_splitters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sampled_splitters, op4_curriculum_mix, op5_pivot_simhash, op7_winnowing_decontamination, op8_tokeniser_fertility)
+    found = (op1_linked_credentials, op2_sampled_splitters, op4_curriculum_mix, op5_pivot_simhash, op7_winnowing_decontamination, op8_tokeniser_fertility)
     return {f.__name__: f for f in found}
 
 
