@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwell.llm.context_tree import op6_context_tree_weighting
 from driftwell.llm.decontaminate import OP7_SQL, op7_winnowing_decontamination
 from driftwell.llm.line_spread import OP10_SQL, op10_distinct_site_spread
 from driftwell.llm.mixing import op4_curriculum_mix
@@ -18,7 +19,7 @@ from driftwell.llm.wrappers import op3_union_free_wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_linked_credentials, op2_sampled_splitters, op3_union_free_wrappers, op4_curriculum_mix, op5_pivot_simhash, op7_winnowing_decontamination, op8_tokeniser_fertility, op9_factorisation_machine, op10_distinct_site_spread)
+    found = (op1_linked_credentials, op2_sampled_splitters, op3_union_free_wrappers, op4_curriculum_mix, op5_pivot_simhash, op6_context_tree_weighting, op7_winnowing_decontamination, op8_tokeniser_fertility, op9_factorisation_machine, op10_distinct_site_spread)
     return {f.__name__: f for f in found}
 
 
