@@ -17,8 +17,8 @@ without any); equal rows get equal scores; an empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +29,9 @@ THRESHOLD = 0.3
 REG = 1e-3
 
 
-def stripped(pattern_from: str, chars: Column, text: Column) -> Column:
-    """Share of the text's characters that are in a set."""
-    return (chars - F.char_length(F.translate(text, pattern_from, ""))) / F.greatest(chars, F.lit(1))
+def share_of(these: str, chars: Column, text: Column) -> Column:
+    """Share of the text's characters that are among these."""
+    return (chars - F.char_length(F.translate(text, these, ""))) / F.greatest(chars, F.lit(1))
 
 
 def structure(text: Column, words: Column) -> list[Column]:
@@ -46,12 +46,12 @@ def structure(text: Column, words: Column) -> list[Column]:
         F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)),
         F.log1p(F.size(lines)) / 8,
         1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        stripped("#*$%&|<>", chars, text) * 4,
-        stripped("!?", chars, text) * 4,
-        stripped("0123456789", chars, text) * 4,
-        stripped("ABCDEFGHIJKLMNOPQRSTUVWXYZ", chars, text),
-        stripped(".,;:", chars, text) * 4,
-        stripped("/@=_", chars, text) * 4,
+        share_of("#*$%&|<>", chars, text) * 4,
+        share_of("!?", chars, text) * 4,
+        share_of("0123456789", chars, text) * 4,
+        share_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", chars, text),
+        share_of(".,;:", chars, text) * 4,
+        share_of("/@=_", chars, text) * 4,
         (n < 10).cast("double"),
     ]
 
@@ -61,12 +61,11 @@ def featured(docs: DataFrame, text: str, n_features: int) -> DataFrame:
     body = empty_if_null(text)
     words = F.filter(F.split(F.lower(body), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rows = docs.withColumn("_words", words)
-    rows = rows.withColumn("_stats", F.array(*[s.cast("double") for s in structure(body, F.col("_words"))]))
+    stats = [s.cast("double") for s in structure(body, F.col("_words"))]
+    rows = rows.withColumn("_stats", F.array(*stats))
     hashed = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=n_features).transform(rows).drop("_words")
     scaled = Normalizer(inputCol="_counts", outputCol="_scaled").transform(hashed).drop("_counts")
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = scaled.withColumn("_stats", array_to_vector("_stats"))
+    vectors = VectorSizeHint(inputCol="_stats", size=len(stats), handleInvalid="optimistic").transform(scaled.withColumn("_stats", array_to_vector("_stats")))
     return VectorAssembler(inputCols=["_stats", "_scaled"], outputCol="_features").transform(vectors).drop("_stats", "_scaled")
 
 
@@ -75,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("double").alias("label"))
     sample = cut(known.filter(crc_of_id("_id", FOLDS) != 0).orderBy(F.xxhash64("_id"), "_id").limit(most_rows))
     shares = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
-    rows = featured(docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "label"), "text", n_features).select("label", "_features")
+    rows = featured(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("text", "label"), "text", n_features).select("label", "_features")
     rows = rows.persist()
     try:
         if shares["ones"] in (0.0, float(shares["n"])) or rows.select("label").distinct().count() < 2:
@@ -85,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         rows.unpersist()
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", n_features: int = 1 << 14, most_rows: int = 20_000, rank: int = 8, rounds: int = 150) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", n_features: int = 1 << 13, most_rows: int = 20_000, rank: int = 4, rounds: int = 60) -> DataFrame:
     """docs with score: the chance that the label is 1."""
     model = fit(docs, labels, doc_id, text, label, n_features, most_rows, rank, rounds)
     if isinstance(model, float):

@@ -65,15 +65,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(row, doc_id, fp) of every row; row is its number."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             values = [fingerprint(x) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(values, pa.int64())], names=["row", "doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), empty_if_null(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), empty_if_null(text).alias("text"))
+    return rows.mapInArrow(batches, f"row long, doc_id {kind}, fp long")
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(row, doc_id, fp, component_id) of every row."""
     rows = cut(fingerprints(docs, text, doc_id))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     distinct = cut(classes)
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
     membership = labelled.join(ids, "label").select("fp", "component_id")
-    return rows.join(membership, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(membership, "fp").select("row", "doc_id", "fp", "component_id")
 
 
 def op5_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
