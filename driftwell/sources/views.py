@@ -91,7 +91,7 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
         FROM fx_files WHERE state = 'current' AND NOT deleted AND event_id % 10 <> 0
         UNION ALL SELECT group_id, 'new/n' || cast(event_id % 17 AS string) || CASE WHEN event_id % 3 = 0 THEN '.tmp' ELSE '.txt' END AS path, min(event_id) AS size, min(us) AS us, 'new' AS hash FROM fx_changes WHERE event_id % 13 = 0 GROUP BY group_id, event_id % 17, event_id % 3 = 0""",
     "fx_names": lambda d: """
-        SELECT n AS path FROM (VALUES ('Photo.jpg'), ('photo.jpg'), ('CON.txt'), ('Docs/Report.txt'), ('docs/report.txt'), ('a/../b'), ('/abs'), (''), ('C:/x'), ('a//b'), ('a/./b'), ('back\\\\slash'), ('trail. '), ('dot.'), ('q?.txt'), ('nul'), ('x/aux.c'), ('ok/fine.txt'),
+        SELECT n AS path FROM (VALUES ('Photo.jpg'), ('photo.jpg'), ('CON.txt'), ('Docs/Report.txt'), ('docs/report.txt'), ('a/../b'), ('/abs'), (''), ('C:/x'), ('a//b'), ('a/./b'), ('back' || chr(92) || 'slash'), ('trail. '), ('dot.'), ('q?.txt'), ('nul'), ('x/aux.c'), ('ok/fine.txt'),
           ('dir/n (conflicted copy, 2024-01-02-030405, d1, 0123abcd).txt'), ('dir/n.txt')) AS v(n)
         UNION ALL SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages""",
     "fx_policy": lambda d: f"""
