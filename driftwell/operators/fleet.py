@@ -117,7 +117,7 @@ def content_chunks(blobs: DataFrame, smallest: int, average: int, largest: int)
 
     def ends(data: np.ndarray) -> list[int]:
         h = np.zeros(len(data), dtype=np.uint64)
-        for k in range(48):
+        for k in range(min(48, len(data))):
             h[k:] += table[data[: len(data) - k]] << np.uint64(k)
         hits = np.flatnonzero((h >> np.uint64(40)) & np.uint64(mask) == 0) + 1
         out, begin = [], 0

@@ -3,7 +3,7 @@
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, DuckDB equivalents) of all families."""
-    from driftwell.plans import changes, fileindex, pathpolicy  # noqa: F401
+    from driftwell.plans import changes, fileindex, pathpolicy, telemetry  # noqa: F401
     from driftwell.plans.catalog import ORACLES, QUERIES
 
     return QUERIES, ORACLES
