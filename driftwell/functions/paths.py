@@ -64,7 +64,7 @@ def rule_pattern(rule: str) -> tuple[str, bool]:
     folder = body.endswith("/")
     body = body.strip("/") if not body.startswith("/") else body[1:].rstrip("/")
     out = ""
-    for token in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|[^*?/]+|/", body):
+    for token in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|[^*?/]+|/", body):
         out += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token) or re.escape(token)
     head = "^" if "/" in body else "^(?:.*/)?"
     return ("(?i)" if fold else "") + head + out + ("/.*$" if folder else "(?:/.*)?$"), back

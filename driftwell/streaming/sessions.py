@@ -5,10 +5,11 @@ Stateful operators keep state per key: debounce sessions per group, and received
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.plans.lineage import cut
@@ -46,8 +47,6 @@ def debounce(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burs
 
     A session is shorter than `longest`, so it is enough to fold every stretch between gaps of over `quiet` by itself.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("group_id").orderBy("us", "event_id")
     fresh = F.coalesce((F.col("us") - F.lag("us").over(order) > quiet).cast("int"), F.lit(1))
     stretches = events.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -58,8 +57,10 @@ def debounce_stream(events: DataFrame, quiet: int = QUIET, longest: int = LONGES
     """Streaming form: open events wait in state until a later event of the group, or the end of input by timeout, closes their session."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    columns = ["group_id", "us", "event_id", "path", "kind"]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.read_json(state.get[0], orient="split", dtype=False) if state.exists else pd.DataFrame(columns=["group_id", "us", "event_id", "path", "kind"])
+        held = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=columns)
         if state.hasTimedOut:
             state.remove()
             yield sessions_of(held, quiet, longest, burst)
@@ -68,11 +69,10 @@ def debounce_stream(events: DataFrame, quiet: int = QUIET, longest: int = LONGES
         done = sessions_of(rows, quiet, longest, burst)
         # The last session may still grow.
         keep = rows[rows["us"] >= done["started"].iloc[-1]]
-        state.update((keep.to_json(orient="split"),))
+        state.update((json.dumps(keep[columns].values.tolist()),))
         state.setTimeoutDuration(1000)
         yield done.iloc[:-1]
 
-    columns = ["group_id", "us", "event_id", "path", "kind"]
     return events.select(*columns).groupBy("group_id").applyInPandasWithState(step, SESSION, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
