@@ -97,7 +97,7 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
     return np.bincount(owner, weights=weights, minlength=n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in row ranges of about `most` bytes of text, so that work arrays stay small; a longer text comes alone."""
     for b in batches:
         sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -75,7 +75,7 @@ def repeated_words(codes: np.ndarray, owner: np.ndarray, n: int, width: int = 5)
 class Splitter:
     """Splits words with the vocabulary, remembering those it has seen; it starts afresh after `most` words."""
 
-    def __init__(self, vocabulary: str, most: int = 500_000):
+    def __init__(self, vocabulary: str, most: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
