@@ -99,3 +99,20 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cut(mix(read(spark, sf_dir, "documents"), keep=["doc_id"]))
     return in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+#: The same rules over whole sources at once.
+OP4_SQL = """
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM s GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth, count(*) OVER () AS n, sum(ss) OVER () AS total FROM src),
+v AS (SELECT *, CAST(CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM w),
+st AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(total AS DOUBLE) - coalesce(sum(CAST(2 AS DOUBLE) * ss) OVER (ORDER BY ss / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ss / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM v),
+lv AS (SELECT arg_min(rate, row(ss / weight, nth)) AS level FROM st WHERE rate * weight <= CAST(2 AS DOUBLE) * ss),
+t AS (SELECT source, ss, least(CAST(2 AS DOUBLE) * ss, level * weight) AS target, CASE WHEN n > 1 THEN CAST(-0.5 AS DOUBLE) + (nth - 1) / CAST(n - 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS a FROM st, lv),
+d AS (SELECT s.doc_id, s.size, t.ss, t.target, t.a, CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY o, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN ss > 0 THEN CAST(floor(target / ss) AS BIGINT) ELSE 0 END AS passes, before / greatest(target, CAST(1 AS DOUBLE)) AS u FROM d),
+e AS (SELECT *, passes * size + greatest(0, least(size, CAST(round(target - passes * ss) AS BIGINT) - before)) AS taken FROM p)
+SELECT doc_id, size, ss AS source_size, target, taken, CASE WHEN taken > 0 THEN least(CASE WHEN abs(a) < 1e-9 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END, CAST(1 AS DOUBLE)) END AS position FROM e
+"""

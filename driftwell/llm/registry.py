@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftwell.llm.context_tree import op6_context_tree_weighting
 from driftwell.llm.decontaminate import OP7_SQL, op7_winnowing_decontamination
 from driftwell.llm.line_spread import OP10_SQL, op10_distinct_site_spread
-from driftwell.llm.mixing import op4_curriculum_mix
+from driftwell.llm.mixing import OP4_SQL, op4_curriculum_mix
 from driftwell.llm.simhash import op5_pivot_simhash
 from driftwell.llm.quality_fm import op9_factorisation_machine
 from driftwell.llm.quality_rules import op8_tokeniser_fertility
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_winnowing_decontamination": OP7_SQL, "op10_distinct_site_spread": OP10_SQL}
+    return {"op4_curriculum_mix": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL, "op10_distinct_site_spread": OP10_SQL}
