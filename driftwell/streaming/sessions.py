@@ -43,13 +43,14 @@ def sessions_of(rows: pd.DataFrame, quiet: int, longest: int, burst: int) -> pd.
 
 
 def debounce(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burst: int = BURST) -> DataFrame:
-    """Batch twin: sessions end after a quiet gap or at their greatest length. One fold per group and hour keeps groups small.
+    """Batch twin: sessions end after a quiet gap or at their greatest length.
 
-    A session is shorter than `longest`, so it is enough to fold every stretch between gaps of over `quiet` by itself.
+    No session crosses a gap of over `quiet`, so stretches between such gaps can be folded apart; 64 of them make one piece
+    of work, however long a group's history is.
     """
     order = Window.partitionBy("group_id").orderBy("us", "event_id")
     fresh = F.coalesce((F.col("us") - F.lag("us").over(order) > quiet).cast("int"), F.lit(1))
-    stretches = events.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = events.withColumn("_fresh", fresh).withColumn("_stretch", F.floor(F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)) / 64))
     return stretches.select("group_id", "_stretch", "us", "event_id", "path", "kind").groupBy("group_id", "_stretch").applyInPandas(lambda rows: sessions_of(rows, quiet, longest, burst), SESSION)
 
 
