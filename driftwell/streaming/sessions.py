@@ -55,26 +55,21 @@ def debounce(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burs
 
 
 def debounce_stream(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burst: int = BURST) -> DataFrame:
-    """Streaming form: open events wait in state until a later event of the group, or the end of input by timeout, closes their session."""
+    """Streaming form: a session's events wait in state until a later event of the group shows that it is closed."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     columns = ["group_id", "us", "event_id", "path", "kind"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=columns)
-        if state.hasTimedOut:
-            state.remove()
-            yield sessions_of(held, quiet, longest, burst)
-            return
         rows = pd.concat([held, *batches], ignore_index=True).sort_values(["us", "event_id"])
         done = sessions_of(rows, quiet, longest, burst)
         # The last session may still grow.
         keep = rows[rows["us"] >= done["started"].iloc[-1]]
         state.update((json.dumps(keep[columns].values.tolist()),))
-        state.setTimeoutDuration(1000)
         yield done.iloc[:-1]
 
-    return events.select(*columns).groupBy("group_id").applyInPandasWithState(step, SESSION, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(*columns).groupBy("group_id").applyInPandasWithState(step, SESSION, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_sight(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
