@@ -195,15 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """(row, doc_id, fp, component_id) of every row."""
+    """(row, doc_id, fp, label, component_id) of every row. Components differ in label, but not always in component_id."""
     rows = cut(fingerprints(docs, text, doc_id))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     distinct = cut(classes)
     reach = components(links(distinct.select("fp"), most))
     labelled = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    membership = labelled.join(ids, "label").select("fp", "component_id")
-    return rows.join(membership, "fp").select("row", "doc_id", "fp", "component_id")
+    membership = labelled.join(ids, "label").select("fp", "label", "component_id")
+    return rows.join(membership, "fp").select("row", "doc_id", "fp", "label", "component_id")
 
 
 def op5_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,28 @@ def test_registered_queries(spark, name):
     table = "pages" if name.startswith("op3_") else "documents"
     found = registry.queries()[name](spark, FOLDER)
     assert found.count() == read(spark, FOLDER, table).count()
+
+
+UNLIKE = ["the quick brown fox jumps over the lazy dog", "une phrase tout autre sur un sujet bien divers", "zwei weitere Worte und noch viel mehr davon", "pack my box with five dozen liquor jugs now"]
+
+
+def test_null_and_equal_ids_with_unlike_texts_stay(spark):
+    found = [(None, UNLIKE[0]), (None, UNLIKE[1]), (7, UNLIKE[2]), (7, UNLIKE[3]), (8, UNLIKE[3]), (None, UNLIKE[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in found], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect())
+    assert kept == Counter(found[:4])
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated])
+def test_stage_under_other_splits(spark, tmp_path, stage):
+    """The files are split otherwise when the result is read than when the operator numbered its rows."""
+    docs = read(spark, FOLDER, "documents")
+    docs.unionByName(docs.limit(40)).repartition(16).write.parquet(str(tmp_path / "docs"))
+    wanted = Counter(rows(stage(spark, spark.read.parquet(str(tmp_path / "docs")), FOLDER)))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        found = stage(spark, spark.read.parquet(str(tmp_path / "docs")), FOLDER)
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        assert Counter(rows(found)) == wanted
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
