@@ -3,8 +3,9 @@
 Strong findings stand alone: assigned secrets, access identifiers of a known form, long hexadecimal strings. Weak
 candidates (account names, opaque strings, endpoints) are common in clean text and are reported only when complementary
 parts of one credential occur together: an interval join over positions inside a scope, the scope being a document and
-the interval `reach` code points. An opaque string needs an access identifier or account near it, an account needs an
-opaque or assigned secret, and an endpoint needs both.
+the interval `reach` code points, or at any distance inside a block of consecutive lines of entries (name=value, name:
+value; env files, configuration, JSON). An opaque string needs an access identifier or account near it, an account needs
+an opaque, assigned or hexadecimal secret, and an endpoint needs both.
 
 The join is by nearest neighbour in position order (a running last and first over a window), which decides the same
 "some part within reach" and makes no pairs, so a text full of candidates costs no more than its length.
@@ -20,6 +21,7 @@ result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +40,9 @@ BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("account", "opaque", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
 REACH = 200
+#: Lines of entries only; a value is quoted, has no space, or opens an object.
+ENTRY = r"""["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[ \t]*[:=][ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;{}]+|\{)"""
+BLOCK = rf"(?m)(?:^[ \t{{]*(?:export[ \t]+)?{ENTRY}(?:[ \t]*[,;][ \t]*{ENTRY})*[ \t\r,;}}]*(?:\n|\Z))+"
 
 
 def spans_of(text: str) -> list[tuple[str, int, int]]:
@@ -57,15 +62,23 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def blocks_of(text: str, starts: list[int | None]) -> list[int | None]:
+    """Where the block begins that each of these positions is in; null outside of blocks."""
+    found = [m.span() for m in patterns()["block"].finditer(text)]
+    at = [bisect_right(found, (x, len(text) + 1)) - 1 if x is not None else -1 for x in starts]
+    return [found[i][0] if i >= 0 and x < found[i][1] else None for i, x in zip(at, starts)]
+
+
 def patterns() -> dict[str, re.Pattern]:
     """Compiled once per process by re's own cache."""
     return {
         "assign": re.compile(ASSIGN),
         # A maximal run of 32 and more is what "leftmost, then drop the short ones" leaves.
         "hex": re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}"),
-        "account": re.compile(r"\b(?i:user(?:name|_id)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"),
-        "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"),
-        "endpoint": re.compile(r"\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?i:host(?:name)?|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/-]{3,})"),
+        "account": re.compile(r"(?<![^\W_])(?i:user(?:name|_id)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"),
+        "opaque": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"),
+        "block": re.compile(BLOCK),
+        "endpoint": re.compile(r"(?:\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![^\W_])(?i:host(?:name)?|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/-]{3,})"),
     }
 
 
@@ -75,40 +88,45 @@ def is_opaque(value: str) -> bool:
 
 
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, kind, start, stop): a row per span or candidate, and one with kind null for every document."""
+    """(row, doc_id, kind, start, stop, block): a row per span or candidate, and one with kind null for every document."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(found):
-            at, kinds, starts, stops = [], [], [], []
+            at, kinds, starts, stops, blocks = [], [], [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 rows = [(None, None, None), *spans_of(t)]
                 at += [i] * len(rows)
+                # Parts of one credential are two at least.
+                blocks += blocks_of(t, [x[1] for x in rows]) if len(rows) > 2 else [None] * len(rows)
                 for kind, start, stop in rows:
                     kinds.append(kind)
                     starts.append(start)
                     stops.append(stop)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("doc_id").take(take), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["row", "doc_id", "kind", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("doc_id").take(take), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(blocks, pa.int64())], names=["row", "doc_id", "kind", "start", "stop", "block"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), empty_if_null(text).alias("text"))
-    return rows.mapInArrow(batches, f"row long, doc_id {kind}, kind string, start long, stop long")
+    return rows.mapInArrow(batches, f"row long, doc_id {kind}, kind string, start long, stop long, block long")
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Strong spans, and those weak candidates that have what they need within reach, with the columns of parts."""
+    """Strong spans, and those weak candidates that have what they need within reach or their block, with the columns of parts."""
     back = Window.partitionBy("row").orderBy("start", "stop", "kind").rowsBetween(Window.unboundedPreceding, -1)
     # Backwards, since a frame that ends at the partition's end is computed anew for each row.
     ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("stop"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
 
+    block = Window.partitionBy("row", "block")
+
     def near(*kinds: str):
-        """Whether a part of these kinds ends or begins within reach of this one, other than with the same bounds."""
+        """Whether another part, of these kinds, ends or begins within reach of this one or is in the same block."""
         own = F.col("kind").isin(*kinds)
         before = F.max(F.when(own, F.col("stop"))).over(back)
         after = F.min(F.when(own, F.col("start"))).over(ahead)
-        return F.coalesce(F.col("start") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("stop") <= reach, F.lit(False))
+        together = F.col("block").isNotNull() & F.max(own).over(block)
+        return F.coalesce(F.col("start") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("stop") <= reach, F.lit(False)) | together
 
-    needs = F.when(F.col("kind") == "opaque", near("access", "account")).when(F.col("kind") == "account", near("opaque", "assign")).when(F.col("kind") == "endpoint", near("access", "account") & near("opaque", "assign"))
+    needs = F.when(F.col("kind") == "opaque", near("access", "account")).when(F.col("kind") == "account", near("opaque", "assign", "hex")).when(F.col("kind") == "endpoint", near("access", "account") & near("opaque", "assign", "hex"))
     same = Window.partitionBy("row", "start", "stop")
     strong = F.col("kind").isin(*BASE_KINDS)
     return parts.withColumn("_ok", F.coalesce(needs, F.lit(True))).withColumn("_strong", F.max(strong).over(same)).filter(F.col("_ok") & (strong | ~F.col("_strong"))).drop("_ok", "_strong")

@@ -83,6 +83,30 @@ def test_weak_parts_need_company(spark):
     assert got == {0: [], 1: ["access", "opaque"], 2: ["access"], 3: ["account", "opaque", "endpoint"], 4: [], 5: [], 6: []}
 
 
+def test_parts_of_entries(spark):
+    """Env files, URLs and JSON: values after '=', prefixed names, hexadecimal secrets, and blocks longer than the reach."""
+    key, hexa, other = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef" * 2, "".join(f"OPTION_{i}=on\n" for i in range(40))
+    texts = [
+        f"AWS_ACCESS_KEY_ID={SECRET}\nAWS_SECRET_ACCESS_KEY={key}",
+        f"export AWS_ACCESS_KEY_ID={SECRET}\n{other}AWS_SECRET_ACCESS_KEY={key}\n",
+        f"AWS_ACCESS_KEY_ID={SECRET}\n\n{other}AWS_SECRET_ACCESS_KEY={key}\n",
+        f"see https://db.example.org/x?user=bob&key={OPAQUE}&n=1",
+        f'{{\n  "AccessKeyId": "{SECRET}",\n  "Note": "{"long " * 60}",\n  "SecretAccessKey": "{key}"\n}}\n',
+        f'{{"AccessKeyId": "{SECRET}", "Note": "{"long " * 60}", "SecretAccessKey": "{key}"}}',
+        f"DB_USER=bob\r\nDB_HOST=db.example.org\r\nDB_KEY={hexa}\r\n",
+        f"user: bob {hexa} https://db.example.org/x",
+        f"https://db.example.org/x {hexa}",
+        f"KEY={OPAQUE}",
+    ]
+    found = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.spans] for r in found.collect()}
+    pair = [("access", SECRET), ("opaque", key)]
+    assert [got[i] for i in (0, 1, 2, 4, 5)] == [pair, pair, pair[:1], pair, pair]
+    assert {k for k, _ in got[3]} == {"account", "opaque", "endpoint"} and ("opaque", OPAQUE) in got[3]
+    assert [k for k, _ in got[6]] == ["account", "endpoint", "hex"] and [k for k, _ in got[7]] == ["account", "hex", "endpoint"]
+    assert [k for k, _ in got[8]] == ["hex"] and got[9] == []
+
+
 def test_secrets_of_any_rows(docs, none, rows):
     assert secrets.secrets(docs).count() == len(rows)
     assert secrets.secrets(none).count() == 0
