@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.plans.lineage import cut, shared_folder  # noqa: F401  for the modules here
+
 #: White space as the contracts write it: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,18 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one is made."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftwell-"))
-    return context.getCheckpointDir()
-
+def numbered(docs: DataFrame, row: str | None = None, **columns: Column) -> DataFrame:
+    """(row, columns...): the given columns, each row with a number of its own.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns it without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    The numbers are those of the column `row`, or new ones where that is None. Numbers that are made anew follow how the
+    input is split, which can differ from one scan to the next; so what uses them twice has to cut this first.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return docs.select(number.alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
 def empty_if_null(text: str | Column) -> Column:

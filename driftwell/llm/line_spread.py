@@ -6,11 +6,16 @@ a third of all documents share costs each task one sketch. Estimates far enough
 (within `margin`, several standard errors) get exact distinct counts.
 
 A line's key is two 64-bit hashes of its text without surrounding blanks. Lines of under `least_chars` characters
-(closing brackets, single words) are never removed.
+(closing brackets, single words) are no boilerplate by definition and stay; 0 judges every line that is not blank.
+
+Rows are numbered once, in a table that is written with their numbers; lines and results are both made from it. The
+boilerplate lines are broadcast while there are few (their number is counted first); beyond that the join shuffles, with
+the lines of each key dealt over SALTS keys.
 
 Defined results: null text stays null with no lines; blank lines stay; null sites count for nothing; every occurrence
-of a boilerplate line goes, also repeats within a document; equal rows are cleaned one by one; an empty table gives an
-empty result.
+of a boilerplate line goes, also repeats within a document; equal rows are cleaned one by one; a very long text is one
+row with many lines; an empty table gives an empty result; further columns are kept, whatever their names, except for
+n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,37 +23,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import cut, read
+from driftwell.llm.common import cut, numbered, read
 
 KEY = ["h1", "h2"]
+#: Up to so many lines of 16 bytes each are broadcast.
+MOST_BROADCAST = 1 << 18
+SALTS = 16
 
 
-def lines_of(docs: DataFrame, site: str, text: str, least_chars: int) -> DataFrame:
-    """(row, site, nth, h1, h2) of every line that is long enough to be judged."""
-    # Rows are numbered before their lines are spread out.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(site).cast("string").alias("site"), F.col(text).alias("text"))
-    rows = numbered.select("row", "site", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
-    trimmed = rows.withColumn("line", F.expr("trim(BOTH ' \\t\\r' FROM line)")).filter(F.char_length("line") >= least_chars)
+def lines_of(rows: DataFrame, least_chars: int) -> DataFrame:
+    """(row, site, nth, h1, h2) of every line of rows(row, site, text) that is long enough to be judged."""
+    split = rows.select("row", "site", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
+    trimmed = split.withColumn("line", F.expr("trim(BOTH ' \\t\\r' FROM line)")).filter(F.char_length("line") >= max(least_chars, 1))
     return trimmed.select("row", "site", "nth", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
+def among(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """The lines whose key is in few, a table that is cut."""
+    if few.count() <= MOST_BROADCAST:
+        return lines.join(F.broadcast(few), KEY, "left_semi")
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"], "left_semi").drop("salt")
+
+
 def widespread(lines: DataFrame, sites: int, log_k: int = 10, margin: float = 0.25) -> DataFrame:
     """(h1, h2) of the lines that stand on at least `sites` sites."""
     sketched = lines.filter(F.col("site").isNotNull()).groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("about"))
     likely = cut(sketched.filter(F.col("about") >= sites * (1 - margin)))
     sure = likely.filter(F.col("about") >= sites * (1 + margin)).select(*KEY)
-    near = likely.filter(F.col("about") < sites * (1 + margin)).select(*KEY)
-    exact = lines.join(near, KEY, "left_semi").select(*KEY, "site").distinct().groupBy(*KEY).agg(F.count("site").alias("n")).filter(F.col("n") >= sites).select(*KEY)
+    near = cut(likely.filter(F.col("about") < sites * (1 + margin)).select(*KEY))
+    exact = among(lines.filter(F.col("site").isNotNull()), near).select(*KEY, "site").distinct().groupBy(*KEY).agg(F.count("site").alias("n")).filter(F.col("n") >= sites).select(*KEY)
     return sure.unionByName(exact)
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", sites: int = 8, least_chars: int = 20) -> DataFrame:
     """docs with their text cleaned, and n_lines and n_removed."""
-    lines = cut(lines_of(docs, site, text, least_chars))
-    gone = lines.join(widespread(lines, sites), KEY).groupBy("row").agg(F.collect_set("nth").alias("_gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     inner = {c: f"_in_{i}" for i, c in enumerate(kept)}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(inner[c]) for c in kept])
+    rows = cut(numbered(docs, **{inner[c]: F.col(f"`{c}`") for c in kept}))
+    lines = cut(lines_of(rows.select("row", F.col(inner[site]).cast("string").alias("site"), F.col(inner[text]).alias("text")), least_chars))
+    gone = among(lines, cut(widespread(lines, sites))).groupBy("row").agg(F.collect_set("nth").alias("_gone"))
     joined = rows.join(gone, "row", "left").withColumn("_lines", F.split(F.col(inner[text]), "\n", -1))
     rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col(inner[text])).otherwise(F.array_join(F.transform(rest, lambda i: F.col("_lines")[i]), "\n"))

@@ -5,7 +5,9 @@ candidates (account names, opaque strings, endpoints) are common in clean text a
 parts of one credential occur together: an interval join over positions inside a scope, the scope being a document and
 the interval `reach` code points, or at any distance inside a block of consecutive lines of entries (name=value, name:
 value; env files, configuration, JSON). An opaque string needs an access identifier or account near it, an account needs
-an opaque, assigned or hexadecimal secret, and an endpoint needs both.
+an opaque, assigned or hexadecimal secret, and an endpoint needs both, linked.
+
+Parts have to be different strings: an identity and a secret that overlap are no company.
 
 The join is by nearest neighbour in position order (a running last and first over a window), which decides the same
 "some part within reach" and makes no pairs, so a text full of candidates costs no more than its length.
@@ -14,8 +16,9 @@ The regular expressions run over every whole text inside Spark's tasks and give
 follows is on spans.
 
 Defined results: null and empty texts have no spans; equal rows are scanned one by one; a span may be both strong and
-weak (then the strong one stays and the weak one is dropped if it has the same bounds); an empty table gives an empty
-result.
+weak (then the strong one stays and the weak one is dropped if it has the same bounds); a very long text is scanned
+whole, its spans being all that is kept of it; of docs only the id and the text are read, so further columns may have
+any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import cut, empty_if_null, read, slices
+from driftwell.llm.common import cut, empty_if_null, numbered, read, slices
 
 # Fixed values of the base contract: patterns and least lengths.
 ASSIGN = r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -39,6 +42,8 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Weak kinds come after the base kinds in the order of kinds.
 WEAK_KINDS = ("account", "opaque", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
+#: What identifies, and what is to be kept secret, in a credential of several parts.
+ROLES = {"identity": ("access", "account"), "secret": ("opaque", "assign", "hex")}
 REACH = 200
 #: Lines of entries only; a value is quoted, has no space, or opens an object.
 ENTRY = r"""["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[ \t]*[:=][ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;{}]+|\{)"""
@@ -106,30 +111,41 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("doc_id").take(take), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(blocks, pa.int64())], names=["row", "doc_id", "kind", "start", "stop", "block"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), empty_if_null(text).alias("text"))
+    rows = numbered(docs, doc_id=F.col(doc_id), text=empty_if_null(text))
     return rows.mapInArrow(batches, f"row long, doc_id {kind}, kind string, start long, stop long, block long")
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Strong spans, and those weak candidates that have what they need within reach or their block, with the columns of parts."""
-    back = Window.partitionBy("row").orderBy("start", "stop", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    """Strong spans, and those weak candidates that have what they need within reach or their block, with the columns of parts.
+
+    An identity and a secret are company for each other if they do not overlap, and an endpoint needs such a pair. Each
+    span is two events, its start and its end; at a start a running maximum has the nearest end before it, and at an end
+    the nearest start after it, of each role.
+    """
+    events = parts.select("*", F.explode(F.array(F.struct(F.col("stop").alias("at"), F.lit(0).alias("turn")), F.struct(F.col("start").alias("at"), F.lit(1).alias("turn")))).alias("_e")).select("*", "_e.at", "_e.turn").drop("_e")
+    back = Window.partitionBy("row").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, -1)
     # Backwards, since a frame that ends at the partition's end is computed anew for each row.
-    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("stop"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-
+    ahead = Window.partitionBy("row").orderBy(F.desc("at"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
     block = Window.partitionBy("row", "block")
-
-    def near(*kinds: str):
-        """Whether another part, of these kinds, ends or begins within reach of this one or is in the same block."""
+    spans = events
+    for role, kinds in ROLES.items():
         own = F.col("kind").isin(*kinds)
-        before = F.max(F.when(own, F.col("stop"))).over(back)
-        after = F.min(F.when(own, F.col("start"))).over(ahead)
-        together = F.col("block").isNotNull() & F.max(own).over(block)
-        return F.coalesce(F.col("start") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("stop") <= reach, F.lit(False)) | together
-
-    needs = F.when(F.col("kind") == "opaque", near("access", "account")).when(F.col("kind") == "account", near("opaque", "assign", "hex")).when(F.col("kind") == "endpoint", near("access", "account") & near("opaque", "assign", "hex"))
+        before = F.when((F.col("turn") == 1), F.max(F.when(own & (F.col("turn") == 0), F.col("at"))).over(back))
+        after = F.when((F.col("turn") == 0), F.min(F.when(own & (F.col("turn") == 1), F.col("at"))).over(ahead))
+        close = F.coalesce(F.col("start") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("stop") <= reach, F.lit(False))
+        together = F.col("block").isNotNull() & (F.coalesce(F.min(F.when(own, F.col("stop"))).over(block) <= F.col("start"), F.lit(False)) | F.coalesce(F.max(F.when(own, F.col("start"))).over(block) >= F.col("stop"), F.lit(False)))
+        spans = spans.withColumn(f"_{role}", close | together)
+    found = spans.groupBy(*parts.columns).agg(*[F.bool_or(f"_{role}").alias(f"_{role}") for role in ROLES])
+    # An endpoint may contain the parts, so here an overlap counts as near.
+    pair = F.col("kind").isin(*ROLES["identity"]) & F.col("_secret")
+    sooner = Window.partitionBy("row").orderBy("start", "stop", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("stop"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.coalesce(F.col("start") - F.max(F.when(pair, F.col("stop"))).over(sooner) <= reach, F.lit(False)) | F.coalesce(F.min(F.when(pair, F.col("start"))).over(later) - F.col("stop") <= reach, F.lit(False))
+    near = near | (F.col("block").isNotNull() & F.max(pair).over(block))
+    ok = F.when(F.col("kind") == "opaque", F.col("_identity")).when(F.col("kind") == "account", F.col("_secret")).when(F.col("kind") == "endpoint", near).otherwise(F.lit(True))
     same = Window.partitionBy("row", "start", "stop")
     strong = F.col("kind").isin(*BASE_KINDS)
-    return parts.withColumn("_ok", F.coalesce(needs, F.lit(True))).withColumn("_strong", F.max(strong).over(same)).filter(F.col("_ok") & (strong | ~F.col("_strong"))).drop("_ok", "_strong")
+    return found.withColumn("_ok", ok).withColumn("_strong", F.max(strong).over(same)).filter(F.col("_ok") & (strong | ~F.col("_strong"))).select(*parts.columns)
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:

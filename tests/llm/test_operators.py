@@ -107,6 +107,41 @@ def test_parts_of_entries(spark):
     assert [k for k, _ in got[8]] == ["hex"] and got[9] == []
 
 
+def test_links_against_pairs(spark):
+    """Random spans, every pair of a document looked at."""
+    rng = random.Random(8)
+    parts = []
+    for row in range(60):
+        for _ in range(rng.randint(1, 14)):
+            start = rng.randint(0, 900)
+            parts.append((row, rng.choice(secrets.KINDS), start, start + rng.randint(1, 120), rng.choice([None, None, 0, 1])))
+    parts = sorted(set(parts), key=str)
+    table = spark.createDataFrame(parts, "row long, kind string, start long, stop long, block long")
+    found = [tuple(r) for r in secrets.link(table, reach=60).collect()]
+
+    def near(p, q):
+        return max(p[2] - q[3], q[2] - p[3]) <= 60 or (p[4] is not None and p[4] == q[4])
+
+    def has(p, role):
+        return any(near(p, q) and (q[3] <= p[2] or q[2] >= p[3]) for q in parts if q[0] == p[0] and q[1] in secrets.ROLES[role])
+
+    def linked(p):
+        if p[1] == "endpoint":
+            return any(near(p, q) and has(q, "secret") for q in parts if q[0] == p[0] and q[1] in secrets.ROLES["identity"])
+        return has(p, "identity" if p[1] == "opaque" else "secret")
+
+    strong = {(p[0], p[2], p[3]) for p in parts if p[1] in secrets.BASE_KINDS}
+    wanted = [p for p in parts if p[1] in secrets.BASE_KINDS or (linked(p) and (p[0], p[2], p[3]) not in strong)]
+    same(found, wanted)
+    assert 0 < len(wanted) < len(parts)
+
+
+def test_a_part_is_no_company_for_itself(spark):
+    texts = [f"client_id: {OPAQUE}", f"client_id: {OPAQUE} https://db.example.org/x", f"client_id={OPAQUE}\n", "user: bob and password = hunter2hunter2"]
+    found = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: [s.kind for s in r.spans] for r in found.collect()} == {0: [], 1: [], 2: [], 3: ["account", "assign"]}
+
+
 def test_secrets_of_any_rows(docs, none, rows):
     assert secrets.secrets(docs).count() == len(rows)
     assert secrets.secrets(none).count() == 0
