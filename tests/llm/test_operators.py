@@ -394,26 +394,50 @@ def test_base_counts(docs, none, rows):
         times = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         marked = {j for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         wanted.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(marked), len(w) < 10 or 100 * len(marked) > 20 * len(w)))
-    found = quality_rules.measure(docs)
+    found = quality_rules.judge(docs, language="lang")
     assert found.columns[: len(docs.columns)] == docs.columns
     found = found.collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found], wanted)
-    assert not any(r.kept and r.base_failed for r in found) and quality_rules.measure(none).count() == 0
+    assert not any(r.kept and r.base_failed for r in found) and quality_rules.judge(none, language="lang").count() == 0
 
 
 def test_fertility(spark):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=quality_rules.VOCABULARY)
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{quality_rules.FOLDER}/{quality_rules.PIECES}")
     texts = ["a plain line of ordinary words that nobody would object to", "\U00013000\U00013001 \U00013002", "### *** $$$ %%% &&& ||| <<< >>> ### $$$ %%%", "the the the"]
+    pairs = quality_rules.Splitter(quality_rules.FOLDER).pairs
     found = {r.doc_id: r for r in quality_rules.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         ids = [x for w in t.split() for x in model.encode(w)]
-        times = Counter(ids)
+        times, chars = Counter(ids), sum(map(len, t.split()))
         entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in times.values())
-        assert found[i].n_tokens == len(ids) and math.isclose(found[i].chars_per_token, sum(map(len, t.split())) / len(ids))
+        assert found[i].n_tokens == len(ids) and math.isclose(found[i].chars_per_token, chars / len(ids)) and math.isclose(found[i].tokens_per_word, len(ids) / len(t.split()))
+        assert math.isclose(found[i].chars_per_token_2, chars / sum(len(pairs.encode_ordinary(" " + w)) for w in t.split()))
         assert math.isclose(found[i].byte_share, sum(model.is_byte(x) for x in ids) / len(ids)) and math.isclose(found[i].token_entropy, entropy, abs_tol=1e-9)
-    assert found[0].kept and not found[2].kept and not found[2].base_failed
+        assert math.isclose(found[i].entropy_share, entropy / math.log2(max(len(ids), 2)), abs_tol=1e-9)
+
+
+def test_scripts(spark):
+    texts = ["Łódź and so on", "Ελληνικά abc", "русский текст", "עברית", "العربية", "हिन्दी", "ひらがな", "漢字漢字", "한국어", "1234 — …", None]
+    found = {r.doc_id: r.script for r in quality_rules.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == ["latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "han", "hangul", "none", "none"]
+
+
+def test_bands(spark):
+    """Bands from quartiles, by group; each of them rejects what lies outside, whatever the symbols."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 120), "en" if i % 2 else "fr") for i in range(120)]
+    odd = [(1000, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(120)), "en"), (1001, " ".join(chr(0x13000 + rng.randint(0, 900)) for _ in range(200)), "en"), (1002, "kept without a group " * 3 + prose(rng, 3000), "xx")]
+    judged = quality_rules.judge(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"), language="lang")
+    found = {r.doc_id: r for r in judged.collect()}
+    assert "chars_per_token" in found[1000].rejected_by and not found[1000].base_failed and not found[1000].kept
+    assert sum(found[i].kept for i, _, _ in rows) >= 118
+    group = sorted(found[i].chars_per_token for i, _, _ in rows if i % 2 and found[i].n_tokens < 1024)
+    nearest = lambda q: group[max(math.ceil(q * len(group)) - 1, 0)]
+    fitted = quality_rules.bands(judged.withColumn("_language", F.col("lang"))).filter("level = 0 AND _language = 'en' AND _length = 5").first()
+    spread = max((nearest(0.75) - nearest(0.25)) / 1.349, 0.02) * quality_rules.WIDTH
+    assert len(group) >= 58 and math.isclose(fitted.band.chars_per_token_low, nearest(0.5) - spread, rel_tol=0.02)
 
 
 # 9: quality classifier
