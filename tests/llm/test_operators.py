@@ -263,6 +263,61 @@ def test_links_in_long_buckets(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({min(map(str, g)) for g in groups.values()}) == len(groups)
 
 
+def test_pivot_coordinates_follow_blocks(spark):
+    """Fingerprints that agree in a block have the same coordinates there, and hardly any others do."""
+    rng = np.random.default_rng(2)
+    fps = [int(x) for x in rng.integers(0, 1 << 63, 200)]
+    fps += [f ^ (1 << int(b)) for f, b in zip(fps, rng.integers(0, 63, 200))]
+    got = {r.fp: r._near for r in simhash.pivot_table(spark.createDataFrame([(f,) for f in set(fps)], "fp long")).collect()}
+    unlike = chance = 0
+    for a, b in zip(fps, fps[1:] + fps[:1]):
+        for k, (first, width) in enumerate(simhash.BLOCKS):
+            mask = ((1 << width) - 1) << first
+            if a & mask == b & mask:
+                assert got[a][k] == got[b][k]
+            else:
+                unlike += 1
+                chance += got[a][k] == got[b][k]
+    assert unlike > 1000 and chance < 0.02 * unlike
+
+
+def shingles(text, width=5):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
+
+
+def brute_similar(texts, least=0.8):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("piece", [4096, 8])
+def test_similar_texts(spark, monkeypatch, piece):
+    """Copies with words changed, at all similarities around 0.8, against all pairs of shingle sets."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rng = random.Random(12)
+    texts = [None, "", " ", "a b", "A  b", "a b c d e", "a b c d e f"]
+    for _ in range(50):
+        base = prose(rng, rng.randint(20, 300)).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            other = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 25)):
+                other[rng.randrange(len(other))] = "changed"
+            texts.append(" ".join(other))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = {r.row: r.label for r in simhash.similar(rows).collect()}
+    wanted = brute_similar(texts)
+    assert [found[i] for i in range(len(texts))] == wanted and 60 < len(set(wanted)) < len(texts)
+    assert simhash.similar(rows.limit(0)).count() == 0
+
+
 def test_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {r.label for r in simhash.components(edges).collect()} == {0, 500}
