@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.plans.lineage import cut, shared_folder  # noqa: F401  for the modules here
+from driftwell.plans.lineage import cut, shared_folder, written  # noqa: F401  for the modules here
 
 #: White space as the contracts write it: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)

@@ -12,7 +12,9 @@ and documents are probed with all runs of that length. Which side of the join is
 runtime's measured sizes.
 
 Defined results: null and wordless texts have no words, no hits and are clean; null or wordless items have no windows;
-repeated items count once per item_id; repeated rows are judged one by one; an empty benchmark leaves all clean.
+repeated items count once per item_id; repeated rows are judged one by one; a very long text is read whole, alone in its
+slice; an empty benchmark leaves all clean; of both tables only the named columns are read, so further columns may have
+any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import cut, lower_ascii, read, runs, slices, text_bytes
+from driftwell.llm.common import cut, lower_ascii, numbered, read, runs, slices, text_bytes
 
 K, W = 7, 7
 SPAN = K + W - 1
@@ -138,7 +140,7 @@ def bit_map(windows: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], doc_id: str, text: str) -> DataFrame:
+def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], doc_id: str, text: str, row: str | None = None) -> DataFrame:
     """(row, doc_id, n_words, found): one row per document; found holds (at, length, words) of the windows around its hits."""
     packed = np.packbits(bits, bitorder="little")
 
@@ -169,16 +171,19 @@ def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], doc_id: str,
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(out, kind)], names=["row", "doc_id", "n_words", "found"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = numbered(docs, row, doc_id=F.col(doc_id), text=F.col(text))
     return rows.mapInArrow(batches, f"row long, doc_id {kind}, n_words long, found array<struct<at:int,length:int,words:string>>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, n_hit, n_items, items, contaminated), one row per document; items: sorted ids as text."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, n_items, items, contaminated), one row per document; items: sorted ids as text.
+
+    row: the column of docs with a number of each row, if it is to be given back.
+    """
     windows = cut(benchmark_windows(benchmark, item_id, item_text))
     bits = bit_map(windows)
     short = [r[0] for r in windows.filter(F.col("length") < SPAN).select("length").distinct().collect()]  # 12 at most
-    docs_found = cut(candidates(docs, bits, short, doc_id, text))
+    docs_found = cut(candidates(docs, bits, short, doc_id, text, row))
     spots = docs_found.select("row", F.explode("found").alias("f")).select("row", "f.at", "f.length", "f.words")
     known = windows.select("words", "length").distinct()
     hits = cut(spots.join(known, ["words", "length"]))

@@ -5,10 +5,12 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from driftwell.llm import quality_rules, registry
+from driftwell.llm import line_spread, mixing, quality_rules, registry
 from driftwell.llm.common import read
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_hits
+from tests.llm.test_operators import brute_hits, brute_similar
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,13 +40,14 @@ def test_columns(tables):
 
 
 def test_quality(tables):
-    kept = {r.text for r in quality_rules.measure(tables[0]).filter("kept").collect()}
-    assert Counter(rows(tables[1])) == Counter(r for r in rows(tables[0]) if r[1] in kept)
+    kept = {(r.text, r.lang) for r in quality_rules.judge(tables[0], language="lang").filter("kept").collect()}
+    assert 0 < len(rows(tables[1])) < len(rows(tables[0]))
+    assert Counter(rows(tables[1])) == Counter(r for r in rows(tables[0]) if (r[1], r[2]) in kept)
 
 
 def test_one_of_each_component_stays(tables):
     before = rows(tables[1])
-    label = brute_components([brute_fingerprint(r[1]) for r in before])
+    label = brute_similar([r[1] for r in before])
     best = defaultdict(list)
     for r, c in zip(before, label):
         best[c].append(r)
@@ -95,6 +98,42 @@ def test_null_and_equal_ids_with_unlike_texts_stay(spark):
     assert kept == Counter(found[:4])
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, taken string, kept string, row string, n_words string, _rest string, label int"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_tables(spark, name, stage):
+    """Columns named like an operator's own keep their values; nulls, a very long text, and no rows at all."""
+    plain = read(spark, FOLDER, "documents").limit(60)
+    long = plain.select("doc_id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat_ws(" ", i.cast("string"), "text"))).alias("text"), "lang", "source", "n_chars").limit(1)
+    nulls = spark.createDataFrame([(None,) * 5, (3, "", None, None, 0), (None, "x", "en", "", 1)], plain.schema)
+    docs = plain.unionByName(long).unionByName(nulls).select("*", F.lit(7).alias("size"), F.lit("t").alias("taken"), F.lit("k").alias("kept"), F.lit("r").alias("row"), F.lit("n").alias("n_words"), F.lit("_").alias("_rest"), F.lit(9).alias("label"))
+    found = stage(spark, docs, FOLDER)
+    assert found.columns[: len(docs.columns)] == docs.columns or name == "sharding"
+    odd = [c for c in docs.columns[5:] if c != "size" or name != "sharding"]
+    values = {tuple(r) for r in found.select(*odd).collect()}
+    assert values == {tuple({"size": 7, "taken": "t", "kept": "k", "row": "r", "n_words": "n", "_rest": "_", "label": 9}[c] for c in odd)}
+    assert not Counter(map(tuple, found.select("doc_id", "text").distinct().collect())) - Counter(map(tuple, docs.select("doc_id", "text").collect()))
+    assert stage(spark, spark.createDataFrame([], ODD), FOLDER).count() == 0
+
+
+def test_copies_at_their_own_positions(tables):
+    """Words of each source by tenth of training time, against the integral of its weight."""
+    mixed = mixing.mix(tables[3], whole=True).select("source", "size", "position").collect()
+    plain = {r.source: r for r in mixing.source_targets(tables[3].groupBy("source").agg(F.sum(mixing.word_count("text")).alias("source_size"))).collect()}
+    words, most = defaultdict(lambda: [0] * 10), Counter()
+    for r in mixed:
+        words[r.source][min(int(r.position * 10), 9)] += r.size
+        most[r.source] = max(most[r.source], r.size)
+    for source, by_tenth in words.items():
+        a, target = plain[source].slope, plain[source].target
+        total = 0
+        for k in range(10):
+            t = (k + 1) / 10
+            total += by_tenth[k]
+            assert abs(total - target * (a * t * t + (1 - a) * t)) <= most[source] + 1
+
+
 @pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated])
 def test_stage_under_other_splits(spark, tmp_path, stage):
     """The files are split otherwise when the result is read than when the operator numbered its rows."""
@@ -108,3 +147,16 @@ def test_stage_under_other_splits(spark, tmp_path, stage):
         assert Counter(rows(found)) == wanted
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_lines_under_other_splits(spark, tmp_path):
+    docs = read(spark, FOLDER, "documents").select("doc_id", "source", "text")
+    line = "This line stands on many sites, word for word."
+    docs.select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 30).alias("source"), F.concat_ws("\n", "text", F.lit(line)).alias("text")).repartition(16).write.parquet(str(tmp_path / "docs"))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        found = line_spread.remove_boilerplate(spark.read.parquet(str(tmp_path / "docs")))
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        assert found.filter(F.col("text").contains(line)).isEmpty() and found.filter("n_removed = 0").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
