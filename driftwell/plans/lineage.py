@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +25,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared folder, and that table: smaller than a checkpoint, and read by column."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+def few(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """df, which is cut and has short rows, marked for broadcast if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
