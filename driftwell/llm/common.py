@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.plans.lineage import cut, shared_folder, written  # noqa: F401  for the modules here
+from driftwell.plans.lineage import cut, few, shared_folder  # noqa: F401  for the modules here
 
 #: White space as the contracts write it: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -94,7 +94,7 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
     return np.bincount(owner, weights=weights, minlength=n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in row ranges of about `most` bytes of text, so that work arrays stay small; a longer text comes alone."""
     for b in batches:
         sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -38,11 +38,11 @@ def lines_of(rows: DataFrame, least_chars: int) -> DataFrame:
     return trimmed.select("row", "site", "nth", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
-def among(lines: DataFrame, few: DataFrame) -> DataFrame:
-    """The lines whose key is in few, a table that is cut."""
-    if few.count() <= MOST_BROADCAST:
-        return lines.join(F.broadcast(few), KEY, "left_semi")
-    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def among(lines: DataFrame, those: DataFrame) -> DataFrame:
+    """The lines whose key is in those, a table that is cut."""
+    if those.count() <= MOST_BROADCAST:
+        return lines.join(F.broadcast(those), KEY, "left_semi")
+    salted = those.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"], "left_semi").drop("salt")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import SPACE, cut, per_text, read, slices, text_bytes, words
+from driftwell.llm.common import SPACE, cut, few, per_text, read, slices, text_bytes, words
 from driftwell.llm.decontaminate import mixed, run_hashes
 
 FOLDER = "/opt/tokenizers"
@@ -48,7 +48,7 @@ MOST_BROADCAST = 10_000
 #: Scripts, and the first bytes of their letters in UTF-8 (Unicode blocks; general punctuation has none).
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "han", "hangul", "other")
 LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "kana": [0xE3], "han": [*range(0xE4, 0xEA)], "hangul": [*range(0xEA, 0xEE)], "other": [*range(0xCA, 0xCE), 0xD4, 0xD5, *range(0xDC, 0xE0), 0xE1, 0xEE, 0xEF, *range(0xF0, 0xF5)]}
-LETTER = np.zeros(256, dtype=np.int64)
+LETTER = np.zeros(256, dtype=np.uint8)
 for _name, _leads in LEADS.items():
     LETTER[_leads] = SCRIPTS.index(_name)
 
@@ -89,7 +89,7 @@ def repeated_words(codes: np.ndarray, owner: np.ndarray, n: int, width: int = 5)
 class Splitter:
     """Splits words with both vocabularies, remembering those it has seen; it starts afresh after `most` words."""
 
-    def __init__(self, folder: str, most: int = 150_000):
+    def __init__(self, folder: str, most: int = 100_000):
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -216,10 +216,9 @@ def judge(docs: DataFrame, text: str = "text", language: str | None = None, fold
     name = F.lit("") if language is None else F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(""))
     measured = cut(measure(docs.withColumn("_language", name), text, folder, [*(docs.columns if keep is None else keep), "_language"]))
     fitted = cut(bands(measured))
-    few = F.broadcast if fitted.count() <= MOST_BROADCAST else (lambda df: df)
     keyed = measured.withColumn("_script", F.col("script")).withColumn("_length", length_class())
     for level, keys in ((0, ["_script", "_length", "_language"]), (1, ["_script", "_length"]), (3, ["_script"])):
-        keyed = keyed.join(few(fitted.filter(F.col("level") == level).select(*keys, F.col("band").alias(f"_band_{level}"))), keys, "left")
+        keyed = keyed.join(few(fitted.filter(F.col("level") == level).select(*keys, F.col("band").alias(f"_band_{level}")), MOST_BROADCAST), keys, "left")
     band = F.coalesce("_band_0", "_band_1", "_band_3")
     outside = [F.when((F.col(m) < band[f"{m}_low"]) | (F.col(m) > band[f"{m}_high"]), F.lit(m)) for m in MEASURES]
     judged = keyed.withColumn("rejected_by", F.array_compact(F.array(*outside))).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

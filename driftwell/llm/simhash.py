@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import SPACE, cut, empty_if_null, lower_ascii, numbered, read, runs, slices, text_bytes
+from driftwell.llm.common import SPACE, cut, empty_if_null, few, lower_ascii, numbered, read, runs, slices, text_bytes
 from driftwell.llm.decontaminate import mixed, run_hashes, word_hashes
 
 #: First bit and width of the six blocks.
@@ -371,8 +371,8 @@ def similar(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, most: in
         return each.withColumn("key", F.xxhash64("key", band_key(F.col("_second"), F.col("least")))).drop("_second")
 
     dealt = cut(buckets(keyed, finer, "node").select("key", "low", "high", "node", "fp"))
-    members = dealt.select(F.col("node").alias("row")).distinct()
-    sets = sketches(rows.join(members, "row", "left_semi"), shingle, with_sets=True).withColumnRenamed("row", "node")
+    members = cut(dealt.select(F.col("node").alias("row")).distinct())
+    sets = sketches(rows.join(few(members), "row", "left_semi"), shingle, with_sets=True).withColumnRenamed("row", "node")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, starts, lengths in whole_runs(found):
