@@ -566,14 +566,57 @@ def test_pages(spark):
     assert wrappers.main_text(table.limit(0)).count() == 0
 
 
+def nameless(i, lines=3):
+    """A page whose names say nothing; menu and footer are the same on all, the sidebar differs."""
+    body = "".join(f"<p>Paragraph {i} {k} {'of many words ' * (5 + i % 4)}</p>" for k in range(lines + i % 2))
+    return f'<body><div class="x1"><ul><li>Home</li><li>About us</li><li>Imprint and more of this kind, at some length</li></ul></div><div class="x2"><h2>Title {i}</h2>{body}</div><div class="x3">latest {i * 7}</div><div class="x4">All rights reserved</div></body>', f"Title {i} " + " ".join(f"Paragraph {i} {k} {'of many words ' * (5 + i % 4)}".strip() for k in range(lines + i % 2))
+
+
+def test_wrapper_decides(spark):
+    """Template and region come from the host's pages; without a wrapper there is no text."""
+    pages = [(i, f"http://host.example/{i}", nameless(i)[0]) for i in range(8)] + [(i, f"http://host.example/{i}", nameless(0)[0]) for i in (90, 91)]
+    pages += [(100, "http://lone.example/", nameless(3)[0])]
+    # A menu that is as long as the articles, which differ only in one line each.
+    pages += [(200 + i, "http://long.example/", f"<div class='a1'>{'menu entry ' * 40}</div><div class='a2'><p>Only line {i}</p></div>") for i in range(5)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    wrapped = wrappers.infer(table).cache()
+    found = {r.page_id: r.text for r in wrappers.main_text(table, wrappers=wrapped).collect()}
+    assert all(found[i] == nameless(i)[1] for i in range(8)) and found[90] == found[91] == nameless(0)[1]
+    assert found[100] == nameless(3)[1]  # by its region alone
+    assert [found[200 + i] for i in range(5)] == [f"Only line {i}" for i in range(5)]
+    assert {r.text for r in wrappers.main_text(table, wrappers=wrapped.limit(0)).collect()} == {""}
+
+
+def test_long_and_deep_pages(spark):
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article>"
+    deep = "<div>" * 3000 + "<nav>menu</nav><p>deep</p>" + "</div>" * 3000
+    found = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame([(1, "http://a.example", long), (2, "http://b.example", deep)], "page_id long, url string, html string")).collect()}
+    assert found == {1: " ".join(f"line {i}" for i in range(20_000)), 2: "deep"}
+
+
 def test_alignment():
     tree = lambda x: wrappers.tree_of(x)
-    a, b = tree("<p>x</p><p>y</p><div>z</div>"), tree("<p>x</p><hr><ul><li>1<li>2</ul><div>z</div>")
-    whole = ["", "", wrappers.fold(wrappers.align(a[2], b[2]))]
+    whole = wrappers.both(tree("<p>x</p><p>y</p><div>z</div>"), tree("<p>x</p><hr><ul><li>1<li>2</ul><div>z</div>"))
     assert wrappers.expression(whole) == "((<p>#text</p>)+(<ul>(<li>#text</li>)+</ul>)?<div>#text</div>)"
     groups = tree("<dl><dt>a<dd>b<dt>c<dd>d</dl>")
     assert wrappers.expression(groups) == "(<dl>((<dt>#text</dt><dd>#text</dd>))+</dl>)"
 
 
+def test_wrapper_matches_its_pages():
+    """As a regular expression, the wrapper of random token streams accepts each of them."""
+    rng = random.Random(6)
+
+    def pattern(nodes):
+        return "".join(f"(?:{pattern(n[2]) if n[0] == '()' else n[0]}){n[1]}" for n in nodes)
+
+    for _ in range(300):
+        streams = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 5))]
+        whole = None
+        for x in streams:
+            whole = wrappers.both(whole, wrappers.summed(["", "", [[c, "", [], 1] for c in x], 0]))
+        assert all(re.fullmatch(pattern(whole[2]), x) for x in streams), (streams, pattern(whole[2]))
+        assert whole[3] == sum(map(len, streams))
+
+
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
