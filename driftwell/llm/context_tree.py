@@ -1,25 +1,27 @@
 """Language-model scores by context-tree weighting, beside a word-unigram base score.
 
-Model. A byte is eight binary decisions, each in its own context tree over the `DEPTH` bytes before it. A node's decisions
+Model. A byte is eight binary decisions, each in its own context tree over the DEPTH bytes before it. A node's decisions
 have a Krichevsky-Trofimov estimate, and a node mixes it, half and half, with what its children (one byte more of
 context) say together; unfolded, the tree's root mixes the estimates of all depths with weights that follow from the
-training counts. Scoring is with these counts held fixed.
+training counts. Scoring is with these counts held fixed; a context that training never saw says what its parent says.
+Every context of every training text is a node, at every size of the corpus.
 
-Counts. Every training text's (DEPTH + 1)-byte windows are counted where the texts are read and summed by Spark, at any
-number of different windows. A context is a node of its own if at least SHARE of all training bytes follow it, so there
-are at most 1 / SHARE of them at each depth; the rest of a node's contexts are one more child together. Only the byte
-counts of nodes reach the driver: at most DEPTH * 256 / SHARE rows, whatever the input.
+How it is computed. Texts are packed into blocks of about BLOCK bytes. A block has each of its windows (DEPTH bytes and
+the byte after them) once, with its training count, and sends them to the task of their subtree: the tree below the
+nearest ROOT bytes, or below some more where a sample of blocks says that a subtree would be large. A subtree's task
+adds up its windows over all blocks and weighs it from below; only the block probabilities of subtree roots, summed per
+parent, go on to the small tree above all subtrees, which the driver weighs (at most 65,793 contexts of up to two bytes,
+and those few that were subdivided). With that tree broadcast, the subtrees' tasks mix downwards and send each block the
+log probabilities of its windows, in the order in which it sent them, as steps of 1/4096; the block adds them up per text.
 
-Scoring looks up each position's node by four table steps, then the byte's log probability.
-
-Base score. A word's training count has to reach every text with that word. The words of a block of texts are sent once
-each, with the numbers of the texts that have them, to the task of that word; there its count over all blocks is known,
-and what it adds to each text goes back, summed per text. No word's postings meet in one row, and nothing that grows
-with the vocabulary is broadcast.
+Base score. A block's words go the same way: each once, to the task of its hash, which returns their training counts.
+So a word or a context has one row per block however frequent it is, and nothing that grows with the corpus is
+broadcast or sent to the driver but those sums.
 
 Defined results: null and empty texts have one token, the end, and score 0; a null id counts as empty text in the
 split; with nothing to learn from, every byte has probability 1/256 and every base count is 0; equal rows are scored
-one by one; an empty table gives an empty result.
+one by one; a text longer than a block is divided at white space, its pieces' contexts reaching back over the cut; of
+docs only the id and the text are read, so further columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,136 +30,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import crc_of_id, cut, empty_if_null, lower_ascii, per_text, read, slices, text_bytes, words
+from driftwell.llm.common import SPACE, crc_of_id, cut, empty_if_null, lower_ascii, numbered, per_text, read, slices, text_bytes, words
+from driftwell.llm.decontaminate import mixed
 
 FOLDS, HELD = 7, 2
-DEPTH = 4
-SHARE = 2e-5
-#: Texts of about this many bytes are one block for the base score.
-BLOCK = 8 << 20
-#: Different windows that a task holds before it passes their counts on.
-HELD_WINDOWS = 1 << 20
+DEPTH, ROOT = 6, 3
+#: Bytes of text in a block, and bytes of text for each bucket of windows.
+BLOCK, PER_BUCKET = 8 << 20, 8 << 20
+#: Subtrees with over this share of a bucket's windows have a deeper root.
+SHARE_OF_BUCKET = 4.0
+#: One step of the returned log10 probabilities.
+STEP = 1 / 4096
 #: The end token, which no word can equal.
 END = b"\n"
+WINDOWS, WORDS, BODY = 1, 2, 0
+#: The top tree: how deep, which context, which decision, and what.
+UP = "depth int, context long, node int, value double"
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln Gamma for x >= 0.5, by Stirling's series after a shift of eight."""
-    y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    product = x.copy()
-    for k in range(1, 8):
-        product = product * (x + k)
-    return series - np.log(product)
+def pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov block probability."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+def unpack(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def node_counts(by_byte: np.ndarray) -> np.ndarray:
-    """Counts of all nodes of the byte's decision tree, as a heap: node i has children 2i and 2i + 1, bytes are 256 to 511."""
-    out = np.zeros((len(by_byte), 512))
-    out[:, 256:] = by_byte
-    for level in range(7, -1, -1):
-        at = np.arange(1 << level, 2 << level)
-        out[:, at] = out[:, 2 * at] + out[:, 2 * at + 1]
-    return out
+def bytewise(values: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bytes of 64-bit numbers, the first bytes of all, then the second ones: sorted numbers pack well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
-class Level:
-    """The contexts of one depth: nodes with a context of their own, and each parent's rest."""
+def from_bytes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
 
-    def __init__(self, by_byte: np.ndarray):
-        counts = node_counts(by_byte)
-        # Column i - 1 belongs to decision node i: its zeros are the count of node 2i, its ones that of node 2i + 1.
-        zeros, ones = counts[:, 2:512:2], counts[:, 3:512:2]
-        self.kt: np.ndarray | None = log_kt(zeros, ones)
-        #: Chance of a one by this estimate, for every decision node.
-        self.ahead = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
+# Blocks
 
 
-def dense(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts and their counts by byte, from (context, byte, count) columns."""
-    keys, at = np.unique(rows[0], return_inverse=True)
-    table = np.zeros((len(keys), 256))
-    np.add.at(table, (at, rows[1]), rows[2])
-    return keys, table
+def pieces_of(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of a text's pieces of about `most` bytes, cut after white space."""
+    start = 0
+    while len(data) - start > most:
+        spaces = np.flatnonzero(SPACE[data[start : start + most]])
+        if len(spaces):
+            end = start + int(spaces[-1]) + 1
+        else:
+            later = np.flatnonzero(SPACE[data[start + most :]])
+            end = start + most + int(later[0]) + 1 if len(later) else len(data)
+        yield start, end
+        start = end
+    if start < len(data) or not len(data):
+        yield start, len(data)
 
 
-class Model:
-    """Log probabilities of all bytes in all contexts, and the table steps that lead to a context.
+def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(block, rows, ids, held, leads, sizes, last, body): blocks of lower-cased texts or pieces of texts.
 
-    levels[d]: (context, byte, count) columns of the nodes at depth d; a context of d bytes is a number whose lowest byte
-    is the nearest.
+    leads: bytes of context that come before each piece; last: whether a piece is the last of its text.
     """
+    kind = docs.schema[doc_id].dataType
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        tables = [dense(x) for x in levels]
-        if not len(tables[0][0]):
-            tables[0] = (np.zeros(1, np.int64), np.zeros((1, 256)))
-        nodes = [Level(t) for _, t in tables]
-        rests, parents = [], []
-        for d in range(1, len(tables)):
-            keys, table = tables[d]
-            parent = np.searchsorted(tables[d - 1][0], keys & ((1 << 8 * (d - 1)) - 1))
-            rest = tables[d - 1][1].copy()
-            np.subtract.at(rest, parent, table)
-            rests.append(Level(np.maximum(rest, 0)))
-            parents.append(parent)
-        keys_of = [k for k, _ in tables]
-        del tables
-        half = np.log(0.5)
-        weighted = nodes[-1].kt
-        weights: list[np.ndarray] = []
-        for d in range(len(keys_of) - 2, -1, -1):
-            below = rests[d].kt.copy()
-            np.add.at(below, parents[d], weighted)
-            weighted = np.logaddexp(half + nodes[d].kt, half + below)
-            weights.insert(0, np.exp(half + nodes[d].kt - weighted).astype(np.float32))
-            nodes[d + 1].kt = rests[d].kt = None
-        # From the root down: what is mixed so far, and the weight that is left for deeper contexts.
-        mixed, left = np.zeros((1, 255)), np.ones((1, 255))
-        own = np.zeros(1, dtype=np.int64)  # node of each row at this depth, or -1 if its end was reached above
-        self.steps: list[np.ndarray] = []
-        for d in range(len(keys_of) - 1):
-            live = np.flatnonzero(own >= 0)
-            share = left[live] * weights[d][own[live]]
-            mixed[live] += share * nodes[d].ahead[own[live]]
-            left[live] -= share
-            # Rows of the next depth: all rows as they are (now ended: the rest where they were live), then the kept children.
-            row_of = np.full(len(keys_of[d]), -1)
-            row_of[own[live]] = live
-            keys = keys_of[d + 1]
-            children = row_of[parents[d]]
-            step = np.repeat(np.arange(len(own))[:, None], 256, axis=1)
-            step[children, (keys >> (8 * d)).astype(np.int64) & 255] = len(own) + np.arange(len(keys))
-            ended = mixed.copy()
-            ended[live] += left[live] * rests[d].ahead[own[live]]
-            mixed, left = np.concatenate([ended, mixed[children]]), np.concatenate([np.zeros_like(left), left[children]])
-            own = np.concatenate([np.full(len(own), -1), np.arange(len(keys))])
-            self.steps.append(step.astype(np.int32))
-        live = np.flatnonzero(own >= 0)
-        mixed[live] += left[live] * nodes[-1].ahead[own[live]]
-        table = np.zeros((len(mixed), 512), dtype=np.float32)
-        for level in range(8):
-            at = np.arange(1 << level, 2 << level)
-            one = mixed[:, at - 1]
-            table[:, 2 * at] = table[:, at] + np.log10(1 - one)
-            table[:, 2 * at + 1] = table[:, at] + np.log10(one)
-        self.log10 = table[:, 256:].copy()
-
-
-def log_probabilities(steps: list[np.ndarray], log10: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability after the bytes before it; before a text stand zero bytes."""
-    state = np.zeros(len(data), dtype=np.int64)
-    for d, step in enumerate(steps):
-        state = step.ravel()[state * 256 + shifted(data, offsets, d + 1)].astype(np.int64)
-    return log10.ravel()[state * 256 + data]
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        parts: list[tuple] = []
+
+        def block() -> pa.RecordBatch:
+            rows, ids, held, leads, sizes, last, bodies = zip(*parts)
+            first = rows[0] * 1024 + number % 1024  # a long text is in several blocks
+            lists = [pa.array([list(x)], pa.list_(t)) for x, t in ((rows, pa.int64()), (ids, id_type), (held, pa.bool_()), (leads, pa.int32()), (sizes, pa.int64()), (last, pa.bool_()))]
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
+            return pa.RecordBatch.from_arrays([pa.array([first]), *lists, pa.array([body], pa.binary())], names=["block", "rows", "ids", "held", "leads", "sizes", "last", "body"])
+
+        for b in slices(found):
+            data, offsets = text_bytes(b.column("text"))
+            data = lower_ascii(data)
+            id_type = b.column("doc_id").type
+            for i, (row, own, held) in enumerate(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("held").to_pylist())):
+                whole = data[offsets[i] : offsets[i + 1]]
+                for start, end in pieces_of(whole, BLOCK):
+                    if parts and size + end - start > BLOCK:
+                        yield block()
+                        number, size, parts = number + 1, 0, []
+                    lead = min(start, DEPTH)
+                    parts.append((row, own, held, lead, end - start + lead, end == len(whole), whole[start - lead : end].tobytes()))
+                    size += end - start
+        if parts:
+            yield block()
+
+    source = numbered(docs, doc_id=F.col(doc_id), text=empty_if_null(text), held=crc_of_id(doc_id, FOLDS) == HELD)
+    return source.mapInArrow(batches, f"block long, rows array<long>, ids array<{kind.simpleString()}>, held array<boolean>, leads array<int>, sizes array<long>, last array<boolean>, body binary")
+
+
+class Body:
+    """A block's bytes, and its windows and words, each once, in a fixed order."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.data = np.frombuffer(unpack(row["body"]), dtype=np.uint8)
+        self.offsets = np.append(0, np.cumsum(row["sizes"])).astype(np.int64)
+        self.leads = np.array(row["leads"], dtype=np.int64)
+        self.held = np.array(row["held"], dtype=bool)
+
+    def own(self) -> np.ndarray:
+        """Which bytes are the pieces' own, and not context from before the cut."""
+        out = np.ones(len(self.data), dtype=bool)
+        for i in np.flatnonzero(self.leads).tolist():
+            out[self.offsets[i] : self.offsets[i] + self.leads[i]] = False
+        return out
+
+    def windows(self, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (nearest byte highest, the byte itself lowest), sorted; with their training counts, or each own byte's window."""
+        out = self.data.astype(np.uint64)
+        for d in range(1, DEPTH + 1):
+            out |= shifted(self.data, self.offsets, d).astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
+        own = self.own()
+        if inverse:
+            return np.unique(out[own], return_inverse=True)
+        train = np.repeat(~self.held, np.diff(self.offsets))
+        keys, n = np.unique(out[own & train], return_counts=True)
+        others = np.unique(out[own & ~train])
+        keys = np.concatenate([keys, others[~np.isin(others, keys, assume_unique=True)]])
+        n = np.append(n, np.zeros(len(keys) - len(n), dtype=np.int64))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], n[order]
+
+    def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Different words (and the end) in order of their hashes, these, the code of each token, and each token's text."""
+        own = self.own()
+        lengths = np.diff(self.offsets) - self.leads
+        found, owner = words(self.data[own], np.append(0, np.cumsum(lengths)))
+        coded = found.dictionary_encode()
+        names = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_binary())])
+        last = np.flatnonzero(self.row["last"])
+        codes = np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.full(len(last), len(names) - 1))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return names.take(pa.array(order)), hashes[order], place[codes], np.append(owner, last)
 
 
 def shifted(data: np.ndarray, offsets: np.ndarray, by: int) -> np.ndarray:
@@ -170,211 +188,458 @@ def shifted(data: np.ndarray, offsets: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the DEPTH bytes before it, as one number; the byte itself is the lowest."""
-    out = data.astype(np.int64)
-    for d in range(1, DEPTH + 1):
-        out |= shifted(data, offsets, d).astype(np.int64) << (8 * d)
-    return out
-
+def context(windows: np.ndarray, depth: int) -> np.ndarray:
+    """The nearest `depth` bytes before each window's byte."""
+    return windows >> np.uint64(8 * (DEPTH + 1 - depth)) if depth else np.zeros_like(windows)
 
-def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), empty_if_null(text).alias("text"), (crc_of_id(doc_id, FOLDS) == HELD).alias("held"))
 
+class Cut:
+    """Which subtree a window belongs to: by ROOT bytes, or one more for every set of large contexts that it is in."""
 
-def blocks(found: Iterator[pa.RecordBatch], most_texts: int = 65_535) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, held flags, lower-cased bytes, offsets) of about BLOCK bytes of texts at a time."""
-    parts: list[pa.RecordBatch] = []
-    size = texts = 0
+    def __init__(self, large: dict[int, list[int]]):
+        self.large = {d: np.array(sorted(x), dtype=np.uint64) for d, x in large.items()}
 
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        data, offsets = text_bytes(t.column("text"))
-        return t.column("row").to_numpy(), t.column("held").to_numpy().astype(bool), lower_ascii(data), offsets
+    def roots(self, windows: np.ndarray) -> np.ndarray:
+        depth = np.full(len(windows), ROOT, dtype=np.int8)
+        for d in range(ROOT, DEPTH):
+            if len(self.large.get(d, ())):
+                depth[(depth == d) & np.isin(context(windows, d), self.large[d])] = d + 1
+        return depth
 
-    for b in slices(found):
-        if parts and (size >= BLOCK or texts + b.num_rows > most_texts):
-            yield joined()
-            parts, size, texts = [], 0, 0
-        parts.append(b)
-        size += b.column("text").nbytes
-        texts += b.num_rows
-    if parts:
-        yield joined()
+    def buckets(self, windows: np.ndarray, n: int) -> np.ndarray:
+        depth = self.roots(windows)
+        out = np.zeros(len(windows), dtype=np.int64)
+        for d in np.unique(depth).tolist():
+            at = depth == d
+            out[at] = (mixed(context(windows[at], d) + (np.uint64(d) << np.uint64(56))) % np.uint64(n)).astype(np.int64)
+        return out
 
 
-def window_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(window, n) of the training texts, added up within each task as far as HELD_WINDOWS allows."""
+def find_cut(blocks: DataFrame, n_buckets: int) -> Cut:
+    """Large subtrees, from about 32 blocks. They only decide how work is divided."""
+    some = max(1, blocks.count() // 32)
 
-    def batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["window", "n"])
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for row in b.to_pylist():
+                keys, _ = Body(row).windows()
+                depth, contexts, share = [], [], []
+                for d in range(ROOT, DEPTH):
+                    c, n = np.unique(context(keys, d), return_counts=True)
+                    often = n > len(keys) / n_buckets
+                    depth += [d] * int(often.sum())
+                    contexts += c[often].astype(np.int64).tolist()
+                    share += (n[often] / len(keys)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(depth, pa.int32()), pa.array(contexts, pa.int64()), pa.array(share, pa.float64())], names=["depth", "context", "share"])
+
+    sample = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(some)) == 0)
+    found = sample.mapInArrow(batches, "depth int, context long, share double").groupBy("depth", "context").agg(F.max("share").alias("share")).filter(F.col("share") * n_buckets > SHARE_OF_BUCKET).collect()
+    large: dict[int, list[int]] = {}
+    for r in found:  # at most n_buckets / SHARE_OF_BUCKET of a depth and block
+        large.setdefault(r["depth"], []).append(r["context"])
+    return Cut(large)
+
+
+def sent(blocks: DataFrame, cut_: Cut, n_buckets: int) -> DataFrame:
+    """(kind, bucket, block, payload): a block's windows and words with their training counts, by bucket."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in slices(found, most=2 << 20):
-            data, offsets = text_bytes(b.column("text"))
-            held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            more, times = np.unique(windows(lower_ascii(data), offsets)[np.repeat(~held, np.diff(offsets))], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(keys))
-            if len(keys) >= HELD_WINDOWS:
-                yield batch(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-        yield batch(keys, counts)
+        for b in found:
+            for row in b.to_pylist():
+                body = Body(row)
+                kinds, numbers, payloads = [], [], []
+                keys, n = body.windows()
+                buckets = cut_.buckets(keys, n_buckets)
+                order = np.argsort(buckets, kind="stable")
+                ends = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    at = order[ends[i] : ends[i + 1]]
+                    kinds.append(WINDOWS)
+                    numbers.append(i)
+                    payloads.append(pack(np.array([len(at)], np.int64), bytewise(keys[at], DEPTH + 1), bytewise(n[at].astype(np.uint64), 4)))
+                names, hashes, codes, owner = body.words()
+                train = np.bincount(codes[~body.held[owner]], minlength=len(names)).astype(np.int64)
+                for i, (x, y) in enumerate(word_ranges(hashes, n_buckets)):
+                    if x < y:
+                        kinds.append(WORDS)
+                        numbers.append(i)
+                        part = names[x:y].to_pylist()
+                        payloads.append(pack(np.array([y - x], np.int64), train[x:y], np.array([len(w) for w in part], np.int64), np.frombuffer(b"".join(part), np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(np.full(len(kinds), row["block"])), pa.array(payloads, pa.binary())], names=["kind", "bucket", "block", "payload"])
+
+    return blocks.mapInArrow(batches, "kind int, bucket int, block long, payload binary")
+
+
+def word_ranges(hashes: np.ndarray, n_buckets: int) -> list[tuple[int, int]]:
+    """Which of the words, which are in order of their hashes, go to each bucket."""
+    number = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    ends = np.searchsorted(number, np.arange(n_buckets + 1)).tolist()
+    return list(zip(ends, ends[1:]))
+
+
+# Subtrees
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma for x >= 0.5, by Stirling's series after a shift of eight."""
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    product = x.copy()
+    for k in range(1, 8):
+        product = product * (x + k)
+    return series - np.log(product)
 
-    return numbered(docs, doc_id, text).mapInArrow(batches, "window long, n long")
 
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov block probability."""
+    small = (zeros < 64) & (ones < 64)
+    out = np.empty(len(zeros))
+    out[small] = SMALL_KT[zeros[small], ones[small]]
+    z, o = zeros[~small].astype(float), ones[~small].astype(float)
+    out[~small] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - np.log(np.pi)
+    return out
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(word, first, n, posts): for each word of each block its training count, and pairs of 16-bit numbers (text, times).
 
-    first is the row number of the block's first text; a block's rows are numbered one after another. A word that a text
-    has more than 65,535 times has several pairs for it.
+_at = np.arange(64.0)
+SMALL_KT = log_gamma(_at + 0.5)[:, None] + log_gamma(_at + 0.5)[None, :] - log_gamma(_at[:, None] + _at[None, :] + 1) - np.log(np.pi)
+SMALL_KT[0, 0] = 0.0
+HALF = np.log(0.5)
+
+
+class Level:
+    """The decisions of all contexts of one depth. keys: different (context, byte) in order; n: their training counts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys = keys
+        #: For each of the eight decisions: the run (context and bits so far) of each key, and of each run its first key.
+        self.run: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+        self.ones: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
+        self.kt: list[np.ndarray] = []
+        for k in range(8):
+            fresh = np.append(True, (keys[1:] ^ keys[:-1]) >> np.uint64(8 - k) != 0) if len(keys) else np.zeros(0, bool)
+            first = np.flatnonzero(fresh)
+            bit = (keys >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+            ones = np.add.reduceat(n * bit, first) if len(first) else first
+            both = np.add.reduceat(n, first) if len(first) else first
+            self.run.append((np.cumsum(fresh) - 1).astype(np.int32))
+            self.first.append(first)
+            self.kt.append(log_kt(both - ones, ones))
+            self.ones.append((ones + 0.5) / (both + 1.0))
+            self.seen.append(both > 0)
+
+    def nodes(self, k: int) -> np.ndarray:
+        """The number of each run's decision in a byte's tree: 1 is the first, 2 and 3 the second ones."""
+        return (1 << k) | ((self.keys[self.first[k]] & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
+
+
+class Subtrees:
+    """Some windows with their training counts, and the levels of their subtrees. roots: the depth of each window's root."""
+
+    def __init__(self, windows: np.ndarray, n: np.ndarray, roots: np.ndarray):
+        self.windows = windows
+        self.levels: dict[int, Level] = {DEPTH: Level(windows, n)}
+        self.roots = {DEPTH: roots.astype(np.int64)}
+        #: For each level below the top, which key of the level above each key has, or -1 if its own is a root.
+        self.parent: dict[int, np.ndarray] = {}
+        for d in range(DEPTH - 1, ROOT - 1, -1):
+            below = self.levels[d + 1]
+            inner = self.roots[d + 1] <= d
+            keys, at = np.unique(below.keys[inner] >> np.uint64(16) << np.uint64(8) | below.keys[inner] & np.uint64(255), return_inverse=True)
+            counts = np.bincount(at, weights=n[inner], minlength=len(keys)).astype(np.int64)
+            self.parent[d + 1] = np.full(len(below.keys), -1)
+            self.parent[d + 1][inner] = at
+            self.levels[d] = Level(keys, counts)
+            root = np.zeros(len(keys), dtype=np.int64)
+            root[at] = self.roots[d + 1][inner]
+            self.roots[d] = root
+            n = counts
+        #: ln of the weighted block probability of every run, and its estimate's share of it.
+        self.weighted: dict[int, list[np.ndarray]] = {DEPTH: self.levels[DEPTH].kt}
+        self.share: dict[int, list[np.ndarray]] = {DEPTH: [np.ones(len(x)) for x in self.levels[DEPTH].kt]}
+        for d in range(DEPTH - 1, ROOT - 1, -1):
+            self.weighted[d], self.share[d] = [], []
+            for k in range(8):
+                own, below = self.levels[d], self.levels[d + 1]
+                up = self.parent[d + 1][below.first[k]]
+                inner = up >= 0
+                children = np.bincount(own.run[k][up[inner]], weights=self.weighted[d + 1][k][inner], minlength=len(own.first[k]))
+                both = np.logaddexp(HALF + own.kt[k], HALF + children)
+                self.weighted[d].append(both)
+                self.share[d].append(np.exp(HALF + own.kt[k] - both))
+
+    def up(self) -> tuple[np.ndarray, ...]:
+        """(depth, context, node, value): of the runs at roots, summed for each parent."""
+        out = []
+        for d, level in self.levels.items():
+            for k in range(8):
+                at = level.first[k]
+                root = (self.roots[d][at] == d) & level.seen[k]
+                key = (level.keys[at][root] >> np.uint64(16)) * np.uint64(256) + level.nodes(k)[root].astype(np.uint64)
+                keys, where = np.unique(key, return_inverse=True)
+                values = np.bincount(where, weights=self.weighted[d][k][root], minlength=len(keys))
+                out.append((np.full(len(keys), d - 1), (keys >> np.uint64(8)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64), values))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def log10(self, top: Top) -> np.ndarray:
+        """log10 of the probability of each window's byte after its context."""
+        total = np.zeros(len(self.windows))
+        for k in range(8):
+            above: tuple[np.ndarray, ...] | None = None
+            for d in range(ROOT, DEPTH + 1):
+                level = self.levels[d]
+                first = level.first[k]
+                mix, left, ended = (np.zeros(len(first)) for _ in range(3))
+                up = self.parent[d][first] if d > ROOT else np.full(len(first), -1)
+                inner = up >= 0
+                if above is not None:
+                    runs = self.levels[d - 1].run[k][up[inner]]
+                    mix[inner], left[inner], ended[inner] = (x[runs] for x in above)
+                mix[~inner], left[~inner], ended[~inner] = top.state(level.keys[first[~inner]] >> np.uint64(8), d, level.nodes(k)[~inner])
+                seen = level.seen[k]
+                share = np.where(seen, left * self.share[d][k], 0)
+                mix = np.where(seen, mix + share * level.ones[k], ended)
+                left = np.where(seen, left - share, 0)
+                ended = np.where(seen, mix + left * level.ones[k], ended)
+                above = mix, left, ended
+            one = above[2][self.levels[DEPTH].run[k]]
+            bit = (self.windows >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            total += np.log10(np.where(bit, one, 1 - one))
+        return total
+
+
+class Top:
+    """The tree above all subtrees. counts: (depth, context, byte, n); ups: (depth, context, node, value) from below.
+
+    Of every context and decision it has what is mixed so far, the weight left for deeper contexts, and the mix that
+    holds where there is none.
     """
 
+    def __init__(self, counts: tuple[np.ndarray, ...], ups: tuple[np.ndarray, ...]):
+        depth, contexts, byte, n = counts
+        self.contexts: dict[int, np.ndarray] = {}
+        self.states: dict[int, np.ndarray] = {}
+        deepest = int(depth.max(initial=0))
+        ones, kt = {}, {}
+        for d in range(deepest + 1):
+            at = depth == d
+            self.contexts[d], where = np.unique(contexts[at], return_inverse=True)
+            tree = np.zeros((len(self.contexts[d]), 512), dtype=np.int64)
+            np.add.at(tree, (where, 256 + byte[at]), n[at])
+            for node in range(255, 0, -1):
+                tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
+            zero, one = tree[:, 2:512:2], tree[:, 3:512:2]
+            ones[d] = np.concatenate([np.full((len(tree), 1), 0.5), (one + 0.5) / (zero + one + 1.0)], axis=1)
+            kt[d] = np.concatenate([np.zeros((len(tree), 1)), log_kt(zero.ravel(), one.ravel()).reshape(zero.shape)], axis=1)
+        below = {d: np.zeros(kt[d].shape) for d in kt}
+        for d in kt:
+            at = ups[0] == d
+            np.add.at(below[d], (np.searchsorted(self.contexts[d], ups[1][at]), ups[2][at]), ups[3][at])
+        share = {}
+        for d in range(deepest, -1, -1):
+            weighted = np.logaddexp(HALF + kt[d], HALF + below[d])
+            share[d] = np.exp(HALF + kt[d] - weighted)
+            if d:
+                np.add.at(below[d - 1], np.searchsorted(self.contexts[d - 1], self.contexts[d] >> 8), weighted)
+        for d in range(deepest + 1):
+            if d:
+                parent = np.searchsorted(self.contexts[d - 1], self.contexts[d] >> 8)
+                mix, left, ended = (x.astype(float)[parent] for x in self.states[d - 1])
+            else:
+                mix, left, ended = np.zeros(kt[0].shape), np.ones(kt[0].shape), np.full(kt[0].shape, 0.5)
+            seen = kt[d] < 0
+            own = np.where(seen, left * share[d], 0)
+            mix = np.where(seen, mix + own * ones[d], ended)
+            left = np.where(seen, left - own, 0)
+            self.states[d] = np.stack([mix, left, np.where(seen, mix + left * ones[d], ended)]).astype(np.float32)
+
+    def state(self, contexts: np.ndarray, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What holds above roots of this depth with these contexts, for these decisions."""
+        mix, left, ended = np.full(len(contexts), 0.5), np.zeros(len(contexts)), np.full(len(contexts), 0.5)
+        for d in range(depth):
+            known = self.contexts.get(d, np.zeros(0, np.int64))
+            if not len(known):
+                continue
+            wanted = (contexts >> np.uint64(8 * (depth - d))).astype(np.int64)
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            there = known[at] == wanted
+            found = self.states[d][:, at[there], nodes[there]]
+            mix[there], left[there], ended[there] = found
+            mix[~there], left[~there] = ended[~there], 0
+        return mix, left, ended
+
+
+def merged(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The windows of several payloads, their counts over all, and where each payload's are."""
+    keys, counts = [], []
+    for _, raw in rows:
+        body = np.frombuffer(unpack(raw), dtype=np.uint8)
+        n = int(body[:8].view(np.int64)[0])
+        keys.append(from_bytes(body[8 : 8 + n * (DEPTH + 1)], n, DEPTH + 1))
+        counts.append(from_bytes(body[8 + n * (DEPTH + 1) :], n, 4).astype(np.int64))
+    windows, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(windows)).astype(np.int64)
+    return windows, total, np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+
+
+def counted(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The training counts of the different words of several payloads, and which word each payload's are."""
+    parts, counts = [], []
+    for _, raw in rows:
+        body = unpack(raw)
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        counts.append(np.frombuffer(body, np.int64, n, 8))
+        offsets = np.append(0, np.cumsum(np.frombuffer(body, np.int64, n, 8 + 8 * n)))
+        parts.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body[8 + 16 * n :])]))
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.bincount(codes, weights=np.concatenate(counts), minlength=len(coded.dictionary)).astype(np.int64)
+    return total, np.split(codes, np.cumsum([len(x) for x in parts])[:-1])
+
+
+def by_bucket(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
+    """(kind, bucket, [(block, payload)]) of each bucket; rows come sorted by kind and bucket."""
+    now: tuple[int, int] | None = None
+    held: list[tuple[int, bytes]] = []
+    for b in found:
+        for kind, bucket, block, payload in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "block", "payload"))):
+            if (kind, bucket) != now:
+                if now is not None:
+                    yield *now, held
+                now, held = (kind, bucket), []
+            held.append((block, payload))
+    if now is not None:
+        yield *now, held
+
+
+def up_rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip(columns, kinds)], names=["depth", "context", "node", "value"])
+
+
+def weighed(spread: DataFrame, cut_: Cut) -> DataFrame:
+    """The sums that the top tree needs: UP rows. Depth -1 has the different words of training as context 0, all as 1."""
+
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, held, data, offsets in blocks(found):
-            n = len(rows)
-            all_words, owner = words(data, offsets)
-            coded = all_words.dictionary_encode()
-            names = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_binary())])
-            codes = np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.full(n, len(names) - 1))
-            pair, times = np.unique(codes * n + np.append(owner, np.arange(n)), return_counts=True)
-            code, at = pair // n, pair % n
-            train = np.bincount(code, weights=times * ~held[at], minlength=len(names)).astype(np.int64)
-            more = (times - 1) // 65_535
-            if more.any():
-                last = times - more * 65_535
-                code, at, which = (np.repeat(x, more + 1) for x in (code, at, np.arange(len(times))))
-                final = np.append(which[1:] != which[:-1], True)
-                times = np.where(final, last[which], 65_535)
-            body = np.stack([at, times], axis=1).astype("<u2").tobytes()
-            ends = (np.searchsorted(code, np.arange(len(names) + 1)) * 4).astype(np.int32)
-            posts = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)])
-            for at_once in range(0, len(names), 10_000):
-                part = slice(at_once, at_once + 10_000)
-                yield pa.RecordBatch.from_arrays([names[part].cast(pa.binary()), pa.array(np.full(len(names[part]), rows[0])), pa.array(train[part]), posts[part]], names=["word", "first", "n", "posts"])
-
-    return numbered(docs, doc_id, text).mapInArrow(batches, "word binary, first long, n long, posts binary")
-
-
-def learn(counts: DataFrame) -> Model:
-    """The model of (window, n) counts."""
-    counts = cut(counts.groupBy("window").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(SHARE * total, 1)
-    levels = []
-    kept: DataFrame | None = None
-    for d in range(DEPTH + 1):
-        mask = (1 << 8 * (d + 1)) - 1
-        pairs = counts.groupBy(F.col("window").bitwiseAND(F.lit(mask)).alias("pair")).agg(F.sum("n").alias("n"))
-        pairs = pairs.select(F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
-        if d:
-            # A context's suffix is at least as frequent, so a kept context's parent is kept.
-            often = pairs.groupBy("context").agg(F.sum("n").alias("of")).filter(F.col("of") >= least).select("context")
-            pairs = pairs.join(often, "context", "left_semi")
-        rows = pairs.toPandas()
-        levels.append((rows["context"].to_numpy(np.int64), rows["byte"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)))
-    return Model(levels)
-
-
-#: The row number under which the totals come.
-TOTALS = -1
-PART = np.dtype([("text", "<i8"), ("known", "<i8"), ("logs", "<f8")])
-
-
-def base_parts(found: DataFrame, most: int = 1 << 19) -> DataFrame:
-    """(row, known, logs) per text: its known tokens and their sum of log10(count + 1). Row TOTALS has V and N in their place.
-
-    What a task's words add to the texts of a block goes back to that block in one row, and is added up there.
-    """
-    word = Window.partitionBy("word")
-    counted = found.select("first", "posts", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("first")) == 1).alias("fresh")).filter("c > 0")
-
-    def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def summed() -> pa.RecordBatch:
-            first, text, known, logs = (np.concatenate([h[i] for h in held]) for i in range(4))
-            order = np.lexsort((text, first))
-            first, text = first[order], text[order]
-            fresh = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (text[1:] != text[:-1])))
-            out = np.zeros(len(fresh), dtype=PART)
-            out["text"], out["known"], out["logs"] = text[fresh], np.add.reduceat(known[order], fresh), np.add.reduceat(logs[order], fresh)
-            blocks_, at = np.unique(first[fresh], return_index=True)
-            ends = [*at[1:].tolist(), len(out)]
-            return pa.RecordBatch.from_arrays([pa.array(blocks_), pa.array([out[x:y].tobytes() for x, y in zip(at.tolist(), ends)], pa.binary())], names=["first", "parts"])
-
-        for b in rows:
-            posts = b.column("posts").cast(pa.large_binary())
-            lengths = np.diff(np.frombuffer(posts.buffers()[1], dtype=np.int64)[posts.offset : posts.offset + len(posts) + 1]) // 4
-            pairs = np.frombuffer(b"".join(posts.to_pylist()), dtype="<u2").reshape(-1, 2).astype(np.int64)
-            c = b.column("c").to_numpy(zero_copy_only=False)
-            fresh = c[b.column("fresh").to_numpy(zero_copy_only=False).astype(bool)]
-            held.append((np.repeat(b.column("first").to_numpy(zero_copy_only=False), lengths), pairs[:, 0], pairs[:, 1], np.repeat(np.log10(c + 1.0), lengths) * pairs[:, 1]))
-            held.append((np.full(1, TOTALS), np.zeros(1, np.int64), np.full(1, len(fresh)), np.full(1, float(fresh.sum()))))
-            if sum(len(h[0]) for h in held) >= most:
-                yield summed()
-                held = []
-        if held:
-            yield summed()
-
-    def totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up the rows of each block, which come one after another."""
-        block, known, logs = None, np.zeros(0, np.int64), np.zeros(0)
-
-        def done() -> pa.RecordBatch:
-            at = np.flatnonzero(known)
-            return pa.RecordBatch.from_arrays([pa.array(block + at), pa.array(known[at]), pa.array(logs[at])], names=["row", "known", "logs"])
-
-        for b in rows:
-            for first, raw in zip(b.column("first").to_pylist(), b.column("parts").to_pylist()):
-                if first != block:
-                    if block is not None:
-                        yield done()
-                    block, known, logs = first, np.zeros(0, np.int64), np.zeros(0)
-                part = np.frombuffer(raw, dtype=PART)
-                if part["text"][-1] >= len(known):
-                    more = int(part["text"][-1]) + 1 - len(known)
-                    known, logs = np.append(known, np.zeros(more, np.int64)), np.append(logs, np.zeros(more))
-                known[part["text"]] += part["known"]
-                logs[part["text"]] += part["logs"]
-        if block is not None:
-            yield done()
-
-    back = counted.mapInArrow(gains, "first long, parts binary")
-    return back.repartition("first").sortWithinPartitions("first").mapInArrow(totals, "row long, known long, logs double")
-
-
-def model_scores(docs: DataFrame, model: Model, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, n_bytes, score) of every text. The model goes to each task once."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.steps, model.log10))
+        for kind, _, rows in by_bucket(found):
+            if kind == WINDOWS:
+                windows, n, _ = merged(rows)
+                yield up_rows(Subtrees(windows, n, cut_.roots(windows)).up())
+            else:
+                total, _ = counted(rows)
+                yield up_rows((np.array([-1, -1]), np.array([0, 1]), np.array([0, 0]), np.array([np.count_nonzero(total), total.sum()], dtype=float)))
+
+    return spread.mapInArrow(batches, UP).groupBy("depth", "context", "node").agg(F.sum("value").alias("value"))
+
+
+def top_counts(blocks: DataFrame, cut_: Cut) -> DataFrame:
+    """UP rows: training counts of the bytes (as node) after each context above the subtrees."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, log10 = shared.value
-        for b in slices(found):
-            data, offsets = text_bytes(b.column("text"))
-            data = lower_ascii(data)
-            logs = np.zeros(len(data) + 1)
-            np.cumsum(log_probabilities(steps, log10, data, offsets), out=logs[1:], dtype=np.float64)
-            _, owner = words(data, offsets)
-            scores = logs[offsets[1:]] - logs[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held"), pa.array(per_text(owner, b.num_rows) + 1, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(scores)], names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "score"])
+        for b in found:
+            for row in b.to_pylist():
+                yield from map(up_rows, counts_above(*Body(row).windows(), cut_))
+
+    return blocks.mapInArrow(batches, UP).groupBy("depth", "context", "node").agg(F.sum("value").alias("value"))
+
+
+def counts_above(keys: np.ndarray, n: np.ndarray, cut_: Cut) -> Iterator[tuple[np.ndarray, ...]]:
+    keys, n = keys[n > 0], n[n > 0]
+    roots = cut_.roots(keys)
+    for d in range(DEPTH):
+        above = roots > d
+        pair, at = np.unique(context(keys[above], d) << np.uint64(8) | keys[above] & np.uint64(255), return_inverse=True)
+        yield np.full(len(pair), d), (pair >> np.uint64(8)).astype(np.int64), (pair & np.uint64(255)).astype(np.int32), np.bincount(at, weights=n[above], minlength=len(pair))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return numbered(docs, doc_id, text).mapInArrow(batches, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double")
+
+def columns_of(df: DataFrame) -> tuple[np.ndarray, ...]:
+    rows = df.toPandas()
+    return rows["depth"].to_numpy(np.int64), rows["context"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)
+
+
+def answered(spread: DataFrame, cut_: Cut, top: Top) -> DataFrame:
+    """(block, kind, bucket, payload): for each payload, its windows' log10 in steps of -STEP, or its words' training counts."""
+    shared = spread.sparkSession.sparkContext.broadcast(top)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, bucket, rows in by_bucket(found):
+            if kind == WINDOWS:
+                windows, n, places = merged(rows)
+                values, width = np.round(-Subtrees(windows, n, cut_.roots(windows)).log10(shared.value) / STEP).astype(np.uint64), 3
+            else:
+                total, places = counted(rows)
+                values, width = total.astype(np.uint64), 8
+            answers = [pack(bytewise(values[at], width)) for at in places]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array(np.full(len(rows), kind), pa.int32()), pa.array(np.full(len(rows), bucket), pa.int32()), pa.array(answers, pa.binary())], names=["block", "kind", "bucket", "payload"])
+
+    return spread.mapInArrow(batches, "block long, kind int, bucket int, payload binary")
+
+
+SCORED = "n_tokens long, n_known long, logs double, n_bytes long, score double"
+
+
+def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_buckets: int) -> DataFrame:
+    """(row, doc_id, held_out, SCORED) of each piece of a text: a block's bytes and the answers to it meet in one task."""
+    kind = blocks.schema["ids"].dataType.elementType
+
+    def finish(row: dict, windows: list[np.ndarray], counts: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        body = Body(row)
+        keys, inverse = body.windows(inverse=True)
+        logs = np.zeros(len(keys))
+        if len(keys):
+            logs[np.argsort(cut_.buckets(keys, n_buckets), kind="stable")] = np.concatenate(windows) * -STEP
+        total = np.zeros(len(inverse) + 1)
+        np.cumsum(logs[inverse], out=total[1:])
+        lengths = np.diff(body.offsets) - body.leads
+        ends = np.cumsum(lengths)
+        _, _, codes, owner = body.words()
+        c, n = np.concatenate(counts), len(lengths)
+        columns = [pa.array(row["rows"], pa.int64()), pa.array(row["ids"], id_type), pa.array(body.held)]
+        columns += [pa.array(per_text(owner, n), pa.int64()), pa.array(per_text(owner[c[codes] > 0], n), pa.int64()), pa.array(per_text(owner, n, np.log10(c[codes] + 1.0))), pa.array(lengths), pa.array(total[ends] - total[ends - lengths])]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "n_bytes", "score"])
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict | None = None
+        windows: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for b in found:
+            id_type = b.schema.field("ids").type.value_type
+            for row in b.to_pylist():
+                if row["kind"] == BODY:
+                    if now is not None:
+                        yield finish(now, windows, counts, id_type)
+                    now, windows, counts = row, [], []
+                    continue
+                raw = np.frombuffer(unpack(row["payload"]), dtype=np.uint8)
+                width = 3 if row["kind"] == WINDOWS else 8
+                values = from_bytes(raw, len(raw) // width, width)
+                (windows if row["kind"] == WINDOWS else counts).append(values.astype(np.float64))
+        if now is not None:
+            yield finish(now, windows, counts, id_type)
+
+    bodies = blocks.withColumn("kind", F.lit(BODY)).withColumn("bucket", F.lit(0))
+    together = bodies.unionByName(answers, allowMissingColumns=True)
+    return together.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(batches, f"row long, doc_id {kind.simpleString()}, held_out boolean, {SCORED}")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs."""
-    model = learn(window_counts(docs, doc_id, text))
-    parts = cut(base_parts(postings(docs, doc_id, text)))
-    totals = parts.filter(F.col("row") == TOTALS).first()
-    n, v = (round(totals["logs"]), totals["known"]) if totals else (0, 0)
-    joined = model_scores(docs, model, doc_id, text).join(parts, "row", "left")
-    base = F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    blocks = cut(packed(docs, doc_id, text))
+    total = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()[0]
+    n_buckets = max(8, -(-total // PER_BUCKET))
+    cut_ = find_cut(blocks, n_buckets)
+    spread = cut(sent(blocks, cut_, n_buckets).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block"))
+    ups = columns_of(weighed(spread, cut_))
+    known = {int(c): int(v) for d, c, v in zip(ups[0], ups[1], ups[3]) if d < 0}
+    v, n = known.get(0, 0), known.get(1, 0)
+    top = Top(columns_of(top_counts(blocks, cut_)), ups)
+    parts = scored(blocks, answered(spread, cut_, top), cut_, n_buckets)
+    sums = [F.sum(x.split()[0]).alias(x.split()[0]) for x in SCORED.split(", ")]
+    joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes"))
-    return joined.select("doc_id", "held_out", "n_tokens", F.coalesce("known", F.lit(0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
 def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,61 +341,83 @@ def kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
 
-def test_weighting_by_recursion():
-    """All contexts kept, against the textbook recursion on one decision tree per bit prefix."""
+@pytest.mark.parametrize("deeper", [[], [b"a", b"aa"]])
+def test_weighting_by_recursion(monkeypatch, deeper):
+    """Against the textbook recursion on one decision tree per bit prefix; a context never seen says what its parent says."""
     rng = random.Random(2)
     text = bytes(rng.choice(b"aab\n") for _ in range(300))
+    other = b"abc aabba\n\nzaab"
     depth = context_tree.DEPTH
-    padded = bytes(depth) + text
-    levels = []
-    for d in range(depth + 1):
-        pairs = Counter((int.from_bytes(padded[i - d : i], "big"), padded[i]) for i in range(depth, len(padded)))
-        levels.append(tuple(np.array(x) for x in zip(*[(c, b, n) for (c, b), n in pairs.items()])))
-    model = context_tree.Model(levels)
-    got = context_tree.log_probabilities(model.steps, model.log10, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    large = {3: [int.from_bytes(b"aaa", "big"), int.from_bytes(b"baa", "big")], 4: [int.from_bytes(b"aaaa", "big")]} if deeper else {}
+    cut_ = context_tree.Cut(large)
+    body = lambda t, held: {"body": context_tree.zstandard.compress(t), "sizes": [len(t)], "leads": [0], "held": [held], "last": [True]}
+    blocks = [context_tree.Body(body(text, False)), context_tree.Body(body(other, True))]
+    rows = []
+    for i, b in enumerate(blocks):
+        keys, n = b.windows()
+        rows.append((i, context_tree.pack(np.array([len(keys)], np.int64), context_tree.bytewise(keys, depth + 1), context_tree.bytewise(n.astype(np.uint64), 4))))
+    windows, n, places = context_tree.merged(rows)
+    assert n.sum() == len(text)
+    trees = context_tree.Subtrees(windows, n, cut_.roots(windows))
+    counts = tuple(np.concatenate(x) for x in zip(*context_tree.counts_above(windows, n, cut_)))
+    logs = trees.log10(context_tree.Top(counts, trees.up()))
+    got = [logs[at][b.windows(inverse=True)[1]] for b, at in zip(blocks, places)]
+    padded = [bytes(depth) + t for t in (text, other)]
     counts = Counter()
-    for i in range(depth, len(padded)):
+    for i in range(depth, len(padded[0])):
         node = 1
         for k in range(7, -1, -1):
-            bit = padded[i] >> k & 1
+            bit = padded[0][i] >> k & 1
             for d in range(depth + 1):
-                counts[padded[i - d : i], node, bit] += 1
+                counts[padded[0][i - d : i], node, bit] += 1
             node = 2 * node + bit
     contexts = defaultdict(set)
     for c, node, _ in list(counts):
         contexts[c[1:] if c else None, node].add(c)
+    known = {}
 
     def weighted(c, node):
-        own = kt(counts[c, node, 0], counts[c, node, 1])
-        if len(c) == depth:
-            return own
-        below = sum(weighted(x, node) for x in contexts[c, node] if len(x) == len(c) + 1)
-        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
+        if (c, node) not in known:
+            own = kt(counts[c, node, 0], counts[c, node, 1])
+            below = sum(weighted(x, node) for x in contexts[c, node] if len(x) == len(c) + 1)
+            known[c, node] = own if len(c) == depth else np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
+        return known[c, node]
 
     def chance(c, node, bit, full):
-        ahead = (counts[c, node, bit] + 0.5) / (counts[c, node, 0] + counts[c, node, 1] + 1)
-        if len(c) == depth:
-            return ahead
-        w = math.exp(math.log(0.5) + kt(counts[c, node, 0], counts[c, node, 1]) - weighted(c, node))
-        return w * ahead + (1 - w) * chance(full[len(full) - len(c) - 1 :], node, bit, full)
-
-    for i in (0, 1, 7, 150):
-        at, node, total = i + depth, 1, 0.0
-        for k in range(7, -1, -1):
-            bit = padded[at] >> k & 1
-            total += math.log10(chance(b"", node, bit, padded[at - depth : at]))
-            node = 2 * node + bit
-        assert math.isclose(total, got[i], rel_tol=1e-4), i
-
-
-def test_probabilities_add_up():
-    rng = np.random.default_rng(0)
-    levels = [(np.zeros(3, np.int64), np.array([97, 98, 99]), np.array([5.0, 3.0, 2.0])), (np.array([97, 97, 98]), np.array([97, 98, 97]), np.array([3.0, 1.0, 2.0]))]
-    levels += [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * 3
-    model = context_tree.Model(levels)
-    assert np.allclose((10.0 ** model.log10.astype(float)).sum(axis=1), 1, atol=1e-5) and rng is not None
-    empty = context_tree.Model([(np.zeros(0, np.int64),) * 3] * 5)
-    assert np.allclose(empty.log10, math.log10(1 / 256))
+        zeros, ones = counts[c, node, 0], counts[c, node, 1]
+        if not zeros + ones:
+            return None
+        ahead = ((ones if bit else zeros) + 0.5) / (zeros + ones + 1)
+        below = chance(full[len(full) - len(c) - 1 :], node, bit, full) if len(c) < depth else None
+        w = math.exp(math.log(0.5) + kt(zeros, ones) - weighted(c, node)) if len(c) < depth else 1.0
+        return w * ahead + (1 - w) * (ahead if below is None else below)
+
+    for text_, found in zip(padded, got):
+        for i in range(len(found)):
+            at, node, total = i + depth, 1, 0.0
+            for k in range(7, -1, -1):
+                bit = text_[at] >> k & 1
+                p = chance(b"", node, bit, text_[at - depth : at])
+                total += math.log10(0.5 if p is None else p)
+                node = 2 * node + bit
+            assert math.isclose(total, found[i], rel_tol=1e-4), i
+
+
+def test_scores_add_up(spark, monkeypatch):
+    """Small blocks, divided texts and deeper roots change nothing; bytes' probabilities sum to at most one."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(0, 400)) + "  \n") for i in range(30)] + [(50, None), (51, ""), (52, "x" * 4000 + " y"), (53, "\0\0 zero \U00013000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r for r in context_tree.score(docs).collect()}
+    monkeypatch.setattr(context_tree, "BLOCK", 700)
+    monkeypatch.setattr(context_tree, "PER_BUCKET", 1000)
+    monkeypatch.setattr(context_tree, "SHARE_OF_BUCKET", 0.5)
+    again = {r.doc_id: r for r in context_tree.score(docs).collect()}
+    assert len(again) == len(whole) == len(rows)
+    for i, _ in rows:
+        a, b = whole[i], again[i]
+        assert (a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens)
+        assert math.isclose(a.base_score, b.base_score, abs_tol=1e-6) and math.isclose(a.score, b.score, rel_tol=1e-3, abs_tol=0.02)
 
 
 # 7: decontamination
