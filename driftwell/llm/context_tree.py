@@ -30,13 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import SPACE, crc_of_id, cut, empty_if_null, lower_ascii, numbered, per_text, read, slices, text_bytes, words
-from driftwell.llm.decontaminate import mixed
+from driftwell.llm.decontaminate import mixed, word_hashes
 
 FOLDS, HELD = 7, 2
 DEPTH, ROOT = 6, 3
@@ -146,38 +145,59 @@ class Body:
             out[self.offsets[i] : self.offsets[i] + self.leads[i]] = False
         return out
 
-    def windows(self, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Windows (nearest byte highest, the byte itself lowest), sorted; with their training counts, or each own byte's window."""
+    def every_window(self) -> np.ndarray:
+        """The window of each own byte: its nearest byte highest, the byte itself lowest."""
         out = self.data.astype(np.uint64)
         for d in range(1, DEPTH + 1):
             out |= shifted(self.data, self.offsets, d).astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
-        own = self.own()
-        if inverse:
-            return np.unique(out[own], return_inverse=True)
-        train = np.repeat(~self.held, np.diff(self.offsets))
-        keys, n = np.unique(out[own & train], return_counts=True)
-        others = np.unique(out[own & ~train])
-        keys = np.concatenate([keys, others[~np.isin(others, keys, assume_unique=True)]])
-        n = np.append(n, np.zeros(len(keys) - len(n), dtype=np.int64))
-        order = np.argsort(keys, kind="stable")
-        return keys[order], n[order]
+        return out[self.own()] if self.leads.any() else out
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different windows, sorted, with their training counts."""
+        train = np.repeat(~self.held, np.diff(self.offsets) - self.leads)
+        # The lowest bit says whether it is for training; a window leaves room for it.
+        flagged = np.sort(self.every_window() << np.uint64(1) | train)
+        keys = flagged >> np.uint64(1)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        n = np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first) if len(first) else first
+        return keys[first], n
 
     def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Different words (and the end) in order of their hashes, these, the code of each token, and each token's text."""
-        own = self.own()
         lengths = np.diff(self.offsets) - self.leads
-        found, owner = words(self.data[own], np.append(0, np.cumsum(lengths)))
+        found, owner = words(self.data[self.own()] if self.leads.any() else self.data, np.append(0, np.cumsum(lengths)))
         coded = found.dictionary_encode()
         names = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_binary())])
         last = np.flatnonzero(self.row["last"])
         codes = np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.full(len(last), len(names) - 1))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], dtype=np.uint64)
+        raw, offsets = text_bytes(names.cast(pa.large_binary()).view(pa.large_string()))
+        hashes = word_hashes(raw, offsets[:-1], offsets[1:])
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         return names.take(pa.array(order)), hashes[order], place[codes], np.append(owner, last)
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands in keys, which has it: by a few tables of hashes, and a search for what is left."""
+    out = np.zeros(len(wanted), dtype=np.int64)
+    rest, open_ = np.arange(len(keys)), np.arange(len(wanted))
+    bits = max(4, int(4 * len(keys)).bit_length())
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+        slot = lambda x: (x * np.uint64(factor)) >> np.uint64(64 - bits)  # noqa: B023, E731
+        table = np.zeros(1 << bits, dtype=np.int32)
+        own = slot(keys[rest])
+        table[own] = rest
+        at = table[slot(wanted)]
+        right = keys[at] == wanted
+        out[open_[right]] = at[right]
+        rest, open_, wanted = rest[table[own] != rest], open_[~right], wanted[~right]
+        if not len(open_):
+            return out
+    out[open_] = np.searchsorted(keys, wanted)
+    return out
+
+
 def shifted(data: np.ndarray, offsets: np.ndarray, by: int) -> np.ndarray:
     """The byte `by` places before each byte of the same text, or zero."""
     out = np.zeros_like(data)
@@ -216,8 +236,8 @@ class Cut:
 
 
 def find_cut(blocks: DataFrame, n_buckets: int) -> Cut:
-    """Large subtrees, from about 32 blocks. They only decide how work is divided."""
-    some = max(1, blocks.count() // 32)
+    """Large subtrees, from about eight blocks. They only decide how work is divided."""
+    some = max(1, blocks.count() // 8)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
@@ -259,12 +279,12 @@ def sent(blocks: DataFrame, cut_: Cut, n_buckets: int) -> DataFrame:
                     payloads.append(pack(np.array([len(at)], np.int64), bytewise(keys[at], DEPTH + 1), bytewise(n[at].astype(np.uint64), 4)))
                 names, hashes, codes, owner = body.words()
                 train = np.bincount(codes[~body.held[owner]], minlength=len(names)).astype(np.int64)
+                raw, offsets = text_bytes(names.view(pa.large_string()))
                 for i, (x, y) in enumerate(word_ranges(hashes, n_buckets)):
                     if x < y:
                         kinds.append(WORDS)
                         numbers.append(i)
-                        part = names[x:y].to_pylist()
-                        payloads.append(pack(np.array([y - x], np.int64), train[x:y], np.array([len(w) for w in part], np.int64), np.frombuffer(b"".join(part), np.uint8)))
+                        payloads.append(pack(np.array([y - x], np.int64), train[x:y], np.diff(offsets[x : y + 1]), raw[offsets[x] : offsets[y]]))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(np.full(len(kinds), row["block"])), pa.array(payloads, pa.binary())], names=["kind", "bucket", "block", "payload"])
 
     return blocks.mapInArrow(batches, "kind int, bucket int, block long, payload binary")
@@ -519,13 +539,15 @@ def up_rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 
 
 def weighed(spread: DataFrame, cut_: Cut) -> DataFrame:
-    """The sums that the top tree needs: UP rows. Depth -1 has the different words of training as context 0, all as 1."""
+    """The sums that the top tree needs: UP rows, those of counts with COUNTS added to the depth. Depth -1 has the different words of training as context 0, all as 1."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, _, rows in by_bucket(found):
             if kind == WINDOWS:
                 windows, n, _ = merged(rows)
                 yield up_rows(Subtrees(windows, n, cut_.roots(windows)).up())
+                for depth, *columns in counts_above(windows, n, cut_):
+                    yield up_rows((depth + COUNTS, *columns))
             else:
                 total, _ = counted(rows)
                 yield up_rows((np.array([-1, -1]), np.array([0, 1]), np.array([0, 0]), np.array([np.count_nonzero(total), total.sum()], dtype=float)))
@@ -533,15 +555,8 @@ def weighed(spread: DataFrame, cut_: Cut) -> DataFrame:
     return spread.mapInArrow(batches, UP).groupBy("depth", "context", "node").agg(F.sum("value").alias("value"))
 
 
-def top_counts(blocks: DataFrame, cut_: Cut) -> DataFrame:
-    """UP rows: training counts of the bytes (as node) after each context above the subtrees."""
-
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            for row in b.to_pylist():
-                yield from map(up_rows, counts_above(*Body(row).windows(), cut_))
-
-    return blocks.mapInArrow(batches, UP).groupBy("depth", "context", "node").agg(F.sum("value").alias("value"))
+#: What comes from below, and counts of bytes (as node) after each context above the subtrees, are told apart by depth.
+COUNTS = 100
 
 
 def counts_above(keys: np.ndarray, n: np.ndarray, cut_: Cut) -> Iterator[tuple[np.ndarray, ...]]:
@@ -585,12 +600,13 @@ def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_buckets: int) ->
 
     def finish(row: dict, windows: list[np.ndarray], counts: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         body = Body(row)
-        keys, inverse = body.windows(inverse=True)
+        each = body.every_window()
+        keys, _ = body.windows()
         logs = np.zeros(len(keys))
         if len(keys):
             logs[np.argsort(cut_.buckets(keys, n_buckets), kind="stable")] = np.concatenate(windows) * -STEP
-        total = np.zeros(len(inverse) + 1)
-        np.cumsum(logs[inverse], out=total[1:])
+        total = np.zeros(len(each) + 1)
+        np.cumsum(logs[places(keys, each)], out=total[1:])
         lengths = np.diff(body.offsets) - body.leads
         ends = np.cumsum(lengths)
         _, _, codes, owner = body.words()
@@ -630,10 +646,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n_buckets = max(8, -(-total // PER_BUCKET))
     cut_ = find_cut(blocks, n_buckets)
     spread = cut(sent(blocks, cut_, n_buckets).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block"))
-    ups = columns_of(weighed(spread, cut_))
-    known = {int(c): int(v) for d, c, v in zip(ups[0], ups[1], ups[3]) if d < 0}
+    found = columns_of(weighed(spread, cut_))
+    known = {int(c): int(v) for d, c, v in zip(found[0], found[1], found[3]) if d < 0}
     v, n = known.get(0, 0), known.get(1, 0)
-    top = Top(columns_of(top_counts(blocks, cut_)), ups)
+    depth, counts = found[0], found[0] >= COUNTS
+    top = Top((depth[counts] - COUNTS, *(x[counts] for x in found[1:])), tuple(x[(depth >= 0) & ~counts] for x in found))
     parts = scored(blocks, answered(spread, cut_, top), cut_, n_buckets)
     sums = [F.sum(x.split()[0]).alias(x.split()[0]) for x in SCORED.split(", ")]
     joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)

@@ -361,7 +361,7 @@ def test_weighting_by_recursion(monkeypatch, deeper):
     trees = context_tree.Subtrees(windows, n, cut_.roots(windows))
     counts = tuple(np.concatenate(x) for x in zip(*context_tree.counts_above(windows, n, cut_)))
     logs = trees.log10(context_tree.Top(counts, trees.up()))
-    got = [logs[at][b.windows(inverse=True)[1]] for b, at in zip(blocks, places)]
+    got = [logs[at][context_tree.places(b.windows()[0], b.every_window())] for b, at in zip(blocks, places)]
     padded = [bytes(depth) + t for t in (text, other)]
     counts = Counter()
     for i in range(depth, len(padded[0])):
@@ -403,6 +403,24 @@ def test_weighting_by_recursion(monkeypatch, deeper):
             assert math.isclose(total, found[i], rel_tol=1e-4), i
 
 
+def test_pieces_of_long_texts():
+    """Pieces cover the text and end after white space; their windows and words are those of the whole."""
+    rng = random.Random(3)
+    text = np.frombuffer((prose(rng, 300) + " " + "x" * 500 + "\n" + prose(rng, 40)).encode(), np.uint8)
+    cuts = list(context_tree.pieces_of(text, 200))
+    assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(text) and len(cuts) > 5
+    assert all(text[b - 1] in b" \n" for _, b in cuts[:-1]) and list(context_tree.pieces_of(text[:0], 200)) == [(0, 0)]
+    leads = [min(a, context_tree.DEPTH) for a, _ in cuts]
+    row = {"body": context_tree.zstandard.compress(b"".join(text[a - x : b].tobytes() for (a, b), x in zip(cuts, leads))), "sizes": [b - a + x for (a, b), x in zip(cuts, leads)], "leads": leads, "held": [False] * len(cuts), "last": [False] * (len(cuts) - 1) + [True]}
+    parts = context_tree.Body(row)
+    whole = context_tree.Body({"body": context_tree.zstandard.compress(text.tobytes()), "sizes": [len(text)], "leads": [0], "held": [False], "last": [True]})
+    assert all((x == y).all() for x, y in zip(parts.windows(), whole.windows()))
+    tokens = lambda b: [b.words()[0][int(i)].as_py() for i in b.words()[2]]
+    assert tokens(parts) == tokens(whole) == [w.encode() for w in text.tobytes().decode().split()] + [b"\n"]
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 50, 5000).astype(np.uint64))
+    assert (context_tree.places(keys, keys[::-1]) == np.arange(len(keys))[::-1]).all()
+
+
 def test_scores_add_up(spark, monkeypatch):
     """Small blocks, divided texts and deeper roots change nothing; bytes' probabilities sum to at most one."""
     rng = random.Random(9)
