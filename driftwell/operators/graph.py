@@ -3,17 +3,20 @@
 Graphs are edge tables (group_id, child_hash, parent_hash). Closures are built by doubling: each round joins the pairs
 found so far with themselves, so a history of depth n takes about log2(n) rounds; every round is cut from its lineage.
 All-pairs closures grow with the square of a group's history; give `closure` the frontier to start from where only that
-frontier's ancestors are wanted.
+frontier's ancestors are wanted, and use `Causal` to decide whether one change precedes another: it holds a number per
+change and device, no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.plans.lineage import cut
 
 NODE = ["group_id", "change_hash"]
+#: Rounds between two cuts and counts of `Causal`.
+ROUNDS = 4
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -55,10 +58,88 @@ def closure(frontier: DataFrame, edges: DataFrame, keys: list[str] | None = None
             reach = cut(reach)
 
 
-def lamports(changes: DataFrame, edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """changes with lamport: 1 for roots, else one more than the greatest of its parents."""
-    far = (ancestors(edges) if pairs is None else pairs).groupBy(*NODE).agg(F.max("distance").alias("far"))
-    return changes.join(far, NODE, "left").withColumn("lamport", (F.coalesce("far", F.lit(0)) + 1).cast("long")).drop("far")
+class Causal:
+    """Lamport numbers and device vectors of changes whose devices' own changes form chains.
+
+    seen (group_id, change_hash, device, upto): the greatest sequence number of each device among a change and its
+    ancestors, so a precedes b if b has seen a's device up to a. lamports (group_id, change_hash, lamport). pairs: all
+    ancestor pairs of the groups where some device's changes are no chain, or None if there are no such groups; those
+    groups are not in seen.
+
+    What a change has seen only grows along its device's chain, and only at changes with a parent of another device
+    ("jumps"). A round gives each jump what its parent has seen, the running maximum of the parent's chain; the rounds end
+    when nothing grows, after as many as the longest path has jumps. Parents that are not among the changes count for nothing.
+    """
+
+    def __init__(self, changes: DataFrame, edges: DataFrame):
+        own = changes.select(*NODE, "device_id", "seq")
+        guard = cut(chained(changes, edges).filter(~F.col("chained")).select("group_id"))
+        self.pairs: DataFrame | None = None
+        odd: DataFrame | None = None
+        if not guard.isEmpty():
+            self.pairs = ancestors(edges.join(guard, "group_id", "left_semi"))
+            odd = own.join(guard, "group_id", "left_semi").join(self.pairs.groupBy(*NODE).agg(F.max("distance").alias("far")), NODE, "left").select(*NODE, (F.coalesce("far", F.lit(0)) + 1).cast("long").alias("lamport"))
+            own = own.join(guard, "group_id", "left_anti")
+        own = cut(own)
+        self.own = own
+        child = own.select("group_id", F.col("change_hash").alias("child_hash"), F.col("device_id").alias("device"), F.col("seq").alias("at"))
+        parent = own.select("group_id", F.col("change_hash").alias("parent_hash"), F.col("device_id").alias("from_device"), F.col("seq").alias("from_seq"))
+        cross = edges.join(child, ["group_id", "child_hash"]).join(parent, ["group_id", "parent_hash"]).filter("device <> from_device").select("group_id", "device", "at", "from_device", "from_seq")
+        devices = own.select("group_id", F.col("device_id").alias("of")).distinct().unionByName(own.select("group_id", F.lit("").alias("of")).distinct())
+        cross = cut(cross.join(devices, "group_id").filter("of <> device"))
+        # `of` is a device, or empty for by how much a change's Lamport number is above its sequence number.
+        start = F.when(F.col("of") == "", F.col("from_seq") + 1 - F.col("at")).when(F.col("of") == F.col("from_device"), F.col("from_seq")).otherwise(0)
+        jumps = cut(cross.groupBy("group_id", "device", "at", "of").agg(F.max(start).alias("value")))
+        total = jumps.agg(F.sum("value")).first()[0]
+        asked = cross.select("group_id", F.col("from_device").alias("device"), F.col("from_seq").alias("seq"), "of", F.col("device").alias("to"), F.col("at").alias("to_at"))
+        step = F.when(F.col("of") == "", F.col("seq") + 1 - F.col("to_at") + F.col("value")).when(F.col("of") == F.col("device"), F.col("seq")).otherwise(F.col("value"))
+        while total is not None:
+            for _ in range(ROUNDS):
+                fresh = asof(jumps, asked).select("group_id", F.col("to").alias("device"), F.col("to_at").alias("at"), "of", step.alias("value"))
+                jumps = fresh.groupBy("group_id", "device", "at", "of").agg(F.max("value").alias("value"))
+            jumps = cut(jumps)
+            now = jumps.agg(F.sum("value")).first()[0]
+            if now == total:
+                break
+            total = now
+        asked = own.join(devices, "group_id").select("group_id", F.col("device_id").alias("device"), "seq", "of", "change_hash")
+        final = cut(asof(jumps, asked))
+        lamport = final.filter("of = ''").select(*NODE, (F.col("seq") + F.col("value")).cast("long").alias("lamport"))
+        self.lamports = lamport if odd is None else lamport.unionByName(odd)
+        upto = F.when(F.col("of") == F.col("device"), F.col("seq")).otherwise(F.col("value"))
+        self.seen = final.filter("of <> ''").select(*NODE, F.col("of").alias("device"), upto.alias("upto")).filter("upto > 0")
+
+    def with_lamports(self, changes: DataFrame) -> DataFrame:
+        """changes with lamport: 1 for roots, else one more than the greatest of its parents."""
+        return changes.join(self.lamports, NODE)
+
+    def path_heads(self, touches: DataFrame) -> DataFrame:
+        """touches that no other change touching the same path has as an ancestor."""
+        known = touches.join(self.own.select(*NODE, F.col("device_id").alias("_device"), F.col("seq").alias("_seq")), NODE)
+        strict = known.select("group_id", "path", "change_hash", "_device", "_seq").distinct().join(self.seen, NODE)
+        upto = F.when(F.col("device") == F.col("_device"), F.col("_seq") - 1).otherwise(F.col("upto"))
+        most = strict.groupBy("group_id", "path", F.col("device").alias("_device")).agg(F.max(upto).alias("_upto"))
+        out = known.join(most, ["group_id", "path", "_device"], "left").filter(F.coalesce("_upto", F.lit(0)) < F.col("_seq")).select(*touches.columns)
+        return out if self.pairs is None else out.unionByName(path_heads(touches.join(self.own, NODE, "left_anti"), self.pairs).select(*touches.columns))
+
+    def precedes(self, pairs: DataFrame) -> DataFrame:
+        """pairs(group_id, a, b, ...) with precedes: whether change a is an ancestor of change b."""
+        first = self.own.select("group_id", F.col("change_hash").alias("a"), F.col("device_id").alias("_device"), F.col("seq").alias("_seq"))
+        seen = self.seen.select("group_id", F.col("change_hash").alias("b"), F.col("device").alias("_device"), F.col("upto").alias("_upto"))
+        out = pairs.join(first, ["group_id", "a"], "left").join(seen, ["group_id", "b", "_device"], "left")
+        out = out.withColumn("precedes", (F.col("a") != F.col("b")) & F.coalesce(F.col("_upto") >= F.col("_seq"), F.lit(False)))
+        if self.pairs is not None:
+            reach = self.pairs.select("group_id", F.col("change_hash").alias("b"), F.col("ancestor").alias("a"), F.lit(True).alias("_reach"))
+            out = out.join(reach, ["group_id", "a", "b"], "left").withColumn("precedes", F.col("precedes") | F.coalesce("_reach", F.lit(False)))
+        return out.select(*pairs.columns, "precedes")
+
+
+def asof(jumps: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(group_id, device, seq, of, ...) with value: the greatest of the device's jumps up to that sequence number, or 0."""
+    extra = [c for c in asked.columns if c not in ("group_id", "device", "seq", "of")]
+    rows = asked.withColumn("_asked", F.lit(1)).withColumn("value", F.lit(0).cast("long")).unionByName(jumps.withColumnRenamed("at", "seq").withColumn("_asked", F.lit(0)), allowMissingColumns=True)
+    along = Window.partitionBy("group_id", "device", "of").orderBy("seq", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("value", F.max("value").over(along)).filter("_asked = 1").select("group_id", "device", "seq", "of", *extra, "value")
 
 
 def heads(changes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,15 +147,14 @@ def heads(changes: DataFrame, edges: DataFrame) -> DataFrame:
     return changes.join(edges.select("group_id", F.col("parent_hash").alias("change_hash")), NODE, "left_anti")
 
 
-def compare(pairs: DataFrame, known: DataFrame, reach: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, known: DataFrame, causal: Causal) -> DataFrame:
     """pairs(group_id, a, b) with relation: Equal, Before, After, Concurrent, or null if either is unknown."""
-    up = reach.select("group_id", F.col("change_hash").alias("b"), F.col("ancestor").alias("a"), F.lit(True).alias("before"))
-    down = reach.select("group_id", F.col("change_hash").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("after"))
     names = known.select("group_id", F.col("change_hash"), F.lit(True).alias("k"))
     out = pairs.join(names.select("group_id", F.col("change_hash").alias("a"), F.col("k").alias("ka")), ["group_id", "a"], "left").join(names.select("group_id", F.col("change_hash").alias("b"), F.col("k").alias("kb")), ["group_id", "b"], "left")
-    out = out.join(up, ["group_id", "a", "b"], "left").join(down, ["group_id", "a", "b"], "left")
+    out = causal.precedes(out).withColumnRenamed("precedes", "before")
+    back = causal.precedes(out.select(F.col("group_id"), F.col("a").alias("b"), F.col("b").alias("a"), "ka", "kb", "before")).select("group_id", F.col("b").alias("a"), F.col("a").alias("b"), "ka", "kb", "before", F.col("precedes").alias("after"))
     relation = F.when(F.col("ka").isNull() | F.col("kb").isNull(), None).when(F.col("a") == F.col("b"), "Equal").when(F.col("before"), "Before").when(F.col("after"), "After").otherwise("Concurrent")
-    return out.select("group_id", "a", "b", relation.alias("relation"))
+    return back.select("group_id", "a", "b", relation.alias("relation"))
 
 
 def admitted(received: DataFrame, edges: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -125,29 +205,26 @@ def conflict_copies(heads_: DataFrame) -> DataFrame:
     return best.join(won, ["group_id", "path"]).filter(F.col("best") != F.col("won")).select("group_id", "path", F.col("best.change_hash").alias("losing_change"), "version_hash")
 
 
-def prune_plan(frontiers: DataFrame, devices: DataFrame, edges: DataFrame) -> DataFrame:
+def prune_plan(frontiers: DataFrame, devices: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
     """(group_id, change_hash, role): changes that every device of the group has, the newest as frontier, the rest pruned.
 
-    devices: all (group_id, device_id); one without a frontier blocks its group.
+    devices: all (group_id, device_id); one without a frontier blocks its group. A device has a change if its frontier
+    has seen the change's device that far, so the common changes are those up to the least that any frontier has seen.
     """
-    reach = closure(frontiers, edges, ["group_id", "device_id"])
+    causal = Causal(changes, edges)
     wanted = devices.groupBy("group_id").agg(F.countDistinct("device_id").alias("n"))
-    common = reach.groupBy(*NODE).agg(F.countDistinct("device_id").alias("has")).join(wanted, "group_id").filter("has = n").select(*NODE)
+    has = frontiers.select("group_id", F.col("device_id").alias("holder"), "change_hash").join(causal.seen, NODE).groupBy("group_id", "device", "holder").agg(F.max("upto").alias("upto"))
+    least = has.groupBy("group_id", "device").agg(F.count("*").alias("has"), F.min("upto").alias("upto")).join(wanted, "group_id").filter("has = n").select("group_id", F.col("device").alias("device_id"), "upto")
+    common = causal.own.join(least, ["group_id", "device_id"]).filter("seq <= upto").select(*NODE)
+    if causal.pairs is not None:
+        odd = frontiers.join(causal.own, NODE, "left_anti")
+        reach = closure(odd, edges, ["group_id", "device_id"])
+        common = common.unionByName(reach.groupBy(*NODE).agg(F.countDistinct("device_id").alias("has")).join(wanted, "group_id").filter("has = n").select(*NODE))
+    common = cut(common)
     below = edges.join(common.select("group_id", F.col("change_hash").alias("child_hash")), ["group_id", "child_hash"], "left_semi").select("group_id", F.col("parent_hash").alias("change_hash")).distinct().withColumn("below", F.lit(True))
     return common.join(below, NODE, "left").select(*NODE, F.when(F.col("below"), "pruned").otherwise("frontier").alias("role"))
 
 
-def device_vectors(changes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(group_id, change_hash, vector): the greatest sequence number of each device among a change and its ancestors.
-
-    change a precedes b if vector(b)[device(a)] >= seq(a), provided each device's own changes form a chain; see `chained`.
-    """
-    own = changes.select(*NODE, "device_id", "seq")
-    seen = reach.select(*NODE, "ancestor").join(own.select("group_id", F.col("change_hash").alias("ancestor"), "device_id", "seq"), ["group_id", "ancestor"]).select(*NODE, "device_id", "seq")
-    most = own.unionByName(seen).groupBy(*NODE, "device_id").agg(F.max("seq").alias("seq"))
-    return most.groupBy(*NODE).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("device_id", "seq")))).alias("vector"))
-
-
 def chained(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(group_id, chained): whether every device's changes, by sequence, have the one before among their parents."""
     own = changes.select("group_id", "device_id", "seq", "change_hash")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.operators.graph import Causal
+
 NODE = ["group_id", "change_hash"]
 DAY_US = 86_400_000_000
 
@@ -34,12 +36,18 @@ def older_loses() -> Column:
     return F.when(F.struct("a_mtime", "a_device") < F.struct("b_mtime", "b_device"), "a").otherwise("b")
 
 
-def required_copies(copies: DataFrame, heads: DataFrame, touches: DataFrame, reach: DataFrame) -> DataFrame:
+def required_copies(copies: DataFrame, heads: DataFrame, touches: DataFrame, causal: Causal) -> DataFrame:
     """copies (with target) that are still wanted: their content does not live at the target, and nothing at or after the loser acted on the target."""
     there = heads.filter(F.col("version_hash").isNotNull()).select("group_id", F.col("path").alias("target"), "version_hash")
+    keys = ["group_id", "target", "losing_change"]
     after = touches.select("group_id", F.col("path").alias("target"), "change_hash")
-    acted = after.join(reach.select("group_id", "change_hash", F.col("ancestor").alias("losing_change")), NODE).select("group_id", "target", "losing_change").unionByName(after.withColumnRenamed("change_hash", "losing_change"))
-    left = copies.join(there, ["group_id", "target", "version_hash"], "left_anti").join(acted, ["group_id", "target", "losing_change"], "left_anti")
+    upto = after.join(causal.seen, NODE).groupBy("group_id", "target", F.col("device").alias("device_id")).agg(F.max("upto").alias("upto"))
+    losers = copies.join(causal.own.withColumnRenamed("change_hash", "losing_change"), ["group_id", "losing_change"])
+    acted = losers.join(upto, ["group_id", "target", "device_id"]).filter("seq <= upto").select(*keys)
+    if causal.pairs is not None:
+        odd = after.join(causal.own, NODE, "left_anti")
+        acted = acted.unionByName(odd.join(causal.pairs.select(*NODE, F.col("ancestor").alias("losing_change")), NODE).select(*keys)).unionByName(odd.withColumnRenamed("change_hash", "losing_change"))
+    left = copies.join(there, ["group_id", "target", "version_hash"], "left_anti").join(acted, keys, "left_anti")
     return left.select("group_id", "path", "losing_change", "version_hash", "target")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwell.operators import graph as G
 from driftwell.operators import history as H
 from driftwell.plans.catalog import Views, query
+from driftwell.plans.lineage import cut
 
 REACH = """reach(group_id, change_hash, ancestor) AS (SELECT group_id, child_hash, parent_hash FROM fx_edges
   UNION SELECT r.group_id, r.change_hash, e.parent_hash FROM reach r JOIN fx_edges e ON e.group_id = r.group_id AND e.child_hash = r.ancestor)"""
@@ -23,21 +24,22 @@ GRAPH = f"WITH RECURSIVE {REACH}, {LAMPORT}, {PATH_HEADS} "
 RESOLVED = "SELECT group_id, path, w[1][2] AS winner, w[2] AS winner_version, n_heads, coalesce(n_copies, 0) AS n_copies FROM (SELECT group_id, path, count(*) AS n_heads FROM ph GROUP BY ALL) LEFT JOIN won USING (group_id, path)"
 
 
-def with_lamports(v: Views) -> tuple[DataFrame, DataFrame]:
-    """(changes with lamport, all ancestor pairs)."""
-    pairs = G.ancestors(v.fx_edges)
-    return G.lamports(v.fx_changes, v.fx_edges, pairs), pairs
+def causal_of(v: Views) -> G.Causal:
+    return G.Causal(v.fx_changes, v.fx_edges)
 
 
-def heads_of_paths(v: Views) -> DataFrame:
-    changes, pairs = with_lamports(v)
-    found = G.path_heads(v.fx_touches, pairs)
-    return found.join(changes.select(*G.NODE, "lamport"), G.NODE)
+def with_lamports(v: Views) -> DataFrame:
+    return causal_of(v).with_lamports(v.fx_changes)
+
+
+def heads_of_paths(v: Views, causal: G.Causal | None = None) -> DataFrame:
+    causal = causal or causal_of(v)
+    return causal.path_heads(v.fx_touches).join(causal.lamports, G.NODE)
 
 
 @query("src1_change_log", f"WITH RECURSIVE {LAMPORT} SELECT group_id, change_hash, device_id, lamport, row_number() OVER (PARTITION BY group_id ORDER BY lamport, change_hash) AS nth FROM fx_changes JOIN lam USING (group_id, change_hash)")
 def src1(v):
-    changes, _ = with_lamports(v)
+    changes = with_lamports(v)
     return H.total_order(changes).select("group_id", "change_hash", "device_id", "lamport", "nth")
 
 
@@ -78,7 +80,7 @@ def pairs_to_compare(v: Views) -> DataFrame:
 SELECT group_id, a, b, CASE WHEN b = 'unknown' THEN NULL WHEN a = b THEN 'Equal' WHEN EXISTS (SELECT 1 FROM reach r WHERE r.group_id = q.group_id AND r.change_hash = b AND r.ancestor = a) THEN 'Before'
   WHEN EXISTS (SELECT 1 FROM reach r WHERE r.group_id = q.group_id AND r.change_hash = a AND r.ancestor = b) THEN 'After' ELSE 'Concurrent' END AS relation FROM q""")
 def gr3(v):
-    return G.compare(pairs_to_compare(v), v.fx_changes, G.ancestors(v.fx_edges))
+    return G.compare(pairs_to_compare(v), v.fx_changes, causal_of(v))
 
 
 ORPHANS = """own AS (SELECT e.* FROM fx_edges e SEMI JOIN fx_received r ON r.change_hash = e.child_hash),
@@ -97,7 +99,7 @@ def gr5(v):
 
 @query("gr6_path_heads", GRAPH + "SELECT group_id, path, change_hash, version_hash, kind FROM th")
 def gr6(v):
-    return G.path_heads(v.fx_touches, G.ancestors(v.fx_edges)).select("group_id", "path", "change_hash", "version_hash", "kind")
+    return causal_of(v).path_heads(v.fx_touches).select("group_id", "path", "change_hash", "version_hash", "kind")
 
 
 @query("gr7_path_resolution", GRAPH + RESOLVED)
@@ -122,10 +124,10 @@ SELECT group_id, path, losing_change, version_hash, target FROM named n
 WHERE NOT EXISTS (SELECT 1 FROM ph WHERE ph.group_id = n.group_id AND ph.path = n.target AND ph.version_hash = n.version_hash)
   AND NOT EXISTS (SELECT 1 FROM fx_touches t LEFT JOIN reach r ON r.group_id = t.group_id AND r.change_hash = t.change_hash AND r.ancestor = n.losing_change WHERE t.group_id = n.group_id AND t.path = n.target AND (t.change_hash = n.losing_change OR r.ancestor IS NOT NULL))""")
 def gr9(v):
-    changes, pairs = with_lamports(v)
-    found = G.path_heads(v.fx_touches, pairs).join(changes.select(*G.NODE, "lamport"), G.NODE)
+    causal = causal_of(v)
+    found = cut(heads_of_paths(v, causal))
     target = F.concat(F.lit("dir"), F.substring("path", 4, 1), F.lit("/m"), F.expr("substring(path, 7)"))
-    return H.required_copies(G.conflict_copies(found).withColumn("target", target), found, v.fx_touches, pairs)
+    return H.required_copies(G.conflict_copies(found).withColumn("target", target), found, v.fx_touches, causal)
 
 
 CLAIMS = """copies AS (SELECT group_id, path, b[2] AS losing_change, version_hash FROM best JOIN won USING (group_id, path) WHERE b <> w[1]),
@@ -142,7 +144,7 @@ def claims_of(v: Views) -> DataFrame:
   WHEN k.losing_change IS NULL THEN 'not a loser' ELSE 'ok' END AS verdict
 FROM claims c LEFT JOIN ph h ON h.group_id = c.group_id AND h.path = c.path AND h.change_hash = c.losing_change LEFT JOIN copies k ON k.group_id = c.group_id AND k.path = c.path AND k.losing_change = c.losing_change""")
 def gr10(v):
-    found = heads_of_paths(v)
+    found = cut(heads_of_paths(v))
     return H.audit_claims(claims_of(v), found, G.conflict_copies(found))
 
 
@@ -172,9 +174,9 @@ def gr11(v):
 @query("gr12_frontier_domination", """WITH RECURSIVE c(group_id, device_id, change_hash) AS (SELECT * FROM fx_frontier UNION SELECT c.group_id, c.device_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash)
 SELECT f.group_id, f.device_id, x.change_hash, EXISTS (SELECT 1 FROM c WHERE c.group_id = f.group_id AND c.device_id = f.device_id AND c.change_hash = x.change_hash) AS dominates FROM fx_frontier f JOIN fx_frontier x USING (group_id)""")
 def gr12(v):
-    asked = v.fx_frontier.select("group_id", "device_id").join(v.fx_frontier.select("group_id", "change_hash"), "group_id")
-    held = G.closure(v.fx_frontier, v.fx_edges, ["group_id", "device_id"]).withColumn("held", F.lit(True))
-    return asked.join(held, ["group_id", "device_id", "change_hash"], "left").select("group_id", "device_id", "change_hash", F.coalesce("held", F.lit(False)).alias("dominates"))
+    asked = v.fx_frontier.select("group_id", "device_id", F.col("change_hash").alias("b")).join(v.fx_frontier.select("group_id", F.col("change_hash").alias("a")), "group_id")
+    found = causal_of(v).precedes(asked)
+    return found.select("group_id", "device_id", F.col("a").alias("change_hash"), (F.col("precedes") | (F.col("a") == F.col("b"))).alias("dominates"))
 
 
 PRUNE = """WITH RECURSIVE c(group_id, device_id, change_hash) AS (SELECT * FROM fx_frontier UNION SELECT c.group_id, c.device_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash),
@@ -184,7 +186,7 @@ plan AS (SELECT group_id, change_hash, CASE WHEN change_hash IN (SELECT e.parent
 
 
 def plan_of(v: Views) -> DataFrame:
-    return G.prune_plan(v.fx_frontier, v.fx_changes.select("group_id", "device_id").distinct(), v.fx_edges)
+    return G.prune_plan(v.fx_frontier, v.fx_changes.select("group_id", "device_id").distinct(), v.fx_edges, v.fx_changes)
 
 
 @query("gr13_prune_plan", PRUNE + "SELECT * FROM plan")
@@ -232,8 +234,7 @@ def gr18(v):
 @query("gr19_device_vectors", f"""WITH RECURSIVE {REACH}, seen AS (SELECT group_id, change_hash, change_hash AS ancestor FROM fx_changes UNION ALL SELECT * FROM reach)
 SELECT s.group_id, s.change_hash, c.device_id, max(c.seq) AS seq FROM seen s JOIN fx_changes c ON c.group_id = s.group_id AND c.change_hash = s.ancestor GROUP BY ALL""")
 def gr19(v):
-    vectors = G.device_vectors(v.fx_changes, G.ancestors(v.fx_edges))
-    return vectors.select("group_id", "change_hash", F.explode("vector").alias("device_id", "seq"))
+    return causal_of(v).seen.select("group_id", "change_hash", F.col("device").alias("device_id"), F.col("upto").alias("seq"))
 
 
 @query("gr19_chain_guard", "SELECT DISTINCT group_id, true AS chained FROM (SELECT group_id FROM fx_changes GROUP BY group_id, device_id HAVING count(*) > 1)")
@@ -273,14 +274,14 @@ def ag16(v):
 @query("ag18_lamport_expectation", f"""WITH RECURSIVE {LAMPORT}, stored AS (SELECT group_id, change_hash, lamport + CASE WHEN substring(change_hash, 1, 2) = '00' THEN 1 ELSE 0 END AS lamport FROM lam)
 SELECT c.group_id, c.change_hash, c.lamport, coalesce(max(p.lamport), 0) + 1 AS expected FROM stored c LEFT JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash LEFT JOIN stored p ON p.group_id = e.group_id AND p.change_hash = e.parent_hash GROUP BY ALL HAVING c.lamport <> coalesce(max(p.lamport), 0) + 1""")
 def ag18(v):
-    changes, _ = with_lamports(v)
+    changes = with_lamports(v)
     stored = changes.withColumn("lamport", F.col("lamport") + F.when(F.substring("change_hash", 1, 2) == "00", 1).otherwise(0))
     return H.lamport_mismatches(stored, v.fx_edges)
 
 
 @query("ag19_last_change_per_device_path", f"WITH RECURSIVE {LAMPORT} SELECT t.group_id, device_id, path, arg_max(t.change_hash, row(lamport, t.change_hash)) AS change_hash FROM fx_touches t JOIN lam USING (group_id, change_hash) GROUP BY ALL")
 def ag19(v):
-    changes, _ = with_lamports(v)
+    changes = with_lamports(v)
     rows = v.fx_touches.join(changes.select(*G.NODE, "lamport"), G.NODE)
     return rows.groupBy("group_id", "device_id", "path").agg(F.max_by("change_hash", F.struct("lamport", "change_hash")).alias("change_hash"))
 
@@ -293,7 +294,7 @@ def ag20(v):
 
 @query("tk1_total_order", f"WITH RECURSIVE {LAMPORT} SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY lamport, change_hash) AS nth FROM lam")
 def tk1(v):
-    return H.total_order(with_lamports(v)[0]).select("group_id", "change_hash", "nth")
+    return H.total_order(with_lamports(v)).select("group_id", "change_hash", "nth")
 
 
 @query("tk3_orphan_bound", f"""WITH RECURSIVE {ORPHANS}, ranked AS (SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY received_seq DESC) AS nth FROM orphan JOIN fx_received USING (group_id, change_hash))
@@ -306,7 +307,7 @@ def tk3(v):
 @query("tk5_ancestor_batch", f"""WITH RECURSIVE {LAMPORT}, c(group_id, change_hash) AS (SELECT group_id, change_hash FROM fx_frontier UNION SELECT c.group_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash),
 r AS (SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY lamport, change_hash) AS nth FROM c JOIN lam USING (group_id, change_hash)) SELECT * FROM r WHERE nth <= 16""")
 def tk5(v):
-    changes, _ = with_lamports(v)
+    changes = with_lamports(v)
     wanted = G.closure(v.fx_frontier.select(*G.NODE), v.fx_edges)
     return H.total_order(changes.join(wanted, G.NODE, "left_semi")).filter("nth <= 16").select("group_id", "change_hash", "nth")
 

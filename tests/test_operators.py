@@ -12,13 +12,17 @@ from driftwell.operators import graph as G
 from driftwell.streaming import sessions as S
 
 
-def random_history(seed, n=25):
+def random_history(seed, chains, n=25):
+    """With chains, each of three devices has its last change among the parents of its next."""
     rng = random.Random(seed)
     changes, edges, touches, parents = [], [], [], {}
     for i in range(n):
         mine = sorted(rng.sample(range(i), min(i, rng.choice([0, 1, 1, 2]))))
+        own = [j for j in range(i) if j % 3 == i % 3]
+        if chains and own:
+            mine = sorted({*mine, own[-1]})
         parents[i] = mine
-        changes.append((1, f"c{i:02}"))
+        changes.append((1, f"c{i:02}", f"d{i % 3}", i // 3 + 1))
         edges += [(1, f"c{i:02}", f"c{p:02}") for p in mine]
         touches.append((1, f"c{i:02}", f"p{rng.randint(0, 3)}", rng.choice([None, "v1", "v2", "v3"])))
     return changes, edges, touches, parents
@@ -43,20 +47,24 @@ def fold(changes, touches, parents):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_resolution_is_the_same_in_any_order(spark, seed):
-    changes, edges, touches, parents = random_history(seed)
+@pytest.mark.parametrize("seed,chains", [(0, False), (1, True), (2, True)])
+def test_resolution_is_the_same_in_any_order(spark, seed, chains):
+    changes, edges, touches, parents = random_history(seed, chains)
     wanted = fold(changes, touches, parents)
     for shuffle in (1, 2):
         rng = random.Random(shuffle)
         c, e, t = (rng.sample(x, len(x)) for x in (changes, edges, touches))
-        cs = spark.createDataFrame(c, "group_id long, change_hash string")
+        cs = spark.createDataFrame(c, "group_id long, change_hash string, device_id string, seq long")
         es = spark.createDataFrame(e, "group_id long, child_hash string, parent_hash string")
         ts = spark.createDataFrame(t, "group_id long, change_hash string, path string, version_hash string")
-        pairs = G.ancestors(es)
-        heads = G.path_heads(ts, pairs).join(G.lamports(cs, es, pairs), G.NODE)
+        causal = G.Causal(cs, es)
+        assert (causal.pairs is None) == chains
+        heads = causal.path_heads(ts).join(causal.lamports, G.NODE)
         found = {r.path: (r.winner, r.winner_version, r.n_heads, r.n_copies) for r in G.resolve(heads).collect()}
         assert found == wanted
+        reach = {(r.ancestor, r.change_hash) for r in G.ancestors(es).collect()}
+        every = cs.select("group_id", F.col("change_hash").alias("a")).join(cs.select("group_id", F.col("change_hash").alias("b")), "group_id")
+        assert {(r.a, r.b) for r in causal.precedes(every).filter("precedes").collect()} == reach
 
 
 def test_closure_is_the_same_for_any_step(spark):
