@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 PATH = ["group_id", "path"]
 
 
+#: Digits of an item's hash that choose its part of a digest: 16^DIGITS parts of a group.
+DIGITS = 2
+
+
 def build_history(writes: DataFrame) -> DataFrame:
     """Ordered writes as versions: numbered from 1; the last is current, one that a delete ended is trashed, others superseded."""
     order = Window.partitionBy(*PATH).orderBy("us", "event_id")
@@ -100,6 +104,12 @@ def triage(files: DataFrame, disk: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, keys: list[str], items: list[str], name: str = "digest") -> DataFrame:
-    """A digest per key over the sorted, different items, each written as its columns joined by ':'."""
+    """A digest per key over the sorted, different items, each written as its columns joined by ':'.
+
+    In two levels, so that no group has to fit in a row: items are dealt by the first two digits of their hashes, each
+    part is digested, and the digest of a key is that of its parts' digests in order. Large groups take more digits.
+    """
     text = F.concat_ws(":", *[F.coalesce(F.col(i).cast("string"), F.lit("-")) for i in items])
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_set(text)), ","), 256).alias(name))
+    parts = rows.select(*keys, F.sha2(text, 256).alias("_item")).withColumn("_part", F.substring("_item", 1, DIGITS))
+    each = parts.groupBy(*keys, "_part").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("_item")), ","), 256).alias("_digest"))
+    return each.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "_digest"))), lambda x: x["_digest"]), ","), 256).alias(name))

@@ -72,15 +72,15 @@ class Causal:
     """
 
     def __init__(self, changes: DataFrame, edges: DataFrame):
-        own = changes.select(*NODE, "device_id", "seq")
-        guard = cut(chained(changes, edges).filter(~F.col("chained")).select("group_id"))
+        own = cut(changes.select(*NODE, "device_id", "seq"))
+        self.edges = edges = cut(edges.select("group_id", "child_hash", "parent_hash"))
+        guard = cut(chained(own, edges).filter(~F.col("chained")).select("group_id"))
         self.pairs: DataFrame | None = None
         odd: DataFrame | None = None
         if not guard.isEmpty():
             self.pairs = ancestors(edges.join(guard, "group_id", "left_semi"))
             odd = own.join(guard, "group_id", "left_semi").join(self.pairs.groupBy(*NODE).agg(F.max("distance").alias("far")), NODE, "left").select(*NODE, (F.coalesce("far", F.lit(0)) + 1).cast("long").alias("lamport"))
-            own = own.join(guard, "group_id", "left_anti")
-        own = cut(own)
+            own = cut(own.join(guard, "group_id", "left_anti"))
         self.own = own
         child = own.select("group_id", F.col("change_hash").alias("child_hash"), F.col("device_id").alias("device"), F.col("seq").alias("at"))
         parent = own.select("group_id", F.col("change_hash").alias("parent_hash"), F.col("device_id").alias("from_device"), F.col("seq").alias("from_seq"))
@@ -221,7 +221,7 @@ def prune_plan(frontiers: DataFrame, devices: DataFrame, edges: DataFrame, chang
         reach = closure(odd, edges, ["group_id", "device_id"])
         common = common.unionByName(reach.groupBy(*NODE).agg(F.countDistinct("device_id").alias("has")).join(wanted, "group_id").filter("has = n").select(*NODE))
     common = cut(common)
-    below = edges.join(common.select("group_id", F.col("change_hash").alias("child_hash")), ["group_id", "child_hash"], "left_semi").select("group_id", F.col("parent_hash").alias("change_hash")).distinct().withColumn("below", F.lit(True))
+    below = causal.edges.join(common.select("group_id", F.col("change_hash").alias("child_hash")), ["group_id", "child_hash"], "left_semi").select("group_id", F.col("parent_hash").alias("change_hash")).distinct().withColumn("below", F.lit(True))
     return common.join(below, NODE, "left").select(*NODE, F.when(F.col("below"), "pruned").otherwise("frontier").alias("role"))
 
 

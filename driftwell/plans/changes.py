@@ -131,12 +131,12 @@ def gr9(v):
 
 
 CLAIMS = """copies AS (SELECT group_id, path, b[2] AS losing_change, version_hash FROM best JOIN won USING (group_id, path) WHERE b <> w[1]),
-claims AS (SELECT group_id, path, change_hash AS losing_change, CASE WHEN substring(change_hash, 1, 1) = '0' THEN 'wrong' ELSE version_hash END AS version_hash FROM fx_touches WHERE substring(change_hash, 2, 1) IN ('1', '2'))"""
+claims AS (SELECT group_id, path, change_hash AS losing_change, CASE WHEN substring(change_hash, 1, 1) = '0' THEN 'wrong' ELSE version_hash END AS version_hash FROM fx_touches WHERE substring(change_hash, 2, 1) <> '1')"""
 
 
 def claims_of(v: Views) -> DataFrame:
-    """Claims to judge: some changes' touches, a few of them with another version."""
-    claims = v.fx_touches.filter(F.substring("change_hash", 2, 1).isin("1", "2"))
+    """Claims to judge: all touches but a few, which stand for copies that nobody claims; some with another version."""
+    claims = v.fx_touches.filter(F.substring("change_hash", 2, 1) != "1")
     return claims.select("group_id", "path", F.col("change_hash").alias("losing_change"), F.when(F.substring("change_hash", 1, 1) == "0", "wrong").otherwise(F.col("version_hash")).alias("version_hash"))
 
 
@@ -242,14 +242,17 @@ def gr19_guard(v):
     return G.chained(v.fx_changes, v.fx_edges)
 
 
-@query("gr20_last_writer_wins", """WITH e AS (SELECT *, least(us + CASE WHEN event_id % 19 = 0 THEN 400000000000 ELSE 0 END, 1706745600000000 + 86400000000) AS eff FROM fx_writes)
-SELECT a.group_id, a.path, a.event_id AS a, b.event_id AS b, CASE WHEN a.eff < b.eff THEN 'a' WHEN a.eff > b.eff THEN 'b' WHEN a.device_id < b.device_id THEN 'a' ELSE 'b' END AS loser FROM e a JOIN e b ON b.group_id = a.group_id AND b.path = a.path AND b.event_id > a.event_id AND b.event_id - a.event_id < 500 AND a.device_id <> b.device_id""")
+@query("gr20_last_writer_wins", """WITH e AS (SELECT *, least(us + CASE WHEN event_id % 19 = 0 THEN 400000000000 ELSE 0 END, 1706745600000000 + 86400000000) AS eff FROM fx_writes),
+p AS (SELECT *, lag(event_id) OVER w AS a, lag(eff) OVER w AS a_eff, lag(device_id) OVER w AS a_device FROM e WINDOW w AS (PARTITION BY group_id, path ORDER BY event_id, us, version_hash NULLS FIRST))
+SELECT group_id, path, a, event_id AS b, CASE WHEN a_eff < eff THEN 'a' WHEN a_eff > eff THEN 'b' WHEN a_device < device_id THEN 'a' ELSE 'b' END AS loser FROM p WHERE a_device <> device_id""")
 def gr20(v):
+    """Every write of a path against the one before it, where that is another device's."""
     now = 1706745600000000
     w = v.fx_writes.withColumn("mtime", F.col("us") + F.when(F.col("event_id") % 19 == 0, 400000000000).otherwise(0))
     w = H.clamp_future(w, "mtime", now)
-    a, b = (w.select("group_id", "path", F.col("event_id").alias(x), F.col("mtime").alias(f"{x}_mtime"), F.col("device_id").alias(f"{x}_device")) for x in "ab")
-    pairs = a.join(b, ["group_id", "path"]).filter("b > a AND b - a < 500 AND a_device <> b_device")
+    along = Window.partitionBy("group_id", "path").orderBy("event_id", "us", F.col("version_hash").asc_nulls_first())
+    before = [F.lag(c).over(along).alias(f"a{d}") for c, d in (("event_id", ""), ("mtime", "_mtime"), ("device_id", "_device"))]
+    pairs = w.select("group_id", "path", F.col("event_id").alias("b"), F.col("mtime").alias("b_mtime"), F.col("device_id").alias("b_device"), *before).filter("a_device <> b_device")
     return pairs.select("group_id", "path", "a", "b", H.older_loses().alias("loser"))
 
 
@@ -322,10 +325,11 @@ def jn6(v):
     return v.fx_touches.filter("version_hash IS NOT NULL").join(v.fx_versions, "version_hash", "left_anti").groupBy("group_id", "change_hash").agg(F.min("version_hash").alias("missing"))
 
 
-@query("jn4_unreferenced_versions", "SELECT version_hash FROM fx_versions WHERE version_hash NOT IN (SELECT version_hash FROM fx_touches WHERE version_hash IS NOT NULL AND group_id % 2 = 0 AND path LIKE '%f1%')")
+@query("jn4_unreferenced_versions", "SELECT DISTINCT group_id, version_hash FROM fx_touches WHERE version_hash IS NOT NULL EXCEPT SELECT group_id, version_hash FROM fx_files WHERE state = 'current' AND NOT deleted")
 def jn4(v):
-    used = v.fx_touches.filter("version_hash IS NOT NULL AND group_id % 2 = 0 AND path LIKE '%f1%'").select("version_hash")
-    return v.fx_versions.join(used, "version_hash", "left_anti").select("version_hash")
+    """Versions that a group's history names but none of its current files has."""
+    live = v.fx_files.filter("state = 'current' AND NOT deleted").select("group_id", "version_hash")
+    return v.fx_touches.filter("version_hash IS NOT NULL").select("group_id", "version_hash").distinct().join(live, ["group_id", "version_hash"], "left_anti")
 
 
 @query("jn12_auth_monotonicity", """SELECT a.group_id, a.change_hash, CASE WHEN count(*) FILTER (e.parent_hash IS NOT NULL AND p.change_hash IS NULL) > 0 THEN 'hold' WHEN a.auth_seq < max(p.auth_seq) OR a.auth_epoch < max(p.auth_epoch) THEN 'regressed' ELSE 'ok' END AS verdict

@@ -90,7 +90,8 @@ def flt11(v):
     return rows.filter("stored <> own").select("group_id", "path", "version_seq", "own")
 
 
-DIGEST = "sha256(array_to_string(list_sort(list_distinct(list({}))), ','))"
+#: Item hashes in order, digested by their first two digits, and the parts' digests digested again.
+DIGEST = "sha256(array_to_string(list_transform(list_sort(list_distinct(list(substring(sha256({0}), 1, 2)))), lambda p: sha256(array_to_string(list_filter(list_sort(list_distinct(list(sha256({0})))), lambda h: substring(h, 1, 2) = p), ','))), ','))"
 
 
 @query("dig1_durability_roots", f"SELECT group_id, {DIGEST.format('path || chr(58) || version_hash')} AS digest FROM fx_files WHERE {LIVE} GROUP BY group_id")
@@ -206,10 +207,10 @@ def jn5(v):
     return old.join(b.filter("doc_id % 3 <> 0"), "hash", "left_anti").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("jn3_block_authorization", f"WITH {BLOCKS} SELECT DISTINCT doc_id, hash FROM blocks r WHERE ord = 0 AND EXISTS (SELECT 1 FROM blocks b WHERE b.hash = r.hash AND b.doc_id % 4 = 1)")
+@query("jn3_block_authorization", f"WITH {BLOCKS} SELECT DISTINCT doc_id, hash FROM blocks r WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.hash = r.hash AND b.doc_id % 4 = 1)")
 def jn3(v):
     b = blocks(v)
-    return b.filter("ord = 0").join(b.filter("doc_id % 4 = 1").select("hash"), "hash", "left_semi").select("doc_id", "hash").distinct()
+    return b.join(b.filter("doc_id % 4 = 1").select("hash"), "hash", "left_semi").select("doc_id", "hash").distinct()
 
 
 @query("jn15_durable_holding", f"WITH {BLOCKS} SELECT doc_id, count(*) AS n_blocks, bool_and(hash IN (SELECT hash FROM blocks WHERE doc_id % 5 <> 0)) AS durable FROM blocks GROUP BY doc_id")

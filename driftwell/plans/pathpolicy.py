@@ -105,12 +105,15 @@ def collisions(v: Views, key):
     return a.join(b, "key").filter("a < b").select("a", "b")
 
 
-@query("jn7_nested_links", "SELECT a.link_id AS outer_link, b.link_id AS inner_link, CASE WHEN a.local_path = b.local_path THEN 'same' ELSE 'inside' END AS relation FROM fx_links a JOIN (SELECT link_id, CASE WHEN link_id % 4 = 0 THEN local_path || '/sub' ELSE local_path END AS local_path FROM fx_links) b ON (a.local_path = b.local_path OR starts_with(b.local_path, a.local_path || '/')) AND a.link_id <> b.link_id WHERE a.link_id < 100 AND b.link_id < 300")
+@query("jn7_nested_links", """WITH b AS (SELECT link_id, local_path AS own, CASE WHEN link_id % 4 = 0 THEN local_path || '/sub' ELSE local_path END AS path FROM fx_links), p AS (SELECT local_path AS outer_path, count(*) AS n FROM fx_links GROUP BY local_path)
+SELECT link_id AS inner_link, outer_path, n - CAST(own = outer_path AS BIGINT) AS n_outer, CASE WHEN path = outer_path THEN 'same' ELSE 'inside' END AS relation FROM b JOIN p ON path = outer_path OR starts_with(path, outer_path || '/') WHERE n > CAST(own = outer_path AS BIGINT)""")
 def jn7(v):
-    outer = v.fx_links.filter("link_id < 100").select(F.col("link_id").alias("outer_link"), F.col("local_path").alias("prefix"))
-    inner = v.fx_links.filter("link_id < 300").select(F.col("link_id").alias("inner_link"), F.when(F.col("link_id") % 4 == 0, F.concat("local_path", F.lit("/sub"))).otherwise(F.col("local_path")).alias("own"))
-    spread = inner.select("inner_link", "own", F.explode(P.prefixes(F.col("own"))).alias("prefix"))
-    return spread.join(outer, "prefix").filter("outer_link <> inner_link").select("outer_link", "inner_link", F.when(F.col("prefix") == F.col("own"), "same").otherwise("inside").alias("relation"))
+    """Of every link, each path at or above its own where other links are, and how many. No pairs of links are made."""
+    outer = v.fx_links.groupBy(F.col("local_path").alias("outer_path")).agg(F.count("*").alias("n"))
+    inner = v.fx_links.select(F.col("link_id").alias("inner_link"), F.col("local_path").alias("own"), F.when(F.col("link_id") % 4 == 0, F.concat("local_path", F.lit("/sub"))).otherwise(F.col("local_path")).alias("path"))
+    spread = inner.withColumn("outer_path", F.explode(P.prefixes(F.col("path"))))
+    n_outer = (F.col("n") - (F.col("own") == F.col("outer_path")).cast("long")).alias("n_outer")
+    return spread.join(outer, "outer_path").select("inner_link", "outer_path", n_outer, F.when(F.col("path") == F.col("outer_path"), "same").otherwise("inside").alias("relation")).filter("n_outer > 0")
 
 
 @query("flt9_link_placement", "SELECT f.path, arg_max(l.group_id, row(length(l.local_path), l.group_id)) AS group_id, arg_max(substring(f.path, length(l.local_path) + 2), row(length(l.local_path), l.group_id)) AS relative FROM (SELECT DISTINCT local_path || '/a/b' || CAST(link_id % 5 AS VARCHAR) AS path FROM fx_links) f JOIN fx_links l ON NOT l.orphaned AND starts_with(f.path, l.local_path || '/') GROUP BY f.path")
