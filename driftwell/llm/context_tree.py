@@ -40,9 +40,11 @@ from driftwell.llm.decontaminate import mixed, word_hashes
 FOLDS, HELD = 7, 2
 DEPTH, ROOT = 6, 3
 #: Bytes of text in a block, and bytes of text for each bucket of windows.
-BLOCK, PER_BUCKET = 8 << 20, 8 << 20
+BLOCK, PER_BUCKET = 6 << 20, 8 << 20
 #: Subtrees with over this share of a bucket's windows have a deeper root.
 SHARE_OF_BUCKET = 4.0
+#: Blocks and buckets get a task each, up to so many.
+MOST_TASKS = 100_000
 #: One step of the returned log10 probabilities.
 STEP = 1 / 4096
 #: The end token, which no word can equal.
@@ -235,9 +237,9 @@ class Cut:
         return out
 
 
-def find_cut(blocks: DataFrame, n_buckets: int) -> Cut:
+def find_cut(blocks: DataFrame, n_blocks: int, n_buckets: int) -> Cut:
     """Large subtrees, from about eight blocks. They only decide how work is divided."""
-    some = max(1, blocks.count() // 8)
+    some = max(1, n_blocks // 8)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
@@ -594,7 +596,7 @@ def answered(spread: DataFrame, cut_: Cut, top: Top) -> DataFrame:
 SCORED = "n_tokens long, n_known long, logs double, n_bytes long, score double"
 
 
-def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_buckets: int) -> DataFrame:
+def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_blocks: int, n_buckets: int) -> DataFrame:
     """(row, doc_id, held_out, SCORED) of each piece of a text: a block's bytes and the answers to it meet in one task."""
     kind = blocks.schema["ids"].dataType.elementType
 
@@ -636,22 +638,22 @@ def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_buckets: int) ->
 
     bodies = blocks.withColumn("kind", F.lit(BODY)).withColumn("bucket", F.lit(0))
     together = bodies.unionByName(answers, allowMissingColumns=True)
-    return together.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(batches, f"row long, doc_id {kind.simpleString()}, held_out boolean, {SCORED}")
+    return together.repartition(min(max(n_blocks, 1), MOST_TASKS), "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(batches, f"row long, doc_id {kind.simpleString()}, held_out boolean, {SCORED}")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs."""
     blocks = cut(packed(docs, doc_id, text))
-    total = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()[0]
+    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()
     n_buckets = max(8, -(-total // PER_BUCKET))
-    cut_ = find_cut(blocks, n_buckets)
-    spread = cut(sent(blocks, cut_, n_buckets).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block"))
+    cut_ = find_cut(blocks, n_blocks, n_buckets)
+    spread = cut(sent(blocks, cut_, n_buckets).repartition(min(2 * n_buckets, MOST_TASKS), "kind", "bucket").sortWithinPartitions("kind", "bucket", "block"))
     found = columns_of(weighed(spread, cut_))
     known = {int(c): int(v) for d, c, v in zip(found[0], found[1], found[3]) if d < 0}
     v, n = known.get(0, 0), known.get(1, 0)
     depth, counts = found[0], found[0] >= COUNTS
     top = Top((depth[counts] - COUNTS, *(x[counts] for x in found[1:])), tuple(x[(depth >= 0) & ~counts] for x in found))
-    parts = scored(blocks, answered(spread, cut_, top), cut_, n_buckets)
+    parts = scored(blocks, answered(spread, cut_, top), cut_, n_blocks, n_buckets)
     sums = [F.sum(x.split()[0]).alias(x.split()[0]) for x in SCORED.split(", ")]
     joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
