@@ -89,7 +89,7 @@ def repeated_words(codes: np.ndarray, owner: np.ndarray, n: int, width: int = 5)
 class Splitter:
     """Splits words with both vocabularies, remembering those it has seen; it starts afresh after `most` words."""
 
-    def __init__(self, folder: str, most: int = 100_000):
+    def __init__(self, folder: str, most: int = 150_000):
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -161,7 +161,7 @@ def measure(docs: DataFrame, text: str = "text", folder: str = FOLDER, keep: lis
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(folder)
-        for b in slices(found, "_text"):
+        for b in slices(found, "_text", 3 << 19):
             data, offsets = text_bytes(b.column("_text"))
             n = b.num_rows
             found_words, owner = words(data, offsets)
