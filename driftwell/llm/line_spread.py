@@ -8,8 +8,9 @@ a third of all documents share costs each task one sketch. Estimates far enough
 A line's key is two 64-bit hashes of its text without surrounding blanks. Lines of under `least_chars` characters
 (closing brackets, single words) are no boilerplate by definition and stay; 0 judges every line that is not blank.
 
-Rows are numbered once, in a table that is written with their numbers; lines and results are both made from it. The
-boilerplate lines are broadcast while there are few (their number is counted first); beyond that the join shuffles, with
+What goes from a text depends on the text alone, so lines lead back to their documents by two hashes of the text (and
+a salt by site, which deals a large group of copies over many tasks): no row numbers that could change between scans.
+The boilerplate lines are broadcast while there are few (their number is counted first); beyond that the join shuffles, with
 the lines of each key dealt over SALTS keys.
 
 Defined results: null text stays null with no lines; blank lines stay; null sites count for nothing; every occurrence
@@ -23,27 +24,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import cut, numbered, read
+from driftwell.llm.common import cut, read
 
 KEY = ["h1", "h2"]
+#: Identity of a text, and of its site's share of its copies.
+TEXT = ["t1", "t2", "salt"]
 #: Up to so many lines of 16 bytes each are broadcast.
 MOST_BROADCAST = 1 << 18
 SALTS = 16
 
 
 def lines_of(rows: DataFrame, least_chars: int) -> DataFrame:
-    """(row, site, nth, h1, h2) of every line of rows(row, site, text) that is long enough to be judged."""
-    split = rows.select("row", "site", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
+    """TEXT + (site, nth, h1, h2) of every line of rows(TEXT, site, text) that is long enough to be judged."""
+    split = rows.select(*TEXT, "site", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
     trimmed = split.withColumn("line", F.expr("trim(BOTH ' \\t\\r' FROM line)")).filter(F.char_length("line") >= max(least_chars, 1))
-    return trimmed.select("row", "site", "nth", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return trimmed.select(*TEXT, "site", "nth", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
 def among(lines: DataFrame, those: DataFrame) -> DataFrame:
     """The lines whose key is in those, a table that is cut."""
     if those.count() <= MOST_BROADCAST:
         return lines.join(F.broadcast(those), KEY, "left_semi")
-    salted = those.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"], "left_semi").drop("salt")
+    dealt = those.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_deal", F.pmod(F.xxhash64("t1"), F.lit(SALTS)).cast("int")).join(dealt, [*KEY, "_deal"], "left_semi").drop("_deal")
 
 
 def widespread(lines: DataFrame, sites: int, log_k: int = 10, margin: float = 0.25) -> DataFrame:
@@ -60,10 +63,13 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", text: str = "text"
     """docs with their text cleaned, and n_lines and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     inner = {c: f"_in_{i}" for i, c in enumerate(kept)}
-    rows = cut(numbered(docs, **{inner[c]: F.col(f"`{c}`") for c in kept}))
-    lines = cut(lines_of(rows.select("row", F.col(inner[site]).cast("string").alias("site"), F.col(inner[text]).alias("text")), least_chars))
-    gone = among(lines, cut(widespread(lines, sites))).groupBy("row").agg(F.collect_set("nth").alias("_gone"))
-    joined = rows.join(gone, "row", "left").withColumn("_lines", F.split(F.col(inner[text]), "\n", -1))
+    own = F.col(f"`{text}`")
+    name = F.col(f"`{site}`").cast("string")
+    identity = [F.xxhash64(own).alias("t1"), F.xxhash64(F.lit("second"), own).alias("t2"), F.pmod(F.xxhash64(name), F.lit(64)).cast("int").alias("salt")]
+    lines = cut(lines_of(docs.select(*identity, name.alias("site"), own.alias("text")), least_chars))
+    gone = among(lines, cut(widespread(lines, sites))).groupBy(*TEXT).agg(F.collect_set("nth").alias("_gone"))
+    rows = docs.select(*identity, *[F.col(f"`{c}`").alias(inner[c]) for c in kept])
+    joined = rows.join(gone, TEXT, "left").withColumn("_lines", F.split(F.col(inner[text]), "\n", -1))
     rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col(inner[text])).otherwise(F.array_join(F.transform(rest, lambda i: F.col("_lines")[i]), "\n"))
     n_lines = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines"))
