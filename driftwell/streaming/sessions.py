@@ -1,6 +1,6 @@
 """Streaming operators, each with a batch twin that gives the same rows for bounded input.
 
-Stateful operators keep state per key: debounce sessions per group, and received changes with their waiting orphans.
+Debounce sessions keep state per group; the journal and the orphan buffer are tables that one batch after another renews.
 """
 
 from __future__ import annotations
@@ -54,22 +54,32 @@ def debounce(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burs
     return stretches.select("group_id", "_stretch", "us", "event_id", "path", "kind").groupBy("group_id", "_stretch").applyInPandas(lambda rows: sessions_of(rows, quiet, longest, burst), SESSION)
 
 
-def debounce_stream(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burst: int = BURST) -> DataFrame:
-    """Streaming form: a session's events wait in state until a later event of the group shows that it is closed."""
+def debounce_stream(events: DataFrame, quiet: int = QUIET, longest: int = LONGEST, burst: int = BURST, delay: str = "1 minute") -> DataFrame:
+    """Streaming form: a session's events wait in state until a later event of the group, or a timer, closes the session.
+
+    The timer runs on event time: it fires when the watermark, which other groups' events move too, passes the quiet gap or
+    the greatest length. Events later than `delay` are dropped by the watermark.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     columns = ["group_id", "us", "event_id", "path", "kind"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=columns)
-        rows = pd.concat([held, *batches], ignore_index=True).sort_values(["us", "event_id"])
+        rows = pd.concat([held, *(b[columns] for b in batches)], ignore_index=True).sort_values(["us", "event_id"])
         done = sessions_of(rows, quiet, longest, burst)
-        # The last session may still grow.
-        keep = rows[rows["us"] >= done["started"].iloc[-1]]
-        state.update((json.dumps(keep[columns].values.tolist()),))
-        yield done.iloc[:-1]
+        started, ended = int(done["started"].iloc[-1]), int(done["ended"].iloc[-1])
+        closes = min(ended + quiet, started + longest) // 1000 + 1
+        if state.hasTimedOut or closes < state.getCurrentWatermarkMs():
+            state.remove()
+            yield done
+        else:
+            state.update((json.dumps(rows.loc[rows["us"] >= started, columns].values.tolist()),))
+            state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
+            yield done.iloc[:-1]
 
-    return events.select(*columns).groupBy("group_id").applyInPandasWithState(step, SESSION, "held string", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select(*columns, F.timestamp_micros("us").alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("group_id").applyInPandasWithState(step, SESSION, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_sight(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -114,15 +124,111 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], spark: Spar
         query.stop()
 
 
+def folded(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], spark: SparkSession, mode: str = "append") -> DataFrame:
+    """A table kept by a stream's batches: step(table before, batch) gives the table after, written beside the one before.
+
+    A batch that is run again overwrites its own table and starts from the same one before, so nothing counts twice.
+    """
+    import uuid
+
+    from driftwell.plans.lineage import shared_folder
+
+    folder = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
+    last = [-1]
+
+    def each(batch: DataFrame, n: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{folder}/{n - 1}") if n else None
+        step(before, batch).write.mode("overwrite").parquet(f"{folder}/{n}")
+        last[0] = n
+
+    drain(stream, each, spark, mode)
+    if last[0] < 0:
+        return step(None, spark.createDataFrame([], stream.schema))
+    return spark.read.parquet(f"{folder}/{last[0]}")
+
+
 def collected(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """All rows that a stream emits over what is there now, as a table in the shared folder."""
+    """All rows that a stream emits over what is there now, as a table in the shared folder.
+
+    In complete mode each batch emits the whole result, so the last batch's is taken.
+    """
     import uuid
 
     from driftwell.plans.lineage import shared_folder
 
+    if mode == "complete":
+        return folded(stream, lambda before, batch: batch, spark, mode)
     folder = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
-    drain(stream, lambda batch, n: batch.write.mode("append").parquet(folder), spark, mode)
-    return spark.read.schema(stream.schema).parquet(folder)
+    drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/n={n}"), spark, mode)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/*") if _written(spark, folder) else spark.createDataFrame([], stream.schema)
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def dirty_journal(events: DataFrame, spark: SparkSession) -> DataFrame:
+    """The dirty-path journal after all of a stream's batches."""
+    return folded(events, upsert_dirty, spark)
+
+
+def running_heads(received: DataFrame, edges: DataFrame) -> DataFrame:
+    """Since when each received change is a head, and when the first later child replaces it (-1: it still is one).
+
+    received may be a stream (complete mode) beside a table of edges: a child's row is one more row of each parent.
+    """
+    own = F.struct(F.col("change_hash").alias("change_hash"), F.col("received_seq").cast("long").alias("shown"), F.lit(None).cast("long").alias("child"))
+    as_child = F.transform(F.coalesce("parents", F.array().cast("array<string>")), lambda p: F.struct(p.alias("change_hash"), F.lit(None).cast("long").alias("shown"), F.col("received_seq").cast("long").alias("child")))
+    parents = edges.groupBy("group_id", F.col("child_hash").alias("change_hash")).agg(F.collect_list("parent_hash").alias("parents"))
+    rows = received.join(parents, ["group_id", "change_hash"], "left").select("group_id", F.explode(F.concat(F.array(own), as_child)).alias("x")).select("group_id", "x.*")
+    met = rows.groupBy("group_id", "change_hash").agg(F.max("shown").alias("shown_at"), F.collect_set("child").alias("children")).filter("shown_at IS NOT NULL")
+    return met.select("group_id", "change_hash", "shown_at", F.coalesce(F.array_min(F.filter("children", lambda at: at > F.col("shown_at"))), F.lit(-1)).alias("replaced_at"))
+
+
+def lease_pins(leases: DataFrame, now_us: int, margin_us: int = 60_000_000) -> DataFrame:
+    """leases(group_id, path, version_seq, us, ttl_us): each pin's end, which renewals put off, and whether it is live.
+
+    A lease without a positive ttl pins nothing. A stream runs it in complete mode.
+    """
+    ends = F.max(F.col("us") + F.col("ttl_us") + F.lit(margin_us)).alias("pinned_until")
+    return leases.filter("ttl_us > 0").groupBy("group_id", "path", "version_seq").agg(ends).withColumn("live", F.col("pinned_until") > now_us)
+
+
+def acked_frontier(acks: DataFrame) -> DataFrame:
+    """The change that each device acknowledged last; an acknowledgement replaces the one before. A stream runs it in complete mode."""
+    return acks.groupBy("group_id", "device_id").agg(F.max_by("change_hash", F.struct("us", "change_hash")).alias("change_hash"))
+
+
+def orphan_stream(received: DataFrame, edges: DataFrame, spark: SparkSession, most: int = 4096) -> DataFrame:
+    """orphan_buffer over a stream: changes wait in a table until all their parents are admitted.
+
+    Each batch admits in rounds, with joins against the table of changes met so far. Of every group's waiting changes the
+    newest `most` are kept; an evicted one has to come again.
+    """
+    from driftwell.operators.graph import NODE
+
+    parents = edges.select("group_id", F.col("child_hash").alias("change_hash"), "parent_hash")
+
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        fresh = batch.select(*NODE, F.col("received_seq").cast("long").alias("received_seq")).groupBy(*NODE).agg(F.min("received_seq").alias("received_seq"))
+        known = fresh.withColumn("admitted_at", F.lit(None).cast("long")) if before is None else before.unionByName(fresh.join(before, NODE, "left_anti").withColumn("admitted_at", F.lit(None).cast("long")))
+        known = cut(known)
+        waiting = known.filter("admitted_at IS NULL").count()
+        while waiting:
+            done = known.filter("admitted_at IS NOT NULL").select("group_id", F.col("change_hash").alias("parent_hash"), F.col("admitted_at").alias("at"), F.lit(1).alias("there"))
+            needs = known.filter("admitted_at IS NULL").join(parents, NODE).join(done, ["group_id", "parent_hash"], "left")
+            needs = needs.groupBy(*NODE).agg(F.count_if(F.col("there").isNull()).alias("missing"), F.max("at").alias("latest"))
+            free = F.col("admitted_at").isNull() & (F.coalesce("missing", F.lit(0)) == 0)
+            known = cut(known.join(needs, NODE, "left").select(*NODE, "received_seq", F.when(free, F.greatest("received_seq", F.coalesce("latest", F.lit(0)))).otherwise(F.col("admitted_at")).alias("admitted_at")))
+            left = known.filter("admitted_at IS NULL").count()
+            if left == waiting:
+                break
+            waiting = left
+        newest = Window.partitionBy("group_id", F.col("admitted_at").isNull()).orderBy(F.desc("received_seq"))
+        return known.withColumn("_nth", F.row_number().over(newest)).filter(F.col("admitted_at").isNotNull() | (F.col("_nth") <= most)).drop("_nth")
+
+    return folded(received, step, spark)
 
 
 def orphan_buffer(received: DataFrame, edges: DataFrame) -> DataFrame:
