@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PATH = ["group_id", "path"]
@@ -94,6 +94,19 @@ def compare_with_disk(index: DataFrame, disk: DataFrame, ignored: DataFrame, fai
     return rows.select(*PATH, status.alias("status"))
 
 
+def disk_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(group_id, path, size, us, hash) of the files below a folder, by the reader's metadata; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.lit(0).cast("long").alias("group_id"), F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("us"), F.lit(None).cast("string").alias("hash"))
+
+
+def table_index(table: DataFrame) -> DataFrame:
+    """The files that a table's scan names, as an index."""
+    m = F.col("_metadata")
+    rows = table.select(F.element_at(F.split(m["file_path"], "/"), -1).alias("path"), m["file_size"].alias("size"), F.unix_micros(m["file_modification_time"]).alias("us")).distinct()
+    return rows.select(F.lit(0).cast("long").alias("group_id"), "path", "size", "us", F.lit(None).cast("string").alias("version_hash"))
+
+
 def triage(files: DataFrame, disk: DataFrame, intents: DataFrame) -> DataFrame:
     """What became of live, hydrated files: ok, offline delete, or quarantine with reconstruct or demote."""
     live = files.filter("state = 'current' AND NOT deleted AND materialization_state = 'hydrated'").select(*PATH, "size", "version_hash", "event_id")

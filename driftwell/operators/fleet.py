@@ -35,20 +35,31 @@ def audit_transitions(steps: DataFrame) -> DataFrame:
     return steps.withColumn("allowed", allowed)
 
 
+# Fixed value: the form of a semantic version, a leading v allowed.
+SEMVER = "^v?(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(?:-((?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)(?:[.](?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*))*))?(?:[+][0-9A-Za-z-]+(?:[.][0-9A-Za-z-]+)*)?$"
+
+
 def version_key(version: Column) -> Column:
-    """(major, minor, patch) of a plain version, a leading v allowed; null if malformed."""
-    plain = F.regexp_extract(version, r"^v?(\d+)\.(\d+)\.(\d+)$", 0)
-    parts = F.split(F.regexp_replace(plain, "^v", ""), r"\.")
-    return F.when(plain != "", F.struct(*[parts[i].cast("int").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
+    """An array of strings that sorts as versions do; null if malformed.
+
+    A prerelease comes before its release; its identifiers compare one by one, numbers by value and before words.
+    """
+    part = lambda n: F.regexp_extract(version, SEMVER, n)
+    words = F.transform(F.split(part(4), "[.]"), lambda i: F.when(i.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(i, 20, "0"))).otherwise(F.concat(F.lit("1"), i)))
+    numbers = F.array(*[F.lpad(part(n), 20, "0") for n in (1, 2, 3)], F.when(part(4) == "", "1").otherwise("0"))
+    return F.when(version.rlike(SEMVER), F.concat(numbers, words))
 
 
 def applicable_releases(installs: DataFrame, releases: DataFrame) -> DataFrame:
-    """The newest release above each install's version that its rollout bucket takes."""
-    offers = releases.withColumn("key", version_key(F.col("version"))).withColumn("least", version_key(F.col("minimum_version"))).filter(F.col("key").isNotNull() & ~F.col("kill_switch")).withColumnRenamed("version", "offer")
-    rows = installs.withColumn("own", version_key(F.col("version"))).join(F.broadcast(offers), ["channel", "platform"])
+    """The newest release above each install's version, and what keeps it back; installs without one are up to date.
+
+    The newest decides alone: where it is switched off or its rollout leaves the install out, no older one takes its place.
+    """
+    offers = releases.withColumn("key", version_key(F.col("version"))).withColumn("least", version_key(F.col("minimum_version"))).filter("key IS NOT NULL").withColumnRenamed("version", "offer")
+    rows = installs.withColumn("own", version_key(F.col("version"))).join(F.broadcast(offers), ["channel", "platform"]).filter(F.col("key") > F.col("own"))
     must = F.col("mandatory") | F.coalesce(F.col("own") < F.col("least"), F.lit(False))
-    rows = rows.withColumn("must", must).filter((F.col("key") > F.col("own")) & (F.col("must") | (F.col("bucket") < F.col("rollout"))))
-    return rows.groupBy("install").agg(F.max_by("offer", "key").alias("offer"), F.max_by("must", "key").alias("must"))
+    verdict = F.when(F.col("kill_switch"), "switched off").when(must | (F.col("bucket") < F.col("rollout")), "available").otherwise("held back")
+    return rows.groupBy("install").agg(F.max_by(F.struct("offer", must.alias("must"), verdict.alias("verdict")), "key").alias("x")).select("install", "x.*")
 
 
 def histogram(rows: DataFrame, seconds: Column, keys: list[str]) -> DataFrame:
@@ -82,26 +93,32 @@ def durability(facts: DataFrame) -> Column:
     )
 
 
-def pack(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int = 64, most_cost: int = 256 << 20) -> DataFrame:
+def pack(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int = 64, most_cost: int = 256 << 20, epochs: str | None = None, most_epochs: int = 128) -> DataFrame:
     """items with slice: consecutive items of a plan, in order, until a slice would pass a bound; a larger item stands alone.
 
-    Where a slice ends depends on all slices before it, so each plan is one sequential fold; plans are bounded batches.
+    epochs names the column with the epochs that an item takes (none: one each). Where a slice ends depends on all slices
+    before it, so each plan is one sequential fold; plans are bounded batches (see batches_of).
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema)}, slice long"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        out, number, count, total = [], 0, 0, 0
-        for c in rows[cost]:
-            if count and (count >= most_items or total + c > most_cost):
-                number, count, total = number + 1, 0, 0
-            count, total = count + 1, total + c
+        out, number, count, total, spent = [], 0, 0, 0, 0
+        for c, e in zip(rows[cost], rows[epochs] if epochs else [1] * len(rows)):
+            if count and (count >= most_items or total + c > most_cost or spent + e > most_epochs):
+                number, count, total, spent = number + 1, 0, 0, 0
+            count, total, spent = count + 1, total + c, spent + e
             out.append(number)
         return rows.assign(slice=out)
 
     return items.groupBy(*keys).applyInPandas(fold, schema)
 
 
+def batches_of(items: DataFrame, key: str, order: str, most: int = 1 << 16) -> DataFrame:
+    """items with batch: each key's items in order, cut into batches of at most so many."""
+    return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / most))
+
+
 def content_chunks(blobs: DataFrame, smallest: int, average: int, largest: int) -> DataFrame:
     """(doc_id, ord, hash, size): chunks that end where a rolling hash of the last 48 bytes hits a mask.
 

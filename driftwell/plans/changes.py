@@ -301,10 +301,10 @@ def tk1(v):
 
 
 @query("tk3_orphan_bound", f"""WITH RECURSIVE {ORPHANS}, ranked AS (SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY received_seq DESC) AS nth FROM orphan JOIN fx_received USING (group_id, change_hash))
-SELECT group_id, change_hash, nth FROM ranked WHERE nth <= 5""")
+SELECT group_id, change_hash, nth FROM ranked WHERE nth <= 4096""")
 def tk3(v):
     orphans = G.admitted(v.fx_received, v.fx_edges).filter("NOT admitted")
-    return orphans.withColumn("nth", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("received_seq"))).cast("long")).filter("nth <= 5").select("group_id", "change_hash", "nth")
+    return orphans.withColumn("nth", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("received_seq"))).cast("long")).filter("nth <= 4096").select("group_id", "change_hash", "nth")
 
 
 @query("tk5_ancestor_batch", f"""WITH RECURSIVE {LAMPORT}, c(group_id, change_hash) AS (SELECT group_id, change_hash FROM fx_frontier UNION SELECT c.group_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash),

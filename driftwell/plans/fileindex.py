@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import files as X
 from driftwell.plans.catalog import Views, query
+from driftwell.plans.lineage import new_folder
+from driftwell.sources import sinks as K
 
 NOW = 1709251200000000
 LIVE = "state = 'current' AND NOT deleted"
@@ -229,6 +231,11 @@ def jn16(v):
 
 @query("snk1_snapshot_digest", f"WITH d AS (SELECT group_id, {DIGEST.format('path || chr(58) || version_hash')} AS files FROM fx_files WHERE {LIVE} GROUP BY group_id), f AS (SELECT group_id, {DIGEST.format('change_hash')} AS frontier FROM fx_frontier GROUP BY group_id) SELECT group_id, sha256(coalesce(files, '-') || ':' || coalesce(frontier, '-')) AS snapshot FROM d FULL JOIN f USING (group_id)")
 def snk1(v):
-    files = X.set_digest(v.fx_files.filter(LIVE), ["group_id"], ["path", "version_hash"], "files")
-    frontier = X.set_digest(v.fx_frontier, ["group_id"], ["change_hash"], "frontier")
+    """The snapshot is written, part by part; its digest is that of what was written."""
+    live = v.fx_files.filter(LIVE).select("group_id", "path", "size", "version_hash")
+    versions = v.fx_versions.join(live.select("version_hash").distinct(), "version_hash", "left_semi")
+    parts = {"files": live, "frontier": v.fx_frontier.select("group_id", "device_id", "change_hash"), "versions": versions, "edges": v.fx_pruned_edges}
+    written = K.write_snapshot(parts, new_folder(v.spark, "snapshot"))
+    files = X.set_digest(written["files"], ["group_id"], ["path", "version_hash"], "files")
+    frontier = X.set_digest(written["frontier"], ["group_id"], ["change_hash"], "frontier")
     return files.join(frontier, "group_id", "full_outer").select("group_id", F.sha2(F.concat_ws(":", F.coalesce("files", F.lit("-")), F.coalesce("frontier", F.lit("-"))), 256).alias("snapshot"))

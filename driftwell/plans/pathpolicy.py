@@ -86,12 +86,12 @@ def jn8(v):
     return collisions(v, F.lower("path"))
 
 
-@query("jn9_normalization_collisions")
+@query("jn9_normalization_collisions", "WITH n AS (SELECT DISTINCT path, nfc_normalize(path) AS key FROM fx_names) SELECT a.path AS a, b.path AS b FROM n a JOIN n b ON a.key = b.key AND a.path < b.path")
 def jn9(v):
     return collisions(v, F.col("path").cast("string collate UNICODE"))
 
 
-@query("jn10_case_normalization_collisions")
+@query("jn10_case_normalization_collisions", "WITH n AS (SELECT DISTINCT path, lower(nfc_normalize(path)) AS key FROM fx_names) SELECT a.path AS a, b.path AS b FROM n a JOIN n b ON a.key = b.key AND a.path < b.path")
 def jn10(v):
     return collisions(v, F.col("path").cast("string collate UNICODE_CI"))
 
@@ -139,9 +139,10 @@ def ag17(v):
 
 @query("src6_disk_inventory")
 def src6(v):
-    """The files of the documents table themselves, by the reader's metadata."""
-    files = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{v.sf_dir}/documents.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
+    """The documents table's files as they lie on disk, compared by JN1 with the files that the table's scan names."""
+    none = v.spark.createDataFrame([], "group_id long, path string, top string")
+    disk, index = X.disk_inventory(v.spark, f"{v.sf_dir}/documents.parquet", "*.parquet"), X.table_index(v.documents)
+    return disk.select("path", "size").join(X.compare_with_disk(index, disk, none, none, none), "path", "full_outer").select("path", "size", "status")
 
 
 # Policy logs.
@@ -206,10 +207,14 @@ def ag24(v):
     return v.fx_nat.groupBy("device").agg(kind.alias("class"))
 
 
-@query("src9_parallel_arrays")
+@query("src9_parallel_arrays", "WITH s AS (SELECT group_id, count(*) AS n FROM fx_policy GROUP BY group_id) SELECT group_id, device_id AS target, fingerprint AS lease, n AS n_targets, n AS n_leases, false AS quarantined FROM fx_policy JOIN s USING (group_id) WHERE group_id % 10 <> 3 UNION ALL SELECT group_id, NULL, NULL, n, 0, true FROM s WHERE group_id % 10 = 3")
 def src9(v):
-    """Membership operations with index-parallel JSON arrays, one of every ten of unequal lengths: rows, and quarantine counts."""
-    ops = v.fx_policy.groupBy("group_id").agg(F.to_json(F.collect_list("device_id")).alias("targets"), F.to_json(F.collect_list("fingerprint")).alias("leases"))
+    """Membership operations with index-parallel JSON arrays: a row per pair, or one in quarantine where lengths differ."""
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "device_id", "fingerprint"))).alias("x")
+    ops = v.fx_policy.groupBy("group_id").agg(ordered).select("group_id", F.to_json("x.device_id").alias("targets"), F.to_json("x.fingerprint").alias("leases"))
     ops = ops.withColumn("leases", F.when(F.col("group_id") % 10 == 3, F.lit("[]")).otherwise(F.col("leases")))
     parsed = ops.select("group_id", F.from_json("targets", "array<string>").alias("target"), F.from_json("leases", "array<string>").alias("lease"))
-    return parsed.filter(F.size("target") == F.size("lease")).select("group_id", F.explode(F.arrays_zip("target", "lease")).alias("x")).select("group_id", "x.target", "x.lease")
+    sizes = [F.size("target").cast("long").alias("n_targets"), F.size("lease").cast("long").alias("n_leases"), (F.size("target") != F.size("lease")).alias("quarantined")]
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("lease")))
+    pairs = F.explode(F.when(F.size("target") == F.size("lease"), F.arrays_zip("target", "lease")).otherwise(nothing)).alias("x")
+    return parsed.select("group_id", *sizes, pairs).select("group_id", "x.target", "x.lease", "n_targets", "n_leases", "quarantined")

@@ -10,6 +10,8 @@ from driftwell.operators import files as X
 from driftwell.operators import fleet as O
 from driftwell.plans.catalog import Views, query
 from driftwell.plans.fileindex import LIVE
+from driftwell.plans.lineage import new_folder
+from driftwell.sources import sinks as K
 from driftwell.streaming import sessions as S
 
 NOW = 1709251200000000
@@ -44,10 +46,17 @@ def st7(v):
     return O.audit_transitions(steps.filter("before IS NOT NULL").groupBy("before", "after").agg(F.count("*").alias("n")))
 
 
-KEY = "[CAST(x AS INTEGER) FOR x IN string_split(regexp_replace({}, '^v', ''), '.')]"
+def _version_key(x: str) -> str:
+    part = lambda n: f"regexp_extract({x}, '{O.SEMVER}', {n})"
+    numbers = ", ".join(f"lpad({part(n)}, 20, '0')" for n in (1, 2, 3))
+    words = f"[CASE WHEN regexp_full_match(i, '[0-9]+') THEN '0' || lpad(i, 20, '0') ELSE '1' || i END FOR i IN string_split({part(4)}, '.')]"
+    return f"CASE WHEN regexp_matches({x}, '{O.SEMVER}') THEN list_concat([{numbers}, CASE WHEN {part(4)} = '' THEN '1' ELSE '0' END], {words}) END"
 
 
-@query("jn17_release_applicability", f"WITH o AS (SELECT *, {KEY.format('version')} AS key, {KEY.format('minimum_version')} AS least_key FROM fx_releases WHERE regexp_matches(version, '^v?[0-9]+\\.[0-9]+\\.[0-9]+$') AND NOT kill_switch), r AS (SELECT i.install, i.bucket, o.version AS offer, o.key, o.rollout, {KEY.format('i.version')} AS own, o.mandatory OR {KEY.format('i.version')} < o.least_key AS must FROM fx_installs i JOIN o USING (channel, platform)) SELECT install, arg_max(offer, key) AS offer, arg_max(must, key) AS must FROM r WHERE key > own AND (must OR bucket < rollout) GROUP BY install")
+@query("jn17_release_applicability", f"""WITH o AS (SELECT *, {_version_key('version')} AS key, {_version_key('minimum_version')} AS least_key FROM fx_releases), i AS (SELECT *, {_version_key('version')} AS own FROM fx_installs),
+r AS (SELECT i.install, o.version AS offer, o.key, o.kill_switch, i.bucket < o.rollout AS taken, o.mandatory OR coalesce(i.own < o.least_key, false) AS must FROM i JOIN o USING (channel, platform) WHERE o.key > i.own),
+n AS (SELECT install, arg_max(offer, key) AS offer, arg_max(must, key) AS must, arg_max(kill_switch, key) AS kill, arg_max(taken, key) AS taken FROM r GROUP BY install)
+SELECT install, offer, must, CASE WHEN kill THEN 'switched off' WHEN must OR taken THEN 'available' ELSE 'held back' END AS verdict FROM n""")
 def jn17(v):
     return O.applicable_releases(v.fx_installs, v.fx_releases)
 
@@ -144,13 +153,15 @@ def flt12(v):
 
 @query("snk2_usage_reports", f"WITH p AS ({REPORTS}) SELECT group_id, '{{\"days\":' || count(*) || ',\"events\":' || CAST(sum(n) AS BIGINT) || ',\"bytes\":' || CAST(sum(bytes) AS BIGINT) || '}}' AS report FROM p GROUP BY group_id")
 def snk2(v):
-    return reports(v).groupBy("group_id").agg(F.count("*").alias("days"), F.sum("n").alias("events"), F.sum("bytes").alias("bytes")).select("group_id", F.to_json(F.struct("days", "events", "bytes")).alias("report"))
+    totals = reports(v).groupBy("group_id").agg(F.count("*").alias("days"), F.sum("n").alias("events"), F.sum("bytes").alias("bytes"))
+    written = K.write_reports(totals, new_folder(v.spark, "reports"), ["group_id", "days", "events", "bytes"])
+    return written.select("group_id", F.to_json(F.struct("days", "events", "bytes")).alias("report"))
 
 
 @query("snk3_metrics_table", "SELECT 'attempts' AS metric, source AS label, CAST(count(*) AS BIGINT) AS value FROM fx_attempts GROUP BY source UNION ALL SELECT 'bytes', source, CAST(sum(bytes) AS BIGINT) FROM fx_attempts GROUP BY source UNION ALL SELECT 'denied', source, count(*) FILTER (NOT authorized) FROM fx_attempts GROUP BY source")
 def snk3(v):
     wide = v.fx_attempts.groupBy(F.col("source").alias("label")).agg(F.count("*").alias("attempts"), F.sum("bytes").alias("bytes"), F.count_if(~F.col("authorized")).alias("denied"))
-    return wide.unpivot("label", ["attempts", "bytes", "denied"], "metric", "value")
+    return K.write_sorted(wide.unpivot("label", ["attempts", "bytes", "denied"], "metric", "value"), new_folder(v.spark, "metrics"), ["metric", "label"])
 
 
 @query("ag21_fleet_posture", f"SELECT (SELECT count(*) FROM fx_links WHERE NOT orphaned) AS links, (SELECT count(DISTINCT device_id) FROM fx_attempts WHERE outcome = 'ok') AS reachable, (SELECT CAST(sum(size) AS BIGINT) FROM fx_files WHERE {LIVE} AND materialization_state = 'hydrated') AS store_bytes, (SELECT CAST(sum(bytes) AS BIGINT) FROM fx_attempts) AS transferred, (SELECT count(*) FROM fx_attempts WHERE outcome = 'failed') AS errors, (SELECT count(*) FROM fx_volumes) AS volumes")
@@ -177,7 +188,9 @@ def win11(v):
 
 @query("win9_batch_packing")
 def win9(v):
-    return O.pack(v.fx_inventory.select("group_id", "path", "size"), ["group_id"], "path", "size", most_items=8, most_cost=60000)
+    """Small bounds, so that the small fixtures meet both; a plan is a batch of at most 65,536 of a group's paths."""
+    items = O.batches_of(v.fx_inventory.select("group_id", "path", "size"), "group_id", "path")
+    return O.pack(items, ["group_id", "batch"], "path", "size", most_items=8, most_cost=60000)
 
 
 @query("ag7_content_defined_chunks")
@@ -185,6 +198,12 @@ def ag7(v):
     return O.content_chunks(v.documents, 128, 512, 2048)
 
 
+@query("ag7_dedup_report")
+def ag7_report(v):
+    """What content-defined chunks save over the documents, which are far below the 32 MiB from which files are chunked so."""
+    return X.dedup_account(O.content_chunks(v.documents, 128, 512, 2048))
+
+
 @query("jn18_operation_reconciliation", f"WITH j AS (SELECT * FROM fx_journal FULL JOIN fx_remote USING (operation_id)), r AS (SELECT operation_id, domain, {O.decision_sql()} AS recommendation FROM j) SELECT *, recommendation IN ('settle', 'retry same', 'retry activation', 'retry cancel', 'wait auto', 'continue compensation') AS auto_safe FROM r")
 def jn18(v):
     return O.reconcile(v.fx_journal, v.fx_remote)
@@ -232,7 +251,7 @@ def st4(v):
 
 @query("st5_dirty_path_journal", "SELECT group_id, path, min(us) AS first_seen, max(us) AS observed_at, arg_max(kind, row(us, event_id)) AS kind, count(*) AS attempts FROM fx_fs_events GROUP BY ALL")
 def st5(v):
-    """The journal kept by a stream's batches: one snapshot in the shared folder after another."""
+    """Batch twin of dirty_journal: two halves of the events, one upsert after the other."""
     events = v.fx_fs_events
     first = S.upsert_dirty(None, events.filter("event_id % 2 = 0"))
     return S.upsert_dirty(first, events.filter("event_id % 2 = 1"))
