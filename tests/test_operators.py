@@ -1,5 +1,6 @@
 """Edge rules of single operators, on small hand-made or random inputs."""
 
+import os
 import random
 
 import pandas as pd
@@ -7,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.functions import paths as P
+from driftwell.operators import files as X
 from driftwell.operators import fleet as O
 from driftwell.operators import graph as G
+from driftwell.plans.lineage import cut
+from driftwell.sources import sinks as K
 from driftwell.streaming import sessions as S
 
 
@@ -108,6 +112,8 @@ def test_packing_bounds(spark):
     items = spark.createDataFrame([(1, f"p{i:02}", c) for i, c in enumerate([5, 5, 5, 100, 1, 1, 1, 1])], "plan long, path string, cost long")
     found = [r["slice"] for r in O.pack(items, ["plan"], "path", "cost", most_items=3, most_cost=12).orderBy("path").collect()]
     assert found == [0, 0, 1, 2, 3, 3, 3, 4]
+    spent = items.withColumn("epochs", F.lit(64))
+    assert [r["slice"] for r in O.pack(spent, ["plan"], "path", "cost", epochs="epochs").orderBy("path").collect()] == [0, 0, 1, 1, 2, 2, 3, 3]
 
 
 def test_chunks_survive_insertions(spark):
@@ -134,17 +140,92 @@ def test_streamed_sessions_equal_the_batch(spark, tmp_path):
     rows = session_rows()
     for n in range(4):
         pd.DataFrame(rows[n * 50 : n * 50 + 50], columns=["group_id", "us", "event_id", "path", "kind"]).to_parquet(tmp_path / f"{n}.parquet")
-    batch = S.debounce(spark.createDataFrame(rows, schema)).collect()
-    last = {}
-    for r in batch:
-        last[r.group_id] = max(last.get(r.group_id, 0), r.started)
-    # What a group's next event could still change is not emitted yet.
-    wanted = sorted(tuple(r) for r in batch if r.started < last[r.group_id])
+    # An event of another group, much later, moves the watermark: timers close all sessions but its own.
+    pd.DataFrame([(9, rows[-1][1] + 3_600_000_000, 999, "p", "Modified")], columns=["group_id", "us", "event_id", "path", "kind"]).to_parquet(tmp_path / "4.parquet")
+    wanted = sorted(tuple(r) for r in S.debounce(spark.createDataFrame(rows, schema)).collect())
+    for n in range(5):
+        os.utime(tmp_path / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     found = sorted(tuple(r) for r in S.collected(S.debounce_stream(stream), spark).collect())
     assert found == wanted
 
 
+def as_stream(spark, folder, frame, parts=3):
+    """frame, which is written in parts, as a stream of one part a batch."""
+    rows = frame.toPandas()
+    folder.mkdir()
+    for n in range(parts):
+        rows.iloc[n::parts].to_parquet(folder / f"{n}.parquet")
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def same(a, b):
+    assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+
+
+def test_streams_equal_their_twins(spark, tmp_path):
+    rng = random.Random(3)
+    events = spark.createDataFrame([(i % 2, f"p{i % 5}", rng.choice(["Modified", "Removed"]), i * 10, i) for i in range(40)], "group_id long, path string, kind string, us long, event_id long")
+    same(S.dirty_journal(as_stream(spark, tmp_path / "a", events), spark), S.upsert_dirty(None, events))
+    leases = spark.createDataFrame([(1, f"p{i % 4}", 1, i * 50_000_000, rng.choice([0, 10, 100_000_000])) for i in range(20)], "group_id long, path string, version_seq long, us long, ttl_us long")
+    twin = S.lease_pins(leases, 900_000_000)
+    same(S.collected(S.lease_pins(as_stream(spark, tmp_path / "b", leases), 900_000_000), spark, "complete"), twin)
+    acks = spark.createDataFrame([(i % 2, f"d{i % 3}", f"h{i}", rng.randrange(10)) for i in range(20)], "group_id long, device_id string, change_hash string, us long")
+    same(S.collected(S.acked_frontier(as_stream(spark, tmp_path / "c", acks)), spark, "complete"), S.acked_frontier(acks))
+
+
+def test_graph_streams_equal_their_twins(spark, tmp_path):
+    rng = random.Random(5)
+    order = list(range(24))
+    rng.shuffle(order)
+    edges = spark.createDataFrame([(1, f"c{i}", f"c{p}") for i in range(1, 25) for p in {i - 1, i // 2} if p != i], "group_id long, child_hash string, parent_hash string")
+    # c20 never comes, so what follows it stays an orphan.
+    received = spark.createDataFrame([(1, f"c{i}", n + 1) for n, i in enumerate(order) if i != 20], "group_id long, change_hash string, received_seq long")
+    twin = S.orphan_buffer(received, edges).select("group_id", "change_hash", "received_seq", "admitted_at")
+    same(S.orphan_stream(as_stream(spark, tmp_path / "a", received), edges, spark), twin)
+    assert twin.filter("admitted_at IS NULL").count() == 3
+    bounded = S.orphan_stream(as_stream(spark, tmp_path / "b", received, 1), edges, spark, most=2)
+    orphans = sorted(r.received_seq for r in twin.filter("admitted_at IS NULL").collect())
+    assert [r.received_seq for r in bounded.filter("admitted_at IS NULL").orderBy("received_seq").collect()] == orphans[-2:]
+    heads = S.running_heads(received, edges)
+    same(S.collected(S.running_heads(as_stream(spark, tmp_path / "c", received), edges), spark, "complete"), heads)
+    seen = {f"c{i}": n + 1 for n, i in enumerate(order) if i != 20}
+    for r in heads.collect():
+        later = [seen[e.child_hash] for e in edges.filter(F.col("parent_hash") == r.change_hash).collect() if seen.get(e.child_hash, 0) > r.shown_at]
+        assert r.replaced_at == min(later, default=-1)
+
+
+def test_releases(spark):
+    versions = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "v1.0.0", "1.0.1", "1.10.0"]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(versions)] + [(-1, "1.0"), (-2, "01.0.0"), (-3, "1.0.0-01")], "n int, v string").withColumn("key", O.version_key(F.col("v")))
+    assert [r.n for r in rows.filter("key IS NOT NULL").orderBy("key").collect()] == list(range(10)) and rows.filter("key IS NULL").count() == 3
+    releases = spark.createDataFrame([("c", "p", "1.1.0", "0.1.0", 100, False, False), ("c", "p", "1.2.0", "0.5.0", 10, False, False), ("c", "k", "2.0.0", "x", 100, True, True)], "channel string, platform string, version string, minimum_version string, rollout int, kill_switch boolean, mandatory boolean")
+    installs = spark.createDataFrame([(1, "c", "p", "1.0.0", 5), (2, "c", "p", "1.0.0", 50), (3, "c", "p", "0.4.0", 50), (4, "c", "k", "1.0.0", 1), (5, "c", "p", "1.2.0", 1), (6, "c", "p", "bad", 1)], "install int, channel string, platform string, version string, bucket int")
+    found = {r.install: (r.offer, r.verdict) for r in O.applicable_releases(installs, releases).collect()}
+    assert found == {1: ("1.2.0", "available"), 2: ("1.2.0", "held back"), 3: ("1.2.0", "available"), 4: ("2.0.0", "switched off")}
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (1, "a"), (3, None)], "group_id long, x string")
+    parts = K.write_snapshot({"files": rows}, str(tmp_path / "s"))
+    assert [tuple(r) for r in parts["files"].collect()] == [(1, "a"), (2, "b"), (3, None)]
+    assert sorted(tuple(r) for r in K.write_reports(rows, str(tmp_path / "r"), ["x"]).distinct().collect()) == [(1, "a"), (2, "b")]
+
+
+def test_disk_inventory_against_index(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    none = spark.createDataFrame([], "group_id long, path string, top string")
+    index, disk = cut(X.table_index(table)), X.disk_inventory(spark, str(tmp_path / "t"), "*.parquet")
+    status = lambda: sorted(r.status for r in X.compare_with_disk(index, X.disk_inventory(spark, str(tmp_path / "t"), "*.parquet"), none, none, none).collect())
+    assert disk.count() == index.count() and set(status()) == {"unchanged"}
+    first, second = sorted((tmp_path / "t").glob("*.parquet"))[:2]
+    first.unlink()
+    with open(second, "ab") as f:
+        f.write(b"x")
+    assert status() == sorted(["tombstone", "modified"] + ["unchanged"] * (index.count() - 2))
+
+
 def test_decision_table(spark):
     journal = spark.createDataFrame([(1, "enrollment", "Prepared", False, False, True, True, False, True), (2, "role_loss", "Completed", False, False, True, True, False, True), (3, "membership", "LocalSettlementPending", False, False, False, True, False, False)], "operation_id long, domain string, state string, has_link boolean, has_marker boolean, scope_known boolean, comparable boolean, joins boolean, affected_groups boolean")
     remote = spark.createDataFrame([(1, "not found"), (3, "committed"), (4, "active")], "operation_id long, status string")
