@@ -154,14 +154,17 @@ def script_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 RESULTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_token_2 double, tokens_per_word double, byte_share double, token_entropy double, entropy_share double, script string, base_failed boolean"
 
 
-def measure(docs: DataFrame, text: str = "text", folder: str = FOLDER, keep: list[str] | None = None) -> DataFrame:
-    """docs (or their columns `keep`) with the base counts, the measures, script and base_failed."""
+def measure(docs: DataFrame, text: str = "text", folder: str = FOLDER, keep: list[str] | None = None, slice_bytes: int = 3 << 19, words_known: int = 150_000) -> DataFrame:
+    """docs (or their columns `keep`) with the base counts, the measures, script and base_failed.
+
+    slice_bytes of text are worked on at once and words_known remembered; both change time and memory, not results.
+    """
     names = [x.split()[0] for x in RESULTS.split(", ")]
     kept_columns = [c for c in (docs.columns if keep is None else keep) if c not in (*names, *VERDICTS)]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(folder)
-        for b in slices(found, "_text", 3 << 19):
+        splitter = Splitter(folder, words_known)
+        for b in slices(found, "_text", slice_bytes):
             data, offsets = text_bytes(b.column("_text"))
             n = b.num_rows
             found_words, owner = words(data, offsets)
@@ -211,10 +214,13 @@ def bands(measured: DataFrame) -> DataFrame:
 VERDICTS = ("rejected_by", "kept")
 
 
-def judge(docs: DataFrame, text: str = "text", language: str | None = None, folder: str = FOLDER, keep: list[str] | None = None) -> DataFrame:
-    """docs (or their columns `keep`) with what `measure` adds, the measures that reject each row, as a list, and kept. The measures are written once."""
+def judge(docs: DataFrame, text: str = "text", language: str | None = None, folder: str = FOLDER, keep: list[str] | None = None, **sizes: int) -> DataFrame:
+    """docs (or their columns `keep`) with what `measure` adds, the measures that reject each row, as a list, and kept.
+
+    The measures are written once. sizes: slice_bytes and words_known of `measure`.
+    """
     name = F.lit("") if language is None else F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(""))
-    measured = cut(measure(docs.withColumn("_language", name), text, folder, [*(docs.columns if keep is None else keep), "_language"]))
+    measured = cut(measure(docs.withColumn("_language", name), text, folder, [*(docs.columns if keep is None else keep), "_language"], **sizes))
     fitted = cut(bands(measured))
     keyed = measured.withColumn("_script", F.col("script")).withColumn("_length", length_class())
     for level, keys in ((0, ["_script", "_length", "_language"]), (1, ["_script", "_length"]), (3, ["_script"])):
