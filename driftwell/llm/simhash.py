@@ -32,7 +32,7 @@ further columns may have any names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -195,12 +195,12 @@ def within(fp: np.ndarray, pivots: np.ndarray, most: int) -> Callable[[int, np.n
     return near
 
 
-def whole_runs(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches of whole runs of equal (key, low, high), which come sorted, with each run's start and length."""
+def whole_runs(found: Iterator[pa.RecordBatch], run: Sequence[str] = ("key", "low", "high")) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of whole runs of equal values in the columns `run`, which come sorted, with each run's start and length."""
     held: list[pa.RecordBatch] = []
 
     def bounds(b: pa.RecordBatch) -> np.ndarray:
-        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "low", "high")])
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in run])
         return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
 
     def out(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
