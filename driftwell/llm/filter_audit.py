@@ -8,7 +8,7 @@ to the text of a smaller id anywhere in the table", is decided by tries:
   of a group of copies, however large, one row for each task and trie goes on (a trie is emptied beyond TRIE_BYTES).
 * What goes on is divided by ranges of text. A sample, weighted by size (one text for UNIT bytes on average), is sorted on
   Spark; a cut is set whenever RANGE_BYTES of text have gone by, and is the shortest prefix that tells the text there
-  from the one before. So prefixes are as long as the texts demand: short in general, longer than a passage that many
+  from the one before; what is left over in a task counts with what follows in the next. So prefixes are as long as the texts demand: short in general, longer than a passage that many
   texts begin with. Only these cuts go to the driver and to the tasks, a few bytes for RANGE_BYTES of text.
 * A task takes one range after the other and inserts the whole texts into the range's trie, then walks the rows again:
   those whose text ends at a smaller id fail E.
@@ -36,7 +36,7 @@ from driftwell.llm.common import empty_if_null, read
 
 LETTERS = "ABCDE"
 #: Bytes of text in a range, those that one sampled text stands for, and those that a task's own trie holds before it is emptied.
-RANGE_BYTES, UNIT, TRIE_BYTES = 16 << 20, 1 << 20, 16 << 20
+RANGE_BYTES, UNIT, TRIE_BYTES = 8 << 20, 1 << 19, 8 << 20
 #: Texts are dealt to the tasks that sort the sample by so many first characters; within a task they are sorted whole.
 SORT_CHARS = 256
 #: Rows that need no trie any more go to ranges below zero, so many.
@@ -103,18 +103,29 @@ def cuts_of(texts: DataFrame) -> list[bytes]:
     spread = sample.repartitionByRange(F.substring("text", 1, SORT_CHARS)).sortWithinPartitions("text")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, gone = b"", 0
+        before, gone, cut = None, 0, b""
         for b in found:
             cuts = []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 gone += max(UNIT, len(text))
-                if gone >= RANGE_BYTES and text != before:
-                    cuts.append(text[: common(before, text, 0) + 1])
-                    gone = 0
+                if text != before:
+                    # Tasks differ in the first SORT_CHARS characters, of four bytes at most.
+                    cut = text[: 4 * SORT_CHARS] if before is None else text[: common(before, text, 0) + 1]
+                    if gone >= RANGE_BYTES:
+                        cuts.append((cut, gone))
+                        gone = 0
                 before = text
-            yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["cut"])
-
-    return sorted(bytes(r["cut"]) for r in spread.mapInArrow(batches, "cut binary").distinct().collect())
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.binary()), pa.array([c[1] for c in cuts], pa.int64())], names=["cut", "bytes"])
+        if gone:
+            yield pa.RecordBatch.from_arrays([pa.array([cut], pa.binary()), pa.array([gone], pa.int64())], names=["cut", "bytes"])
+
+    cuts, gone = [], 0
+    for r in sorted(spread.mapInArrow(batches, "cut binary, bytes long").collect()):
+        gone += r["bytes"]
+        if gone >= RANGE_BYTES:
+            cuts.append(bytes(r["cut"]))
+            gone = 0
+    return cuts
 
 
 def locally(rows: DataFrame, cuts: list[bytes]) -> DataFrame:
