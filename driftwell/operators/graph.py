@@ -1,22 +1,20 @@
 """Change-graph operators, over all groups at once.
 
-Graphs are edge tables (group_id, child_hash, parent_hash). Closures are built by doubling: each round joins the pairs
-found so far with themselves, so a history of depth n takes about log2(n) rounds; every round is cut from its lineage.
-All-pairs closures grow with the square of a group's history; give `closure` the frontier to start from where only that
-frontier's ancestors are wanted, and use `Causal` to decide whether one change precedes another: it holds a number per
-change and device, no pairs.
+Graphs are edge tables (group_id, child_hash, parent_hash). `ancestors` gives all pairs by doubling, in about log2(n) rounds,
+and grows with the square of a group's history; it is for those who want the pairs. Everything else goes through `Causal`,
+which covers a history by chains and holds a number per change and chain. Every round is cut from its lineage.
 """
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.plans.lineage import cut
 
 NODE = ["group_id", "change_hash"]
-#: Rounds between two cuts and counts of `Causal`.
-ROUNDS = 4
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -33,111 +31,173 @@ def ancestors(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def closure(frontier: DataFrame, edges: DataFrame, keys: list[str] | None = None, doublings: int = 3) -> DataFrame:
-    """keys + (change_hash): the frontier's changes and all their ancestors.
-
-    frontier: keys + change_hash, keys including group_id. The edges are first lengthened to up to 2^doublings steps, so a
-    round walks that many generations; a round looks only at what the last one added.
-    """
-    keys = keys or ["group_id"]
-    columns = [*keys, "change_hash"]
-    reach = fresh = cut(frontier.select(*columns).distinct())
-    step = edges.select("group_id", F.col("child_hash").alias("change_hash"), F.col("parent_hash").alias("next")).distinct()
-    for _ in range(doublings):
-        further = step.select("group_id", F.col("change_hash").alias("next"), F.col("next").alias("last"))
-        step = cut(step.unionByName(step.join(further, ["group_id", "next"]).select("group_id", "change_hash", F.col("last").alias("next"))).distinct())
-    rounds = 0
-    while True:
-        found = fresh.join(step, NODE).select(*keys, F.col("next").alias("change_hash")).distinct()
-        fresh = cut(found.join(reach, columns, "left_anti"))
-        if fresh.isEmpty():
-            return reach
-        reach = reach.unionByName(fresh)
-        rounds += 1
-        if rounds % 4 == 0:
-            reach = cut(reach)
+class Causal:
+    """Reachability and Lamport numbers over a cover of the history by chains, in rounds that do not grow with its depth.
 
+    Chains. A device's changes, by sequence number, are cut wherever one does not have the one before among its parents;
+    each run is a chain, and a change is a place (chain, pos) in it. What a change can reach in a chain is everything up
+    to some place, so one number per change and chain holds all its ancestors: seen (group_id, change_hash, chain, upto).
+    a precedes b if b has seen a's chain up to a.
 
-class Causal:
-    """Lamport numbers and device vectors of changes whose devices' own changes form chains.
+    Rounds of `seen`. Only changes with a parent in another chain ("jumps") see more than the change before. A round gives
+    each jump what its parents have seen, the running maximum along the parent's chain. A path that comes back to a chain
+    can stay in it instead, so a shortest path meets each chain once: there are no more rounds than chains.
 
-    seen (group_id, change_hash, device, upto): the greatest sequence number of each device among a change and its
-    ancestors, so a precedes b if b has seen a's device up to a. lamports (group_id, change_hash, lamport). pairs: all
-    ancestor pairs of the groups where some device's changes are no chain, or None if there are no such groups; those
-    groups are not in seen.
+    Rounds of Lamport numbers, which are longest paths. `lifts`[k] holds real paths of exactly 2^k jumps: for each jump
+    and each chain where such a path can end, the one with the most steps, counted as if it went on to that chain's begin.
+    A lift joins two of the level below. Numbers are first taken over the levels from small to large, then relaxed over all
+    levels until nothing grows. Level 0 has every edge, so the end is exact whatever paths the higher levels chose; these only
+    make it near: a history of n jumps takes some log2(n) lifts and a few relaxing rounds. `rounds` counts all of them.
 
-    What a change has seen only grows along its device's chain, and only at changes with a parent of another device
-    ("jumps"). A round gives each jump what its parent has seen, the running maximum of the parent's chain; the rounds end
-    when nothing grows, after as many as the longest path has jumps. Parents that are not among the changes count for nothing.
+    Edges to what is not among the changes count for nothing. All is worked out when it is first asked for.
     """
 
     def __init__(self, changes: DataFrame, edges: DataFrame):
-        own = cut(changes.select(*NODE, "device_id", "seq"))
-        self.edges = edges = cut(edges.select("group_id", "child_hash", "parent_hash"))
-        guard = cut(chained(own, edges).filter(~F.col("chained")).select("group_id"))
-        self.pairs: DataFrame | None = None
-        odd: DataFrame | None = None
-        if not guard.isEmpty():
-            self.pairs = ancestors(edges.join(guard, "group_id", "left_semi"))
-            odd = own.join(guard, "group_id", "left_semi").join(self.pairs.groupBy(*NODE).agg(F.max("distance").alias("far")), NODE, "left").select(*NODE, (F.coalesce("far", F.lit(0)) + 1).cast("long").alias("lamport"))
-            own = cut(own.join(guard, "group_id", "left_anti"))
-        self.own = own
-        child = own.select("group_id", F.col("change_hash").alias("child_hash"), F.col("device_id").alias("device"), F.col("seq").alias("at"))
-        parent = own.select("group_id", F.col("change_hash").alias("parent_hash"), F.col("device_id").alias("from_device"), F.col("seq").alias("from_seq"))
-        cross = edges.join(child, ["group_id", "child_hash"]).join(parent, ["group_id", "parent_hash"]).filter("device <> from_device").select("group_id", "device", "at", "from_device", "from_seq")
-        devices = own.select("group_id", F.col("device_id").alias("of")).distinct().unionByName(own.select("group_id", F.lit("").alias("of")).distinct())
-        cross = cut(cross.join(devices, "group_id").filter("of <> device"))
-        # `of` is a device, or empty for by how much a change's Lamport number is above its sequence number.
-        start = F.when(F.col("of") == "", F.col("from_seq") + 1 - F.col("at")).when(F.col("of") == F.col("from_device"), F.col("from_seq")).otherwise(0)
-        jumps = cut(cross.groupBy("group_id", "device", "at", "of").agg(F.max(start).alias("value")))
-        total = jumps.agg(F.sum("value")).first()[0]
+        self.edges = cut(edges.select("group_id", "child_hash", "parent_hash"))
+        self.own = cut(in_chains(changes.select(*NODE, "device_id", "seq"), self.edges))
+        child = self.own.select("group_id", F.col("change_hash").alias("child_hash"), F.col("chain").alias("device"), F.col("pos").alias("at"))
+        parent = self.own.select("group_id", F.col("change_hash").alias("parent_hash"), F.col("chain").alias("from_device"), F.col("pos").alias("from_seq"))
+        cross = self.edges.join(child, ["group_id", "child_hash"]).join(parent, ["group_id", "parent_hash"]).filter("device <> from_device")
+        self.cross = cut(cross.groupBy("group_id", "device", "at", "from_device").agg(F.max("from_seq").alias("from_seq")))
+        self.rounds = 0
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """(group_id, device, at, of, value): how far each jump sees each other chain."""
+        chains = self.own.select("group_id", F.col("chain").alias("of")).distinct()
+        cross = cut(self.cross.join(chains, "group_id").filter("of <> device"))
+        direct = F.when(F.col("of") == F.col("from_device"), F.col("from_seq")).otherwise(0)
+        jumps = cut(cross.groupBy("group_id", "device", "at", "of").agg(F.max(direct).alias("value")).filter("value > 0"))
         asked = cross.select("group_id", F.col("from_device").alias("device"), F.col("from_seq").alias("seq"), "of", F.col("device").alias("to"), F.col("at").alias("to_at"))
-        step = F.when(F.col("of") == "", F.col("seq") + 1 - F.col("to_at") + F.col("value")).when(F.col("of") == F.col("device"), F.col("seq")).otherwise(F.col("value"))
+        step = F.when(F.col("of") == F.col("device"), F.col("seq")).otherwise(F.col("value"))
+        total = jumps.agg(F.sum("value")).first()[0]
         while total is not None:
-            for _ in range(ROUNDS):
-                fresh = asof(jumps, asked).select("group_id", F.col("to").alias("device"), F.col("to_at").alias("at"), "of", step.alias("value"))
-                jumps = fresh.groupBy("group_id", "device", "at", "of").agg(F.max("value").alias("value"))
-            jumps = cut(jumps)
+            fresh = asof(jumps, asked).select("group_id", F.col("to").alias("device"), F.col("to_at").alias("at"), "of", step.alias("value"))
+            jumps = cut(fresh.groupBy("group_id", "device", "at", "of").agg(F.max("value").alias("value")).filter("value > 0"))
+            self.rounds += 1
             now = jumps.agg(F.sum("value")).first()[0]
             if now == total:
                 break
             total = now
-        asked = own.join(devices, "group_id").select("group_id", F.col("device_id").alias("device"), "seq", "of", "change_hash")
-        final = cut(asof(jumps, asked))
-        lamport = final.filter("of = ''").select(*NODE, (F.col("seq") + F.col("value")).cast("long").alias("lamport"))
-        self.lamports = lamport if odd is None else lamport.unionByName(odd)
-        upto = F.when(F.col("of") == F.col("device"), F.col("seq")).otherwise(F.col("value"))
-        self.seen = final.filter("of <> ''").select(*NODE, F.col("of").alias("device"), upto.alias("upto")).filter("upto > 0")
+        return jumps
+
+    def seen_by(self, nodes: DataFrame) -> DataFrame:
+        """nodes(group_id, change_hash, ...) with chain and upto: a row for each chain of which they see something."""
+        own = nodes.join(self.own.select(*NODE, F.col("chain").alias("device"), F.col("pos").alias("seq")), NODE)
+        others = self.reach.select("group_id", "device", "of").distinct()
+        asked = own.join(others, ["group_id", "device"])
+        columns = [c for c in nodes.columns if c != "group_id"]
+        far = asof(self.reach, asked).filter("value > 0").select("group_id", *columns, F.col("of").alias("chain"), F.col("value").alias("upto"))
+        return far.unionByName(own.select(*nodes.columns, F.col("device").alias("chain"), F.col("seq").alias("upto")))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """(group_id, change_hash, chain, upto) of every change."""
+        return cut(self.seen_by(self.own.select(*NODE)))
+
+    @cached_property
+    def lifts(self) -> list[DataFrame]:
+        """Tables (group_id, device, at, to, far, steps): paths from a jump to the place `far` of the chain `to`.
+
+        steps: those of the path, and `far`, which is as many as there are from there down to the chain's begin.
+        """
+        level = self.cross.select("group_id", "device", "at", F.col("from_device").alias("to"), F.col("from_seq").alias("far"), (F.col("from_seq") + 1).alias("steps"))
+        out = []
+        while not level.isEmpty():
+            out.append(level)
+            targets = level.select("group_id", F.col("device").alias("to"), F.col("to").alias("of")).distinct()
+            asked = level.join(targets, ["group_id", "to"]).select("group_id", F.col("to").alias("device"), F.col("far").alias("seq"), "of", F.col("device").alias("start"), F.col("at").alias("start_at"), F.col("steps").alias("first"))
+            gain = level.select("group_id", "device", "at", F.col("to").alias("of"), F.struct((F.col("steps") - F.col("at")).alias("gain"), "far").alias("value"))
+            found = asof(gain, asked).filter("value IS NOT NULL")
+            best = F.max(F.struct((F.col("first") + F.col("value.gain")).alias("steps"), F.col("value.far").alias("far"))).alias("best")
+            level = cut(found.groupBy("group_id", F.col("start").alias("device"), F.col("start_at").alias("at"), F.col("of").alias("to")).agg(best).select("group_id", "device", "at", "to", "best.far", "best.steps"))
+            self.rounds += 1
+        return out
+
+    @cached_property
+    def offsets(self) -> DataFrame:
+        """(group_id, device, at, value): by how much the Lamport number at a jump is above its place in the chain."""
+
+        def relaxed(now: DataFrame, paths: DataFrame) -> DataFrame:
+            asked = paths.select("group_id", F.col("to").alias("device"), F.col("far").alias("seq"), F.lit("").alias("of"), F.col("device").alias("start"), F.col("at").alias("start_at"), "steps")
+            more = asof(now.withColumn("of", F.lit("")), asked).select("group_id", F.col("start").alias("device"), F.col("start_at").alias("at"), (F.col("steps") - F.col("start_at") + F.coalesce("value", F.lit(0))).alias("value"))
+            return now.unionByName(more).groupBy("group_id", "device", "at").agg(F.max("value").alias("value")).filter("value > 0")
+
+        now = self.cross.select("group_id", "device", "at", F.lit(0).cast("long").alias("value")).filter("value > 0")
+        for level in self.lifts:
+            now = cut(relaxed(now, level))
+        if not self.lifts:
+            return now
+        every = cut(reduce(DataFrame.unionByName, self.lifts).groupBy("group_id", "device", "at", "to", "far").agg(F.max("steps").alias("steps")))
+        total = now.agg(F.sum("value")).first()[0]
+        while total is not None:
+            now = cut(relaxed(now, every))
+            self.rounds += 1
+            after = now.agg(F.sum("value")).first()[0]
+            if after == total:
+                break
+            total = after
+        return now
+
+    @cached_property
+    def lamports(self) -> DataFrame:
+        """(group_id, change_hash, lamport): 1 for roots, else one more than the greatest of the parents."""
+        asked = self.own.select("group_id", F.col("chain").alias("device"), F.col("pos").alias("seq"), F.lit("").alias("of"), "change_hash")
+        found = asof(self.offsets.withColumn("of", F.lit("")), asked)
+        return found.select(*NODE, (F.col("seq") + F.coalesce("value", F.lit(0))).cast("long").alias("lamport"))
 
     def with_lamports(self, changes: DataFrame) -> DataFrame:
-        """changes with lamport: 1 for roots, else one more than the greatest of its parents."""
+        """changes with lamport."""
         return changes.join(self.lamports, NODE)
 
+    def device_vectors(self) -> DataFrame:
+        """(group_id, change_hash, device_id, seq): the greatest sequence number of each device that a change has seen."""
+        at = self.own.select("group_id", "chain", F.col("pos").alias("upto"), "device_id", "seq")
+        return self.seen.join(at, ["group_id", "chain", "upto"]).groupBy(*NODE, "device_id").agg(F.max("seq").alias("seq"))
+
+    def closure(self, frontier: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        """(keys, change_hash): frontier(keys, change_hash), and all ancestors of what is known of it."""
+        keys = keys or ["group_id"]
+        nodes = frontier.select(*keys, "change_hash").distinct()
+        upto = self.seen_by(nodes).groupBy(*keys, "chain").agg(F.max("upto").alias("upto"))
+        below = upto.join(self.own.select("group_id", "chain", "pos", "change_hash"), ["group_id", "chain"]).filter("pos <= upto").select(*keys, "change_hash")
+        return below.unionByName(nodes.join(self.own, NODE, "left_anti").select(*keys, "change_hash"))
+
     def path_heads(self, touches: DataFrame) -> DataFrame:
         """touches that no other change touching the same path has as an ancestor."""
-        known = touches.join(self.own.select(*NODE, F.col("device_id").alias("_device"), F.col("seq").alias("_seq")), NODE)
-        strict = known.select("group_id", "path", "change_hash", "_device", "_seq").distinct().join(self.seen, NODE)
-        upto = F.when(F.col("device") == F.col("_device"), F.col("_seq") - 1).otherwise(F.col("upto"))
-        most = strict.groupBy("group_id", "path", F.col("device").alias("_device")).agg(F.max(upto).alias("_upto"))
-        out = known.join(most, ["group_id", "path", "_device"], "left").filter(F.coalesce("_upto", F.lit(0)) < F.col("_seq")).select(*touches.columns)
-        return out if self.pairs is None else out.unionByName(path_heads(touches.join(self.own, NODE, "left_anti"), self.pairs).select(*touches.columns))
+        known = touches.join(self.own.select(*NODE, F.col("chain").alias("_chain"), F.col("pos").alias("_pos")), NODE)
+        strict = known.select("group_id", "path", "change_hash", "_chain", "_pos").distinct().join(self.seen, NODE)
+        upto = F.when(F.col("chain") == F.col("_chain"), F.col("_pos") - 1).otherwise(F.col("upto"))
+        most = strict.groupBy("group_id", "path", F.col("chain").alias("_chain")).agg(F.max(upto).alias("_upto"))
+        return known.join(most, ["group_id", "path", "_chain"], "left").filter(F.coalesce("_upto", F.lit(0)) < F.col("_pos")).select(*touches.columns)
 
     def precedes(self, pairs: DataFrame) -> DataFrame:
         """pairs(group_id, a, b, ...) with precedes: whether change a is an ancestor of change b."""
-        first = self.own.select("group_id", F.col("change_hash").alias("a"), F.col("device_id").alias("_device"), F.col("seq").alias("_seq"))
-        seen = self.seen.select("group_id", F.col("change_hash").alias("b"), F.col("device").alias("_device"), F.col("upto").alias("_upto"))
-        out = pairs.join(first, ["group_id", "a"], "left").join(seen, ["group_id", "b", "_device"], "left")
-        out = out.withColumn("precedes", (F.col("a") != F.col("b")) & F.coalesce(F.col("_upto") >= F.col("_seq"), F.lit(False)))
-        if self.pairs is not None:
-            reach = self.pairs.select("group_id", F.col("change_hash").alias("b"), F.col("ancestor").alias("a"), F.lit(True).alias("_reach"))
-            out = out.join(reach, ["group_id", "a", "b"], "left").withColumn("precedes", F.col("precedes") | F.coalesce("_reach", F.lit(False)))
-        return out.select(*pairs.columns, "precedes")
+        first = self.own.select("group_id", F.col("change_hash").alias("a"), F.col("chain").alias("_chain"), F.col("pos").alias("_pos"))
+        asked = pairs.select("group_id", F.col("b").alias("change_hash")).distinct()
+        seen = self.seen_by(asked).select("group_id", F.col("change_hash").alias("b"), F.col("chain").alias("_chain"), F.col("upto").alias("_upto"))
+        out = pairs.join(first, ["group_id", "a"], "left").join(seen, ["group_id", "b", "_chain"], "left")
+        return out.select(*pairs.columns, ((F.col("a") != F.col("b")) & F.coalesce(F.col("_upto") >= F.col("_pos"), F.lit(False))).alias("precedes"))
+
+
+def in_chains(changes: DataFrame, edges: DataFrame) -> DataFrame:
+    """changes(group_id, change_hash, device_id, seq) with chain and pos.
+
+    Along a device's sequence numbers (ties by hash) a chain goes on as long as each change has the one before among its parents.
+    """
+    along = Window.partitionBy("group_id", "device_id").orderBy("seq", "change_hash")
+    before = changes.withColumn("_before", F.lag("change_hash").over(along))
+    steps = edges.select("group_id", F.col("child_hash").alias("change_hash"), F.col("parent_hash").alias("_before"), F.lit(0).alias("_on")).distinct()
+    runs = before.join(steps, ["group_id", "change_hash", "_before"], "left")
+    runs = runs.withColumn("_run", F.sum(F.coalesce("_on", F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("group_id", "device_id", "_run").orderBy("seq", "change_hash")
+    return runs.select(*NODE, "device_id", "seq", F.concat_ws("\u0001", "device_id", "_run").alias("chain"), F.row_number().over(within).cast("long").alias("pos"))
 
 
 def asof(jumps: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(group_id, device, seq, of, ...) with value: the greatest of the device's jumps up to that sequence number, or 0."""
+    """asked(group_id, device, seq, of, ...) with value: the greatest of the device's jumps(at, of, value) up to that place, or null."""
     extra = [c for c in asked.columns if c not in ("group_id", "device", "seq", "of")]
-    rows = asked.withColumn("_asked", F.lit(1)).withColumn("value", F.lit(0).cast("long")).unionByName(jumps.withColumnRenamed("at", "seq").withColumn("_asked", F.lit(0)), allowMissingColumns=True)
+    rows = asked.withColumn("_asked", F.lit(1)).unionByName(jumps.withColumnRenamed("at", "seq").withColumn("_asked", F.lit(0)), allowMissingColumns=True)
     along = Window.partitionBy("group_id", "device", "of").orderBy("seq", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("value", F.max("value").over(along)).filter("_asked = 1").select("group_id", "device", "seq", "of", *extra, "value")
 
@@ -160,14 +220,29 @@ def compare(pairs: DataFrame, known: DataFrame, causal: Causal) -> DataFrame:
 def admitted(received: DataFrame, edges: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """received with admitted: whether all ancestors are there. What misses one, directly or through others, is an orphan.
 
-    Rejected hashes count as absent. The order of arrival does not matter.
+    Rejected hashes count as absent. The order of arrival does not matter. received has device_id and seq: within a chain
+    of `in_chains` everything after an orphan is one, so each chain needs its first orphan only. A round lowers that by the
+    edges between chains; an orphan's descendants in another chain are told once, so there are no more rounds than chains.
     """
-    present = received.select(*NODE) if rejected is None else received.select(*NODE).join(rejected, NODE, "left_anti")
-    own = edges.join(present.select("group_id", F.col("change_hash").alias("child_hash")), ["group_id", "child_hash"], "left_semi")
-    missing = own.join(present.select("group_id", F.col("change_hash").alias("parent_hash")), ["group_id", "parent_hash"], "left_anti").select("group_id", F.col("child_hash").alias("change_hash"))
-    downward = own.select("group_id", F.col("parent_hash").alias("child_hash"), F.col("child_hash").alias("parent_hash"))
-    orphans = closure(missing, downward)
-    return received.join(orphans.withColumn("orphan", F.lit(True)), NODE, "left").withColumn("admitted", F.col("orphan").isNull()).drop("orphan")
+    present = received if rejected is None else received.join(rejected, NODE, "left_anti")
+    placed = cut(in_chains(present.select(*NODE, "device_id", "seq"), edges))
+    child = placed.select("group_id", F.col("change_hash").alias("child_hash"), "chain", "pos")
+    parent = placed.select("group_id", F.col("change_hash").alias("parent_hash"), F.col("chain").alias("from"), F.col("pos").alias("from_pos"))
+    met = cut(edges.select("group_id", "child_hash", "parent_hash").join(child, ["group_id", "child_hash"]).join(parent, ["group_id", "parent_hash"], "left").filter("from IS NULL OR from <> chain").select("group_id", "chain", "pos", "from", "from_pos"))
+    first = cut(met.filter("from IS NULL").groupBy("group_id", "chain").agg(F.min("pos").alias("first")))
+    cross = met.filter("from IS NOT NULL")
+    while True:
+        told = cross.join(first.withColumnsRenamed({"chain": "from", "first": "_first"}), ["group_id", "from"]).filter("from_pos >= _first").groupBy("group_id", "chain").agg(F.min("pos").alias("first"))
+        after = first.unionByName(told).groupBy("group_id", "chain").agg(F.min("first").alias("first"))
+        fresh = after.join(first.withColumnRenamed("first", "_before"), ["group_id", "chain"], "left").filter("_before IS NULL OR first < _before")
+        after = cut(after)
+        if fresh.isEmpty():
+            break
+        first = after
+    orphans = placed.join(first, ["group_id", "chain"], "left").select(*NODE, F.coalesce(F.col("pos") < F.col("first"), F.lit(True)).alias("admitted"))
+    if rejected is None:
+        return received.join(orphans, NODE)
+    return received.join(orphans, NODE, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 def missing_frontier(received: DataFrame, edges: DataFrame) -> DataFrame:
@@ -176,12 +251,6 @@ def missing_frontier(received: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("group_id", F.col("parent_hash").alias("missing")).distinct().join(received.select("group_id", F.col("change_hash").alias("missing")), ["group_id", "missing"], "left_anti")
 
 
-def path_heads(touches: DataFrame, reach: DataFrame) -> DataFrame:
-    """touches that no other change touching the same path has as an ancestor."""
-    later = touches.select("group_id", "path", "change_hash").distinct().join(reach.select(*NODE, "ancestor"), NODE).select("group_id", "path", F.col("ancestor").alias("change_hash")).distinct()
-    return touches.join(later, ["group_id", "path", "change_hash"], "left_anti")
-
-
 def resolve(heads_: DataFrame) -> DataFrame:
     """(group_id, path, winner, winner_version, n_heads, copies): the outcome of every path.
 
@@ -213,14 +282,9 @@ def prune_plan(frontiers: DataFrame, devices: DataFrame, edges: DataFrame, chang
     """
     causal = Causal(changes, edges)
     wanted = devices.groupBy("group_id").agg(F.countDistinct("device_id").alias("n"))
-    has = frontiers.select("group_id", F.col("device_id").alias("holder"), "change_hash").join(causal.seen, NODE).groupBy("group_id", "device", "holder").agg(F.max("upto").alias("upto"))
-    least = has.groupBy("group_id", "device").agg(F.count("*").alias("has"), F.min("upto").alias("upto")).join(wanted, "group_id").filter("has = n").select("group_id", F.col("device").alias("device_id"), "upto")
-    common = causal.own.join(least, ["group_id", "device_id"]).filter("seq <= upto").select(*NODE)
-    if causal.pairs is not None:
-        odd = frontiers.join(causal.own, NODE, "left_anti")
-        reach = closure(odd, edges, ["group_id", "device_id"])
-        common = common.unionByName(reach.groupBy(*NODE).agg(F.countDistinct("device_id").alias("has")).join(wanted, "group_id").filter("has = n").select(*NODE))
-    common = cut(common)
+    has = causal.seen_by(frontiers.select("group_id", F.col("device_id").alias("holder"), "change_hash")).groupBy("group_id", "chain", "holder").agg(F.max("upto").alias("upto"))
+    least = has.groupBy("group_id", "chain").agg(F.count("*").alias("has"), F.min("upto").alias("upto")).join(wanted, "group_id").filter("has = n").select("group_id", "chain", "upto")
+    common = cut(causal.own.join(least, ["group_id", "chain"]).filter("pos <= upto").select(*NODE))
     below = causal.edges.join(common.select("group_id", F.col("change_hash").alias("child_hash")), ["group_id", "child_hash"], "left_semi").select("group_id", F.col("parent_hash").alias("change_hash")).distinct().withColumn("below", F.lit(True))
     return common.join(below, NODE, "left").select(*NODE, F.when(F.col("below"), "pruned").otherwise("frontier").alias("role"))
 

@@ -41,12 +41,9 @@ def required_copies(copies: DataFrame, heads: DataFrame, touches: DataFrame, cau
     there = heads.filter(F.col("version_hash").isNotNull()).select("group_id", F.col("path").alias("target"), "version_hash")
     keys = ["group_id", "target", "losing_change"]
     after = touches.select("group_id", F.col("path").alias("target"), "change_hash")
-    upto = after.join(causal.seen, NODE).groupBy("group_id", "target", F.col("device").alias("device_id")).agg(F.max("upto").alias("upto"))
-    losers = copies.join(causal.own.withColumnRenamed("change_hash", "losing_change"), ["group_id", "losing_change"])
-    acted = losers.join(upto, ["group_id", "target", "device_id"]).filter("seq <= upto").select(*keys)
-    if causal.pairs is not None:
-        odd = after.join(causal.own, NODE, "left_anti")
-        acted = acted.unionByName(odd.join(causal.pairs.select(*NODE, F.col("ancestor").alias("losing_change")), NODE).select(*keys)).unionByName(odd.withColumnRenamed("change_hash", "losing_change"))
+    upto = causal.seen_by(after).groupBy("group_id", "target", "chain").agg(F.max("upto").alias("upto"))
+    losers = copies.join(causal.own.select("group_id", F.col("change_hash").alias("losing_change"), "chain", "pos"), ["group_id", "losing_change"])
+    acted = losers.join(upto, ["group_id", "target", "chain"]).filter("pos <= upto").select(*keys)
     left = copies.join(there, ["group_id", "target", "version_hash"], "left_anti").join(acted, keys, "left_anti")
     return left.select("group_id", "path", "losing_change", "version_hash", "target")
 

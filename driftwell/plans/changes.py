@@ -61,7 +61,7 @@ def gr1(v):
 @query("gr1_frontier_closure", """WITH RECURSIVE c(group_id, device_id, change_hash) AS (SELECT * FROM fx_frontier UNION SELECT c.group_id, c.device_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash)
 SELECT group_id, device_id, count(*) AS n FROM c GROUP BY ALL""")
 def gr1_frontier(v):
-    return G.closure(v.fx_frontier, v.fx_edges, ["group_id", "device_id"]).groupBy("group_id", "device_id").agg(F.count("*").alias("n"))
+    return causal_of(v).closure(v.fx_frontier, ["group_id", "device_id"]).groupBy("group_id", "device_id").agg(F.count("*").alias("n"))
 
 
 @query("gr2_heads", "SELECT group_id, change_hash FROM fx_changes c WHERE change_hash NOT IN (SELECT parent_hash FROM fx_edges)")
@@ -234,7 +234,7 @@ def gr18(v):
 @query("gr19_device_vectors", f"""WITH RECURSIVE {REACH}, seen AS (SELECT group_id, change_hash, change_hash AS ancestor FROM fx_changes UNION ALL SELECT * FROM reach)
 SELECT s.group_id, s.change_hash, c.device_id, max(c.seq) AS seq FROM seen s JOIN fx_changes c ON c.group_id = s.group_id AND c.change_hash = s.ancestor GROUP BY ALL""")
 def gr19(v):
-    return causal_of(v).seen.select("group_id", "change_hash", F.col("device").alias("device_id"), F.col("upto").alias("seq"))
+    return causal_of(v).device_vectors()
 
 
 @query("gr19_chain_guard", "SELECT DISTINCT group_id, true AS chained FROM (SELECT group_id FROM fx_changes GROUP BY group_id, device_id HAVING count(*) > 1)")
@@ -310,9 +310,9 @@ def tk3(v):
 @query("tk5_ancestor_batch", f"""WITH RECURSIVE {LAMPORT}, c(group_id, change_hash) AS (SELECT group_id, change_hash FROM fx_frontier UNION SELECT c.group_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash),
 r AS (SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY lamport, change_hash) AS nth FROM c JOIN lam USING (group_id, change_hash)) SELECT * FROM r WHERE nth <= 16""")
 def tk5(v):
-    changes = with_lamports(v)
-    wanted = G.closure(v.fx_frontier.select(*G.NODE), v.fx_edges)
-    return H.total_order(changes.join(wanted, G.NODE, "left_semi")).filter("nth <= 16").select("group_id", "change_hash", "nth")
+    causal = causal_of(v)
+    wanted = causal.closure(v.fx_frontier.select(*G.NODE))
+    return H.total_order(causal.with_lamports(v.fx_changes).join(wanted, G.NODE, "left_semi")).filter("nth <= 16").select("group_id", "change_hash", "nth")
 
 
 @query("set1_edge_union", "SELECT * FROM fx_edges UNION SELECT * FROM fx_pruned_edges")

@@ -71,7 +71,7 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
         SELECT group_id, change_hash, device_id, event_id, us, path, CASE WHEN kind = 'Put' THEN version_hash END AS version_hash, CASE WHEN kind = 'Move' THEN 'Delete' ELSE kind END AS kind FROM fx_ops
         UNION ALL
         SELECT group_id, change_hash, device_id, event_id, us, to_path AS path, version_hash, 'Put' AS kind FROM fx_ops WHERE kind = 'Move'""",
-    "fx_received": lambda d: f"SELECT group_id, change_hash, device_id, event_id, row_number() OVER (PARTITION BY group_id ORDER BY {d.sha(chr(39) + 'r' + chr(39) + ' || cast(event_id AS string)')}) AS received_seq FROM fx_changes WHERE event_id % 29 <> 0",
+    "fx_received": lambda d: f"SELECT group_id, change_hash, device_id, seq, event_id, row_number() OVER (PARTITION BY group_id ORDER BY {d.sha(chr(39) + 'r' + chr(39) + ' || cast(event_id AS string)')}) AS received_seq FROM fx_changes WHERE event_id % 29 <> 0",
     "fx_versions": lambda d: f"SELECT version_hash, min(size) AS size FROM (SELECT {d.sha(chr(39) + 'v' + chr(39) + ' || cast(cast(floor(value) AS bigint) % 5 AS string)')} AS version_hash, cast(floor(value * 1000) AS bigint) AS size, cast(floor(value) AS bigint) % 5 AS nth FROM fx_changes) v WHERE nth <> 4 GROUP BY version_hash",
     "fx_frontier": lambda d: f"""
         SELECT group_id, device_id, {d.max_by("change_hash", "event_id")} AS change_hash FROM fx_changes

@@ -232,13 +232,15 @@ def orphan_stream(received: DataFrame, edges: DataFrame, spark: SparkSession, mo
 
 
 def orphan_buffer(received: DataFrame, edges: DataFrame) -> DataFrame:
-    """received with the round in which each change is admitted when changes come in received_seq order; null for orphans.
+    """received with the number in the order of arrival at which each change is admitted; null for orphans.
 
-    A change is admitted when it and all its ancestors are there, which is at the greatest received_seq among them.
+    A change is admitted when it and all its ancestors are there, which is at the greatest received_seq among them: the
+    greatest up to the place that it has seen of each chain.
     """
-    from driftwell.operators.graph import NODE, admitted, ancestors
+    from driftwell.operators.graph import NODE, Causal, admitted
 
-    state = admitted(received, edges)
-    seq = received.select("group_id", F.col("change_hash").alias("ancestor"), F.col("received_seq").alias("s"))
-    latest = cut(ancestors(edges)).join(seq, ["group_id", "ancestor"]).groupBy(*NODE).agg(F.max("s").alias("latest"))
-    return state.join(latest, NODE, "left").withColumn("admitted_at", F.when(F.col("admitted"), F.greatest("received_seq", F.coalesce("latest", F.lit(0)))))
+    causal = Causal(received, edges)
+    along = Window.partitionBy("group_id", "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    latest = causal.own.join(received.select(*NODE, "received_seq"), NODE).select("group_id", "chain", F.col("pos").alias("upto"), F.max("received_seq").over(along).alias("latest"))
+    known = causal.seen.join(latest, ["group_id", "chain", "upto"]).groupBy(*NODE).agg(F.max("latest").alias("latest"))
+    return admitted(received, edges).join(known, NODE).withColumn("admitted_at", F.when(F.col("admitted"), F.col("latest")))
