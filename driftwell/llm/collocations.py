@@ -39,7 +39,7 @@ MOST = 5
 #: Suffixes of a group.
 GROUP_ROWS = 1 << 16
 #: Bytes of text that are split at once, and pairs or suffixes that a task gathers before it sends them.
-SLICE_BYTES, GATHERED = 4 << 20, 1 << 20
+SLICE_BYTES, GATHERED = 1 << 20, 1 << 18
 LEAST_LOG_BITS, MOST_LOG_BITS = 16, 28
 STOP = np.zeros(256, dtype=bool)
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
