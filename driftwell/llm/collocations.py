@@ -4,11 +4,12 @@ Texts fall into pieces at punctuation and line ends, pieces into words. A phrase
 Everything is counted per language and exactly:
 
 * Words are counted where they are read and merged by aggregation.
-* A phrase that is found `least` times has only words, and only pairs of neighbours, that are found as often. Two bit maps
-  of hashes (64 bits for each frequent word or pair, 2^28 bits at most) tell these at the texts. Two hashes that fall together
-  let a few rare ones through and lose none; what is counted later are the words themselves.
-* A suffix is what follows from a word on, cut where the next pair is rare, and after MOST words. Equal suffixes of a task
-  are sent once, with their number.
+* A phrase that is found `least` times has only words, and only runs of two and of three words, that are found as often.
+  Three bit maps of hashes (64 bits for each frequent run, 2^28 bits at most) tell these at the texts; the next longer runs
+  are looked at only where the shorter ones in them are frequent. Hashes that fall together let a few rare runs through and
+  lose none; what is counted later are the words themselves. Run hashes travel as byte planes of sorted differences.
+* A suffix is what follows from a word on, cut where the next run of three (first: of two) is rare, and after MOST words.
+  Equal suffixes of a task are sent once, with their number.
 * Vertical partitioning: a suffix belongs to the group of its first word; where over GROUP_ROWS suffixes begin with that
   word, to that of its first two words, and so on. Prefixes are dealt to groups of about GROUP_ROWS suffixes, and each
   group's subtree is built by itself, cut at depth MOST. Counts stand at the leaves; an inner node's is the sum of those below
@@ -40,6 +41,8 @@ MOST = 5
 GROUP_ROWS = 1 << 16
 #: Bytes of text that are split at once, and pairs or suffixes that a task gathers before it sends them.
 SLICE_BYTES, GATHERED = 1 << 20, 1 << 18
+#: Runs that a part counts, about.
+PART_RUNS = 1 << 21
 LEAST_LOG_BITS, MOST_LOG_BITS = 16, 28
 STOP = np.zeros(256, dtype=bool)
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -127,48 +130,102 @@ def frequent_hashes(words: DataFrame) -> DataFrame:
     return words.select("lang", "word").mapInArrow(batches, "hash long")
 
 
-def pair_hashes(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each word and the next; as many as there are words but one."""
-    return mixed(hashes[:-1] * STEP + hashes[1:])
+class Runs:
+    """At each word of a batch: whether a run of 1, 2, ... words that begins there is frequent, as far as bit maps are given."""
 
+    def __init__(self, w: Words, maps: list[Bits]):
+        self.words = w.hashes()
+        self.joined, self.hashes = w.joined, self.words
+        self.known = [maps[0].has(self.words)]
+        for bits in maps[1:]:
+            self.longer()
+            self.known.append(self.possible & bits.has(self.hashes))
 
-def pair_counts(texts: DataFrame, frequent: Bits) -> DataFrame:
-    """(hash, n) of pairs of frequent words that are neighbours in a piece."""
+    def longer(self) -> None:
+        """Goes on to runs of one word more: their hashes, and which of them hold frequent runs only."""
+        n, size = len(self.words), len(self.known)
+        following = np.zeros(n, dtype=np.uint64)
+        following[: max(n - size, 0)] = self.words[size:]
+        self.hashes = mixed(self.hashes * STEP + following)
+        both = np.append(self.known[-1][1:], False)[:n]
+        self.possible = self.known[-1] & both & self.joined
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit values as differences, all first bytes, then all second ones and so on."""
+    return np.ascontiguousarray(np.diff(values, prepend=values[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(body, dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.uint64))
+
+
+def frequent_runs(texts: DataFrame, maps: list[Bits], least: int, log_parts: int) -> DataFrame:
+    """The column `hash` of runs of one word more than the maps have, that are found `least` times or share a hash with others.
+
+    A hash is cut to its first log_parts bits, which name the part that counts it, and the next 32.
+    """
+    shift = np.uint64(32 - log_parts)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def merged() -> pa.RecordBatch:
-            values, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([n for _, n in held]), minlength=len(values)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["hash", "n"])
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.flatnonzero(np.diff(values >> np.uint64(32), prepend=np.uint64(1 << 63)))
+            ends = np.append(at[1:], len(values))
+            low = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            columns = [pa.array((values[at] >> np.uint64(32)).astype(np.int32)), pa.array([packed(low[a:b]) for a, b in zip(at, ends)], pa.binary()), pa.array([np.ascontiguousarray(n[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in zip(at, ends)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "low", "n"])
 
         for b in slices(found, most=SLICE_BYTES):
-            w = Words(b)
-            hashes = w.hashes()
-            known = frequent.has(hashes)
-            own = pair_hashes(hashes)[(w.joined & known)[:-1] & known[1:]]
-            held.append(np.unique(own, return_counts=True))
-            if sum(len(h) for h, _ in held) >= GATHERED:
+            runs_ = Runs(Words(b), maps)
+            runs_.longer()
+            held.append(runs_.hashes[runs_.possible] >> shift)
+            if sum(map(len, held)) >= GATHERED:
                 yield merged()
                 held = []
-        if held:
+        if sum(map(len, held)):
             yield merged()
 
-    return texts.mapInArrow(batches, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    def counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def many() -> np.ndarray:
+            if not held:
+                return np.zeros(0, np.int64)
+            values, where = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([n for _, n in held]))
+            return ((values[n >= least] | np.uint64(part << 32)) << shift).view(np.int64)
+
+        for b in found:
+            out = [np.zeros(0, np.int64)]
+            for own, low, n in zip(*[b.column(c).to_pylist() for c in ("part", "low", "n")]):
+                if own != part:
+                    out.append(many())
+                    part, held = own, []
+                held.append((unpacked(low), np.ascontiguousarray(np.frombuffer(n, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()))
+                if sum(len(v) for v, _ in held) > 8 * GATHERED and len(held) > 1:
+                    values, where = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+                    held = [(values, np.bincount(where, weights=np.concatenate([n for _, n in held])))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(many())], names=["hash"])
+
+    sent = texts.mapInArrow(batches, "part int, low binary, n binary").repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(counted, "hash long")
 
 
-def suffixes(texts: DataFrame, frequent: Bits, pairs: Bits) -> DataFrame:
-    """(lang, suffix, n): what follows from a word on while pairs are frequent, 2 to MOST words, and how often a task has it."""
+def suffixes(texts: DataFrame, maps: list[Bits]) -> DataFrame:
+    """(lang, suffix, n): what follows from a word on while runs are frequent, 2 to MOST words, and how often a task has it."""
 
     def merged(held: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(held).group_by(["lang", "suffix"]).aggregate([("n", "sum")]).combine_chunks()
         return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("lang", "suffix", "n_sum")], names=["lang", "suffix", "n"])
 
     def of(w: Words) -> pa.Table | None:
-        hashes = w.hashes()
-        known = frequent.has(hashes)
-        link = np.append((w.joined & known)[:-1] & known[1:] & pairs.has(pair_hashes(hashes)), False) if len(hashes) else np.zeros(0, bool)
+        _, link, three = Runs(w, maps).known
         first = np.flatnonzero(link)
         if not len(first):
             return None
@@ -180,9 +237,9 @@ def suffixes(texts: DataFrame, frequent: Bits, pairs: Bits) -> DataFrame:
         code = np.zeros(len(link) + MOST, dtype=np.int32)
         code[at] = coded.indices.to_numpy(zero_copy_only=False) + 1
         on, columns = np.ones(len(first), dtype=bool), [code[first]]
-        padded = np.append(link, np.zeros(MOST, dtype=bool))
+        padded = np.append(three, np.zeros(MOST, dtype=bool))
         for k in range(1, MOST):
-            on = on & padded[first + k - 1]
+            on = on & padded[first + k - 2] if k > 1 else on
             columns.append(np.where(on, code[first + k], 0))
         table = pa.table({"lang": pa.array(w.lang[first], pa.int32())} | {f"c{k}": c for k, c in enumerate(columns)})
         rows = table.group_by(table.column_names).aggregate([([], "count_all")])
@@ -221,7 +278,7 @@ def grouped(rows: DataFrame) -> DataFrame:
             break
         deeper = few(heavy.withColumnsRenamed({"lang": "_lang", "prefix": "_prefix"}))
         hit = (F.col("depth") == depth) & (F.col("lang") == F.col("_lang")) & (first_words(depth) == F.col("_prefix"))
-        filed = filed.join(deeper, hit, "left").withColumn("depth", F.when(F.col("_prefix").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("_lang", "_prefix")
+        filed = cut(filed.join(deeper, hit, "left").withColumn("depth", F.when(F.col("_prefix").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("_lang", "_prefix"))
     groups = max(1, -(-2 * rows.count() // GROUP_ROWS))
     return filed.withColumn("group", F.pmod(F.xxhash64("lang", first_words(F.col("depth"))), F.lit(groups))).drop("words")
 
@@ -291,9 +348,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), empty_if_null(F.col(f"`{text}`")).alias("text"))
     counted = cut(word_counts(texts, least))
     words, totals = counted.filter("word IS NOT NULL"), counted.filter("word IS NULL").select("lang", "n")
-    frequent = bits_of(cut(frequent_hashes(words)))
-    pairs = bits_of(cut(pair_counts(texts, frequent).filter(F.col("n") >= least).select("hash")))
-    phrases = cut(phrase_counts(cut(suffixes(texts, frequent, pairs)), least))
+    all_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    log_parts = min(20, max(4, (all_words // PART_RUNS).bit_length()))
+    maps = [bits_of(cut(frequent_hashes(words)))]
+    for _ in range(2):
+        maps.append(bits_of(cut(frequent_runs(texts, maps, least, log_parts))))
+    phrases = cut(phrase_counts(cut(suffixes(texts, maps)), least))
     best = without_inner(scored(phrases, words, totals), phrases)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
