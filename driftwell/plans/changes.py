@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import graph as G
 from driftwell.operators import history as H
+from driftwell.operators import orphans as R
 from driftwell.plans.catalog import Views, query
 from driftwell.plans.lineage import cut
 
@@ -303,8 +304,36 @@ def tk1(v):
 @query("tk3_orphan_bound", f"""WITH RECURSIVE {ORPHANS}, ranked AS (SELECT group_id, change_hash, row_number() OVER (PARTITION BY group_id ORDER BY received_seq DESC) AS nth FROM orphan JOIN fx_received USING (group_id, change_hash))
 SELECT group_id, change_hash, nth FROM ranked WHERE nth <= 4096""")
 def tk3(v):
-    orphans = G.admitted(v.fx_received, v.fx_edges).filter("NOT admitted")
-    return orphans.withColumn("nth", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("received_seq"))).cast("long")).filter("nth <= 4096").select("group_id", "change_hash", "nth")
+    orphans = R.bounded_buffer(v.fx_received, v.fx_edges).filter("state = 'orphan'")
+    return orphans.select("group_id", "change_hash", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("received_seq"))).cast("long").alias("nth"))
+
+
+def evicted_after(rounds: int, most: int) -> str:
+    """CTEs ev0 to ev{rounds}: what a buffer of `most` evicts, by definition; each round knows what the one before evicted."""
+    out = ["""lat AS (SELECT group_id, change_hash, r, greatest(r, coalesce(above, 0)) AS latest, missing FROM (SELECT q.group_id, q.change_hash, q.received_seq AS r, max(a.received_seq) AS above, count(*) FILTER (n.ancestor IS NOT NULL AND a.change_hash IS NULL) AS missing
+  FROM fx_received q LEFT JOIN reach n ON n.group_id = q.group_id AND n.change_hash = q.change_hash LEFT JOIN fx_received a ON a.group_id = n.group_id AND a.change_hash = n.ancestor GROUP BY q.group_id, q.change_hash, q.received_seq))""", "ev0 AS (SELECT group_id, change_hash FROM lat WHERE false)"]
+    for k in range(1, rounds + 1):
+        out.append(f"""bad{k} AS (SELECT change_hash FROM lat WHERE missing > 0 UNION SELECT change_hash FROM ev{k - 1} UNION SELECT n.change_hash FROM reach n JOIN ev{k - 1} e ON e.group_id = n.group_id AND e.change_hash = n.ancestor),
+w{k} AS (SELECT lat.*, b.change_hash IS NOT NULL AS bad FROM lat LEFT JOIN bad{k} b USING (change_hash) WHERE b.change_hash IS NOT NULL OR latest > r),
+ev{k} AS (SELECT DISTINCT group_id, change_hash FROM (SELECT x.group_id, x.change_hash, t.r FROM w{k} x JOIN w{k} t ON t.group_id = x.group_id AND t.r > x.r AND (x.bad OR t.r < x.latest)
+  JOIN w{k} y ON y.group_id = x.group_id AND y.r > x.r AND y.r <= t.r AND (y.bad OR y.latest > t.r) GROUP BY x.group_id, x.change_hash, t.r HAVING count(*) >= {most}))""")
+    return ",\n".join(out)
+
+
+@query("tk3_bounded_buffer", f"""WITH RECURSIVE {REACH}, {evicted_after(4, 8)},
+buf AS (SELECT l.group_id, l.change_hash, CASE WHEN e.change_hash IS NOT NULL THEN 'evicted' WHEN b.change_hash IS NOT NULL THEN 'orphan' ELSE 'admitted' END AS state, latest FROM lat l LEFT JOIN ev4 e USING (group_id, change_hash) LEFT JOIN bad4 b USING (change_hash)),
+held AS (SELECT e.* FROM fx_edges e JOIN buf b ON b.group_id = e.group_id AND b.change_hash = e.child_hash WHERE state <> 'evicted'),
+super AS (SELECT DISTINCT h.parent_hash AS change_hash FROM held h JOIN buf b ON b.group_id = h.group_id AND b.change_hash = h.child_hash WHERE state = 'admitted')
+SELECT group_id, change_hash, state, CASE WHEN state = 'admitted' THEN latest ELSE -1 END AS admitted_at, coalesce(n, 0) AS n_edges, state = 'admitted' AND s.change_hash IS NULL AS head
+FROM buf LEFT JOIN (SELECT child_hash AS change_hash, count(*) AS n FROM held GROUP BY child_hash) USING (change_hash) LEFT JOIN super s USING (change_hash)""")
+def tk3_buffer(v):
+    """A bound of 8, which the fixtures' groups pass: what is evicted, the edges that stay and the heads."""
+    buffer = cut(R.bounded_buffer(v.fx_received, v.fx_edges, most=8))
+    held = R.held_edges(buffer, v.fx_edges)
+    n = held.groupBy("group_id", F.col("child_hash").alias("change_hash")).agg(F.count("*").alias("n"))
+    heads = R.admitted_heads(buffer, held).withColumn("_head", F.lit(True))
+    out = buffer.join(n, G.NODE, "left").join(heads, G.NODE, "left")
+    return out.select("group_id", "change_hash", "state", F.coalesce("admitted_at", F.lit(-1)).alias("admitted_at"), F.coalesce("n", F.lit(0)).alias("n_edges"), F.coalesce("_head", F.lit(False)).alias("head"))
 
 
 @query("tk5_ancestor_batch", f"""WITH RECURSIVE {LAMPORT}, c(group_id, change_hash) AS (SELECT group_id, change_hash FROM fx_frontier UNION SELECT c.group_id, e.parent_hash FROM c JOIN fx_edges e ON e.group_id = c.group_id AND e.child_hash = c.change_hash),

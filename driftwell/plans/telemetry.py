@@ -9,9 +9,11 @@ from driftwell.functions import paths as P
 from driftwell.operators import files as X
 from driftwell.operators import fleet as O
 from driftwell.plans.catalog import Views, query
+from driftwell.plans.lineage import cut
 from driftwell.plans.fileindex import LIVE
 from driftwell.plans.lineage import new_folder
 from driftwell.sources import sinks as K
+from driftwell.streaming import admission as A
 from driftwell.streaming import sessions as S
 
 NOW = 1709251200000000
@@ -239,14 +241,19 @@ up AS (SELECT r.change_hash, max(q.received_seq) AS latest, count(*) FILTER (q.c
 
 @query("st3_orphan_promotion", ORPHAN_AT + " SELECT x.group_id, x.change_hash, CASE WHEN coalesce(missing, 0) = 0 THEN greatest(received_seq, coalesce(latest, 0)) ELSE -1 END AS admitted_at FROM fx_received x LEFT JOIN up USING (change_hash)")
 def st3(v):
-    return S.orphan_buffer(v.fx_received, v.fx_edges).select("group_id", "change_hash", F.coalesce("admitted_at", F.lit(-1)).cast("long").alias("admitted_at"))
+    """By the stream, of which a group's first 16 arrivals make one file, the next 16 another, and so on."""
+    done = A.events_of(v.spark, v.fx_received, v.fx_edges, size=16).filter("event = 'admitted'").select("group_id", "change_hash", F.col("at").alias("admitted_at"))
+    return v.fx_received.join(done, ["group_id", "change_hash"], "left").select("group_id", "change_hash", F.coalesce("admitted_at", F.lit(-1)).alias("admitted_at"))
 
 
-@query("st4_running_heads", "SELECT group_id, change_hash, received_seq AS shown_at, coalesce((SELECT min(r.received_seq) FROM fx_edges e JOIN fx_received r ON r.change_hash = e.child_hash WHERE e.parent_hash = x.change_hash AND r.received_seq > x.received_seq), -1) AS replaced_at FROM fx_received x")
+@query("st4_running_heads", ORPHAN_AT + """, adm AS (SELECT x.group_id, x.change_hash, greatest(received_seq, coalesce(latest, 0)) AS shown_at FROM fx_received x LEFT JOIN up USING (change_hash) WHERE coalesce(missing, 0) = 0)
+SELECT a.group_id, a.change_hash, a.shown_at, coalesce(min(c.shown_at), -1) AS replaced_at FROM adm a LEFT JOIN fx_edges e ON e.group_id = a.group_id AND e.parent_hash = a.change_hash LEFT JOIN adm c ON c.group_id = e.group_id AND c.change_hash = e.child_hash GROUP BY ALL""")
 def st4(v):
-    later = v.fx_edges.join(v.fx_received.select("group_id", F.col("change_hash").alias("child_hash"), F.col("received_seq").cast("long").alias("at")), ["group_id", "child_hash"]).select("group_id", F.col("parent_hash").alias("change_hash"), "at")
-    rows = v.fx_received.select("group_id", "change_hash", F.col("received_seq").cast("long").alias("shown_at"))
-    return rows.join(later, ["group_id", "change_hash"], "left").groupBy("group_id", "change_hash", "shown_at").agg(F.coalesce(F.min(F.when(F.col("at") > F.col("shown_at"), F.col("at"))), F.lit(-1)).alias("replaced_at"))
+    """Since when each admitted change is a head, and when its first admitted child replaces it (-1: it still is one), by the stream."""
+    events = cut(A.events_of(v.spark, v.fx_received, v.fx_edges, size=16))
+    shown = events.filter("event = 'admitted'").select("group_id", "change_hash", F.col("at").alias("shown_at"))
+    replaced = events.filter("event = 'replaced'").select("group_id", "change_hash", F.col("at").alias("replaced_at"))
+    return shown.join(replaced, ["group_id", "change_hash"], "left").withColumn("replaced_at", F.coalesce("replaced_at", F.lit(-1)))
 
 
 @query("st5_dirty_path_journal", "SELECT group_id, path, min(us) AS first_seen, max(us) AS observed_at, arg_max(kind, row(us, event_id)) AS kind, count(*) AS attempts FROM fx_fs_events GROUP BY ALL")

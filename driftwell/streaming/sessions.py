@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwell.plans.lineage import cut
-
 # Fixed values of the debouncer, in microseconds and paths.
 QUIET, LONGEST, BURST = 300_000, 2_000_000, 500
 SESSION = "group_id long, started long, ended long, n_events long, n_paths long, burst boolean, last_kinds string"
@@ -198,49 +196,3 @@ def lease_pins(leases: DataFrame, now_us: int, margin_us: int = 60_000_000) -> D
 def acked_frontier(acks: DataFrame) -> DataFrame:
     """The change that each device acknowledged last; an acknowledgement replaces the one before. A stream runs it in complete mode."""
     return acks.groupBy("group_id", "device_id").agg(F.max_by("change_hash", F.struct("us", "change_hash")).alias("change_hash"))
-
-
-def orphan_stream(received: DataFrame, edges: DataFrame, spark: SparkSession, most: int = 4096) -> DataFrame:
-    """orphan_buffer over a stream: changes wait in a table until all their parents are admitted.
-
-    Each batch admits in rounds, with joins against the table of changes met so far. Of every group's waiting changes the
-    newest `most` are kept; an evicted one has to come again.
-    """
-    from driftwell.operators.graph import NODE
-
-    parents = edges.select("group_id", F.col("child_hash").alias("change_hash"), "parent_hash")
-
-    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        fresh = batch.select(*NODE, F.col("received_seq").cast("long").alias("received_seq")).groupBy(*NODE).agg(F.min("received_seq").alias("received_seq"))
-        known = fresh.withColumn("admitted_at", F.lit(None).cast("long")) if before is None else before.unionByName(fresh.join(before, NODE, "left_anti").withColumn("admitted_at", F.lit(None).cast("long")))
-        known = cut(known)
-        waiting = known.filter("admitted_at IS NULL").count()
-        while waiting:
-            done = known.filter("admitted_at IS NOT NULL").select("group_id", F.col("change_hash").alias("parent_hash"), F.col("admitted_at").alias("at"), F.lit(1).alias("there"))
-            needs = known.filter("admitted_at IS NULL").join(parents, NODE).join(done, ["group_id", "parent_hash"], "left")
-            needs = needs.groupBy(*NODE).agg(F.count_if(F.col("there").isNull()).alias("missing"), F.max("at").alias("latest"))
-            free = F.col("admitted_at").isNull() & (F.coalesce("missing", F.lit(0)) == 0)
-            known = cut(known.join(needs, NODE, "left").select(*NODE, "received_seq", F.when(free, F.greatest("received_seq", F.coalesce("latest", F.lit(0)))).otherwise(F.col("admitted_at")).alias("admitted_at")))
-            left = known.filter("admitted_at IS NULL").count()
-            if left == waiting:
-                break
-            waiting = left
-        newest = Window.partitionBy("group_id", F.col("admitted_at").isNull()).orderBy(F.desc("received_seq"))
-        return known.withColumn("_nth", F.row_number().over(newest)).filter(F.col("admitted_at").isNotNull() | (F.col("_nth") <= most)).drop("_nth")
-
-    return folded(received, step, spark)
-
-
-def orphan_buffer(received: DataFrame, edges: DataFrame) -> DataFrame:
-    """received with the number in the order of arrival at which each change is admitted; null for orphans.
-
-    A change is admitted when it and all its ancestors are there, which is at the greatest received_seq among them: the
-    greatest up to the place that it has seen of each chain.
-    """
-    from driftwell.operators.graph import NODE, Causal, admitted
-
-    causal = Causal(received, edges)
-    along = Window.partitionBy("group_id", "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    latest = causal.own.join(received.select(*NODE, "received_seq"), NODE).select("group_id", "chain", F.col("pos").alias("upto"), F.max("received_seq").over(along).alias("latest"))
-    known = causal.seen.join(latest, ["group_id", "chain", "upto"]).groupBy(*NODE).agg(F.max("latest").alias("latest"))
-    return admitted(received, edges).join(known, NODE).withColumn("admitted_at", F.when(F.col("admitted"), F.col("latest")))

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import graph as G
-from driftwell.streaming import sessions as S
+from driftwell.operators import orphans as R
+from driftwell.plans.lineage import new_folder
+from driftwell.streaming import admission as A
 
 CHANGES = "group_id long, change_hash string, device_id string, seq long, received_seq long"
 EDGES = "group_id long, child_hash string, parent_hash string"
@@ -82,10 +84,66 @@ def test_admission_against_sets(spark, seed, chained):
     assert {(r.group_id, r.change_hash): r.admitted for r in G.admitted(received, es).collect()} == {name(x): x in ok for x in up if x not in gone}
     still = {x for x in ok if not (up[x] | {x}) & rejected}
     assert {(r.group_id, r.change_hash): r.admitted for r in G.admitted(received, es, no).collect()} == {name(x): x in still for x in up if x not in gone}
-    at = {(r.group_id, r.change_hash): r.admitted_at for r in S.orphan_buffer(received, es).collect()}
+    at = {(r.group_id, r.change_hash): r.admitted_at for r in R.bounded_buffer(received, es).collect()}
     assert at == {name(x): max(seq[name(y)] for y in up[x] | {x}) if x in ok else None for x in up if x not in gone}
 
 
+def one_by_one(changes, parents, most):
+    """The buffer, change by change: events, and what is left waiting."""
+    events, waiting = [], {}
+    for group in sorted({c[0] for c in changes}):
+        done, held = {}, []
+        def admit(x, at):
+            done[x] = at
+            events.append((*name(x), "admitted", at))
+            for p in parents[x]:
+                if (*name(p), "replaced") not in {e[:3] for e in events}:
+                    events.append((*name(p), "replaced", at))
+        for _, h, _, _, at in sorted((c for c in changes if c[0] == group), key=lambda c: c[4]):
+            x = (group, int(h[1:]))
+            if parents[x] <= set(done):
+                admit(x, at)
+                while ready := [w for w in held if parents[w] <= set(done)]:
+                    held.remove(ready[0])
+                    admit(ready[0], at)
+            else:
+                held.append(x)
+                if len(held) > most:
+                    events.append((*name(held.pop(0)), "evicted", at))
+        waiting |= {x: True for x in held}
+    return events, set(waiting)
+
+
+@pytest.mark.parametrize("seed,most", [(6, 3), (7, 10), (8, 1000)])
+def test_bounded_buffers_against_arrivals(spark, seed, most):
+    """In batch, and by a stream that is stopped and started again halfway."""
+    changes, edges, parents = history(seed, n=50, chained=0.9)
+    rng = random.Random(seed)
+    order = iter(rng.sample(range(1, 101), 100))
+    changes = [(*c[:4], next(order)) for c in changes if rng.random() > 0.03]
+    events, waiting = one_by_one(changes, parents, most)
+    received, es = spark.createDataFrame(changes, CHANGES), spark.createDataFrame(edges, EDGES)
+    buffer = R.bounded_buffer(received, es, most).cache()
+    found = {(r.group_id, r.change_hash): (r.state, r.admitted_at) for r in buffer.collect()}
+    evicted = {e[:2] for e in events if e[2] == "evicted"}
+    assert bool(evicted) == (most < 1000)
+    assert found == {e[:2]: ("admitted", e[3]) for e in events if e[2] == "admitted"} | {e: ("evicted", None) for e in evicted} | {name(x): ("orphan", None) for x in waiting}
+    assert {r.child_hash for r in R.held_edges(buffer, es).filter("group_id = 1").collect()} == {h for (g, h), s in found.items() if g == 1 and s[0] != "evicted" and parents[g, int(h[1:])]}
+    heads = {e[:2] for e in events if e[2] == "admitted"} - {e[:2] for e in events if e[2] == "replaced"}
+    assert {tuple(r) for r in R.admitted_heads(buffer, es).collect()} == heads
+
+    folder, rows = new_folder(spark, "test"), A.with_parents(received, es)
+    for part in ("received_seq <= 40", "received_seq > 40 AND received_seq <= 70", "received_seq > 70"):
+        rows.filter(part).repartition("group_id").write.mode("append").parquet(f"{folder}/in")
+        again = rows.filter("received_seq = 40")
+        again.write.mode("append").parquet(f"{folder}/in")
+        A.write_events(spark, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", most)
+    found = [tuple(r) for r in spark.read.parquet(f"{folder}/out/events").collect()]
+    back = {e[:2] for e in events if e[2] == "evicted"} & {(c[0], c[1]) for c in changes if c[4] == 40}
+    if not back:
+        assert sorted(found) == sorted(events)
+
+
 def test_a_deep_history_takes_few_rounds(spark):
     """100,000 changes in one line that goes over to another of three devices at every second change."""
     n, size = F.col("id"), 100_000
@@ -98,4 +156,3 @@ def test_a_deep_history_takes_few_rounds(spark):
     assert causal.lamports.join(rows, G.NODE).filter("lamport <> id + 1").isEmpty()
     assert causal.closure(rows.filter(n == size - 1).select(*G.NODE)).count() == size
     assert causal.rounds < 22
-    print(causal.rounds)

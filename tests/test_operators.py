@@ -167,19 +167,12 @@ def test_streams_equal_their_twins(spark, tmp_path):
     same(S.collected(S.acked_frontier(as_stream(spark, tmp_path / "c", acks)), spark, "complete"), S.acked_frontier(acks))
 
 
-def test_graph_streams_equal_their_twins(spark, tmp_path):
+def test_heads_by_a_stream_equal_the_batch(spark, tmp_path):
     rng = random.Random(5)
     order = list(range(24))
     rng.shuffle(order)
     edges = spark.createDataFrame([(1, f"c{i}", f"c{p}") for i in range(1, 25) for p in {i - 1, i // 2} if p != i], "group_id long, child_hash string, parent_hash string")
-    # c20 never comes, so what follows it stays an orphan.
     received = spark.createDataFrame([(1, f"c{i}", n + 1) for n, i in enumerate(order) if i != 20], "group_id long, change_hash string, received_seq long")
-    twin = S.orphan_buffer(received, edges).select("group_id", "change_hash", "received_seq", "admitted_at")
-    same(S.orphan_stream(as_stream(spark, tmp_path / "a", received), edges, spark), twin)
-    assert twin.filter("admitted_at IS NULL").count() == 3
-    bounded = S.orphan_stream(as_stream(spark, tmp_path / "b", received, 1), edges, spark, most=2)
-    orphans = sorted(r.received_seq for r in twin.filter("admitted_at IS NULL").collect())
-    assert [r.received_seq for r in bounded.filter("admitted_at IS NULL").orderBy("received_seq").collect()] == orphans[-2:]
     heads = S.running_heads(received, edges)
     same(S.collected(S.running_heads(as_stream(spark, tmp_path / "c", received), edges), spark, "complete"), heads)
     seen = {f"c{i}": n + 1 for n, i in enumerate(order) if i != 20}
