@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.plans.lineage import cut
+
 # Histogram edges in seconds; job transitions; backoff.
 EDGES = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 TRANSITIONS = [("pending", "planning"), ("planning", "waiting"), ("planning", "fetching"), ("planning", "ready"), ("planning", "backoff"), ("planning", "done"), ("waiting", "fetching"), ("waiting", "backoff"), ("fetching", "ready"), ("fetching", "waiting"), ("fetching", "backoff"), ("backoff", "planning"), ("ready", "done"), ("waiting", "planning"), ("fetching", "planning"), ("ready", "planning"), ("planning", "planning")]
@@ -93,30 +94,41 @@ def durability(facts: DataFrame) -> Column:
     )
 
 
-def pack(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int = 64, most_cost: int = 256 << 20, epochs: str | None = None, most_epochs: int = 128) -> DataFrame:
-    """items with slice: consecutive items of a plan, in order, until a slice would pass a bound; a larger item stands alone.
-
-    epochs names the column with the epochs that an item takes (none: one each). Where a slice ends depends on all slices
-    before it, so each plan is one sequential fold; plans are bounded batches (see batches_of).
-    """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema)}, slice long"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        out, number, count, total, spent = [], 0, 0, 0, 0
-        for c, e in zip(rows[cost], rows[epochs] if epochs else [1] * len(rows)):
-            if count and (count >= most_items or total + c > most_cost or spent + e > most_epochs):
-                number, count, total, spent = number + 1, 0, 0, 0
-            count, total, spent = count + 1, total + c, spent + e
-            out.append(number)
-        return rows.assign(slice=out)
-
-    return items.groupBy(*keys).applyInPandas(fold, schema)
+def pack(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int = 64, most_cost: int = 256 << 20, epochs: str | None = None, most_epochs: int = 128, unit: str | None = None) -> DataFrame:
+    """items with slice: consecutive units of a plan, in order, until a slice would pass a bound; a larger unit stands alone.
 
+    unit names the column whose equal values stay together (none: each item is a unit); units go by their first item.
+    epochs names the column with the epochs that an item takes (none: one each).
 
-def batches_of(items: DataFrame, key: str, order: str, most: int = 1 << 16) -> DataFrame:
-    """items with batch: each key's items in order, cut into batches of at most so many."""
-    return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / most))
+    Where a slice that begins at a unit ends follows from running sums: it is the last unit whose sum stays within the bound
+    above the sum before the first. So every unit has a pointer to the begin of the next slice. A plan's slices are the
+    units that the first one's pointers lead to; these are collected by doubling: the first 2^k slice begins and pointers
+    over 2^k slices give 2^(k+1) of each. A plan of any length takes log2(slices) joins and no fold.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = items.withColumns({n: F.col(k) for n, k in zip(names, keys)} | {"_unit": F.col(unit or order)})
+    sums = {"_count": F.count("*"), "_cost": F.sum(cost), "_epochs": F.sum(epochs) if epochs else F.count("*")}
+    units = own.groupBy(*names, "_unit").agg(F.min(order).alias("_order"), *[x.alias(n) for n, x in sums.items()])
+    along = Window.partitionBy(*names).orderBy("_order", "_unit")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut(units.withColumns({"_at": F.row_number().over(along).cast("long")} | {f"_sum{n}": F.sum(n).over(upto) for n in sums}))
+    last = placed.select(*names, "_at")
+    for n, most in zip(sums, (most_items, most_cost, most_epochs)):
+        there = placed.select(*names, F.col(f"_sum{n}").alias("_v"), F.col("_at").alias("_there"), F.lit(None).cast("long").alias("_at"))
+        asked = placed.select(*names, (F.col(f"_sum{n}") - F.col(n) + F.lit(most)).alias("_v"), F.lit(None).cast("long").alias("_there"), "_at")
+        by_sum = Window.partitionBy(*names).orderBy("_v", F.col("_there").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        found = there.unionByName(asked).withColumn("_last", F.max("_there").over(by_sum)).filter("_at IS NOT NULL").select(*names, "_at", F.coalesce("_last", F.lit(0)).alias(f"_last{n}"))
+        last = last.join(found, [*names, "_at"])
+    ahead = last.select(*names, "_at", (F.greatest(F.least(*[f"_last{n}" for n in sums]), F.col("_at")) + 1).alias("_next"))
+    ends = placed.groupBy(*names).agg(F.max("_at").alias("_end"))
+    ahead = cut(ahead.join(ends, names).filter("_next <= _end").select(*names, "_at", "_next"))
+    begins = placed.filter("_at = 1").select(*names, "_at")
+    while not ahead.isEmpty():
+        begins = cut(begins.unionByName(begins.join(ahead, [*names, "_at"]).select(*names, F.col("_next").alias("_at"))))
+        ahead = cut(ahead.join(ahead.select(*names, F.col("_at").alias("_next"), F.col("_next").alias("_far")), [*names, "_next"]).select(*names, "_at", F.col("_far").alias("_next")))
+    numbered = placed.select(*names, "_unit", "_at").join(begins.withColumn("_begin", F.lit(1)), [*names, "_at"], "left")
+    numbered = numbered.select(*names, "_unit", (F.count("_begin").over(Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("slice"))
+    return own.join(numbered, [*names, "_unit"]).select(*items.columns, "slice")
 
 
 def content_chunks(blobs: DataFrame, smallest: int, average: int, largest: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwell.plans.lineage import deal_after_unions
 from driftwell.sources.views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        deal_after_unions(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)

@@ -188,11 +188,27 @@ def win11(v):
     return rows.groupBy("group_id").agg(F.max("took").alias("slowest"), F.min("took").alias("fastest"), F.max_by("device_id", F.struct("took", "device_id")).alias("slowest_device"))
 
 
-@query("win9_batch_packing")
+def slices_sql(most_items: int, most_cost: int, most_epochs: int) -> str:
+    """slices(group_id, i, slice): a fold over base(group_id, i, n, cost), unit by unit."""
+    full = f"(f.n + b.n > {most_items} OR f.n + b.n > {most_epochs} OR f.c + b.cost > {most_cost})"
+    return f"""f(group_id, i, slice, n, c) AS (SELECT group_id, i, 0::BIGINT, n, cost FROM base WHERE i = 1
+  UNION ALL SELECT b.group_id, b.i, f.slice + CASE WHEN {full} THEN 1 ELSE 0 END, CASE WHEN {full} THEN b.n ELSE f.n + b.n END, CASE WHEN {full} THEN b.cost ELSE f.c + b.cost END FROM f JOIN base b ON b.group_id = f.group_id AND b.i = f.i + 1)"""
+
+
+@query("win9_batch_packing", f"""WITH RECURSIVE base AS (SELECT group_id, path, size, 1::BIGINT AS n, size AS cost, row_number() OVER (PARTITION BY group_id ORDER BY path) AS i FROM fx_inventory),
+{slices_sql(8, 60000, 128)} SELECT group_id, path, size, slice FROM base JOIN f USING (group_id, i)""")
 def win9(v):
-    """Small bounds, so that the small fixtures meet both; a plan is a batch of at most 65,536 of a group's paths."""
-    items = O.batches_of(v.fx_inventory.select("group_id", "path", "size"), "group_id", "path")
-    return O.pack(items, ["group_id", "batch"], "path", "size", most_items=8, most_cost=60000)
+    """Small bounds, so that the small fixtures meet both; a plan is a group's inventory, each path by itself."""
+    return O.pack(v.fx_inventory.select("group_id", "path", "size"), ["group_id"], "path", "size", most_items=8, most_cost=60000)
+
+
+@query("win9_group_packing", f"""WITH RECURSIVE item AS (SELECT group_id, path, size * 40000 AS size, substring(path, 1, 5) || substring(path, 7) AS unit FROM fx_inventory),
+base AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY first_path) AS i FROM (SELECT group_id, unit, min(path) AS first_path, count(*) AS n, CAST(sum(size) AS BIGINT) AS cost FROM item GROUP BY group_id, unit)),
+{slices_sql(64, 256 << 20, 128)} SELECT item.group_id, path, size, item.unit, slice FROM item JOIN base USING (group_id, unit) JOIN f USING (group_id, i)""")
+def win9_groups(v):
+    """The product's bounds; a path and its moved twin (dir0/f1.txt and dir0/m1.txt) stay together, and sizes are made large."""
+    items = v.fx_inventory.select("group_id", "path", (F.col("size") * 40000).alias("size"), F.concat(F.substring("path", 1, 5), F.expr("substring(path, 7)")).alias("unit"))
+    return O.pack(items, ["group_id"], "path", "size", unit="unit")
 
 
 @query("ag7_content_defined_chunks")

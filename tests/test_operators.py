@@ -109,6 +109,29 @@ def test_packing_bounds(spark):
     assert [r["slice"] for r in O.pack(spent, ["plan"], "path", "cost", epochs="epochs").orderBy("path").collect()] == [0, 0, 1, 1, 2, 2, 3, 3]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_packing_against_a_fold(spark, seed):
+    """Units of several paths, zero costs, units beyond every bound, plans of one unit and of hundreds."""
+    rng = random.Random(seed)
+    rows = [(plan, f"p{i:04}", rng.choice([0, 1, 5, 9, 40]), rng.choice([1, 1, 2]), f"u{i // rng.choice([1, 1, 3, 9]):04}") for plan, n in ((1, 300), (2, 1), (3, 40)) for i in range(n)]
+    items = spark.createDataFrame(rows, "plan long, path string, cost long, epochs long, unit string")
+    found = {(r.plan, r.path): r["slice"] for r in O.pack(items, ["plan"], "path", "cost", most_items=7, most_cost=30, epochs="epochs", most_epochs=9, unit="unit").collect()}
+    wanted = {}
+    for plan in (1, 2, 3):
+        units = {}
+        for r in rows:
+            if r[0] == plan:
+                units.setdefault(r[4], []).append(r)
+        at, n, c, e = 0, 0, 0, 0
+        for own in sorted(units.values(), key=lambda u: (min(r[1] for r in u), u[0][4])):
+            more = len(own), sum(r[2] for r in own), sum(r[3] for r in own)
+            if n and (n + more[0] > 7 or c + more[1] > 30 or e + more[2] > 9):
+                at, n, c, e = at + 1, 0, 0, 0
+            n, c, e = n + more[0], c + more[1], e + more[2]
+            wanted |= {(plan, r[1]): at for r in own}
+    assert found == wanted and max(found.values()) > 40
+
+
 def test_chunks_survive_insertions(spark):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij ") for _ in range(20000))

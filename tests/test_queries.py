@@ -38,7 +38,7 @@ def test_against_duckdb(spark, duck, name):
 
 
 def test_all_others_are_checked_here():
-    assert set(QUERIES) - set(ORACLES) == {"src6_disk_inventory", "win9_batch_packing", "ag7_content_defined_chunks", "ag7_dedup_report", "st1_debounce_sessions"}
+    assert set(QUERIES) - set(ORACLES) == {"src6_disk_inventory", "ag7_content_defined_chunks", "ag7_dedup_report", "st1_debounce_sessions"}
 
 
 def test_src6(spark):
@@ -46,17 +46,6 @@ def test_src6(spark):
     assert [tuple(r) for r in found] == [("documents.parquet", os.path.getsize(f"{FOLDER}/documents.parquet"), "unchanged")]
 
 
-def test_win9(spark):
-    found = QUERIES["win9_batch_packing"](spark, FOLDER).toPandas()
-    assert len(found) == view(spark, FOLDER, "fx_inventory").count()
-    for _, plan in found.groupby(["group_id", "batch"]):
-        slices = [part["size"].tolist() for _, part in plan.sort_values(["slice", "path"]).groupby("slice")]
-        assert plan.sort_values("path")["slice"].is_monotonic_increasing
-        for sizes, following in zip(slices, [*slices[1:], None]):
-            assert len(sizes) <= 8 and (sum(sizes) <= 60000 or len(sizes) == 1)
-            assert following is None or len(sizes) == 8 or sum(sizes) + following[0] > 60000
-
-
 def test_ag7(spark):
     found = QUERIES["ag7_content_defined_chunks"](spark, FOLDER).toPandas()
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
