@@ -4,12 +4,12 @@ Texts fall into pieces at punctuation and line ends, pieces into words. A phrase
 Everything is counted per language and exactly:
 
 * Words are counted where they are read and merged by aggregation.
-* A phrase that is found `least` times has only words, and only runs of two and of three words, that are found as often.
-  Three bit maps of hashes (64 bits for each frequent run, 2^28 bits at most) tell these at the texts; the next longer runs
+* A phrase that is found `least` times has only words and shorter runs of words that are found as often. Bit maps of hashes,
+  one for each length up to MOST (64 bits for each frequent run, 2^28 bits at most), tell these at the texts; longer runs
   are looked at only where the shorter ones in them are frequent. Hashes that fall together let a few rare runs through and
   lose none; what is counted later are the words themselves. Run hashes travel as byte planes of sorted differences.
-* A suffix is what follows from a word on, cut where the next run of three (first: of two) is rare, and after MOST words.
-  Equal suffixes of a task are sent once, with their number.
+* A suffix is what follows from a word on while the run from there is frequent. Equal suffixes of a task are sent once, with
+  their number.
 * Vertical partitioning: a suffix belongs to the group of its first word; where over GROUP_ROWS suffixes begin with that
   word, to that of its first two words, and so on. Prefixes are dealt to groups of about GROUP_ROWS suffixes, and each
   group's subtree is built by itself, cut at depth MOST. Counts stand at the leaves; an inner node's is the sum of those below
@@ -225,7 +225,8 @@ def suffixes(texts: DataFrame, maps: list[Bits]) -> DataFrame:
         return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("lang", "suffix", "n_sum")], names=["lang", "suffix", "n"])
 
     def of(w: Words) -> pa.Table | None:
-        _, link, three = Runs(w, maps).known
+        known = Runs(w, maps).known
+        link = known[1]
         first = np.flatnonzero(link)
         if not len(first):
             return None
@@ -236,11 +237,7 @@ def suffixes(texts: DataFrame, maps: list[Bits]) -> DataFrame:
         coded = w.texts().take(pa.array(at)).dictionary_encode()
         code = np.zeros(len(link) + MOST, dtype=np.int32)
         code[at] = coded.indices.to_numpy(zero_copy_only=False) + 1
-        on, columns = np.ones(len(first), dtype=bool), [code[first]]
-        padded = np.append(three, np.zeros(MOST, dtype=bool))
-        for k in range(1, MOST):
-            on = on & padded[first + k - 2] if k > 1 else on
-            columns.append(np.where(on, code[first + k], 0))
+        columns = [code[first], code[first + 1], *(np.where(known[k][first], code[first + k], 0) for k in range(2, MOST))]
         table = pa.table({"lang": pa.array(w.lang[first], pa.int32())} | {f"c{k}": c for k, c in enumerate(columns)})
         rows = table.group_by(table.column_names).aggregate([([], "count_all")])
         own = coded.dictionary.cast(pa.large_string()).cast(pa.string())
@@ -351,7 +348,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     all_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     log_parts = min(20, max(4, (all_words // PART_RUNS).bit_length()))
     maps = [bits_of(cut(frequent_hashes(words)))]
-    for _ in range(2):
+    for _ in range(1, MOST):
         maps.append(bits_of(cut(frequent_runs(texts, maps, least, log_parts))))
     phrases = cut(phrase_counts(cut(suffixes(texts, maps)), least))
     best = without_inner(scored(phrases, words, totals), phrases)
