@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwell.operators import files as X
+from driftwell.operators import merkle as M
 from driftwell.plans.catalog import Views, query
+from driftwell.plans.lineage import cut
 from driftwell.plans.lineage import new_folder
 from driftwell.sources import sinks as K
 
@@ -96,14 +98,53 @@ def flt11(v):
 DIGEST = "sha256(array_to_string(list_transform(list_sort(list_distinct(list(substring(sha256({0}), 1, 2)))), lambda p: sha256(array_to_string(list_filter(list_sort(list_distinct(list(sha256({0})))), lambda h: substring(h, 1, 2) = p), ','))), ','))"
 
 
-@query("dig1_durability_roots", f"SELECT group_id, {DIGEST.format('path || chr(58) || version_hash')} AS digest FROM fx_files WHERE {LIVE} GROUP BY group_id")
+def tree_sql(items: str, leaf: int, depths: int = 8) -> str:
+    """CTEs up to d0(group_id, p, digest), the Merkle roots of items(group_id, h), depth by depth from the definition."""
+    out = [f"items AS (SELECT DISTINCT group_id, sha256(x) AS h FROM ({items}))"]
+    out += [f"n{d} AS (SELECT group_id, substring(h, 1, {d}) AS p, count(*) AS n FROM items GROUP BY ALL)" for d in range(depths + 1)]
+    for d in range(depths, -1, -1):
+        leaves = f"SELECT i.group_id, n{d}.p, sha256('leaf:' || string_agg(h, ',' ORDER BY h)) AS digest FROM items i JOIN n{d} ON n{d}.group_id = i.group_id AND n{d}.p = substring(h, 1, {d}) WHERE n <= {leaf} GROUP BY ALL"
+        inner = f" UNION ALL SELECT c.group_id, substring(c.p, 1, {d}) AS p, sha256('node:' || string_agg(substring(c.p, {d + 1}, 1) || digest, ',' ORDER BY c.p)) FROM d{d + 1} c JOIN n{d} ON n{d}.group_id = c.group_id AND n{d}.p = substring(c.p, 1, {d}) WHERE n > {leaf} GROUP BY ALL" if d < depths else ""
+        out.append(f"d{d} AS ({leaves}{inner})")
+    return ",\n".join(out)
+
+
+@query("dig1_durability_roots", f"WITH {tree_sql(f'SELECT group_id, path || chr(58) || version_hash AS x FROM fx_files WHERE {LIVE}', M.LEAF, 3)} SELECT group_id, digest FROM d0")
 def dig1(v):
-    return X.set_digest(v.fx_files.filter(LIVE), ["group_id"], ["path", "version_hash"])
+    return M.roots(M.tree(M.hashed(v.fx_files.filter(LIVE), ["group_id"], "path", "version_hash"), ["group_id"]), ["group_id"])
+
+
+@query("dig1_incremental_roots", f"WITH {tree_sql(f'SELECT group_id, path || chr(58) || version_hash AS x FROM fx_files WHERE {LIVE}', 4)} SELECT group_id, digest FROM d0")
+def dig1_incremental(v):
+    """With leaves of four: a tree over nine tenths of the files, to which the rest are added."""
+    live = v.fx_files.filter(LIVE)
+    first = cut(M.hashed(live.filter("event_id % 10 <> 3"), ["group_id"], "path", "version_hash"))
+    rest = M.hashed(live.filter("event_id % 10 = 3"), ["group_id"], "path", "version_hash")
+    return M.roots(M.added(M.tree(first, ["group_id"], 4), first, rest, ["group_id"], 4)[0], ["group_id"])
+
+
+FRONTIERS = """e AS (SELECT group_id, path, list(DISTINCT change_hash) AS heads FROM fx_touches GROUP BY group_id, path UNION ALL SELECT group_id, min(path), ['other'] FROM fx_touches WHERE group_id % 11 = 0 GROUP BY group_id),
+twice AS (SELECT group_id, min(path) AS twice FROM (SELECT group_id, path FROM e GROUP BY group_id, path HAVING count(*) > 1) GROUP BY group_id)"""
 
 
-@query("dig2_frontier_digest", f"SELECT group_id, {DIGEST.format('change_hash')} AS digest FROM fx_frontier GROUP BY group_id")
+@query("dig2_frontier_digest", f"WITH {FRONTIERS}, {tree_sql('SELECT group_id, path || chr(58) || CAST(len(heads) AS VARCHAR) || chr(58) || array_to_string(list_sort(heads), chr(44)) AS x FROM e', M.LEAF, 3)} SELECT group_id, CASE WHEN twice IS NULL THEN digest END AS digest, twice AS error FROM d0 LEFT JOIN twice USING (group_id)")
 def dig2(v):
-    return X.set_digest(v.fx_frontier, ["group_id"], ["change_hash"])
+    """Over every path with the changes that touch it; groups with two entries for a path get an error and no digest."""
+    once = v.fx_touches.groupBy("group_id", "path").agg(F.collect_set("change_hash").alias("heads"))
+    again = v.fx_touches.filter("group_id % 11 = 0").groupBy("group_id").agg(F.min("path").alias("path")).withColumn("heads", F.array(F.lit("other")))
+    items, errors = M.frontier_items(once.unionByName(again), ["group_id"])
+    found = M.roots(M.tree(items, ["group_id"]), ["group_id"])
+    return found.join(errors, "group_id", "left").select("group_id", F.when(F.col("twice").isNull(), F.col("digest")).alias("digest"), F.col("twice").alias("error"))
+
+
+@query("dig2_causal_basis", """WITH s AS (SELECT group_id, child_hash, list_sort(list_distinct(list(parent_hash))) AS m FROM fx_edges GROUP BY group_id, child_hash),
+named AS (SELECT CAST(s.group_id AS VARCHAR) || ':' || sha256(CAST(s.group_id AS VARCHAR) || ':' || CAST(len(m) AS VARCHAR) || ':' || array_to_string(m, ',')) AS basis_id, s.group_id, len(m) AS n_members, event_id % 2 AS batch FROM s JOIN fx_changes c ON c.change_hash = s.child_hash)
+SELECT basis_id, group_id, CAST(n_members AS INTEGER) AS n_members, CAST(min(batch) AS BIGINT) AS batch FROM named GROUP BY ALL""")
+def dig2_basis(v):
+    """The parent sets of changes, interned in two batches; a set that the first one has keeps its batch."""
+    sets = v.fx_edges.groupBy("group_id", F.col("child_hash").alias("change_hash")).agg(F.collect_set("parent_hash").alias("members")).join(v.fx_changes.select("change_hash", "event_id"), "change_hash")
+    first = M.interned(None, sets.filter("event_id % 2 = 0"), 0)
+    return M.interned(cut(first), sets.filter("event_id % 2 = 1"), 1).select("basis_id", "group_id", F.size("members").alias("n_members"), "batch")
 
 
 @query("jn19_plan_staleness", f"SELECT group_id, digest <> CASE WHEN group_id % 9 = 0 THEN 'old' ELSE digest END OR group_id % 7 < group_id % 4 AS stale FROM (SELECT group_id, {DIGEST.format('change_hash')} AS digest FROM fx_frontier GROUP BY group_id)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import paths as P
 from driftwell.operators import files as X
+from driftwell.operators import reservations as V
 from driftwell.plans.catalog import Views, query
 
 RULES = [*P.DEFAULT_RULES, "*.tmp", "dir1/", "!dir1/f3.txt", "new/**/n1*", "(?i)/dir2/M?.TXT"]
@@ -116,6 +117,24 @@ def jn7(v):
     return spread.join(outer, "outer_path").select("inner_link", "outer_path", n_outer, F.when(F.col("path") == F.col("outer_path"), "same").otherwise("inside").alias("relation")).filter("n_outer > 0")
 
 
+RESERVED = """SELECT group_id, event_id AS reservation_id, CASE WHEN event_id % 13 = 0 THEN 'exclusive' WHEN event_id % 5 = 0 THEN 'intent' ELSE 'exact' END AS scope,
+  CASE WHEN event_id % 13 = 0 AND event_id % 4 = 0 THEN substring(path, 1, 4) WHEN event_id % 97 = 0 THEN '' WHEN event_id % 5 = 0 THEN substring(path, 1, 4) WHEN event_id % 3 = 0 THEN path || '/s' || CAST(event_id % 2 AS STRING) ELSE path END AS path
+FROM fx_files WHERE NOT deleted"""
+
+
+@query("jn7_reservation_conflicts", f"""WITH r AS ({RESERVED}),
+p AS (SELECT a.group_id, a.reservation_id, a.path = b.path AS same, b.path = '' OR starts_with(a.path, b.path || '/') AS b_above FROM r a JOIN r b ON a.group_id = b.group_id AND a.reservation_id <> b.reservation_id
+  WHERE (a.scope = 'exclusive' OR b.scope = 'exclusive' OR (a.scope = 'exact' AND b.scope = 'exact'))
+    AND (a.path = b.path OR (b.scope <> 'exact' AND (b.path = '' OR starts_with(a.path, b.path || '/'))) OR (a.scope <> 'exact' AND (a.path = '' OR starts_with(b.path, a.path || '/')))))
+SELECT r.group_id, r.reservation_id, scope, path, count(*) FILTER (same) AS n_same, count(*) FILTER (NOT same AND b_above) AS n_above, count(*) FILTER (NOT same AND NOT b_above) AS n_below FROM r LEFT JOIN p USING (group_id, reservation_id) GROUP BY ALL""")
+def jn7_reservations(v):
+    """Each reservation's conflicts at, above and below its path."""
+    files = v.fx_files.filter("NOT deleted")
+    scope = F.expr("CASE WHEN event_id % 13 = 0 THEN 'exclusive' WHEN event_id % 5 = 0 THEN 'intent' ELSE 'exact' END")
+    path = F.expr("CASE WHEN event_id % 13 = 0 AND event_id % 4 = 0 THEN substring(path, 1, 4) WHEN event_id % 97 = 0 THEN '' WHEN event_id % 5 = 0 THEN substring(path, 1, 4) WHEN event_id % 3 = 0 THEN path || '/s' || CAST(event_id % 2 AS STRING) ELSE path END")
+    return V.conflicts(files.select("group_id", F.col("event_id").alias("reservation_id"), scope.alias("scope"), path.alias("path")))
+
+
 @query("flt9_link_placement", "SELECT f.path, arg_max(l.group_id, row(length(l.local_path), l.group_id)) AS group_id, arg_max(substring(f.path, length(l.local_path) + 2), row(length(l.local_path), l.group_id)) AS relative FROM (SELECT DISTINCT local_path || '/a/b' || CAST(link_id % 5 AS VARCHAR) AS path FROM fx_links) f JOIN fx_links l ON NOT l.orphaned AND starts_with(f.path, l.local_path || '/') GROUP BY f.path")
 def flt9(v):
     asked = v.fx_links.select(F.concat("local_path", F.lit("/a/b"), (F.col("link_id") % 5).cast("string")).alias("path")).distinct()
