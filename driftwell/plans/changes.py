@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators import graph as G
 from driftwell.operators import history as H
 from driftwell.operators import orphans as R
+from driftwell.operators import pruning as P
 from driftwell.plans.catalog import Views, query
-from driftwell.plans.lineage import cut
+from driftwell.plans.lineage import cut, new_folder
 
 REACH = """reach(group_id, change_hash, ancestor) AS (SELECT group_id, child_hash, parent_hash FROM fx_edges
   UNION SELECT r.group_id, r.change_hash, e.parent_hash FROM reach r JOIN fx_edges e ON e.group_id = r.group_id AND e.child_hash = r.ancestor)"""
@@ -219,6 +222,65 @@ def gr16(v):
     return H.audit_snapshot(frontier.filter(F.substring("change_hash", 1, 1) != "7"), frontier)
 
 
+PRUNED = PRUNE + """, roots AS (SELECT DISTINCT group_id, change_hash FROM fx_roots WHERE owner <> 'own3'),
+gone AS (SELECT p.group_id, p.change_hash FROM plan p WHERE role = 'pruned' AND change_hash NOT IN (SELECT change_hash FROM roots)),
+kept AS (SELECT * FROM fx_changes WHERE change_hash NOT IN (SELECT change_hash FROM gone)),
+refs AS (SELECT DISTINCT group_id, change_hash, version_hash FROM fx_touches WHERE version_hash IS NOT NULL),
+refs_left AS (SELECT * FROM refs WHERE change_hash NOT IN (SELECT change_hash FROM gone)),
+authorized AS (SELECT DISTINCT group_id, version_hash FROM fx_files WHERE state = 'trashed' AND version_hash IS NOT NULL),
+versions AS (SELECT group_id, version_hash FROM refs_left UNION SELECT * FROM authorized),
+edges_left AS (SELECT * FROM fx_edges WHERE child_hash NOT IN (SELECT change_hash FROM gone) AND parent_hash NOT IN (SELECT change_hash FROM gone)),
+boundary AS (SELECT * FROM fx_edges WHERE child_hash NOT IN (SELECT change_hash FROM gone) AND parent_hash IN (SELECT change_hash FROM gone)),
+heads AS (SELECT group_id, change_hash FROM fx_changes WHERE change_hash NOT IN (SELECT parent_hash FROM fx_edges) AND change_hash NOT IN (SELECT change_hash FROM gone))"""
+
+
+def pruned_of(v: Views) -> P.Snapshot:
+    """The snapshot after the prune, written and read back. Trashed files' versions are authorized by the compaction."""
+    causal = causal_of(v)
+    references = v.fx_touches.filter("version_hash IS NOT NULL").select("group_id", "change_hash", "version_hash").distinct()
+    roots = v.fx_roots.filter("owner <> 'own3'").select(*G.NODE).distinct()
+    authorized = v.fx_files.filter("state = 'trashed' AND version_hash IS NOT NULL").select("group_id", "version_hash").distinct()
+    snapshot = P.pruned(v.fx_changes, v.fx_edges, references, cut(plan_of(v)), roots, authorized, causal.lamports)
+    folder = new_folder(v.spark, "pruned")
+    P.write(snapshot, folder)
+    return P.read_back(v.spark, folder)
+
+
+COUNTS = {"changes": "kept", "edges": "edges_left", "references": "refs_left", "versions": "versions", "stubs": "gone", "boundary": "boundary", "heads": "heads"}
+
+
+@query("gr15_pruned_snapshot", PRUNED + " " + " UNION ALL ".join(f"SELECT group_id, '{part}' AS part, count(*) AS n FROM {table} GROUP BY group_id" for part, table in COUNTS.items()))
+def gr15_snapshot(v):
+    return P.manifest_of(pruned_of(v)).select("group_id", "part", "n")
+
+
+@query("gr16_checkpoint_audit", PRUNED + """, lost AS (SELECT group_id, count(*) AS n FROM plan WHERE role = 'frontier' AND substring(change_hash, 1, 1) = '7' GROUP BY group_id),
+few AS (SELECT group_id, count(DISTINCT version_hash) AS n FROM refs_left WHERE group_id % 6 = 0 AND substring(version_hash, 1, 1) < '8' GROUP BY group_id),
+cuts AS (SELECT group_id, sum(n) AS n FROM (SELECT group_id, 1 AS n FROM kept GROUP BY group_id HAVING count(*) FILTER (substring(change_hash, 1, 1) = '7' AND change_hash IN (SELECT change_hash FROM plan WHERE role = 'frontier')) > 0
+  UNION ALL SELECT group_id, 1 FROM versions WHERE group_id % 6 = 0 GROUP BY group_id HAVING count(*) FILTER (substring(version_hash, 1, 1) < '8') > 0) GROUP BY group_id)
+SELECT g.group_id, CAST(coalesce(c.n, 0) AS BIGINT) AS parts_differ, coalesce(l.n, 0) AS frontier_differs, coalesce(f.n, 0) AS missing_versions FROM (SELECT DISTINCT group_id FROM fx_changes) g LEFT JOIN cuts c USING (group_id) LEFT JOIN lost l USING (group_id) LEFT JOIN few f USING (group_id)""")
+def gr16_checkpoint(v):
+    """Against a copy of the snapshot that lost a few of the frontier's changes, and half of the versions of every sixth group."""
+    snapshot = pruned_of(v)
+    manifest = cut(P.manifest_of(snapshot))
+    frontier = cut(plan_of(v).filter("role = 'frontier'").select(*G.NODE))
+    lost = frontier.filter(F.substring("change_hash", 1, 1) == "7")
+    damaged = replace(snapshot, changes=snapshot.changes.join(lost, G.NODE, "left_anti"), versions=snapshot.versions.filter("group_id % 6 <> 0 OR substring(version_hash, 1, 1) >= '8'"))
+    return P.audit_checkpoint(damaged, manifest, frontier)
+
+
+@query("gr18_retained_audit", PRUNED + """, there AS (SELECT group_id, change_hash FROM kept WHERE event_id % 29 <> 0), nodes AS (SELECT * FROM there UNION SELECT * FROM gone),
+walk(group_id, change_hash) AS (SELECT h.group_id, h.change_hash FROM heads h SEMI JOIN there t ON t.change_hash = h.change_hash UNION SELECT w.group_id, e.parent_hash FROM walk w JOIN fx_edges e ON e.child_hash = w.change_hash SEMI JOIN nodes n ON n.change_hash = e.parent_hash),
+holes AS (SELECT e.child_hash AS change_hash, count(*) FILTER (parent_hash IN (SELECT change_hash FROM gone)) AS n_boundary, count(*) FILTER (parent_hash NOT IN (SELECT change_hash FROM gone)) AS n_unproven FROM fx_edges e WHERE parent_hash NOT IN (SELECT change_hash FROM there) GROUP BY e.child_hash)
+SELECT x.group_id, x.change_hash, verdict, coalesce(n_boundary, 0) AS n_boundary, coalesce(n_unproven, 0) AS n_unproven FROM (
+  SELECT group_id, change_hash, CASE WHEN change_hash IN (SELECT change_hash FROM walk) THEN 'reached' ELSE 'unreached' END AS verdict FROM there
+  UNION ALL SELECT group_id, change_hash, 'missing' FROM heads WHERE change_hash NOT IN (SELECT change_hash FROM there)) x LEFT JOIN holes USING (change_hash)""")
+def gr18_retained(v):
+    """Of the pruned snapshot after a loss of every 29th change; rooted changes below the prune are reached over stubs only."""
+    snapshot = pruned_of(v)
+    return P.audit_retained(replace(snapshot, changes=snapshot.changes.filter("event_id % 29 <> 0")))
+
+
 @query("gr17_rebootstrap_triage", PRUNE + "SELECT f.group_id, f.device_id, coalesce(p.role = 'pruned', false) AS needs_snapshot FROM (SELECT group_id, device_id, min(change_hash) AS change_hash FROM fx_changes GROUP BY ALL) f LEFT JOIN plan p USING (group_id, change_hash)")
 def gr17(v):
     returning = v.fx_changes.groupBy("group_id", "device_id").agg(F.min("change_hash").alias("change_hash"))
