@@ -9,7 +9,7 @@ Everything is counted per language and exactly:
   are looked at only where the shorter ones in them are frequent. Hashes that fall together let a few rare runs through and
   lose none; what is counted later are the words themselves. Run hashes travel as byte planes of sorted differences.
 * A suffix is what follows from a word on while the run from there is frequent. Equal suffixes of a task are sent once, with
-  their number.
+  their number, all with one first word in a row.
 * Vertical partitioning: a suffix belongs to the group of its first word; where over GROUP_ROWS suffixes begin with that
   word, to that of its first two words, and so on. Prefixes are dealt to groups of about GROUP_ROWS suffixes, and each
   group's subtree is built by itself, cut at depth MOST. Counts stand at the leaves; an inner node's is the sum of those below
@@ -24,13 +24,13 @@ names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import cut, empty_if_null, few, lower_ascii, pieces, read, runs, slices, text_bytes
@@ -218,11 +218,11 @@ def frequent_runs(texts: DataFrame, maps: list[Bits], least: int, log_parts: int
 
 
 def suffixes(texts: DataFrame, maps: list[Bits]) -> DataFrame:
-    """(lang, suffix, n): what follows from a word on while runs are frequent, 2 to MOST words, and how often a task has it."""
+    """Rows of FILED: what follows from a word on while runs are frequent, 2 to MOST words, by first word, and how often a task has it."""
 
     def merged(held: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(held).group_by(["lang", "suffix"]).aggregate([("n", "sum")]).combine_chunks()
-        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c) for c in ("lang", "suffix", "n_sum")], names=["lang", "suffix", "n"])
+        t = pa.concat_tables(held).group_by(["lang", "suffix"]).aggregate([("n", "sum")])
+        return filed_under(zip(*[t.column(c).to_pylist() for c in ("lang", "suffix", "n_sum")]), 1)
 
     def of(w: Words) -> pa.Table | None:
         known = Runs(w, maps).known
@@ -258,30 +258,47 @@ def suffixes(texts: DataFrame, maps: list[Bits]) -> DataFrame:
         if held:
             yield merged(held)
 
-    return texts.mapInArrow(batches, "lang string, suffix string, n long")
+    return texts.mapInArrow(batches, FILED)
 
 
-def first_words(depth: int | Column) -> Column:
-    return F.array_join(F.slice("words", 1, depth), " ")
+FILED = "lang string, prefix string, depth int, suffixes array<string>, n array<long>"
+
+
+def filed_under(suffixes_: Iterable[tuple[str, str, int]], depth: int) -> pa.RecordBatch:
+    """Rows of FILED from (lang, suffix, n): suffixes by their first `depth` words."""
+    found: dict[tuple[str, str], tuple[list[str], list[int]]] = {}
+    for lang, suffix, n in suffixes_:
+        own = found.setdefault((lang, " ".join(suffix.split(" ", depth)[:depth])), ([], []))
+        own[0].append(suffix)
+        own[1].append(n)
+    columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([depth] * len(found), pa.int32())]
+    columns += [pa.array([v[0] for v in found.values()], pa.list_(pa.string())), pa.array([v[1] for v in found.values()], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "depth", "suffixes", "n"])
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """rows(lang, suffix, n), which are cut, with depth and group: of the prefix that a suffix is filed under."""
-    filed = rows.withColumn("words", F.split("suffix", " ")).withColumn("depth", F.lit(1))
-    for depth in range(1, MOST):
-        open_ = filed.filter(F.col("depth") == depth)
-        heavy = cut(open_.groupBy("lang", first_words(depth).alias("prefix")).agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_ROWS).select("lang", "prefix"))
+    """rows of FILED, which are cut, with those of long prefixes filed deeper, and the group of each prefix."""
+
+    def deeper(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for lang, depth, own, n in zip(*[b.column(c).to_pylist() for c in ("lang", "depth", "suffixes", "n")]):
+                yield filed_under(((lang, s, k) for s, k in zip(own, n)), depth + 1)
+
+    done, key = None, ["lang", "prefix"]
+    for _ in range(1, MOST):
+        heavy = cut(rows.groupBy(*key).agg(F.sum(F.size("suffixes")).alias("_n")).filter(F.col("_n") > GROUP_ROWS).select(*key))
         if heavy.isEmpty():
             break
-        deeper = few(heavy.withColumnsRenamed({"lang": "_lang", "prefix": "_prefix"}))
-        hit = (F.col("depth") == depth) & (F.col("lang") == F.col("_lang")) & (first_words(depth) == F.col("_prefix"))
-        filed = cut(filed.join(deeper, hit, "left").withColumn("depth", F.when(F.col("_prefix").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("_lang", "_prefix"))
-    groups = max(1, -(-2 * rows.count() // GROUP_ROWS))
-    return filed.withColumn("group", F.pmod(F.xxhash64("lang", first_words(F.col("depth"))), F.lit(groups))).drop("words")
+        light = rows.join(few(heavy), key, "left_anti")
+        done = light if done is None else done.unionByName(light)
+        rows = cut(rows.join(few(heavy), key, "left_semi").select("lang", "prefix", "depth", "suffixes", "n").mapInArrow(deeper, FILED))
+    filed = rows if done is None else cut(done.unionByName(rows))
+    groups = max(1, -(-2 * (filed.agg(F.sum(F.size("suffixes"))).first()[0] or 0) // GROUP_ROWS))
+    return filed.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
 
 
 def phrase_counts(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n): phrases of 2 to MOST words that are found `least` times, from rows(lang, suffix, n)."""
+    """(lang, phrase, n): phrases of 2 to MOST words that are found `least` times, from rows of FILED."""
 
     def read_off(tree: dict, out: list[tuple]) -> None:
         """Adds every node's count to out, if it is large enough or a part only."""
@@ -299,24 +316,25 @@ def phrase_counts(rows: DataFrame, least: int) -> DataFrame:
         at, tree = None, {}
         for b in found:
             out: list[tuple] = []
-            for group, lang, suffix, n, depth in zip(*[b.column(c).to_pylist() for c in ("group", "lang", "suffix", "n", "depth")]):
+            for group, lang, depth, own, counts in zip(*[b.column(c).to_pylist() for c in ("group", "lang", "depth", "suffixes", "n")]):
                 if group != at:
                     read_off(tree, out)
                     at, tree = group, {}
-                first, *rest = suffix.split(" ")
-                node = tree.setdefault((lang, first), [0, {}, False])
-                node[2] |= depth > 1
-                for k, word in enumerate(rest, 2):
-                    node = node[1].setdefault(word, [0, {}, False])
-                    node[2] |= depth > k
-                node[0] += n
+                for suffix, n in zip(own, counts):
+                    first, *rest = suffix.split(" ")
+                    node = tree.setdefault((lang, first), [0, {}, False])
+                    node[2] |= depth > 1
+                    for k, word in enumerate(rest, 2):
+                        node = node[1].setdefault(word, [0, {}, False])
+                        node[2] |= depth > k
+                    node[0] += n
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "n"])
         out = []
         read_off(tree, out)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "n"])
 
     dealt = grouped(rows).repartition("group").sortWithinPartitions("group")
-    parts = dealt.select("group", "lang", "suffix", "n", "depth").mapInArrow(batches, "lang string, phrase string, n long")
+    parts = dealt.select("group", "lang", "depth", "suffixes", "n").mapInArrow(batches, "lang string, phrase string, n long")
     return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
