@@ -77,15 +77,39 @@ def test_shards_hold_all(tables):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_follow_the_training_order(spark, tables):
+    """Of the written mix, in order of its files and rows; and of its positions where texts occur once."""
+    order = [(r.doc_id, r.text) for r in tables[4].select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    by_shard = defaultdict(list)
+    for r in tables[5].select("doc_id", "text", "shard").orderBy("shard", "slot").collect():
+        by_shard[r.shard].append((r.doc_id, r.text))
+    assert len(by_shard) == 8
+    home = {}
+    for n, own in by_shard.items():
+        home |= {x: n for x in own}
+    for n, own in by_shard.items():
+        if not any(x in other for m, other in by_shard.items() if m != n for x in own):
+            assert own == [x for x in order if home[x] == n]
+    at = {(r.doc_id, r.text): r.position for r in mixing.mix(tables[3], whole=True).select("doc_id", "text", "position").collect()}
+    once = Counter(order)
+    positions = [[at[x] for x in own if once[x] == 1] for own in by_shard.values()]
+    assert sum(map(len, positions)) > 20 and all(p == sorted(p) for p in positions)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_registered_queries(spark, name):
-    table = "pages" if name.startswith("op3_") else "documents"
     found = registry.queries()[name](spark, FOLDER)
-    assert found.count() == read(spark, FOLDER, table).count()
+    if name.startswith("op11_"):
+        assert found.count() == 600 * read(spark, FOLDER, "documents").select("source").distinct().count()
+    elif name.startswith("op12_"):
+        assert found.count() > 0 and found.filter("rank > 2000 OR a < 100").isEmpty()
+    else:
+        table = {"op3": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
+        assert found.count() == read(spark, FOLDER, table).count()
 
 
 UNLIKE = ["the quick brown fox jumps over the lazy dog", "une phrase tout autre sur un sujet bien divers", "zwei weitere Worte und noch viel mehr davon", "pack my box with five dozen liquor jugs now"]
