@@ -66,11 +66,21 @@ def block_json(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", "hash", "offset", "size"))), lambda b: F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size")))).alias("blocks_json"))
 
 
-def expand_blocks(files: DataFrame) -> DataFrame:
-    """blocks_json as rows (doc_id, ord, hash, offset, size)."""
+def expand_blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, quarantine): blocks_json as rows (doc_id, ord, hash, offset, size), and (doc_id, reason) of lists that can't be right.
+
+    A list is quarantined as a whole: if it is no array of blocks, or if a block lacks its hash, its offset or a size above
+    zero, or if the blocks, in order, do not follow each other from offset 0 on.
+    """
     parsed = files.withColumn("b", F.from_json("blocks_json", "array<struct<hash:string,offset:long,size:long>>"))
-    rows = parsed.filter(F.col("b").isNotNull()).select("doc_id", F.posexplode("b").alias("ord", "b"))
-    return rows.select("doc_id", F.col("ord").cast("long"), "b.hash", "b.offset", "b.size")
+    ends = F.transform("b", lambda x: x["offset"] + x["size"])
+    starts = F.transform("b", lambda x: x["offset"])
+    joined = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, 1, F.greatest(F.size("b") - 1, F.lit(0))))
+    whole = F.forall("b", lambda x: x["hash"].isNotNull() & x["offset"].isNotNull() & (x["size"] > 0))
+    reason = F.when(F.col("blocks_json").isNull(), "no list").when(F.col("b").isNull(), "no list of blocks").when(~F.coalesce(whole, F.lit(False)), "bad block").when((F.size("b") > 0) & (starts != joined), "gap")
+    judged = parsed.withColumn("reason", reason)
+    rows = judged.filter("reason IS NULL").select("doc_id", F.posexplode("b").alias("ord", "b"))
+    return rows.select("doc_id", F.col("ord").cast("long"), "b.hash", "b.offset", "b.size"), judged.filter("reason IS NOT NULL").select("doc_id", "reason")
 
 
 def dedup_account(blocks: DataFrame) -> DataFrame:
@@ -107,13 +117,19 @@ def table_index(table: DataFrame) -> DataFrame:
     return rows.select(F.lit(0).cast("long").alias("group_id"), "path", "size", "us", F.lit(None).cast("string").alias("version_hash"))
 
 
-def triage(files: DataFrame, disk: DataFrame, intents: DataFrame) -> DataFrame:
-    """What became of live, hydrated files: ok, offline delete, or quarantine with reconstruct or demote."""
-    live = files.filter("state = 'current' AND NOT deleted AND materialization_state = 'hydrated'").select(*PATH, "size", "version_hash", "event_id")
+def triage(files: DataFrame, disk: DataFrame, intents: DataFrame, version_blocks: DataFrame, stored: DataFrame) -> DataFrame:
+    """What became of live, hydrated files: ok, offline delete, or quarantine with reconstruct or demote.
+
+    version_blocks(version_hash, hash) and stored(group_id, hash): a file is made again if the group's store has every block
+    of its version; one with a missing block, or of a version without any, becomes a placeholder.
+    """
+    live = files.filter("state = 'current' AND NOT deleted AND materialization_state = 'hydrated'").select(*PATH, "size", "version_hash")
     rows = live.join(disk.select(*PATH, F.col("size").alias("d_size"), F.col("hash").alias("d_hash")), PATH, "left").join(intents.select(*PATH, F.lit(True).alias("open")), PATH, "left")
-    outcome = F.when((F.col("d_size") == F.col("size")) & (F.col("d_hash") == F.col("version_hash")), "ok").when(F.col("d_size").isNull() & F.col("open").isNull(), "offline delete")
-    outcome = outcome.when(F.col("event_id") % 4 == 0, "demote").otherwise("reconstruct")
-    return rows.select(*PATH, outcome.alias("outcome"), (F.col("d_size").isNotNull() & ~F.coalesce((F.col("d_size") == F.col("size")) & (F.col("d_hash") == F.col("version_hash")), F.lit(False))).alias("quarantine"))
+    wanted = live.select("group_id", "version_hash").distinct().join(version_blocks, "version_hash")
+    has = wanted.join(stored.select("group_id", "hash", F.lit(True).alias("there")), ["group_id", "hash"], "left").groupBy("group_id", "version_hash").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("whole"))
+    same = F.coalesce((F.col("d_size") == F.col("size")) & (F.col("d_hash") == F.col("version_hash")), F.lit(False))
+    outcome = F.when(same, "ok").when(F.col("d_size").isNull() & F.col("open").isNull(), "offline delete").when(F.col("whole"), "reconstruct").otherwise("demote")
+    return rows.join(has, ["group_id", "version_hash"], "left").select(*PATH, outcome.alias("outcome"), (F.col("d_size").isNotNull() & ~same).alias("quarantine"))
 
 
 def set_digest(rows: DataFrame, keys: list[str], items: list[str], name: str = "digest") -> DataFrame:

@@ -33,6 +33,17 @@ class Snapshot:
     heads: DataFrame
 
 
+def left_references(references: DataFrame, plan: DataFrame, roots: DataFrame) -> DataFrame:
+    """The references of changes that a plan does not prune or that a root keeps."""
+    return references.join(plan.filter("role = 'pruned'").join(roots.select(*NODE), NODE, "left_anti"), NODE, "left_anti")
+
+
+def unreferenced(versions: DataFrame, references: DataFrame, authorized: DataFrame) -> DataFrame:
+    """Of versions(group_id, version_hash), those that are neither referenced nor authorized in their group."""
+    key = ["group_id", "version_hash"]
+    return versions.join(references.select(*key), key, "left_anti").join(authorized.select(*key), key, "left_anti")
+
+
 def pruned(changes: DataFrame, edges: DataFrame, references: DataFrame, plan: DataFrame, roots: DataFrame, authorized: DataFrame, lamports: DataFrame) -> Snapshot:
     """The snapshot after a plan(NODE, role). roots(NODE) keep their payload; authorized(group_id, version_hash) stay anyway.
 

@@ -416,11 +416,14 @@ def jn6(v):
     return v.fx_touches.filter("version_hash IS NOT NULL").join(v.fx_versions, "version_hash", "left_anti").groupBy("group_id", "change_hash").agg(F.min("version_hash").alias("missing"))
 
 
-@query("jn4_unreferenced_versions", "SELECT DISTINCT group_id, version_hash FROM fx_touches WHERE version_hash IS NOT NULL EXCEPT SELECT group_id, version_hash FROM fx_files WHERE state = 'current' AND NOT deleted")
+@query("jn4_unreferenced_versions", PRUNED + " SELECT group_id, version_hash FROM refs EXCEPT SELECT group_id, version_hash FROM versions")
 def jn4(v):
-    """Versions that a group's history names but none of its current files has."""
-    live = v.fx_files.filter("state = 'current' AND NOT deleted").select("group_id", "version_hash")
-    return v.fx_touches.filter("version_hash IS NOT NULL").select("group_id", "version_hash").distinct().join(live, ["group_id", "version_hash"], "left_anti")
+    """Versions that the history named before a prune, and that neither a put or move left nor an authorization names after it."""
+    references = v.fx_touches.filter("version_hash IS NOT NULL").select("group_id", "change_hash", "version_hash").distinct()
+    roots = v.fx_roots.filter("owner <> 'own3'").select(*G.NODE).distinct()
+    authorized = v.fx_files.filter("state = 'trashed' AND version_hash IS NOT NULL").select("group_id", "version_hash").distinct()
+    left = P.left_references(references, cut(plan_of(v)), roots)
+    return P.unreferenced(references.select("group_id", "version_hash").distinct(), left, authorized)
 
 
 @query("jn12_auth_monotonicity", """SELECT a.group_id, a.change_hash, CASE WHEN count(*) FILTER (e.parent_hash IS NOT NULL AND p.change_hash IS NULL) > 0 THEN 'hold' WHEN a.auth_seq < max(p.auth_seq) OR a.auth_epoch < max(p.auth_epoch) THEN 'regressed' ELSE 'ok' END AS verdict

@@ -204,11 +204,12 @@ def jn1(v):
     return X.compare_with_disk(index, v.fx_inventory, ignored, failed, v.fx_intents)
 
 
-@query("jn20_crash_triage", """SELECT f.group_id, f.path, CASE WHEN d.size = f.size AND d.hash = f.version_hash THEN 'ok' WHEN d.size IS NULL AND i.path IS NULL THEN 'offline delete' WHEN f.event_id % 4 = 0 THEN 'demote' ELSE 'reconstruct' END AS outcome,
+@query("jn20_crash_triage", """WITH whole AS (SELECT group_id, version_hash, bool_and(s.hash IS NOT NULL) AS whole FROM (SELECT DISTINCT group_id, version_hash FROM fx_files) f JOIN fx_version_blocks b USING (version_hash) LEFT JOIN fx_stored s USING (group_id, hash) GROUP BY ALL)
+SELECT f.group_id, f.path, CASE WHEN d.size = f.size AND d.hash = f.version_hash THEN 'ok' WHEN d.size IS NULL AND i.path IS NULL THEN 'offline delete' WHEN w.whole THEN 'reconstruct' ELSE 'demote' END AS outcome,
   d.size IS NOT NULL AND NOT coalesce(d.size = f.size AND d.hash = f.version_hash, false) AS quarantine
-FROM fx_files f LEFT JOIN fx_inventory d ON d.group_id = f.group_id AND d.path = f.path LEFT JOIN fx_intents i ON i.group_id = f.group_id AND i.path = f.path WHERE state = 'current' AND NOT deleted AND materialization_state = 'hydrated'""")
+FROM fx_files f LEFT JOIN whole w ON w.group_id = f.group_id AND w.version_hash = f.version_hash LEFT JOIN fx_inventory d ON d.group_id = f.group_id AND d.path = f.path LEFT JOIN fx_intents i ON i.group_id = f.group_id AND i.path = f.path WHERE state = 'current' AND NOT deleted AND materialization_state = 'hydrated'""")
 def jn20(v):
-    return X.triage(v.fx_files, v.fx_inventory, v.fx_intents)
+    return X.triage(v.fx_files, v.fx_inventory, v.fx_intents, v.fx_version_blocks, v.fx_stored)
 
 
 # Blocks. In tests of this size a block is 256 bytes; DuckDB cuts the hexadecimal form.
@@ -229,7 +230,17 @@ def ag6(v):
 
 @query("src5_block_lists", f"WITH {BLOCKS} SELECT doc_id, ord, hash, \"offset\", size FROM blocks")
 def src5(v):
-    return X.expand_blocks(X.block_json(blocks(v)))
+    return X.expand_blocks(X.block_json(blocks(v)))[0]
+
+
+@query("src5_quarantined_lists", f"WITH {BLOCKS}, n AS (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'no list of blocks' WHEN 1 THEN 'bad block' WHEN 2 THEN 'gap' END AS reason FROM n WHERE doc_id % 7 IN (0, 1) OR (doc_id % 7 = 2 AND n > 2)")
+def src5_quarantine(v):
+    """Lists that were cut off, that lost a size, or whose second block is gone."""
+    kind = F.col("doc_id") % 7
+    size = F.when((kind != 1) | (F.col("ord") > 0), F.col("size"))
+    lists = X.block_json(blocks(v).filter("doc_id % 7 <> 2 OR ord <> 1").withColumn("size", size))
+    cut_off = F.when(kind == 0, F.expr("substring(blocks_json, 1, length(blocks_json) - 3)")).otherwise(F.col("blocks_json"))
+    return X.expand_blocks(lists.withColumn("blocks_json", cut_off))[1]
 
 
 @query("ag4_live_blocks", f"WITH {BLOCKS} SELECT DISTINCT hash FROM blocks WHERE doc_id % 3 <> 0 UNION SELECT DISTINCT hash FROM blocks WHERE doc_id % 21 = 0")

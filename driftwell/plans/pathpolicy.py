@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import paths as P
 from driftwell.operators import files as X
+from driftwell.operators import ignoring as I
 from driftwell.operators import reservations as V
 from driftwell.plans.catalog import Views, query
 
@@ -34,6 +35,44 @@ def flt4(v):
     return v.fx_inventory.select("path").distinct().select("path", P.last_match(F.col("path"), RULES).alias("rule_no"), P.ignored(F.col("path"), RULES).alias("ignored"))
 
 
+#: Rule files of two kinds of roots, in the order in which they are read: file and lines.
+RULE_FILES = {
+    "even": [("built-in", P.DEFAULT_RULES), (".syncignore", ["# scratch", "*.tmp", "", "dir1/", "!dir1/f3.txt", "new/**/n1*"]), ("more.rules", ["(?i)/dir2/M?.TXT"])],
+    "odd": [(".syncignore", ["**/f?.txt", "!dir0/f1.txt", "!dir2", "(?i)DIR2/F5.TXT", "a//b", "n3.tmp"])],
+}
+
+
+def _explain_sql() -> str:
+    """The last rule whose regular expression matches the whole path, by root."""
+    rows, n = [], 0
+    for root, files in RULE_FILES.items():
+        n = 0
+        for file, lines in files:
+            for line, text in enumerate(lines, 1):
+                if text and not text.startswith("#") and "//" not in text:
+                    n += 1
+                    folded = text.startswith("(?i)")
+                    bare = text[4:] if folded else text
+                    pattern = P.rule_pattern(("!" if bare.startswith("!") else "") + ("(?i)" if folded else "") + bare.removeprefix("!"))[0].replace("'", "''")
+                    rows.append(f"('{root}', {n}, '{bare}', '{file}', {line}, '{pattern}', {str(not bare.startswith('!')).lower()})")
+    return f"""WITH rules AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(root, rule_no, rule, file, line, pattern, away)),
+p AS (SELECT DISTINCT CASE WHEN group_id % 2 = 0 THEN 'even' ELSE 'odd' END AS root, path FROM fx_inventory),
+hit AS (SELECT p.root, path, max(rule_no) AS rule_no FROM p JOIN rules r ON r.root = p.root AND regexp_matches(path, pattern) GROUP BY p.root, path)
+SELECT p.root, p.path, coalesce(away, false) AS ignored, coalesce(h.rule_no, 0) AS rule_no, coalesce(rule, '') AS rule, coalesce(file, '') AS file, coalesce(line, 0) AS line FROM p LEFT JOIN hit h ON h.root = p.root AND h.path = p.path LEFT JOIN rules r ON r.root = h.root AND r.rule_no = h.rule_no"""
+
+
+def rule_lines(v: Views):
+    rows = [(root, n, file, line, text) for root, files in RULE_FILES.items() for n, (file, lines) in enumerate(files) for line, text in enumerate(lines, 1)]
+    return v.spark.createDataFrame(rows, "root string, file_no int, file string, line int, text string")
+
+
+@query("flt4_rule_explanations", _explain_sql())
+def flt4_explained(v):
+    """Every path of two kinds of roots with the rule that decides on it, its file and its line."""
+    paths = v.fx_inventory.select(F.when(F.col("group_id") % 2 == 0, "even").otherwise("odd").alias("root"), "path", F.lit(False).alias("is_dir")).distinct()
+    return I.explained(paths, I.parsed(rule_lines(v))).drop("is_dir").fillna({"rule_no": 0, "rule": "", "file": "", "line": 0})
+
+
 def _redact_sql() -> tuple[str, dict[str, str]]:
     text, counts = "coalesce(text, '')", {}
     for category, pattern in P.REDACTIONS:

@@ -118,6 +118,8 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
           NOT (c_custkey < 200 OR (c_custkey < 400 AND c_custkey % 50 = 0)) AS orphaned, cast(20000 + c_custkey % 200 * 1000 AS bigint) AS cap
         FROM customer""",
     "fx_intents": lambda d: "SELECT DISTINCT group_id, path FROM fx_files WHERE state = 'current' AND event_id % 12 = 5",
+    "fx_version_blocks": lambda d: f"SELECT version_hash, cast(o AS bigint) AS ord, {d.sha("version_hash || ':' || cast(o AS string)")} AS hash FROM fx_versions CROSS JOIN (VALUES (0), (1), (2)) AS v(o)",
+    "fx_stored": lambda d: "SELECT group_id, hash FROM (SELECT DISTINCT group_id FROM fx_changes) g CROSS JOIN fx_version_blocks WHERE NOT (group_id % 3 = 1 AND ord = 2) AND NOT (group_id % 5 = 0 AND substring(hash, 1, 1) < '6')",
     "fx_roots": lambda d: "SELECT 'own' || cast(event_id % 4 AS string) AS owner, group_id, change_hash, CASE WHEN event_id % 9 = 0 THEN 0 ELSE us END AS registered_at, event_id % 3 = 0 AS obligation_live FROM fx_changes WHERE event_id % 8 = 0",
     "fx_writers": lambda d: "SELECT group_id, device_id FROM fx_policy p WHERE action = 'Grant' AND NOT EXISTS (SELECT 1 FROM fx_policy r WHERE r.group_id = p.group_id AND r.device_id = p.device_id AND r.action = 'Revoke')",
     "fx_refusals": lambda d: "SELECT group_id, path, version_hash, 'd' || cast(n AS string) AS peer FROM fx_files CROSS JOIN (VALUES (0), (1), (2)) AS v(n) WHERE state = 'current' AND NOT deleted AND (event_id + n) % 4 <> 0",
