@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,3 +126,17 @@ def prefixes(path: Column) -> Column:
     """A path and all folders above it."""
     parts = F.split(path, "/", -1)
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def canonical_fold(path: Column) -> Column:
+    """The key under which a volume that minds neither case nor normal form keeps a name: NFC, full case folding, NFC.
+
+    Full folding may lengthen a name (sharp s becomes ss). Spark has no such function, so names go through Python in Arrow
+    batches; fold different names only.
+    """
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        nfc = lambda x: unicodedata.normalize("NFC", x)
+        return names.map(lambda x: nfc(nfc(x).casefold()), na_action="ignore")
+
+    return fold(path)

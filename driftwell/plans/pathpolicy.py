@@ -10,6 +10,7 @@ from driftwell.operators import files as X
 from driftwell.operators import ignoring as I
 from driftwell.operators import reservations as V
 from driftwell.plans.catalog import Views, query
+from driftwell.plans.lineage import cut
 
 RULES = [*P.DEFAULT_RULES, "*.tmp", "dir1/", "!dir1/f3.txt", "new/**/n1*", "(?i)/dir2/M?.TXT"]
 NAME = "regexp_extract(path, '[^/]*$')"
@@ -136,6 +137,20 @@ def jn10(v):
     return collisions(v, F.col("path").cast("string collate UNICODE_CI"))
 
 
+#: Names that only full case folding brings together, or keeps apart.
+FOLDED = ["Straße.txt", "STRASSE.txt", "strasse.TXT", "Stra\u00dfe\u0301", "STRASSE\u0301", "strass\u00e9", "Strase"]
+
+
+@query("jn10_fold_classes", f"""WITH n AS (SELECT path FROM fx_names UNION SELECT unnest([{", ".join(f"'{x}'" for x in FOLDED)}])), k AS (SELECT path, nfc_normalize(lower(replace(nfc_normalize(path), 'ß', 'ss'))) AS key FROM n)
+SELECT key, path, n FROM k JOIN (SELECT key, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1) USING (key)""")
+def jn10_classes(v):
+    """The members of every class of names that fall together, so a class of n has n rows."""
+    more = v.spark.createDataFrame([(x,) for x in FOLDED], "path string")
+    keyed = cut(v.fx_names.select("path").unionByName(more).distinct().withColumn("key", P.canonical_fold(F.col("path"))))
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(many, "key").select("key", "path", "n")
+
+
 def collisions(v: Views, key):
     """Pairs of different paths with one key. Keys that only one path has go before the join."""
     keyed = v.fx_names.distinct().select("path", key.alias("key"))
