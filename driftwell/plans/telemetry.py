@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import paths as P
+from driftwell.operators import chunking as K7
 from driftwell.operators import files as X
 from driftwell.operators import fleet as O
 from driftwell.plans.catalog import Views, query
@@ -222,6 +223,27 @@ def ag7_report(v):
     return X.dedup_account(O.content_chunks(v.documents, 128, 512, 2048))
 
 
+def archives(v: Views):
+    """Each source's documents, one after another, as one file whose splits are the documents."""
+    return v.documents.select(F.coalesce("source", F.lit("")).alias("file"), F.col("doc_id").alias("nth"), F.col("text").cast("binary").alias("data"))
+
+
+@query("ag7_archive_chunks")
+def ag7_archives(v):
+    """Chunks of 2, 8 and 32 KB over files of all documents of a source; the product's sizes are the operator's defaults."""
+    return K7.stream_chunks(archives(v), 2 << 10, 8 << 10, 32 << 10)
+
+
+@query("ag7_shift_report")
+def ag7_shift(v):
+    """What stays of each file's chunks when 1,000 bytes are put in before its first document."""
+    before = archives(v)
+    first = Window.partitionBy("file").orderBy("nth")
+    after = before.withColumn("_n", F.row_number().over(first)).withColumn("data", F.when(F.col("_n") == 1, F.concat(F.lit(b"0123456789" * 100), F.coalesce("data", F.lit(b"")))).otherwise(F.col("data"))).drop("_n")
+    sizes = 2 << 10, 8 << 10, 32 << 10
+    return K7.shift_report(K7.stream_chunks(before, *sizes), K7.stream_chunks(after, *sizes))
+
+
 @query("jn18_operation_reconciliation", f"WITH j AS (SELECT * FROM fx_journal FULL JOIN fx_remote USING (operation_id)), r AS (SELECT operation_id, domain, {O.decision_sql()} AS recommendation FROM j) SELECT *, recommendation IN ('settle', 'retry same', 'retry activation', 'retry cancel', 'wait auto', 'continue compensation') AS auto_safe FROM r")
 def jn18(v):
     return O.reconcile(v.fx_journal, v.fx_remote)

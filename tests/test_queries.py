@@ -38,7 +38,7 @@ def test_against_duckdb(spark, duck, name):
 
 
 def test_all_others_are_checked_here():
-    assert set(QUERIES) - set(ORACLES) == {"src6_disk_inventory", "ag7_content_defined_chunks", "ag7_dedup_report", "st1_debounce_sessions"}
+    assert set(QUERIES) - set(ORACLES) == {"src6_disk_inventory", "ag7_content_defined_chunks", "ag7_dedup_report", "ag7_archive_chunks", "ag7_shift_report", "st1_debounce_sessions"}
 
 
 def test_src6(spark):
@@ -61,6 +61,22 @@ def test_ag7(spark):
     assert tuple(report) == (len(found), len(kinds), found["size"].sum(), kinds["size"].sum())
 
 
+def test_ag7_archives(spark):
+    found = QUERIES["ag7_archive_chunks"](spark, FOLDER).toPandas()
+    files = {}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("source", "doc_id", "text").orderBy("doc_id").collect():
+        files[r.source or ""] = files.get(r.source or "", b"") + (r.text or "").encode()
+    for file, chunks in found.sort_values("ord").groupby("file"):
+        at = 0
+        for start, size, digest in zip(chunks["start"], chunks["size"], chunks["hash"]):
+            assert start == at and hashlib.sha256(files[file][at : at + size]).hexdigest() == digest
+            at += size
+        assert at == len(files[file]) and (chunks["size"].iloc[:-1] >= 2 << 10).all() and (chunks["size"] <= 32 << 10).all()
+    assert set(found["file"]) == {f for f, b in files.items() if b}
+    report = QUERIES["ag7_shift_report"](spark, FOLDER).toPandas()
+    assert (report["bytes_after"] == report["bytes_before"] + 1000).all() and report["bytes_kept"].sum() > 0.5 * report["bytes_before"].sum()
+
+
 def test_st1(spark):
     events = view(spark, FOLDER, "fx_fs_events").toPandas()
     events["us"] //= 40000
