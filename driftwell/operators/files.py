@@ -117,6 +117,20 @@ def table_index(table: DataFrame) -> DataFrame:
     return rows.select(F.lit(0).cast("long").alias("group_id"), "path", "size", "us", F.lit(None).cast("string").alias("version_hash"))
 
 
+#: A block written so shortly before a sweep may belong to a version that is not recorded yet.
+GRACE_US = 10 * 60 * 1_000_000
+
+
+def sweep(store: DataFrame, live: DataFrame, started_us: int, grace_us: int = GRACE_US) -> DataFrame:
+    """store(hash, size, us) with verdict: live, young (written within the grace before the sweep, or after it), or swept.
+
+    live: the column hash. This marks only; a dry run counts the verdicts, a real one deletes what is swept.
+    """
+    marked = store.join(live.select("hash").distinct().withColumn("_live", F.lit(True)), "hash", "left")
+    verdict = F.when(F.col("_live"), "live").when(F.col("us") > F.lit(started_us - grace_us), "young").otherwise("swept")
+    return marked.select("hash", "size", "us", verdict.alias("verdict"))
+
+
 def triage(files: DataFrame, disk: DataFrame, intents: DataFrame, version_blocks: DataFrame, stored: DataFrame) -> DataFrame:
     """What became of live, hydrated files: ok, offline delete, or quarantine with reconstruct or demote.
 

@@ -254,11 +254,18 @@ def ag5(v):
     return X.dedup_account(blocks(v))
 
 
-@query("jn5_block_sweep", f"WITH {BLOCKS}, live AS (SELECT hash FROM blocks WHERE doc_id % 3 <> 0), gone AS (SELECT DISTINCT hash, size FROM blocks WHERE doc_id % 2 = 0 AND hash NOT IN (SELECT hash FROM live)) SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM gone")
+#: When the sweep began, and when a block of a document was written: spread over the half hour before and a little after.
+SWEPT_AT = 1706745600000000
+WRITTEN = "1706743800000000 + (doc_id * 7919 + ord * 104729) % 1860 * 1000000"
+
+
+@query("jn5_block_sweep", f"""WITH {BLOCKS}, store AS (SELECT hash, min(size) AS size, max({WRITTEN}) AS us FROM blocks GROUP BY hash), live AS (SELECT hash FROM blocks WHERE doc_id % 3 <> 0),
+m AS (SELECT size, CASE WHEN hash IN (SELECT hash FROM live) THEN 'live' WHEN us > {SWEPT_AT} - 600000000 THEN 'young' ELSE 'swept' END AS verdict FROM store) SELECT verdict, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM m GROUP BY verdict""")
 def jn5(v):
+    """What a sweep would delete, and what it keeps: blocks of files that are there, and those written within ten minutes before it."""
     b = blocks(v)
-    old = b.filter("doc_id % 2 = 0").select("hash", "size").distinct()
-    return old.join(b.filter("doc_id % 3 <> 0"), "hash", "left_anti").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    store = b.groupBy("hash").agg(F.min("size").alias("size"), F.max(F.expr(WRITTEN)).alias("us"))
+    return X.sweep(store, b.filter("doc_id % 3 <> 0"), SWEPT_AT).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("jn3_block_authorization", f"WITH {BLOCKS} SELECT DISTINCT doc_id, hash FROM blocks r WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.hash = r.hash AND b.doc_id % 4 = 1)")
