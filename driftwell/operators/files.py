@@ -117,6 +117,30 @@ def table_index(table: DataFrame) -> DataFrame:
     return rows.select(F.lit(0).cast("long").alias("group_id"), "path", "size", "us", F.lit(None).cast("string").alias("version_hash"))
 
 
+#: States of a file in which its bytes are its version's.
+HELD_STATES = ("hydrated", "pinned")
+
+
+def durable_holdings(requests: DataFrame, index: DataFrame, blocks: DataFrame, provenance: DataFrame, store: DataFrame) -> DataFrame:
+    """requests(file, version, blocks) with verdict: durable, or the first rule that fails.
+
+    blocks of a request: an array of (hash, size) in order. index(file, policy, state, version), blocks(file, ord, hash, size):
+    what the index holds. provenance(hash): blocks that an authorized peer or writer gave. store(hash, digest): each block's
+    digest as it is on disk now. The rules in order: the file is known, its folder is eager, its version is the one asked
+    for, its state is a held one, its blocks are those asked for in order and size, each has a provenance, each verifies.
+    """
+    own = blocks.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "hash", "size"))), lambda b: F.struct(b["hash"].alias("hash"), b["size"].alias("size"))).alias("_held"))
+    proven = provenance.select("hash").distinct().withColumn("_proven", F.lit(True))
+    judged = blocks.select("file", "hash").join(proven, "hash", "left").join(store.select("hash", (F.col("digest") == F.col("hash")).alias("_fine")), "hash", "left")
+    judged = judged.groupBy("file").agg(F.bool_and(F.coalesce("_proven", F.lit(False))).alias("_proven"), F.bool_and(F.coalesce("_fine", F.lit(False))).alias("_fine"))
+    rows = requests.join(index.withColumnRenamed("version", "_version"), "file", "left").join(own, "file", "left").join(judged, "file", "left")
+    none = F.array().cast("array<struct<hash:string,size:bigint>>")
+    verdict = F.when(F.col("policy").isNull(), "unknown").when(F.col("policy") != "eager", "not eager").when(~F.col("version").eqNullSafe(F.col("_version")), "other version")
+    verdict = verdict.when(~F.col("state").isin(*HELD_STATES), "not held").when(F.coalesce("_held", none) != F.col("blocks"), "other blocks")
+    verdict = verdict.when(~F.coalesce("_proven", F.lit(True)), "no provenance").when(~F.coalesce("_fine", F.lit(True)), "damaged").otherwise("durable")
+    return rows.select(*requests.columns, verdict.alias("verdict"))
+
+
 #: A block written so shortly before a sweep may belong to a version that is not recorded yet.
 GRACE_US = 10 * 60 * 1_000_000
 

@@ -274,11 +274,24 @@ def jn3(v):
     return b.join(b.filter("doc_id % 4 = 1").select("hash"), "hash", "left_semi").select("doc_id", "hash").distinct()
 
 
-@query("jn15_durable_holding", f"WITH {BLOCKS} SELECT doc_id, count(*) AS n_blocks, bool_and(hash IN (SELECT hash FROM blocks WHERE doc_id % 5 <> 0)) AS durable FROM blocks GROUP BY doc_id")
+@query("jn15_durable_holding", f"""WITH {BLOCKS}, f AS (SELECT doc_id AS file, CASE WHEN doc_id % 11 = 0 THEN 'on_demand' ELSE 'eager' END AS policy, CASE WHEN doc_id % 6 = 0 THEN 'hydrating' ELSE 'hydrated' END AS state, sha256(text) AS version FROM documents WHERE doc_id % 17 <> 0),
+held AS (SELECT doc_id AS file, string_agg(hash || ':' || CAST(size AS VARCHAR), ',' ORDER BY ord) AS held, bool_and(hash IN (SELECT hash FROM blocks WHERE doc_id % 5 <> 0)) AS proven, bool_and(substring(hash, 1, 2) > '0a') AS fine FROM blocks WHERE doc_id % 17 <> 0 GROUP BY doc_id),
+asked AS (SELECT d.doc_id AS file, CASE WHEN d.doc_id % 13 = 0 THEN 'other' ELSE sha256(text) END AS version, string_agg(hash || ':' || CAST(size + CASE WHEN d.doc_id % 7 = 2 THEN 1 ELSE 0 END AS VARCHAR), ',' ORDER BY CASE WHEN d.doc_id % 7 = 1 THEN -ord ELSE ord END) AS blocks FROM documents d LEFT JOIN blocks b ON b.doc_id = d.doc_id GROUP BY d.doc_id, text)
+SELECT a.file, CASE WHEN policy IS NULL THEN 'unknown' WHEN policy <> 'eager' THEN 'not eager' WHEN a.version IS DISTINCT FROM f.version THEN 'other version' WHEN state <> 'hydrated' THEN 'not held' WHEN coalesce(held, '') <> coalesce(blocks, '') THEN 'other blocks'
+  WHEN NOT coalesce(proven, true) THEN 'no provenance' WHEN NOT coalesce(fine, true) THEN 'damaged' ELSE 'durable' END AS verdict FROM asked a LEFT JOIN f ON f.file = a.file LEFT JOIN held h ON h.file = a.file""")
 def jn15(v):
-    b = blocks(v)
-    proven = b.filter("doc_id % 5 <> 0").select("hash").distinct().withColumn("p", F.lit(True))
-    return b.join(proven, "hash", "left").groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.bool_and(F.coalesce("p", F.lit(False))).alias("durable"))
+    """Every document asked for as a file: some with other versions, some with blocks turned round or of other sizes; some blocks without a provenance or damaged."""
+    b = blocks(v).select(F.col("doc_id").alias("file"), "ord", "hash", F.col("size").cast("long").alias("size"))
+    version = F.sha2(F.col("text").cast("binary"), 256)
+    index = v.documents.filter("doc_id % 17 <> 0").select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 11 == 0, "on_demand").otherwise("eager").alias("policy"), F.when(F.col("doc_id") % 6 == 0, "hydrating").otherwise("hydrated").alias("state"), version.alias("version"))
+    order = F.when(F.col("file") % 7 == 1, -F.col("ord")).otherwise(F.col("ord"))
+    size = F.col("size") + F.when(F.col("file") % 7 == 2, 1).otherwise(0)
+    lists = b.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "hash", size.alias("size")))), lambda x: F.struct(x["hash"].alias("hash"), x["size"].alias("size"))).alias("blocks"))
+    asked = v.documents.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 13 == 0, "other").otherwise(version).alias("version")).join(lists, "file", "left")
+    asked = asked.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<hash:string,size:bigint>>")))
+    store = b.select("hash").distinct().withColumn("digest", F.when(F.substring("hash", 1, 2) > "0a", F.col("hash")).otherwise("torn"))
+    found = X.durable_holdings(asked, index, b.filter("file % 17 <> 0"), b.filter("file % 5 <> 0"), store)
+    return found.select("file", "verdict")
 
 
 @query("jn16_blocks_elsewhere", f"WITH {BLOCKS} SELECT doc_id, count(DISTINCT hash) AS n FROM blocks b WHERE EXISTS (SELECT 1 FROM blocks o WHERE o.hash = b.hash AND o.doc_id <> b.doc_id) GROUP BY doc_id")
