@@ -416,16 +416,33 @@ def jn6(v):
     return v.fx_touches.filter("version_hash IS NOT NULL").join(v.fx_versions, "version_hash", "left_anti").groupBy("group_id", "change_hash").agg(F.min("version_hash").alias("missing"))
 
 
-@query("jn4_unreferenced_versions", PRUNED + " SELECT group_id, version_hash FROM refs EXCEPT SELECT group_id, version_hash FROM versions")
-def jn4(v):
-    """Versions that the history named before a prune, and that neither a put or move left nor an authorization names after it."""
+def left_after_prune(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References before and after a prune, and the versions that its compaction authorizes: those of trashed files."""
     references = v.fx_touches.filter("version_hash IS NOT NULL").select("group_id", "change_hash", "version_hash").distinct()
     roots = v.fx_roots.filter("owner <> 'own3'").select(*G.NODE).distinct()
     authorized = v.fx_files.filter("state = 'trashed' AND version_hash IS NOT NULL").select("group_id", "version_hash").distinct()
-    left = P.left_references(references, cut(plan_of(v)), roots)
+    return references, P.left_references(references, cut(plan_of(v)), roots), authorized
+
+
+@query("jn4_unreferenced_versions", PRUNED + " SELECT group_id, version_hash FROM refs EXCEPT SELECT group_id, version_hash FROM versions")
+def jn4(v):
+    """Versions that the history named before a prune, and that neither a put or move left nor an authorization names after it."""
+    references, left, authorized = left_after_prune(v)
     return P.unreferenced(references.select("group_id", "version_hash").distinct(), left, authorized)
 
 
+ASKED = "SELECT group_id, hash FROM fx_stored UNION SELECT DISTINCT group_id, 'nowhere' FROM fx_changes"
+
+
+@query("jn3_block_authorization", PRUNED + f""", held AS (SELECT DISTINCT group_id, hash FROM refs_left JOIN fx_version_blocks USING (version_hash)), given AS (SELECT DISTINCT group_id, hash FROM authorized JOIN fx_version_blocks USING (version_hash))
+SELECT a.group_id, a.hash, CASE WHEN h.hash IS NOT NULL THEN 'retained' WHEN g.hash IS NOT NULL THEN 'compaction' ELSE 'refused' END AS verdict FROM ({ASKED}) a LEFT JOIN held h ON h.group_id = a.group_id AND h.hash = a.hash LEFT JOIN given g ON g.group_id = a.group_id AND g.hash = a.hash""")
+def jn3(v):
+    """Every block that a group's store has, and a strange one: whether a version of that group gives the right to send it."""
+    _, left, authorized = left_after_prune(v)
+    asked = v.fx_stored.select("group_id", "hash").unionByName(v.fx_changes.select("group_id", F.lit("nowhere").alias("hash")).distinct())
+    return P.authorized_blocks(asked, v.fx_version_blocks, left, authorized)
+
+
 @query("jn12_auth_monotonicity", """SELECT a.group_id, a.change_hash, CASE WHEN count(*) FILTER (e.parent_hash IS NOT NULL AND p.change_hash IS NULL) > 0 THEN 'hold' WHEN a.auth_seq < max(p.auth_seq) OR a.auth_epoch < max(p.auth_epoch) THEN 'regressed' ELSE 'ok' END AS verdict
 FROM fx_auth a LEFT JOIN fx_edges e ON e.group_id = a.group_id AND e.child_hash = a.change_hash LEFT JOIN (SELECT * FROM fx_auth WHERE event_id % 29 <> 0) p ON p.group_id = e.group_id AND p.change_hash = e.parent_hash GROUP BY a.group_id, a.change_hash, a.auth_seq, a.auth_epoch""")
 def jn12(v):

@@ -268,12 +268,6 @@ def jn5(v):
     return X.sweep(store, b.filter("doc_id % 3 <> 0"), SWEPT_AT).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("jn3_block_authorization", f"WITH {BLOCKS} SELECT DISTINCT doc_id, hash FROM blocks r WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.hash = r.hash AND b.doc_id % 4 = 1)")
-def jn3(v):
-    b = blocks(v)
-    return b.join(b.filter("doc_id % 4 = 1").select("hash"), "hash", "left_semi").select("doc_id", "hash").distinct()
-
-
 @query("jn15_durable_holding", f"""WITH {BLOCKS}, f AS (SELECT doc_id AS file, CASE WHEN doc_id % 11 = 0 THEN 'on_demand' ELSE 'eager' END AS policy, CASE WHEN doc_id % 6 = 0 THEN 'hydrating' ELSE 'hydrated' END AS state, sha256(text) AS version FROM documents WHERE doc_id % 17 <> 0),
 held AS (SELECT doc_id AS file, string_agg(hash || ':' || CAST(size AS VARCHAR), ',' ORDER BY ord) AS held, bool_and(hash IN (SELECT hash FROM blocks WHERE doc_id % 5 <> 0)) AS proven, bool_and(substring(hash, 1, 2) > '0a') AS fine FROM blocks WHERE doc_id % 17 <> 0 GROUP BY doc_id),
 asked AS (SELECT d.doc_id AS file, CASE WHEN d.doc_id % 13 = 0 THEN 'other' ELSE sha256(text) END AS version, string_agg(hash || ':' || CAST(size + CASE WHEN d.doc_id % 7 = 2 THEN 1 ELSE 0 END AS VARCHAR), ',' ORDER BY CASE WHEN d.doc_id % 7 = 1 THEN -ord ELSE ord END) AS blocks FROM documents d LEFT JOIN blocks b ON b.doc_id = d.doc_id GROUP BY d.doc_id, text)
