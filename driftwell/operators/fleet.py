@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.plans.lineage import cut
+from driftwell.plans.lineage import cut, few
 
 # Histogram edges in seconds; job transitions; backoff.
 EDGES = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -51,15 +51,49 @@ def version_key(version: Column) -> Column:
     return F.when(version.rlike(SEMVER), F.concat(numbers, words))
 
 
+def fnv1a(text: str) -> int:
+    """The 64-bit FNV-1a hash of a text's bytes."""
+    h = FNV_START
+    for byte in text.encode():
+        h = (h ^ byte) * FNV_PRIME % (1 << 64)
+    return h
+
+
+# Fixed values of FNV-1a, 64 bits.
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def cohort_bucket(cohort: Column) -> Column:
+    """fnv1a modulo 100 as a column, on two halves of 32 bits, as a product of 64 bits would overflow."""
+    low32 = (1 << 32) - 1
+    data = F.encode(cohort, "UTF-8")
+    bytes_ = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    start = F.struct(F.lit(FNV_START >> 32).cast("long").alias("hi"), F.lit(FNV_START & low32).cast("long").alias("lo"))
+
+    def step(h: Column, byte: Column) -> Column:
+        # The prime is 2^40 and 435, so the product is the low half shifted by 8 in the high one, and 435 times both.
+        lo = h["lo"].bitwiseXOR(byte)
+        low = lo * (FNV_PRIME & low32)
+        high = h["hi"] * (FNV_PRIME & low32) + F.shiftright(low, 32) + F.shiftleft(lo, 8)
+        return F.struct(high.bitwiseAND(F.lit(low32)).alias("hi"), low.bitwiseAND(F.lit(low32)).alias("lo"))
+
+    bucket = lambda h: (h["hi"] % 100 * ((1 << 32) % 100) + h["lo"] % 100) % 100
+    return F.when(F.length(data) == 0, FNV_START % 100).otherwise(F.aggregate(bytes_, start, step, bucket)).cast("int")
+
+
 def applicable_releases(installs: DataFrame, releases: DataFrame) -> DataFrame:
     """The newest release above each install's version, and what keeps it back; installs without one are up to date.
 
-    The newest decides alone: where it is switched off or its rollout leaves the install out, no older one takes its place.
+    Both have channel and platform, and arch and install_source where builds differ by them; all have to agree. The newest
+    decides alone: where it is switched off or its rollout leaves the install out, no older one takes its place. An install
+    with a beta_cohort has the bucket of its cohort instead of its own.
     """
+    keys = [c for c in ("channel", "platform", "arch", "install_source") if c in installs.columns and c in releases.columns]
     offers = releases.withColumn("key", version_key(F.col("version"))).withColumn("least", version_key(F.col("minimum_version"))).filter("key IS NOT NULL").withColumnRenamed("version", "offer")
-    rows = installs.withColumn("own", version_key(F.col("version"))).join(F.broadcast(offers), ["channel", "platform"]).filter(F.col("key") > F.col("own"))
+    rows = installs.withColumn("own", version_key(F.col("version"))).join(few(cut(offers)), keys).filter(F.col("key") > F.col("own"))
     must = F.col("mandatory") | F.coalesce(F.col("own") < F.col("least"), F.lit(False))
-    verdict = F.when(F.col("kill_switch"), "switched off").when(must | (F.col("bucket") < F.col("rollout")), "available").otherwise("held back")
+    bucket = F.coalesce(cohort_bucket(F.col("beta_cohort")), F.col("bucket")) if "beta_cohort" in installs.columns else F.col("bucket")
+    verdict = F.when(F.col("kill_switch"), "switched off").when(must | (bucket < F.least("rollout", F.lit(100))), "available").otherwise("held back")
     return rows.groupBy("install").agg(F.max_by(F.struct("offer", must.alias("must"), verdict.alias("verdict")), "key").alias("x")).select("install", "x.*")
 
 

@@ -57,7 +57,8 @@ def _version_key(x: str) -> str:
 
 
 @query("jn17_release_applicability", f"""WITH o AS (SELECT *, {_version_key('version')} AS key, {_version_key('minimum_version')} AS least_key FROM fx_releases), i AS (SELECT *, {_version_key('version')} AS own FROM fx_installs),
-r AS (SELECT i.install, o.version AS offer, o.key, o.kill_switch, i.bucket < o.rollout AS taken, o.mandatory OR coalesce(i.own < o.least_key, false) AS must FROM i JOIN o USING (channel, platform) WHERE o.key > i.own),
+ring AS (SELECT * FROM (VALUES {", ".join(f"('ring-{n}', {O.fnv1a(f'ring-{n}') % 100})" for n in range(8))}) AS v(beta_cohort, of_cohort)),
+r AS (SELECT i.install, o.version AS offer, o.key, o.kill_switch, coalesce(of_cohort, i.bucket) < o.rollout AS taken, o.mandatory OR coalesce(i.own < o.least_key, false) AS must FROM i JOIN o USING (channel, platform, arch, install_source) LEFT JOIN ring USING (beta_cohort) WHERE o.key > i.own),
 n AS (SELECT install, arg_max(offer, key) AS offer, arg_max(must, key) AS must, arg_max(kill_switch, key) AS kill, arg_max(taken, key) AS taken FROM r GROUP BY install)
 SELECT install, offer, must, CASE WHEN kill THEN 'switched off' WHEN must OR taken THEN 'available' ELSE 'held back' END AS verdict FROM n""")
 def jn17(v):

@@ -138,8 +138,8 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
             WHEN 0 THEN CASE o_custkey % 6 WHEN 0 THEN 'not found' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'preparing' WHEN 3 THEN 'prepared' WHEN 4 THEN 'active' ELSE 'cancelled' END
             ELSE CASE o_custkey % 4 WHEN 0 THEN 'not found' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'committed' ELSE 'rejected' END END AS status
         FROM orders WHERE o_orderkey % 13 <> 0""",
-    "fx_releases": lambda d: "SELECT * FROM (VALUES ('beta', 'linux', '1.2.0', '1.0.0', 50, false, false), ('beta', 'linux', '1.10.0', '1.1.0', 30, false, false), ('beta', 'linux', '1.11.0-rc.2', '1.1.0', 90, false, false), ('beta', 'linux', '1.11.0-rc.10', '1.1.0', 60, false, false), ('stable', 'mac', '1.4.0-beta', '1.2.0', 50, false, false), ('beta', 'mac', 'v2.0.0', '1.5.0', 100, false, true), ('stable', 'linux', '1.9.9', '0.9.0', 100, true, false), ('stable', 'linux', '1.3.0', '0.9.0', 80, false, false), ('stable', 'mac', 'bad', '0', 100, false, false)) AS v(channel, platform, version, minimum_version, rollout, kill_switch, mandatory)",
-    "fx_installs": lambda d: "SELECT c_custkey AS install, CASE WHEN c_custkey % 2 = 0 THEN 'beta' ELSE 'stable' END AS channel, CASE WHEN c_custkey % 3 = 0 THEN 'mac' ELSE 'linux' END AS platform, '1.' || cast(c_custkey % 12 AS string) || '.0' AS version, c_custkey % 100 AS bucket FROM customer",
+    "fx_releases": lambda d: "SELECT v.*, arch, 'site' AS install_source FROM (VALUES ('beta', 'linux', '1.2.0', '1.0.0', 50, false, false), ('beta', 'linux', '1.10.0', '1.1.0', 30, false, false), ('beta', 'linux', '1.11.0-rc.2', '1.1.0', 90, false, false), ('beta', 'linux', '1.11.0-rc.10', '1.1.0', 60, false, false), ('stable', 'mac', '1.4.0-beta', '1.2.0', 50, false, false), ('beta', 'mac', 'v2.0.0', '1.5.0', 100, false, true), ('stable', 'linux', '1.9.9', '0.9.0', 100, true, false), ('stable', 'linux', '1.3.0', '0.9.0', 80, false, false), ('stable', 'mac', 'bad', '0', 100, false, false)) AS v(channel, platform, version, minimum_version, rollout, kill_switch, mandatory) CROSS JOIN (VALUES ('x86_64'), ('aarch64')) AS a(arch) WHERE NOT (arch = 'aarch64' AND version IN ('1.9.9', '1.10.0', '1.11.0-rc.10'))",
+    "fx_installs": lambda d: "SELECT c_custkey AS install, CASE WHEN c_custkey % 2 = 0 THEN 'beta' ELSE 'stable' END AS channel, CASE WHEN c_custkey % 3 = 0 THEN 'mac' ELSE 'linux' END AS platform, '1.' || cast(c_custkey % 12 AS string) || '.0' AS version, c_custkey % 100 AS bucket, CASE WHEN c_custkey % 4 = 0 THEN 'aarch64' ELSE 'x86_64' END AS arch, CASE WHEN c_custkey % 9 = 0 THEN 'store' ELSE 'site' END AS install_source, CASE WHEN c_custkey % 6 = 2 THEN 'ring-' || cast(c_custkey % 8 AS string) END AS beta_cohort FROM customer",
     "fx_fs_events": lambda d: "SELECT group_id, path, CASE WHEN kind = 'Delete' THEN 'Removed' ELSE 'Modified' END AS kind, us, event_id FROM fx_touches",
     "fx_volumes": lambda d: "SELECT s_suppkey AS volume, cast(s_suppkey AS bigint) * 2000000000 AS total, cast(floor(abs(s_acctbal) * 400000) AS bigint) AS available, CASE WHEN s_suppkey % 5 = 0 THEN 3000000000 END AS override FROM supplier",
 }

@@ -214,6 +214,16 @@ def test_releases(spark):
     assert found == {1: ("1.2.0", "available"), 2: ("1.2.0", "held back"), 3: ("1.2.0", "available"), 4: ("2.0.0", "switched off")}
 
 
+def test_cohorts_share_a_bucket(spark):
+    assert O.fnv1a("") == 0xCBF29CE484222325 and O.fnv1a("a") == 0xAF63DC4C8601EC8C and O.fnv1a("foobar") == 0x85944171F73967E8
+    cohorts = ["", "a", "foobar", "ring-1", "ärger", "x" * 300]
+    found = {r.c: r.b for r in spark.createDataFrame([(c,) for c in cohorts], "c string").withColumn("b", O.cohort_bucket(F.col("c"))).collect()}
+    assert found == {c: O.fnv1a(c) % 100 for c in cohorts}
+    releases = spark.createDataFrame([("c", "p", arch, "site", "1.1.0", "0.1.0", O.fnv1a("in") % 100 + 1, False, False) for arch in "ab"], "channel string, platform string, arch string, install_source string, version string, minimum_version string, rollout int, kill_switch boolean, mandatory boolean")
+    installs = spark.createDataFrame([(1, "c", "p", "a", "site", "1.0.0", 99, "in"), (2, "c", "p", "a", "site", "1.0.0", 99, None), (3, "c", "p", "x", "site", "1.0.0", 0, None), (4, "c", "p", "b", "store", "1.0.0", 0, None)], "install int, channel string, platform string, arch string, install_source string, version string, bucket int, beta_cohort string")
+    assert {r.install: r.verdict for r in O.applicable_releases(installs, releases).collect()} == {1: "available", 2: "held back"}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a"), (1, "a"), (3, None)], "group_id long, x string")
     parts = K.write_snapshot({"files": rows}, str(tmp_path / "s"))
