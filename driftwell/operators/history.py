@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.functions.paths import lint
 from driftwell.operators.graph import Causal
 
 NODE = ["group_id", "change_hash"]
@@ -127,3 +128,41 @@ def audit_structure(changes: DataFrame) -> DataFrame:
     sorted_ = F.col("parents") == F.sort_array(F.array_distinct("parents"))
     verdict = F.when(F.col("parents").isNotNull() & ~sorted_, "parents not ascending").when(F.array_contains("parents", F.col("change_hash")), "own parent").when((F.col("kind") == "Move") & (F.col("path") == F.col("to_path")), "move onto itself").otherwise("ok")
     return changes.select("change_hash", verdict.alias("verdict"))
+
+
+#: Most parents and ops of a change, and the order of the kinds of op on one path.
+MOST_PARENTS, MOST_OPS = 1024, 1 << 16
+KINDS = ("Put", "Delete", "Move")
+
+
+def audit_changes(changes: DataFrame, most_parents: int = MOST_PARENTS, most_ops: int = MOST_OPS) -> DataFrame:
+    """(change_hash, verdict) of changes(change_hash, parents, ops, obligations): the first rule that a change breaks, or ok.
+
+    parents: hashes in stored order. ops: (kind, path, to_path, source_path) in stored order; source_path is set where a put is
+    a conflict copy. obligations: source paths that a repair is for; null if the change is no repair. A Move acts on both its
+    paths. Paths are judged by the path lint, without its reserved names.
+    """
+    ascending = lambda a: F.coalesce(a == F.array_sort(F.array_distinct(a)), F.lit(True))
+    nth = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    keys = F.transform("ops", lambda o: F.struct(o["path"].alias("path"), nth[o["kind"]].alias("nth")))
+    touched = F.flatten(F.transform("ops", lambda o: F.when(o["kind"] == "Move", F.array(o["path"], o["to_path"])).otherwise(F.array(o["path"]))))
+    named = F.concat(touched, F.filter(F.transform("ops", lambda o: o["source_path"]), lambda p: p.isNotNull()), F.coalesce("obligations", F.array().cast("array<string>")))
+    bad = F.exists(named, lambda p: (lint(p, ()) != "ok"))
+    rules = [
+        (F.size("parents") > most_parents, "too many parents"),
+        (~ascending(F.col("parents")), "parents not ascending"),
+        (F.array_contains("parents", F.col("change_hash")), "own parent"),
+        (F.size("ops") > most_ops, "too many ops"),
+        (F.size("obligations") == 0, "repair without obligations"),
+        (F.size("obligations") > most_ops, "too many obligations"),
+        (~ascending(F.col("obligations")), "obligations not ascending"),
+        (keys != F.array_sort(keys), "ops not in order"),
+        (F.exists("ops", lambda o: (o["kind"] == "Move") & (o["path"] == o["to_path"])), "move onto itself"),
+        (F.exists("ops", lambda o: o["source_path"] == o["path"]), "copy of itself"),
+        (F.size(touched) > F.size(F.array_distinct(touched)), "path twice"),
+        (bad, "bad path"),
+    ]
+    verdict = F.lit("ok")
+    for broken, name in reversed(rules):
+        verdict = F.when(broken, name).otherwise(verdict)
+    return changes.select("change_hash", verdict.alias("verdict"))

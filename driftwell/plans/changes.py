@@ -455,3 +455,28 @@ def flt3(v):
     key = F.when(F.substring("child_hash", 1, 1) == "f", F.reverse("parent_hash")).otherwise(F.col("parent_hash"))
     parents = v.fx_edges.groupBy("child_hash").agg(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("key"), "parent_hash"))), lambda x: x["parent_hash"]).alias("parents"))
     return H.audit_structure(v.fx_ops.join(parents.withColumnRenamed("child_hash", "change_hash"), "change_hash", "left"))
+
+
+@query("flt3_change_audit", """WITH o AS (SELECT c.group_id, c.device_id, CAST(floor((c.seq - 1) / 3) AS BIGINT) AS b, c.change_hash, kind, path, to_path FROM fx_ops JOIN fx_changes c USING (change_hash)),
+t AS (SELECT group_id, device_id, b, path FROM o UNION ALL SELECT group_id, device_id, b, to_path FROM o WHERE kind = 'Move'),
+twice AS (SELECT group_id, device_id, b, count(*) > count(DISTINCT path) AS twice FROM t GROUP BY ALL),
+g AS (SELECT group_id, device_id, b, min(change_hash) AS h, count(DISTINCT path || kind) AS n, bool_or(kind = 'Move' AND path = to_path) AS self FROM o GROUP BY ALL),
+p AS (SELECT child_hash, count(*) AS n_parents FROM fx_edges GROUP BY child_hash)
+SELECT h AS change_hash, CASE WHEN substring(h, 2, 1) = 'f' AND n_parents > 1 THEN 'parents not ascending' WHEN substring(h, 2, 1) = '1' THEN 'own parent' WHEN substring(h, 2, 1) = '2' THEN 'repair without obligations' WHEN substring(h, 2, 1) = '3' THEN 'obligations not ascending'
+  WHEN substring(h, 2, 1) = '0' AND n > 1 THEN 'ops not in order' WHEN self THEN 'move onto itself' WHEN substring(h, 2, 1) = '4' THEN 'copy of itself' WHEN twice THEN 'path twice' WHEN substring(h, 2, 1) = '5' THEN 'bad path' ELSE 'ok' END AS verdict
+FROM g JOIN twice USING (group_id, device_id, b) LEFT JOIN p ON p.child_hash = g.h""")
+def flt3_changes(v):
+    """A device's changes, three at a time, as one change with several ops; by a digit of the hash something is made wrong."""
+    own = v.fx_changes.select("change_hash", F.floor((F.col("seq") - 1) / 3).alias("b"))
+    op = F.struct("path", F.col("kind").alias("kind"), "to_path")
+    parts = v.fx_ops.join(own, "change_hash").groupBy("group_id", "device_id", "b").agg(F.min("change_hash").alias("change_hash"), F.collect_list(op).alias("ops"))
+    wrong = F.substring("change_hash", 2, 1)
+    parents = v.fx_edges.groupBy(F.col("child_hash").alias("change_hash")).agg(F.array_sort(F.collect_set("parent_hash")).alias("parents"))
+    rows = parts.join(parents, "change_hash", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    stored = F.when(wrong == "f", F.reverse("parents")).when(wrong == "1", F.array_sort(F.array_append("parents", F.col("change_hash")))).otherwise(F.col("parents"))
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(H.KINDS) for x in (k, i)])
+    keyed = F.array_sort(F.transform("ops", lambda o: F.struct(o["path"].alias("path"), number[o["kind"]].alias("nth"), o["kind"].alias("kind"), o["to_path"].alias("to_path"))))
+    source = F.when(wrong == "4", True).otherwise(False)
+    ops = F.transform(F.when(wrong == "0", F.reverse(keyed)).otherwise(keyed), lambda o: F.struct(o["kind"].alias("kind"), o["path"].alias("path"), o["to_path"].alias("to_path"), F.when(source, o["path"]).alias("source_path")))
+    repair = F.when(wrong == "2", F.array().cast("array<string>")).when(wrong == "3", F.array(F.lit("b"), F.lit("a"))).when(wrong == "5", F.array(F.lit("../a"), F.lit("b"))).when(wrong == "6", F.array(F.lit("a"), F.lit("b")))
+    return H.audit_changes(rows.select("change_hash", stored.alias("parents"), ops.alias("ops"), repair.alias("obligations")))

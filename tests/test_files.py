@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftwell.operators import files as X
+from driftwell.operators import history as H
 from driftwell.operators import pruning as P
 
 
@@ -69,3 +70,30 @@ def test_pruned_snapshots(spark, tmp_path):
     back.changes = back.changes.filter(F.col("change_hash") != "c")
     assert {r.change_hash: (r.verdict, r.n_boundary, r.n_unproven) for r in P.audit_retained(back).collect()} == {"b": ("unreached", 1, 0), "d": ("reached", 0, 1)}
     assert [tuple(r) for r in P.audit_checkpoint(back, manifest, frontier).collect()] == [(1, 1, 1, 0)]
+
+
+def test_every_rule_of_a_change(spark):
+    put = lambda p, source=None: ("Put", p, None, source)
+    rows = [
+        ("ok", ["a", "b"], [put("a"), ("Move", "b", "c", None), ("Delete", "d", None, None)], ["x", "y"], "ok"),
+        ("none", [], [], None, "ok"),
+        ("many", ["a", "b", "c", "d"], [], None, "too many parents"),
+        ("down", ["b", "a"], [], None, "parents not ascending"),
+        ("twin", ["a", "a"], [], None, "parents not ascending"),
+        ("self", ["self"], [], None, "own parent"),
+        ("ops", [], [put(f"p{i}") for i in range(5)], None, "too many ops"),
+        ("empty", [], [], [], "repair without obligations"),
+        ("long", [], [], list("abcde"), "too many obligations"),
+        ("turned", [], [], ["b", "a"], "obligations not ascending"),
+        ("order", [], [put("b"), put("a")], None, "ops not in order"),
+        ("kinds", [], [("Delete", "a", None, None), put("a")], None, "ops not in order"),
+        ("stay", [], [("Move", "a", "a", None)], None, "move onto itself"),
+        ("copy", [], [put("a", "a")], None, "copy of itself"),
+        ("twice", [], [put("a"), ("Delete", "a", None, None)], None, "path twice"),
+        ("onto", [], [("Move", "a", "b", None), put("b")], None, "path twice"),
+        ("path", [], [put("a/../b")], None, "bad path"),
+        ("source", [], [put("a", "/b")], None, "bad path"),
+        ("goal", [], [], ["C:x"], "bad path"),
+    ]
+    table = spark.createDataFrame([r[:4] for r in rows], "change_hash string, parents array<string>, ops array<struct<kind:string,path:string,to_path:string,source_path:string>>, obligations array<string>")
+    assert {r.change_hash: r.verdict for r in H.audit_changes(table, 3, 4).collect()} == {r[0]: r[4] for r in rows}
