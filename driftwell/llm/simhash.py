@@ -141,18 +141,20 @@ def inner_keys(keyed: DataFrame) -> DataFrame:
     return each.withColumn("key", F.xxhash64("key", "_inner", F.col("fp").bitwiseAND(masks[F.col("choice") * F.lit(len(CHOICES)) + F.col("_inner")]))).drop("_inner")
 
 
-def buckets(keyed: DataFrame, refine: Callable[[DataFrame], DataFrame], node: str) -> DataFrame:
+def buckets(keyed: DataFrame, refine: Callable[[DataFrame], DataFrame] | None, node: str) -> DataFrame:
     """The rows of keyed(key, node, ...) that share a key, with bucket (key, low, high): the pairs of pieces to compare.
 
-    Buckets of up to PIECE rows are one pair (0, 0). Longer ones are divided by `refine`, and what is still longer is
-    dealt into pieces, each row to every pair of pieces with its own.
+    Buckets of up to PIECE rows are one pair (0, 0). Longer ones are divided by `refine`, if there is a way that keeps every
+    linked pair together, and what is still longer is dealt into pieces, each row to every pair of pieces with its own. So
+    the pairs that meet are those that share a key, whatever the size of their bucket.
     """
     counts = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     small = keyed.join(counts.filter(F.col("n") <= PIECE).select("key"), "key")
     small = small.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
     if counts.filter(F.col("n") > PIECE).isEmpty():
         return small
-    finer = refine(keyed.join(counts.filter(F.col("n") > PIECE).select("key"), "key"))
+    finer = keyed.join(counts.filter(F.col("n") > PIECE).select("key"), "key")
+    finer = finer if refine is None else refine(finer)
     pieces = F.ceil(F.col("n") / F.lit(PIECE)).cast("int")
     finer = finer.join(finer.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     finer = finer.withColumn("_piece", F.pmod(F.xxhash64(node), pieces).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), pieces - 1)))
@@ -365,12 +367,7 @@ def similar(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, most: in
     classes = cut(sketched.groupBy("fp", "same", "n").agg(F.min("row").alias("node"), F.first("least").alias("least")))
     keyed = classes.select("node", "fp", "least", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("key", band_key(F.col("band"), F.col("least")))
 
-    def finer(hot: DataFrame) -> DataFrame:
-        """Each row under the keys of its other bands too."""
-        each = hot.withColumn("_second", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.col("band"))))
-        return each.withColumn("key", F.xxhash64("key", band_key(F.col("_second"), F.col("least")))).drop("_second")
-
-    dealt = cut(buckets(keyed, finer, "node").select("key", "low", "high", "node", "fp"))
+    dealt = cut(buckets(keyed, None, "node").select("key", "low", "high", "node", "fp"))
     members = cut(dealt.select(F.col("node").alias("row")).distinct())
     sets = sketches(rows.join(few(members), "row", "left_semi"), shingle, with_sets=True).withColumnRenamed("row", "node")
 
