@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import merkle
 from driftwell.operators.graph import NODE, Causal
+from driftwell.plans.lineage import cut
 
 #: What identifies a row of each part.
 PARTS = {"changes": ["change_hash"], "edges": ["child_hash", "parent_hash"], "references": ["change_hash", "version_hash"], "versions": ["version_hash"], "stubs": ["change_hash", "lamport"], "boundary": ["child_hash", "parent_hash"], "heads": ["change_hash"]}
@@ -22,7 +23,7 @@ PARTS = {"changes": ["change_hash"], "edges": ["child_hash", "parent_hash"], "re
 @dataclass
 class Snapshot:
     """changes and heads (NODE, ...); edges and boundary (group_id, child_hash, parent_hash); references (NODE, version_hash);
-    versions (group_id, version_hash); stubs (NODE, lamport, parents)."""
+    versions (group_id, version_hash); stubs (NODE, device_id, seq, lamport, parents)."""
 
     changes: DataFrame
     edges: DataFrame
@@ -60,14 +61,15 @@ def authorized_blocks(asked: DataFrame, version_blocks: DataFrame, references: D
 def pruned(changes: DataFrame, edges: DataFrame, references: DataFrame, plan: DataFrame, roots: DataFrame, authorized: DataFrame, lamports: DataFrame) -> Snapshot:
     """The snapshot after a plan(NODE, role). roots(NODE) keep their payload; authorized(group_id, version_hash) stay anyway.
 
-    Of a pruned change without a root its body, its edges to both sides, and its references go; a stub with its parents and
-    Lamport number stays. Versions go that neither a reference left nor an authorization names. Edges from what stays to what
+    Of a pruned change without a root its body, its edges to both sides, and its references go; a stub with its device, sequence
+    number, parents and Lamport number stays. Versions go that neither a reference left nor an authorization names. Edges from what stays to what
     went are the boundary, the proof that a missing parent was pruned and not lost.
     """
-    gone = plan.filter("role = 'pruned'").select(*NODE).join(roots.select(*NODE), NODE, "left_anti")
+    gone = cut(plan.filter("role = 'pruned'").select(*NODE).join(roots.select(*NODE), NODE, "left_anti"))
+    identity = changes.select(*NODE, "device_id", F.col("seq").cast("long").alias("seq"))
     as_child, as_parent = gone.withColumnRenamed("change_hash", "child_hash"), gone.withColumnRenamed("change_hash", "parent_hash")
     from_kept = edges.join(as_child, ["group_id", "child_hash"], "left_anti")
-    parents = edges.groupBy("group_id", F.col("child_hash").alias("change_hash")).agg(F.array_sort(F.collect_set("parent_hash")).alias("parents"))
+    parents = edges.join(as_child, ["group_id", "child_hash"], "left_semi").groupBy("group_id", F.col("child_hash").alias("change_hash")).agg(F.array_sort(F.collect_set("parent_hash")).alias("parents"))
     left = references.join(gone, NODE, "left_anti")
     versions = left.select("group_id", "version_hash").unionByName(authorized.select("group_id", "version_hash")).distinct()
     superseded = edges.select("group_id", F.col("parent_hash").alias("change_hash")).distinct()
@@ -76,7 +78,7 @@ def pruned(changes: DataFrame, edges: DataFrame, references: DataFrame, plan: Da
         edges=from_kept.join(as_parent, ["group_id", "parent_hash"], "left_anti"),
         references=left,
         versions=versions,
-        stubs=gone.join(lamports, NODE).join(parents, NODE, "left").select(*NODE, "lamport", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")),
+        stubs=gone.join(identity, NODE).join(lamports, NODE).join(parents, NODE, "left").select(*NODE, "device_id", "seq", "lamport", F.coalesce("parents", F.array().cast(parents.schema["parents"].dataType)).alias("parents")),
         boundary=from_kept.join(as_parent, ["group_id", "parent_hash"], "left_semi"),
         heads=changes.join(superseded, NODE, "left_anti").join(gone, NODE, "left_anti").select(*NODE),
     )
@@ -129,7 +131,7 @@ def audit_retained(snapshot: Snapshot) -> DataFrame:
     """
     stub_edges = snapshot.stubs.select("group_id", F.col("change_hash").alias("child_hash"), F.explode("parents").alias("parent_hash"))
     edges = snapshot.edges.unionByName(snapshot.boundary).unionByName(stub_edges).distinct()
-    stubs = snapshot.stubs.select(*NODE, F.lit("stub").alias("device_id"), F.col("lamport").alias("seq"))
+    stubs = snapshot.stubs.select(*NODE, "device_id", "seq")  # in their devices' chains, as the bodies are
     there = snapshot.changes.select(*NODE, "device_id", F.col("seq").cast("long").alias("seq")).unionByName(stubs)
     bodies = snapshot.changes.select(*NODE)
     heads = snapshot.heads.select(*NODE)

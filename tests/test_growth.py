@@ -5,7 +5,10 @@ import random
 import pytest
 
 from driftwell.operators import graph as G
+from driftwell.operators import orphans as R
+from driftwell.operators import pruning as P
 from driftwell.plans import all_queries
+from driftwell.streaming import admission as A
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = all_queries()
@@ -43,3 +46,63 @@ def test_ancestor_pairs_are_not_dealt_out(spark):
     plan = QUERIES["gr1_ancestor_closure"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     # Only the join that makes the pairs and what leads to it: no aggregate or union stands above it.
     assert "Aggregate" not in plan.split("Join")[0] and "Union" not in plan.split("Join")[0] and "Join" in plan
+
+
+def test_a_buffer_places_its_chains_once(spark, monkeypatch):
+    changes, edges = history(5, n=80, groups=1)
+    order = random.Random(5).sample(range(len(changes)), len(changes))
+    received = spark.createDataFrame([(*c, at) for c, at in zip(changes, order)], "group_id long, change_hash string, device_id string, seq long, received_seq long")
+    calls, own = [], G.in_chains
+    monkeypatch.setattr(G, "in_chains", lambda *a: calls.append(1) or own(*a))
+    found = R.bounded_buffer(received, frames(spark, changes, edges)[1], 3)
+    assert found.filter("state = 'evicted'").count() > 0
+    assert len(calls) == 2  # one for the times, one for the admissions, however many rounds there are
+
+
+def test_numbered_changes_through_a_buffer(spark):
+    received = spark.createDataFrame([(1, n, "d", n, 9 - n) for n in range(1, 9)], "group_id long, change_hash long, device_id string, seq long, received_seq long")
+    edges = spark.createDataFrame([(1, n + 1, n) for n in range(1, 8)], "group_id long, child_hash long, parent_hash long")
+    found = {r.change_hash: r.state for r in R.bounded_buffer(received, edges, 2).collect()}
+    assert found == {1: "admitted", 2: "admitted", 3: "admitted", **{n: "evicted" for n in range(4, 9)}}
+
+
+def test_stubs_stay_in_their_devices_chains(spark, monkeypatch):
+    """Two devices side by side, all but the heads pruned: by Lamport numbers alone no stub follows the one before."""
+    rows = [(1, f"{d}{n}", d, n) for d in "xy" for n in range(1, 9)]
+    changes, edges = frames(spark, rows, [(1, f"{d}{n}", f"{d}{n - 1}") for d in "xy" for n in range(2, 9)])
+    plan = changes.filter("seq < 8").selectExpr("group_id", "change_hash", "'pruned' AS role")
+    none = spark.createDataFrame([], "group_id long, change_hash string, version_hash string")
+    lamports = changes.selectExpr("group_id", "change_hash", "seq AS lamport")
+    snapshot = P.pruned(changes, edges, none, plan, none, none, lamports)
+    made = []
+    monkeypatch.setattr(P, "Causal", lambda *a: made.append(G.Causal(*a)) or made[-1])
+    assert {r.verdict for r in P.audit_retained(snapshot).collect()} == {"reached"}
+    assert made[0].own.select("chain").distinct().count() == 2
+
+
+class Store:
+    def __init__(self):
+        self.values, self.calls = {}, []
+
+    def __getattr__(self, name):
+        def call(key, value=None):
+            self.calls.append(name)
+            if name == "updateValue":
+                self.values[key] = value
+            if name == "containsKey":
+                return key in self.values
+            return self.values.pop(key, None) if name == "removeKey" else self.values.get(key)
+
+        return call
+
+
+def test_a_new_groups_state_is_only_written():
+    store = Store()
+    kept = A.Kept(store, True)
+    kept.put("gone", (1,))
+    kept.put("stays", (2,))
+    kept.put("gone", None)
+    kept.write()
+    assert store.calls == ["updateValue"]
+    later = A.Kept(store, False)
+    assert later.get("gone") is None and later.get("other") is None
