@@ -10,45 +10,74 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.plans.lineage import cut
 
 LEAF = 64
+#: Nodes of more items are told by counts alone, so that their items are not gathered in one task.
+BULK = 1 << 16
 
 
 def hashed(items: DataFrame, keys: list[str], *columns: str) -> DataFrame:
     """(keys, item): the different items as SHA-256 of their columns, joined by ':'; null is '-'."""
+    return unpacked(packed_items(items, keys, *columns))
+
+
+def packed_items(items: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """The same with 32 bytes for the 64 digits, as which they travel. Their order is that of the digits."""
     text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-    return items.select(*keys, F.sha2(text, 256).alias("item")).distinct()
+    return items.select(*keys, F.unhex(F.sha2(text, 256)).alias("item")).distinct()
+
+
+def packed(items: DataFrame) -> DataFrame:
+    return items.withColumn("item", F.unhex("item"))
+
+
+def unpacked(items: DataFrame) -> DataFrame:
+    return items.withColumn("item", F.lower(F.hex("item")))
 
 
 def prefix(depth: int) -> Column:
-    return F.substring("item", 1, depth)
+    return F.substring(F.lower(F.hex("item")), 1, depth)
+
 
+def subtrees(items: DataFrame, keys: list[str], leaf: int = LEAF, bulk: int = BULK) -> DataFrame:
+    """(keys, prefix, n, digest) of all nodes at and below `start`, a column of items(keys, item, start) that no two nest in.
 
-def subtrees(items: DataFrame, keys: list[str], leaf: int = LEAF) -> DataFrame:
-    """(keys, prefix, n, digest) of all nodes at and below `start`, a column of items(keys, item, start) that no two nest in."""
-    levels, rest, depth = [], items, int(items.agg(F.coalesce(F.min(F.length("start")), F.lit(0))).first()[0])
-    inner: list[tuple[int, DataFrame]] = []
+    items are packed and cut. A level deals them out by node once: small nodes become leaves there, the others' items go on.
+    """
+    bounds = items.agg(F.coalesce(F.min(F.length("start")), F.lit(0)), F.coalesce(F.max(F.length("start")), F.lit(0))).first()
+    depth, deepest = int(bounds[0]), int(bounds[1])
+    levels, inner, rest, node = [], [], items, [*keys, "prefix"]
     while True:
+        here = rest.withColumn("prefix", prefix(depth))
         # Items whose tree begins deeper wait for their depth.
-        here = rest.filter(F.length("start") <= depth)
-        sizes = cut(here.groupBy(*keys, prefix(depth).alias("prefix")).agg(F.count("*").alias("n")))
-        large = sizes.filter(F.col("n") > leaf).select(*keys, "prefix")
-        named = here.withColumn("prefix", prefix(depth))
-        leaves = named.join(large, [*keys, "prefix"], "left_anti").groupBy(*keys, "prefix").agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("leaf:"), F.array_join(F.sort_array(F.collect_list("item")), ",")), 256).alias("digest"))
-        levels.append(cut(leaves))
-        inner.append((depth, sizes.filter(F.col("n") > leaf)))
-        rest = cut(named.join(large, [*keys, "prefix"], "left_semi").drop("prefix").unionByName(rest.filter(F.length("start") > depth)))
+        waiting = here.filter(F.length("start") > depth) if depth < deepest else None
+        if waiting is not None:
+            here = here.filter(F.length("start") <= depth)
+        huge = cut(here.groupBy(*node).agg(F.count("*").alias("n")).filter(F.col("n") > bulk).select(*node))
+        whole = None
+        if not huge.isEmpty():
+            whole, here = here.join(F.broadcast(huge), node, "left_semi"), here.join(F.broadcast(huge), node, "left_anti")
+        sized = here.withColumn("n", F.count("*").over(Window.partitionBy(*node)))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda x: F.lower(F.hex(x))), ",")
+        small = sized.filter(F.col("n") <= leaf).groupBy(*node).agg(F.max("n").alias("n"), F.sha2(F.concat(F.lit("leaf:"), text), 256).alias("digest"), F.max("start").alias("start"))
+        found = cut(small.unionByName(sized.filter(F.col("n") > leaf).select(*node, "item", "start"), allowMissingColumns=True))
+        levels.append(found.filter("item IS NULL").select(*node, "n", "digest"))
+        rest = found.filter("item IS NOT NULL").select(*keys, "item", "start", "prefix")
+        rest = rest if whole is None else rest.unionByName(whole.select(*rest.columns))
+        inner.append((depth, rest.select(*node).distinct() if depth < deepest else None))
+        rest = rest.drop("prefix") if waiting is None else rest.drop("prefix").unionByName(waiting.drop("prefix"))
         if rest.isEmpty():
             break
         depth += 1
     nodes = reduce(DataFrame.unionByName, levels)
-    for depth, large in reversed(inner):
-        if not large.isEmpty():
-            nodes = nodes.unionByName(cut(parents(nodes.filter(F.length("prefix") == depth + 1), keys, depth).join(large.select(*keys, "prefix"), [*keys, "prefix"], "left_semi")))
+    for depth, large in reversed(inner[:-1]):
+        above = parents(nodes.filter(F.length("prefix") == depth + 1), keys, depth)
+        # Above where a tree begins there are nodes of other trees only.
+        nodes = nodes.unionByName(cut(above if large is None else above.join(large, node, "left_semi")))
     return cut(nodes)
 
 
@@ -60,6 +89,11 @@ def parents(children: DataFrame, keys: list[str], depth: int) -> DataFrame:
 
 def tree(items: DataFrame, keys: list[str], leaf: int = LEAF) -> DataFrame:
     """All nodes over items(keys, item), which are different; the root has the empty prefix."""
+    return packed_tree(packed(items), keys, leaf)
+
+
+def packed_tree(items: DataFrame, keys: list[str], leaf: int = LEAF) -> DataFrame:
+    """`tree` over packed items."""
     return subtrees(cut(items.withColumn("start", F.lit(""))), keys, leaf)
 
 
@@ -82,7 +116,7 @@ def added(nodes: DataFrame, items: DataFrame, fresh: DataFrame, keys: list[str],
     placed = cut(fresh.join(last, [*keys, "item"], "left").select(*keys, "item", F.substring("item", F.lit(1), begin).alias("start")))
     starts = cut(placed.select(*keys, "start").distinct())
     old = items.withColumn("_depth", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("start", F.expr("substring(item, 1, _depth)")).join(starts, [*keys, "start"], "left_semi").select(*keys, "item", "start")
-    built = subtrees(cut(placed.unionByName(old)), keys, leaf)
+    built = subtrees(cut(packed(placed.unionByName(old))), keys, leaf)
     kept = cut(nodes.join(starts.withColumnRenamed("start", "prefix"), [*keys, "prefix"], "left_anti"))
     anew = built
     for depth in range(deepest, -1, -1):

@@ -102,9 +102,9 @@ def manifest_of(snapshot: Snapshot) -> DataFrame:
     """(group_id, part, n, digest), by one Merkle tree for each group and part."""
     items = None
     for part, columns in PARTS.items():
-        own = merkle.hashed(getattr(snapshot, part).withColumn("part", F.lit(part)), ["group_id", "part"], *columns)
+        own = merkle.packed_items(getattr(snapshot, part).withColumn("part", F.lit(part)), ["group_id", "part"], *columns)
         items = own if items is None else items.unionByName(own)
-    nodes = merkle.tree(items, ["group_id", "part"])
+    nodes = merkle.packed_tree(items, ["group_id", "part"])
     return nodes.filter("prefix = ''").select("group_id", "part", "n", "digest")
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from driftwell.operators import graph as G
+from driftwell.operators import merkle as M
 from driftwell.operators import orphans as R
 from driftwell.operators import pruning as P
 from driftwell.plans import all_queries
@@ -106,3 +107,29 @@ def test_a_new_groups_state_is_only_written():
     assert store.calls == ["updateValue"]
     later = A.Kept(store, False)
     assert later.get("gone") is None and later.get("other") is None
+
+
+def test_trees_deal_out_packed_items_once_a_level(spark, monkeypatch):
+    """What travels is 32 bytes an item, and neither small nor large nodes are looked up by joins."""
+    cuts = []
+    own = M.cut
+    monkeypatch.setattr(M, "cut", lambda df: cuts.append(df) or own(df))
+    rows = spark.createDataFrame([(k, f"a{i}") for k in range(3) for i in range(100 * k + 20)], "k int, name string")
+    M.tree(M.hashed(rows, ["k"], "name"), ["k"])
+    assert all(dict(c.dtypes).get("item", "binary") == "binary" for c in cuts)
+    assert not any("Join" in c._jdf.queryExecution().optimizedPlan().toString() for c in cuts)
+
+
+@pytest.mark.parametrize("bulk", [8, 1 << 16])
+def test_bulky_nodes_give_the_same_tree(spark, bulk):
+    rows = spark.createDataFrame([(k, f"a{i}") for k in range(3) for i in range(50 * k + 3)], "k int, name string")
+    items = M.packed(M.hashed(rows, ["k"], "name")).selectExpr("k", "item", "'' AS start")
+    wanted = sorted(map(tuple, M.tree(M.hashed(rows, ["k"], "name"), ["k"], 4).collect()))
+    assert sorted(map(tuple, M.subtrees(items, ["k"], 4, bulk).select("k", "prefix", "n", "digest").collect())) == wanted
+
+
+def test_a_snapshots_manifest_is_worked_out_once(spark, monkeypatch):
+    calls, own = [], P.manifest_of
+    monkeypatch.setattr(P, "manifest_of", lambda *a: calls.append(1) or own(*a))
+    QUERIES["gr15_pruned_snapshot"](spark, FOLDER).collect()
+    assert len(calls) == 1
