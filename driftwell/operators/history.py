@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.paths import lint
 from driftwell.operators.graph import Causal
+from driftwell.plans.lineage import cut, few
 
 NODE = ["group_id", "change_hash"]
 DAY_US = 86_400_000_000
@@ -41,7 +42,8 @@ def required_copies(copies: DataFrame, heads: DataFrame, touches: DataFrame, cau
     """copies (with target) that are still wanted: their content does not live at the target, and nothing at or after the loser acted on the target."""
     there = heads.filter(F.col("version_hash").isNotNull()).select("group_id", F.col("path").alias("target"), "version_hash")
     keys = ["group_id", "target", "losing_change"]
-    after = touches.select("group_id", F.col("path").alias("target"), "change_hash")
+    targets = few(cut(copies.select("group_id", "target").distinct()))
+    after = cut(touches.select("group_id", F.col("path").alias("target"), "change_hash").join(targets, ["group_id", "target"], "left_semi"))
     upto = causal.seen_by(after).groupBy("group_id", "target", "chain").agg(F.max("upto").alias("upto"))
     losers = copies.join(causal.own.select("group_id", F.col("change_hash").alias("losing_change"), "chain", "pos"), ["group_id", "losing_change"])
     acted = losers.join(upto, ["group_id", "target", "chain"]).filter("pos <= upto").select(*keys)
@@ -60,8 +62,11 @@ def audit_claims(claims: DataFrame, heads: DataFrame, copies: DataFrame) -> Data
 
 
 def difference(required: DataFrame, claimed: DataFrame) -> DataFrame:
-    """Rows of one bag that the other lacks, with side: missing or extra."""
-    return required.exceptAll(claimed).withColumn("side", F.lit("missing")).unionByName(claimed.exceptAll(required).withColumn("side", F.lit("extra")))
+    """Rows of one bag that the other lacks, as often as it lacks them, with side: missing or extra."""
+    both = required.withColumn("_n", F.lit(1)).unionByName(claimed.withColumn("_n", F.lit(-1)))
+    net = both.groupBy(*required.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "missing").otherwise("extra").alias("side")
+    return net.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).select(*required.columns, side)
 
 
 def fit_budget(items: DataFrame, order: str, budget: dict[str, int]) -> DataFrame:

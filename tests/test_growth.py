@@ -5,6 +5,7 @@ import random
 import pytest
 
 from driftwell.operators import graph as G
+from driftwell.operators import history as H
 from driftwell.operators import merkle as M
 from driftwell.operators import orphans as R
 from driftwell.operators import pruning as P
@@ -133,3 +134,38 @@ def test_a_snapshots_manifest_is_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(P, "manifest_of", lambda *a: calls.append(1) or own(*a))
     QUERIES["gr15_pruned_snapshot"](spark, FOLDER).collect()
     assert len(calls) == 1
+
+
+def test_groups_that_ended_are_not_relaxed_again(spark, monkeypatch):
+    """One winding history beside many short ones: the paths of these are left out after their last round."""
+    changes, edges = history(0, n=70, groups=1)
+    for g in range(1, 9):
+        changes += [(g, f"g{g}n{k}", f"d{k % 2}", k // 2 + 1) for k in range(2)]
+        edges += [(g, f"g{g}n{k}", f"g{g}n{k - 1}") for k in range(1, 2)]
+    sizes, own = [], G.asof
+    causal = G.Causal(*frames(spark, changes, edges))
+    causal.__dict__["lifts"] = causal.lifts[:1]  # without the long paths there are many rounds
+    monkeypatch.setattr(G, "asof", lambda jumps, asked: sizes.append(asked.select("group_id").distinct().count()) or own(jumps, asked))
+    found = {(r.group_id, r.change_hash): r.lamport for r in causal.lamports.collect()}
+    wanted = {}
+    for g, name, _, _ in sorted(changes, key=lambda c: (c[0], int(c[1].split("n")[1]))):
+        wanted[g, name] = 1 + max((wanted[g, p] for h, c, p in edges if (h, c) == (g, name)), default=0)
+    assert found == wanted
+    assert min(sizes) <= 1
+
+
+def test_parents_in_the_chain_are_not_met_again(spark):
+    changes, edges = frames(spark, [(1, f"n{k}", "d", k) for k in range(5)] + [(1, "m", "e", 1)], [(1, f"n{k}", f"n{k - 1}") for k in range(1, 5)] + [(1, "n3", "m"), (1, "m", "lost")])
+    assert {r.change_hash: r.others for r in G.in_chains(changes, edges).collect() if r.others} == {"n3": ["m"], "m": ["lost"]}
+
+
+def test_a_bag_differs_as_often_as_it_lacks_rows(spark):
+    one, two = (spark.createDataFrame(x, "a int, b string") for x in ([(1, "x")] * 3 + [(2, None)], [(1, "x"), (2, None), (2, None), (3, "y")]))
+    assert sorted(map(str, H.difference(one, two).collect())) == sorted(map(str, one.exceptAll(two).selectExpr("*", "'missing' AS side").union(two.exceptAll(one).selectExpr("*", "'extra' AS side")).collect()))
+
+
+@pytest.mark.parametrize("name", ["gr7_path_resolution", "gr7_conflict_copies", "tk1_total_order"])
+def test_hashes_do_not_travel(spark, name):
+    """Above the deal there are no more exchanges, and below it no hashes of changes."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "sha2" in plan.split("Exchange")[0] and "sha2(cast(change_hash" not in plan.split("Exchange")[1]
