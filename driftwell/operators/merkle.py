@@ -78,7 +78,7 @@ def subtrees(items: DataFrame, keys: list[str], leaf: int = LEAF, bulk: int = BU
         above = parents(nodes.filter(F.length("prefix") == depth + 1), keys, depth)
         # Above where a tree begins there are nodes of other trees only.
         nodes = nodes.unionByName(cut(above if large is None else above.join(large, node, "left_semi")))
-    return cut(nodes)
+    return nodes  # of parts that are all cut
 
 
 def parents(children: DataFrame, keys: list[str], depth: int) -> DataFrame:
