@@ -10,6 +10,7 @@ from driftwell.operators import merkle as M
 from driftwell.operators import orphans as R
 from driftwell.operators import pruning as P
 from driftwell.plans import all_queries
+from driftwell.plans.catalog import Views
 from driftwell.streaming import admission as A
 
 FOLDER = "/root/testdata/sf0.001"
@@ -169,3 +170,49 @@ def test_hashes_do_not_travel(spark, name):
     """Above the deal there are no more exchanges, and below it no hashes of changes."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Exchange") == 1 and "sha2" in plan.split("Exchange")[0] and "sha2(cast(change_hash" not in plan.split("Exchange")[1]
+
+
+def arrivals(spark, seed: int, groups: int = 2):
+    changes, edges = history(seed, groups=groups)
+    rng, order = random.Random(seed), {}
+    received = [(*c, order.setdefault(c[0], iter(rng.sample(range(100), 100))).__next__()) for c in changes if rng.random() < 0.9]
+    return spark.createDataFrame(received, "group_id long, change_hash string, device_id string, seq long, received_seq long"), frames(spark, changes, edges)[1]
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_held_orphans_are_those_of_the_buffer(spark, most):
+    received, edges = arrivals(spark, 4)
+    one = received.filter("group_id = 1 AND received_seq < 3")  # a group that is never crowded, beside one that is
+    received = received.filter("group_id = 0").unionByName(one)
+    wanted = R.bounded_buffer(received, edges, most).filter("state = 'orphan'").select("group_id", "change_hash", "received_seq")
+    found = R.held_orphans(received, edges, most)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) != []
+
+
+def test_groups_that_can_not_overflow_need_no_times(spark, monkeypatch):
+    calls, own = [], R.complete_at
+    monkeypatch.setattr(R, "complete_at", lambda *a: calls.append(1) or own(*a))
+    assert QUERIES["tk3_orphan_bound"](spark, FOLDER).count() > 0 and not calls
+    assert R.held_orphans(*arrivals(spark, 4), 3).count() > 0 and calls
+
+
+def test_groups_that_have_seen_all_are_not_asked_again(spark, monkeypatch):
+    """One history over many chains beside short ones, which end after a round."""
+    changes = [(0, f"c{k}", f"d{k}", 1) for k in range(12)]
+    edges = [(0, f"c{k}", f"c{k - 1}") for k in range(1, 12)]
+    for g in range(1, 9):
+        changes += [(g, f"g{g}a", "x", 1), (g, f"g{g}b", "y", 1)]
+        edges += [(g, f"g{g}b", f"g{g}a")]
+    sizes, own = [], G.asof
+    causal = G.Causal(*frames(spark, changes, edges))
+    monkeypatch.setattr(G, "asof", lambda jumps, asked: sizes.append(asked.select("group_id").distinct().count()) or own(jumps, asked))
+    reach = {(r.group_id, r.device, r["of"]) for r in causal.reach.collect()}
+    assert sizes[0] == 9 and sizes[-1] == 1
+    assert sorted(map(tuple, causal.pairs().collect())) == sorted((r.group_id, r.change_hash, r.ancestor) for r in G.ancestors(frames(spark, changes, edges)[1]).collect())
+    assert len(reach) == 12 * 11 // 2 + 8
+
+
+@pytest.mark.parametrize("name", ["fx_changes", "fx_received"])
+def test_numbered_views_deal_events_once(spark, name):
+    plan = getattr(Views(spark, FOLDER).numbered, name)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "sha2" not in plan.split("Exchange")[1]
