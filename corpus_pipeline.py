@@ -46,7 +46,7 @@ def together(df: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Whole rows pass through the tasks here, so these hold less text and fewer words."""
     needed = ("text", "lang")
-    return together(judge(aside(docs, *needed), language="lang", slice_bytes=1 << 20, words_known=100_000).filter("kept"), docs, *needed)
+    return together(judge(aside(docs, *needed), language="lang", slice_bytes=1 << 19, words_known=40_000).filter("kept"), docs, *needed)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

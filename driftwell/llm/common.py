@@ -95,7 +95,10 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in row ranges of about `most` bytes of text, so that work arrays stay small; a longer text comes alone."""
+    """The batches in row ranges of about `most` bytes of text, so that work arrays stay small; a longer text comes alone.
+
+    What the batches took goes back to the system at the end: a worker lives on, and would hold it beside the next stages.
+    """
     for b in batches:
         sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         begin = total = 0
@@ -106,3 +109,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             total += size
         if begin < b.num_rows:
             yield b.slice(begin)
+        del b
+    pa.default_memory_pool().release_unused()
