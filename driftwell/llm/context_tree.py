@@ -45,6 +45,10 @@ BLOCK, PER_BUCKET = 6 << 20, 8 << 20
 SHARE_OF_BUCKET = 4.0
 #: Blocks and buckets get a task each, up to so many.
 MOST_TASKS = 100_000
+#: Windows that are looked up at once.
+STRETCH = 1 << 16
+#: Values that are looked up, steps of log10 or places, have no more bits.
+VALUE_BITS = np.uint64(24)
 #: One step of the returned log10 probabilities.
 STEP = 1 / 4096
 #: The end token, which no word can equal.
@@ -149,20 +153,28 @@ class Body:
 
     def every_window(self) -> np.ndarray:
         """The window of each own byte: its nearest byte highest, the byte itself lowest."""
-        out = self.data.astype(np.uint64)
-        for d in range(1, DEPTH + 1):
-            out |= shifted(self.data, self.offsets, d).astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
+        padded = np.zeros(len(self.data) + DEPTH + 8, dtype=np.uint8)
+        padded[DEPTH + 1 : DEPTH + 1 + len(self.data)] = self.data
+        # The eight bytes from each place on, as a number, have the DEPTH ones before it where a window has them.
+        out = np.ndarray((len(self.data),), "<u8", padded, strides=(1,)) & np.uint64(((1 << 8 * DEPTH) - 1) << 8)
+        out |= self.data
+        for k in range(DEPTH):
+            at = self.offsets[:-1] + k
+            out[at[at < self.offsets[1:]]] &= np.uint64(((1 << 8 * k) - 1) << 8 * (DEPTH + 1 - k) | 255)
         return out[self.own()] if self.leads.any() else out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """The different windows, sorted, with their training counts."""
-        train = np.repeat(~self.held, np.diff(self.offsets) - self.leads)
         # The lowest bit says whether it is for training; a window leaves room for it.
-        flagged = np.sort(self.every_window() << np.uint64(1) | train)
-        keys = flagged >> np.uint64(1)
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        n = np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first) if len(first) else first
-        return keys[first], n
+        flagged = self.every_window()
+        flagged <<= np.uint64(1)
+        flagged |= np.repeat(~self.held, np.diff(self.offsets) - self.leads)
+        flagged.sort()
+        train = np.cumsum(flagged.view(np.uint8)[::8] & 1, dtype=np.int32)
+        flagged >>= np.uint64(1)
+        first = starts_of(flagged)
+        upto = train[np.append(first[1:], len(flagged)) - 1] if len(first) else train
+        return flagged[first], np.diff(upto, prepend=np.int32(0)).astype(np.int64)
 
     def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Different words (and the end) in order of their hashes, these, the code of each token, and each token's text."""
@@ -180,34 +192,49 @@ class Body:
         return names.take(pa.array(order)), hashes[order], place[codes], np.append(owner, last)
 
 
-def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted number stands in keys, which has it: by a few tables of hashes, and a search for what is left."""
-    out = np.zeros(len(wanted), dtype=np.int64)
-    rest, open_ = np.arange(len(keys)), np.arange(len(wanted))
-    bits = max(4, int(4 * len(keys)).bit_length())
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where each different number of an ordered array begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> None:
+    """Puts the values, which are below 2^24, in place of the wanted numbers below 2^56, which keys has: by a few tables of hashes, and a search for what is left.
+
+    An odd factor maps the numbers one to one, so a slot's number and the bits that follow it tell a key exactly; an entry has
+    these bits and the value, and one read gives both. Stretches of wanted numbers keep work arrays in the processor's cache.
+    """
+    tables, rest = [], np.arange(len(keys))
     for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
-        slot = lambda x: (x * np.uint64(factor)) >> np.uint64(64 - bits)  # noqa: B023, E731
-        table = np.zeros(1 << bits, dtype=np.int32)
-        own = slot(keys[rest])
-        table[own] = rest
-        at = table[slot(wanted)]
-        right = keys[at] == wanted
-        out[open_[right]] = at[right]
-        rest, open_, wanted = rest[table[own] != rest], open_[~right], wanted[~right]
-        if not len(open_):
-            return out
-    out[open_] = np.searchsorted(keys, wanted)
-    return out
+        bits = max(16, int(2 * len(rest)).bit_length())
+        spread, over, up = np.uint64(factor << 8 & (1 << 64) - 1), np.uint64(64 - bits), np.uint64(bits)
+        table = np.zeros(1 << bits, dtype=np.uint64)
+        own = keys[rest] * spread
+        slots, entries = (own >> over).view(np.int64), own << up | values[rest]
+        table[slots] = entries
+        tables.append((spread, over, up, table))
+        rest = rest[table[slots] != entries]
+    for i in range(0, len(wanted), STRETCH):
+        asked = wanted[i : i + STRETCH]
+        found, open_ = np.empty_like(asked), np.arange(0)
+        for t, (spread, over, up, table) in enumerate(tables):
+            own = (asked[open_] if t else asked) * spread
+            got = table.take((own >> over).view(np.int64))
+            own <<= up
+            own ^= got  # the value alone where the entry is the key's, else 2^24 or more
+            found[open_ if t else slice(None)] = own
+            wrong = np.flatnonzero(own >> VALUE_BITS)
+            open_ = open_[wrong] if t else wrong
+            if not len(open_):
+                break
+        found[open_] = values[np.searchsorted(keys, asked[open_])]
+        wanted[i : i + STRETCH] = found
 
 
-def shifted(data: np.ndarray, offsets: np.ndarray, by: int) -> np.ndarray:
-    """The byte `by` places before each byte of the same text, or zero."""
-    out = np.zeros_like(data)
-    out[by:] = data[:-by]
-    for k in range(by):
-        at = offsets[:-1] + k
-        out[at[at < offsets[1:]]] = 0
-    return out
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands in keys, of which there are less than 2^24."""
+    out = wanted.copy()
+    look_up(keys, np.arange(len(keys), dtype=np.uint64), out)
+    return out.astype(np.int64)
 
 
 def context(windows: np.ndarray, depth: int) -> np.ndarray:
@@ -339,12 +366,14 @@ class Level:
         self.ones: list[np.ndarray] = []
         self.seen: list[np.ndarray] = []
         self.kt: list[np.ndarray] = []
+        upto = np.append(0, np.cumsum(n))
         for k in range(8):
             fresh = np.append(True, (keys[1:] ^ keys[:-1]) >> np.uint64(8 - k) != 0) if len(keys) else np.zeros(0, bool)
             first = np.flatnonzero(fresh)
             bit = (keys >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
-            ones = np.add.reduceat(n * bit, first) if len(first) else first
-            both = np.add.reduceat(n, first) if len(first) else first
+            ends = np.append(first, len(keys))
+            ones = np.diff(np.append(0, np.cumsum(n * bit))[ends])
+            both = np.diff(upto[ends])
             self.run.append((np.cumsum(fresh) - 1).astype(np.int32))
             self.first.append(first)
             self.kt.append(log_kt(both - ones, ones))
@@ -603,18 +632,22 @@ def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_blocks: int, n_bu
     def finish(row: dict, windows: list[np.ndarray], counts: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         body = Body(row)
         each = body.every_window()
-        keys, _ = body.windows()
-        logs = np.zeros(len(keys))
+        keys = np.sort(each)
+        keys = keys[starts_of(keys)]
+        steps = np.zeros(len(keys), dtype=np.uint64)
         if len(keys):
-            logs[np.argsort(cut_.buckets(keys, n_buckets), kind="stable")] = np.concatenate(windows) * -STEP
-        total = np.zeros(len(each) + 1)
-        np.cumsum(logs[places(keys, each)], out=total[1:])
+            steps[np.argsort(cut_.buckets(keys, n_buckets), kind="stable")] = np.concatenate(windows)
+        look_up(keys, steps, each)
+        np.cumsum(each, out=each)
         lengths = np.diff(body.offsets) - body.leads
-        ends = np.cumsum(lengths)
+        some = lengths > 0
+        total = np.zeros(len(lengths), dtype=np.int64)
+        total[some] = np.diff(each[np.cumsum(lengths)[some] - 1].astype(np.int64), prepend=0)
         _, _, codes, owner = body.words()
         c, n = np.concatenate(counts), len(lengths)
+        known, each_log = c > 0, np.log10(c + 1.0)
         columns = [pa.array(row["rows"], pa.int64()), pa.array(row["ids"], id_type), pa.array(body.held)]
-        columns += [pa.array(per_text(owner, n), pa.int64()), pa.array(per_text(owner[c[codes] > 0], n), pa.int64()), pa.array(per_text(owner, n, np.log10(c[codes] + 1.0))), pa.array(lengths), pa.array(total[ends] - total[ends - lengths])]
+        columns += [pa.array(per_text(owner, n), pa.int64()), pa.array(per_text(owner[known[codes]], n), pa.int64()), pa.array(per_text(owner, n, each_log[codes])), pa.array(lengths), pa.array(total * -STEP)]
         return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "n_bytes", "score"])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,7 +665,7 @@ def scored(blocks: DataFrame, answers: DataFrame, cut_: Cut, n_blocks: int, n_bu
                 raw = np.frombuffer(unpack(row["payload"]), dtype=np.uint8)
                 width = 3 if row["kind"] == WINDOWS else 8
                 values = from_bytes(raw, len(raw) // width, width)
-                (windows if row["kind"] == WINDOWS else counts).append(values.astype(np.float64))
+                (windows if row["kind"] == WINDOWS else counts).append(values)
         if now is not None:
             yield finish(now, windows, counts, id_type)
 
