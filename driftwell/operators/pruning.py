@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.operators import merkle
@@ -34,15 +34,21 @@ class Snapshot:
     heads: DataFrame
 
 
-def left_references(references: DataFrame, plan: DataFrame, roots: DataFrame) -> DataFrame:
-    """The references of changes that a plan does not prune or that a root keeps."""
-    return references.join(plan.filter("role = 'pruned'").join(roots.select(*NODE), NODE, "left_anti"), NODE, "left_anti")
+def trashed(touches: DataFrame) -> DataFrame:
+    """touches(group_id, path, us, event_id, kind, version_hash, ...) with authorized: whether a delete of the path follows right after a version."""
+    along = Window.partitionBy("group_id", "path").orderBy("us", "event_id")
+    deleted = F.col("kind") == "Delete"
+    return touches.withColumn("authorized", ~deleted & F.coalesce(F.lead(deleted).over(along), F.lit(False)))
 
 
-def unreferenced(versions: DataFrame, references: DataFrame, authorized: DataFrame) -> DataFrame:
-    """Of versions(group_id, version_hash), those that are neither referenced nor authorized in their group."""
-    key = ["group_id", "version_hash"]
-    return versions.join(references.select(*key), key, "left_anti").join(authorized.select(*key), key, "left_anti")
+def versions_left(references: DataFrame, plan: DataFrame, roots: DataFrame) -> DataFrame:
+    """(group_id, version_hash, left, authorized) of the versions of references(NODE, version_hash, authorized), in one pass over them.
+
+    left: a change references it that the plan does not prune or that a root keeps. References may come several times.
+    """
+    gone = plan.filter("role = 'pruned'").select(*NODE).join(roots.select(*NODE), NODE, "left_anti").withColumn("_gone", F.lit(True))
+    rows = references.select(*NODE, "version_hash", "authorized").join(gone, NODE, "left")
+    return rows.groupBy("group_id", "version_hash").agg(F.bool_or(F.col("_gone").isNull()).alias("left"), F.bool_or("authorized").alias("authorized"))
 
 
 def authorized_blocks(asked: DataFrame, version_blocks: DataFrame, references: DataFrame, authorized: DataFrame) -> DataFrame:
