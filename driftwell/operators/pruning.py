@@ -54,14 +54,11 @@ def versions_left(references: DataFrame, plan: DataFrame, roots: DataFrame) -> D
 def authorized_blocks(asked: DataFrame, version_blocks: DataFrame, references: DataFrame, authorized: DataFrame) -> DataFrame:
     """asked(group_id, hash) with verdict: retained if a version that the group's changes reference has the block, compaction
     if only one that a compaction authorized in the group has it, else refused. Other groups' versions give no right."""
-
-    def blocks_of(versions: DataFrame, name: str) -> DataFrame:
-        named = versions.select("group_id", "version_hash").distinct()
-        return named.join(version_blocks.select("version_hash", "hash"), "version_hash").select("group_id", "hash").distinct().withColumn(name, F.lit(True))
-
-    key = ["group_id", "hash"]
-    rows = asked.join(blocks_of(references, "_held"), key, "left").join(blocks_of(authorized, "_given"), key, "left")
-    return rows.select(*asked.columns, F.when(F.col("_held"), "retained").when(F.col("_given"), "compaction").otherwise("refused").alias("verdict"))
+    named = references.select("group_id", "version_hash", F.lit(True).alias("_held")).unionByName(authorized.select("group_id", "version_hash"), allowMissingColumns=True)
+    given = named.groupBy("group_id", "version_hash").agg(F.coalesce(F.max("_held"), F.lit(False)).alias("_held"))
+    blocks = given.join(version_blocks.select("version_hash", "hash").distinct(), "version_hash").groupBy("group_id", "hash").agg(F.max("_held").alias("_held"))
+    rows = asked.join(blocks, ["group_id", "hash"], "left")
+    return rows.select(*asked.columns, F.when(F.col("_held"), "retained").when(~F.col("_held"), "compaction").otherwise("refused").alias("verdict"))
 
 
 def pruned(changes: DataFrame, edges: DataFrame, references: DataFrame, plan: DataFrame, roots: DataFrame, authorized: DataFrame, lamports: DataFrame) -> Snapshot:
