@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from driftwell.operators import graph as G
@@ -11,6 +12,7 @@ from driftwell.operators import orphans as R
 from driftwell.operators import pruning as P
 from driftwell.plans import all_queries
 from driftwell.plans.catalog import Views
+from driftwell.plans.lineage import new_folder
 from driftwell.streaming import admission as A
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,6 +113,76 @@ def test_a_new_groups_state_is_only_written():
     assert later.get("gone") is None and later.get("other") is None
 
 
+class Handle:
+    """What a processor asks of Spark, over stores that outlast a batch."""
+
+    def __init__(self):
+        self.stores = {}
+
+    def getMapState(self, name, *_):
+        return self.stores.setdefault(name, Store())
+
+    def getValueState(self, name, *_):
+        store = self.stores.setdefault(name, Store())
+        return type("Value", (), {"exists": lambda _: store.containsKey(()), "get": lambda _: store.getValue(()), "update": lambda _, x: store.updateValue((), x)})()
+
+
+def in_batches(most: int, page: int, seeds: range, size: int = 20) -> tuple[list, list]:
+    """Events of three groups of a bucket, whose arrivals come in batches, and the calls to the store in each batch."""
+    rows = []
+    for g, seed in enumerate(seeds):
+        changes, edges = history(seed, n=70, groups=1)
+        rng = random.Random(seed)
+        for at, n in enumerate(rng.sample(range(70), 66)):
+            rows.append((g, changes[n][1], at + 1, [p for _, c, p in edges if c == changes[n][1]] or None))
+    handle, events, calls = Handle(), [], []
+    for low in range(0, 70, size):
+        processor = A.Admission(most, page)
+        processor.init(handle)
+        here = pd.DataFrame([r for r in rows if low < r[2] <= low + size], columns=["group_id", "change_hash", "received_seq", "parents"])
+        for out in processor.handleInputRows((5,), iter([here.iloc[::2], here.iloc[1::2]]), None):
+            events += out[["group_id", "change_hash", "event", "at"]].itertuples(index=False, name=None)
+        calls.append(sum(len(s.calls) for s in handle.stores.values()) - sum(calls))
+    return sorted(events), calls
+
+
+def test_small_groups_share_an_entry_of_the_store():
+    events, calls = in_batches(1000, A.PAGE, range(3))
+    assert {e[0] for e in events} == {0, 1, 2} and max(calls) <= 3  # is it there, what is it, and what it is now
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_pages_give_the_same_events_as_entries(most):
+    """Groups in one page, some with a page of their own, and some that outgrow it on the way."""
+    wanted, _ = in_batches(most, A.PAGE, range(3))
+    assert any(e[2] == "evicted" for e in wanted) == (most < 1000)
+    for page in (0, 500, 2500, 6000):
+        assert in_batches(most, page, range(3))[0] == wanted
+
+
+@pytest.mark.parametrize("page", [0, 3000])
+def test_pages_and_entries_through_a_stream(spark, page):
+    """In the store itself, stopped and started again between stretches."""
+    received, edges = arrivals(spark, 6)
+    rows = A.with_parents(received, edges)
+    found = []
+    for most_bytes in (A.PAGE, page):
+        folder = new_folder(spark, "test")
+        for low in (0, 40, 70):
+            rows.filter(f"received_seq >= {low} AND received_seq < {[40, 70, 100][low // 35]}").repartition("group_id").write.mode("append").parquet(f"{folder}/in")
+            A.write_events(spark, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", 5, most_bytes)
+        found.append(sorted(map(tuple, spark.read.parquet(f"{folder}/out/events").collect())))
+    assert found[0] == found[1] and {e[2] for e in found[0]} == {"admitted", "replaced", "evicted"}
+
+
+def test_a_stream_in_parts_has_each_row_once(spark):
+    """Numbers become strings on the way, and stretches without rows do no harm."""
+    received = spark.createDataFrame([(g, n, n * n) for g in (1, 2) for n in range(1, 9)], "group_id long, change_hash long, received_seq int")
+    edges = spark.createDataFrame([(1, n + 1, n) for n in range(1, 8)], "group_id long, child_hash long, parent_hash long")
+    found = A.events_of(spark, received, edges, size=4).filter("event = 'admitted'").collect()
+    assert sorted((r.group_id, int(r.change_hash), r.at) for r in found) == [(g, n, n * n) for g in (1, 2) for n in range(1, 9)]
+
+
 def test_trees_deal_out_packed_items_once_a_level(spark, monkeypatch):
     """What travels is 32 bytes an item, and neither small nor large nodes are looked up by joins."""
     cuts = []
