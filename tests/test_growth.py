@@ -183,6 +183,11 @@ def test_a_stream_in_parts_has_each_row_once(spark):
     assert sorted((r.group_id, int(r.change_hash), r.at) for r in found) == [(g, n, n * n) for g in (1, 2) for n in range(1, 9)]
 
 
+def test_heads_are_read_off_the_events_once(spark):
+    """Since when a change is a head and when it is replaced come from one grouping, without a join of the events with themselves."""
+    assert "Join" not in QUERIES["st4_running_heads"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_trees_deal_out_packed_items_once_a_level(spark, monkeypatch):
     """What travels is 32 bytes an item, and neither small nor large nodes are looked up by joins."""
     cuts = []
